@@ -53,14 +53,16 @@ def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
     """
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).where("_id is not null")
     wanted = items.select(F.col(item_col).alias("_item"), F.col(item_text).cast("string").alias("text")).where("_item is not null")
-    wanted = cut(_shingled(wanted, shingle_words).select("_item", F.array_sort(F.array_distinct("sh")).alias("_sorted")).where("size(_sorted) > 0"))
+    wanted = cut(_shingled(wanted, shingle_words).select("_item", F.array_sort(F.array_distinct("sh")).alias("_sorted")))
     shifts = wanted.sparkSession.range(0, 64).select(F.col("id").cast("int").alias("shift"))
     # 64 partitions at most: a size that the word length bounds
     index = wanted.join(F.broadcast(shifts.where((F.col("shift") >= 24) & (F.col("shift") <= 60))), F.lit(True))
-    index = cut(index.select("shift", F.explode(_sketch(F.col("shift"))).alias("h"), "_item"))
-    sized = _shingled(texts, shingle_words).where("size(sh) > 0").select("_id", F.array_sort("sh").alias("_sorted"), _shift(F.size("sh")).alias("shift"))
-    mins = sized.select("_id", "shift", F.explode(_sketch(F.col("shift"))).alias("h"))
-    candidates = cut(mins.join(_small(index), ["shift", "h"]).select("_id", "_item").distinct())
+    index = cut(index.select("shift", F.explode_outer(_sketch(F.col("shift"))).alias("h"), "_item").where("h is not null").select(F.xxhash64("shift", "h").alias("key"), "_item"))
+    # No filter may refer to the arrays: the optimiser would push it below them and compute them again per element.
+    # So explode_outer, which implies none, and a join key that cannot be null.
+    sized = _shingled(texts, shingle_words).select("_id", F.array_sort("sh").alias("_sorted"), _shift(F.size("sh")).alias("shift"))
+    mins = sized.select("_id", "shift", F.explode_outer(_sketch(F.col("shift"))).alias("h")).select("_id", F.xxhash64("shift", "h").alias("key"))
+    candidates = cut(mins.join(_small(index), "key").select("_id", "_item").distinct())
     again = texts.join(_small(candidates.select("_id").distinct()), "_id", "left_semi")
     again = _shingled(again, shingle_words).join(_small(candidates), "_id").join(_small(wanted), "_item")
     held = again.select("_id", "_item", F.size("_sorted").alias("n"), F.size(F.array_intersect("_sorted", "sh")).alias("both"))

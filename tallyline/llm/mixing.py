@@ -7,18 +7,20 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from . import textspans as ts
 from .cluster import cut, running_sums
 
 #: Units of one flight task; larger strata are flown in blocks first, their few open units again, and so on.
 BLOCK_UNITS = 4096
-#: Open units of a stratum that the landing settles by trying every subset.
-LANDING_UNITS = 8
+#: Units of a stratum, evenly spaced by size, that stay out of its last flight; the landing tries every subset of these
+#: and of the two at most that the flight leaves open.
+LANDING_UNITS = 12
 _EPS = 1e-9
 
 
-@F.arrow_udf("long")
+@F.arrow_udf(LongType())
 def count_words(texts: pa.Array) -> pa.Array:
     return pa.array(ts.word_counts(texts))
 
@@ -42,7 +44,7 @@ def water_levels(sources: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap
     return out.select("source", "source_size", "rank", F.least("top", F.coalesce(F.col("x.level") * F.col("w"), "top")).alias("target"))
 
 
-def _flight(pi: np.ndarray, mass: np.ndarray, count: np.ndarray, draw: np.random.Generator, stop: int) -> np.ndarray:
+def _flight(pi: np.ndarray, mass: np.ndarray, count: np.ndarray, draw: np.random.Generator) -> np.ndarray:
     """Fast cube flight: move three units at a time along the null space of (mass, count) until one is settled.
 
     With a_i = (mass_i, count_i) the direction is the cross product of both rows, so sum(pi * mass) and
@@ -51,8 +53,7 @@ def _flight(pi: np.ndarray, mass: np.ndarray, count: np.ndarray, draw: np.random
     pi = pi.copy()
     rest = iter(range(len(pi)))
     held = [i for _, i in zip(range(3), rest, strict=False)]
-    left = len(pi)
-    while len(held) == 3 and left > stop:
+    while len(held) == 3:
         a, b, c = held
         u = np.array([mass[b] * count[c] - mass[c] * count[b], mass[c] * count[a] - mass[a] * count[c], mass[a] * count[b] - mass[b] * count[a]])
         if not u.any():  # all rows are proportional
@@ -66,13 +67,12 @@ def _flight(pi: np.ndarray, mass: np.ndarray, count: np.ndarray, draw: np.random
         x[x < _EPS], x[x > 1 - _EPS] = 0.0, 1.0
         pi[held] = x
         open_ = [i for i, v in zip(held, x, strict=True) if 0 < v < 1]
-        left -= 3 - len(open_)
         held = open_ + [i for _, i in zip(range(3 - len(open_)), rest, strict=False)]
     return pi
 
 
 def _landing(pi: np.ndarray, mass: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """Settle the few open units: the subset with the nearest mass, then the nearest count."""
+    """Settle the few open units: the subset with the nearest mass, to a thousandth of it all, then the nearest count."""
     open_ = np.flatnonzero((pi > 0) & (pi < 1))
     if not len(open_):
         return pi
@@ -80,18 +80,20 @@ def _landing(pi: np.ndarray, mass: np.ndarray, count: np.ndarray) -> np.ndarray:
     off = np.abs(sets @ mass[open_] - pi[open_] @ mass[open_])
     off_count = np.abs(sets @ count[open_] - pi[open_] @ count[open_])
     pi = pi.copy()
-    pi[open_] = sets[np.lexsort((np.arange(len(off)), off_count, np.round(off, 6)))[0]]
+    pi[open_] = sets[np.lexsort((np.arange(len(off)), off_count, np.round(off / max(mass @ pi, 1.0), 3)))[0]]
     return pi
 
 
 def _fly(seed: int, last: bool):
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        # large units first, so that the units left open are small
         g = g.sort_values(["mass", "doc_id", "size"], ascending=[False, True, True], kind="stable", na_position="last").reset_index(drop=True)
         name = "" if pd.isna(g["source"].iloc[0]) else str(g["source"].iloc[0])
         draw = np.random.default_rng([seed, len(g), int(g["block"].iloc[0]), *name.encode()])
         mass, count = g["mass"].to_numpy(float), g["mult"].to_numpy(float)
-        pi = _flight(g["pi"].to_numpy(float), mass, count, draw, LANDING_UNITS if last else 2)
+        pi, flown = g["pi"].to_numpy(float).copy(), np.ones(len(g), bool)
+        if last:
+            flown[np.unique(np.linspace(0, len(g) - 1, LANDING_UNITS).round().astype(int))] = False
+        pi[flown] = _flight(pi[flown], mass[flown], count[flown], draw)
         return g.assign(pi=_landing(pi, mass, count) if last else pi)
 
     return run
@@ -102,8 +104,8 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
 
     A source is to be read target / source_size times. Each of its documents is taken the whole part of that, and one
     more time for a balanced sample whose inclusion probability is the fraction: the cube method keeps the sample's
-    words and documents at their expected totals until at most LANDING_UNITS documents of a source are open, and the
-    landing settles these. Draws depend on (seed, source, block) alone: reruns agree, wherever rows lie.
+    words and documents at their expected totals until a small landing problem of
+    LANDING_UNITS + 2 documents at most is left for a source. Draws depend on (seed, source, block) alone: reruns agree, wherever rows lie.
 
     Defined cases: null and empty texts have size 0; a null source is a source of its own, last in order; rows that agree
     in id, source and size are one unit and share one decision (`mult` says how many rows it stands for); an empty
