@@ -15,6 +15,10 @@ from .cluster import cut
 _U32 = np.uint32
 #: Rows up to which a table of pairs is broadcast (about 40 MB); beyond it the texts are shuffled instead.
 BROADCAST_ROWS = 400_000
+#: Members of a bucket whose pairs one task looks at.
+BUCKET = 8192
+#: Share of equal signature coordinates from which a pair is verified.
+AGREE = 0.6
 
 
 def circulant_minhash(values: np.ndarray, offs: np.ndarray, n_coords: int) -> np.ndarray:
@@ -53,17 +57,19 @@ def _sign(shingle_words: int, bands: int, rows: int):
             for lo, hi, buf, offs in ts.text_chunks(batch.column(1)):
                 sets = ts.shingle_sets(buf, offs, shingle_words)
                 n = np.array([len(s) for s in sets], np.int64)
-                keys = np.zeros((len(sets), bands), np.int64)
+                keys, coords = np.zeros((len(sets), bands), np.int64), np.zeros((len(sets), bands * rows), np.uint8)
                 digest = np.zeros((2, len(sets)), np.int64)
                 if full := [s for s in sets if len(s)]:
                     flat = np.concatenate(full)
                     cuts = np.concatenate([[0], np.cumsum(n[n > 0])])
-                    keys[n > 0] = _band_keys(circulant_minhash(flat, cuts, bands * rows), rows)
+                    sig = circulant_minhash(flat, cuts, bands * rows)
+                    keys[n > 0], coords[n > 0] = _band_keys(sig, rows), sig.T.astype(np.uint8)
                     for i, salt in enumerate((0x2545F4914F6CDD1D, 0x6C62272E07BB0142)):
                         sums = np.add.reduceat(ts.mix64(flat ^ np.uint64(salt)), cuts[:-1])
                         digest[i, n > 0] = ts.mix64(sums).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * bands), keys.ravel())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n), pa.array(digest[0]), pa.array(digest[1]), lists], ["id", "n", "h1", "h2", "bands"])
+                low = pa.array([row.tobytes() for row in coords], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n), pa.array(digest[0]), pa.array(digest[1]), lists, low], ["id", "n", "h1", "h2", "bands", "sig"])
 
     return run
 
@@ -139,23 +145,62 @@ def _ratio(a: str, b: str, percent: int):
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
+def _alike(percent: int):
+    """Rows come sorted by bucket: key, id, n, label, sig. Emits the pairs of a bucket that have different labels, fitting
+    sizes and enough equal signature coordinates; pairs within the largest label are not looked at."""
+
+    def bucket(ids: np.ndarray, n: np.ndarray, label: np.ndarray, sig: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        names, inverse, counts = np.unique(label, return_inverse=True, return_counts=True)
+        main = inverse == counts.argmax()
+        least = AGREE * sig.shape[1]
+        for i in np.flatnonzero(~main):
+            fit = 100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])
+            at = np.flatnonzero(fit & (inverse != inverse[i]) & (main | (ids > ids[i])))
+            at = at[(sig[at] == sig[i]).sum(1) >= least] if len(at) else at
+            if len(at):
+                yield np.minimum(ids[at], ids[i]), np.maximum(ids[at], ids[i])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def settle(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            key, ids, n, label = (table.column(i).to_numpy() for i in range(4))
+            sig = np.frombuffer(b"".join(table.column(4).to_pylist()), np.uint8).reshape(len(ids), -1)
+            cuts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
+            found = [p for a, b in zip(cuts[:-1], cuts[1:], strict=True) for p in bucket(ids[a:b], n[a:b], label[a:b], sig[a:b])]
+            u = np.concatenate([x for x, _ in found]) if found else np.zeros(0, np.int64)
+            v = np.concatenate([y for _, y in found]) if found else np.zeros(0, np.int64)
+            u, v = np.unique(np.stack([u, v]), axis=1) if len(u) else (u, v)
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["a", "b"])
+
+        for batch in batches:
+            key = batch.column(0).to_numpy()
+            last = int(np.searchsorted(key, key[-1])) if len(key) else 0
+            if last:  # all buckets but the last are complete
+                yield from settle(pa.Table.from_batches([*held, batch.slice(0, last)]))
+                held = []
+            held.append(batch.slice(last))
+        if held and sum(map(len, held)):
+            yield from settle(pa.Table.from_batches(held))
+
+    return run
+
+
 def _cross_pairs(members: DataFrame, classes: DataFrame, percent: int, level: int, max_level: int = 3) -> DataFrame:
-    """Pairs (a < b) of one bucket with different labels and fitting sizes.
+    """Pairs (a < b) of open buckets, those with several labels, that agree in at least AGREE of the signature.
 
-    A bucket whose cross-label pairs are at most 32 per member is listed as it is. A larger one is split by its
-    members' other bands, so that texts which share only one common passage part; links of at least 0.8 share
-    13 of 32 bands on average, and miss a third common one with probability 5e-6.
+    A pair of similarity 0.8 falls below AGREE with probability 1e-8. Pairs are looked at within the task that holds the
+    bucket, and only alike ones leave it. A bucket of more than BUCKET members, such as of texts that share one common
+    passage, is split by its members' other bands until it is small: links of 0.8 share 13 of 32 bands on average, and
+    miss a third common one with probability 5e-6.
     """
-    sizes = members.groupBy("key", "label").agg(F.count("*").alias("c"))
-    sizes = sizes.groupBy("key").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("sq"), F.max(F.struct("c", "label")).alias("top"), F.count("*").alias("labels"))
-    sizes = sizes.where("labels > 1").select("key", "m", ((F.col("m") * F.col("m") - F.col("sq")) / 2 > 32 * F.col("m")).alias("wide"), F.col("top.label").alias("main"))
-    opened = cut(members.join(sizes, "key"))
-    listed = opened if level >= max_level else opened.where("not wide")
-    x = listed.where("label <> main").select("key", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("label").alias("lx"), "main")
-    y = listed.select("key", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("label").alias("ly"))
-    pairs = x.join(y, "key").where((F.col("lx") != F.col("ly")) & ((F.col("ly") == F.col("main")) | (F.col("x") < F.col("y"))) & _ratio("nx", "ny", percent))
-    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    wide = opened.where("wide")
+    sizes = members.groupBy("key").agg(F.count("*").alias("m"), F.min("label").alias("low"), F.max("label").alias("high"))
+    opened = cut(members.join(sizes.where("low <> high").select("key", "m"), "key"))
+    listed = opened if level >= max_level else opened.where(F.col("m") <= BUCKET)
+    parts = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    rows = listed.join(classes.select("id", "n", "sig"), ["id", "n"]).select("key", "id", "n", "label", "sig")
+    pairs = rows.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_alike(percent), "a long, b long").distinct()
+    wide = opened.where(F.col("m") > BUCKET)
     if level >= max_level or wide.isEmpty():
         return pairs
     deeper = wide.join(classes.select("id", "n", F.explode("bands").alias("other")), ["id", "n"]).where("key <> other")
@@ -179,8 +224,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     equal results per row; an empty table gives an empty result; other columns are not looked at.
     """
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sig = cut(source.mapInArrow(_sign(shingle_words, bands, rows), "id long, n long, h1 long, h2 long, bands array<long>"))
-    classes = cut(sig.where("n > 0 and id is not null").groupBy("h1", "h2", "n").agg(F.min("id").alias("id"), F.first("bands").alias("bands")))
+    sig = cut(source.mapInArrow(_sign(shingle_words, bands, rows), "id long, n long, h1 long, h2 long, bands array<long>, sig binary"))
+    classes = cut(sig.where("n > 0 and id is not null").groupBy("h1", "h2", "n").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
     buckets = classes.select("id", "n", F.explode("bands").alias("key"))
     shared = buckets.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("id", "n")).alias("rep")).where("c > 1").select("key", "rep")
     members = cut(buckets.join(shared, "key"))
