@@ -17,6 +17,8 @@ _U32 = np.uint32
 BROADCAST_ROWS = 400_000
 #: Members of a bucket whose pairs one task looks at.
 BUCKET = 8192
+#: Texts of one block in the verification of a group; a task holds two blocks.
+GROUP = 200
 #: Share of equal signature coordinates from which a pair is verified.
 AGREE = 0.6
 
@@ -145,9 +147,29 @@ def _ratio(a: str, b: str, percent: int):
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
+def _forest(u: np.ndarray, v: np.ndarray) -> tuple[list[int], list[int]]:
+    """A spanning forest of the edges, so that no more edges than nodes leave a task."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        root.setdefault(x, x)
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    kept = []
+    for x, y in zip(u.tolist(), v.tolist(), strict=True):
+        a, b = find(x), find(y)
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            kept.append((x, y))
+    return [x for x, _ in kept], [y for _, y in kept]
+
+
 def _alike(percent: int):
-    """Rows come sorted by bucket: key, id, n, label, sig. Emits the pairs of a bucket that have different labels, fitting
-    sizes and enough equal signature coordinates; pairs within the largest label are not looked at."""
+    """Rows come sorted by bucket: key, id, n, label, sig. Emits a spanning forest of the bucket's pairs that have different
+    labels, fitting sizes and enough equal signature coordinates; pairs within the largest label are not looked at."""
 
     def bucket(ids: np.ndarray, n: np.ndarray, label: np.ndarray, sig: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         names, inverse, counts = np.unique(label, return_inverse=True, return_counts=True)
@@ -170,8 +192,8 @@ def _alike(percent: int):
             found = [p for a, b in zip(cuts[:-1], cuts[1:], strict=True) for p in bucket(ids[a:b], n[a:b], label[a:b], sig[a:b])]
             u = np.concatenate([x for x, _ in found]) if found else np.zeros(0, np.int64)
             v = np.concatenate([y for _, y in found]) if found else np.zeros(0, np.int64)
-            u, v = np.unique(np.stack([u, v]), axis=1) if len(u) else (u, v)
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["a", "b"])
+            u, v = _forest(u, v)
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
         for batch in batches:
             key = batch.column(0).to_numpy()
@@ -186,11 +208,11 @@ def _alike(percent: int):
     return run
 
 
-def _cross_pairs(members: DataFrame, classes: DataFrame, percent: int, level: int, max_level: int = 3) -> DataFrame:
-    """Pairs (a < b) of open buckets, those with several labels, that agree in at least AGREE of the signature.
+def _open_links(members: DataFrame, classes: DataFrame, percent: int, level: int, max_level: int = 3) -> DataFrame:
+    """Edges (u, v) that span the pairs of open buckets, those with several labels, whose signatures agree in at least AGREE.
 
     A pair of similarity 0.8 falls below AGREE with probability 1e-8. Pairs are looked at within the task that holds the
-    bucket, and only alike ones leave it. A bucket of more than BUCKET members, such as of texts that share one common
+    bucket, and only a forest that spans the alike ones leaves it. A bucket of more than BUCKET members, such as of texts that share one common
     passage, is split by its members' other bands until it is small: links of 0.8 share 13 of 32 bands on average, and
     miss a third common one with probability 5e-6.
     """
@@ -199,13 +221,82 @@ def _cross_pairs(members: DataFrame, classes: DataFrame, percent: int, level: in
     listed = opened if level >= max_level else opened.where(F.col("m") <= BUCKET)
     parts = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     rows = listed.join(classes.select("id", "n", "sig"), ["id", "n"]).select("key", "id", "n", "label", "sig")
-    pairs = rows.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_alike(percent), "a long, b long").distinct()
+    pairs = rows.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_alike(percent), "u long, v long").distinct()
     wide = opened.where(F.col("m") > BUCKET)
     if level >= max_level or wide.isEmpty():
         return pairs
     deeper = wide.join(classes.select("id", "n", F.explode("bands").alias("other")), ["id", "n"]).where("key <> other")
     deeper = deeper.select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "id", "n", "label").distinct()
-    return pairs.union(_cross_pairs(deeper, classes, percent, level + 1, max_level)).distinct()
+    return pairs.union(_open_links(deeper, classes, percent, level + 1, max_level)).distinct()
+
+
+def _verify_block(shingle_words: int, percent: int):
+    """Rows come sorted by (grp, bi, bj): id, label, block, text. Verifies the pairs of different labels between both blocks
+    (within one if they are the same) on full sets, and emits a spanning forest of the links."""
+
+    def links(ids: list[int], labels: list[int], blocks: list[int], sets: list[np.ndarray], same: bool):
+        n = np.array([len(x) for x in sets])
+        at = np.repeat(np.arange(len(sets)), n)
+        _, inverse, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        number = np.cumsum(count > 1) - 1  # shingles of one text alone are in no intersection
+        shared = count[inverse] > 1
+        at, col = at[shared], number[inverse[shared]]
+        both = np.zeros((len(sets), len(sets)), np.float32)
+        order = np.argsort(col, kind="stable")
+        at, col = at[order], col[order]
+        for low in range(0, int(col[-1]) + 1 if len(col) else 0, 4096):
+            part = slice(*np.searchsorted(col, (low, low + 4096)))
+            m = np.zeros((len(sets), 4096), np.float32)
+            m[at[part], col[part] - low] = 1
+            both += m @ m.T
+        lab, blk, both = np.array(labels), np.array(blocks), both.round().astype(np.int64)
+        hit = (100 * both >= percent * (n[:, None] + n[None, :] - both)) & (lab[:, None] != lab[None, :])
+        if not same:
+            hit &= blk[:, None] != blk[None, :]
+        x, y = np.nonzero(np.triu(hit, 1))
+        u = np.array(ids)
+        return _forest(u[x], u[y])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, ([], [], [], [])
+
+        def settle():
+            u, v = links(*held, at[1] == at[2]) if len(held[0]) > 1 else ([], [])
+            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+        for batch in batches:
+            grp, bi, bj, ids, labels, blocks = (batch.column(i).to_pylist() for i in range(6))
+            for lo, _, buf, offs in ts.text_chunks(batch.column(6)):
+                for i, s in enumerate(ts.shingle_sets(buf, offs, shingle_words), lo):
+                    if (grp[i], bi[i], bj[i]) != at:
+                        if at:
+                            yield settle()
+                        at, held = (grp[i], bi[i], bj[i]), ([], [], [], [])
+                    for where, what in zip(held, (ids[i], labels[i], blocks[i], s), strict=True):
+                        where.append(what)
+        if at:
+            yield settle()
+
+    return run
+
+
+def confirm_groups(links: DataFrame, labels: DataFrame, texts: DataFrame, shingle_words: int, percent: int) -> DataFrame:
+    """Edges (u, v) that span all links between different labels inside the components of `links`.
+
+    Members of a component are dealt into blocks of about GROUP; a task holds two blocks, so each text travels once per
+    block of its component and no pair is listed.
+    """
+    groups = cut(components(links))
+    blocks = groups.groupBy("component").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("nb"))
+    own = groups.join(blocks, "component").join(labels.withColumnRenamed("component", "label"), "id", "left")
+    own = own.select("id", F.col("component").alias("grp"), F.coalesce("label", "id").alias("label"), "nb", F.pmod(F.xxhash64("id"), "nb").cast("int").alias("block"))
+    wanted = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    wanted = cut(wanted.select("id", "grp", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "label", "block"))
+    few = wanted.count() <= BROADCAST_ROWS
+    rows = texts.join(F.broadcast(wanted) if few else wanted, "id").select("grp", "bi", "bj", "id", "label", "block", "text")
+    parts = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    rows = rows.repartition(parts, "grp", "bi", "bj").sortWithinPartitions("grp", "bi", "bj", "id")
+    return rows.mapInArrow(_verify_block(shingle_words, percent), "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 4, percent: int = 80, bands: int = 32, rows: int = 4) -> DataFrame:
@@ -216,8 +307,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least id that links reach. With 32 bands of 4 coordinates a link at exactly 0.8 is missed with probability 5e-8.
 
     Equal sets form one class before any pair is looked at. In each bucket every class is first held against the
-    bucket's least id; whatever is then still apart is compared pair by pair, leaving out pairs already joined, so
-    groups of thousands of copies cost one comparison per member and bucket representative.
+    bucket's least id; what is then still apart in a bucket is compared by signature inside the bucket's task, and
+    the groups of alike texts are verified block by block. Pairs already joined are left out, and no list of pairs leaves
+    a task, so groups of thousands of copies cost one comparison per member and bucket representative.
 
     Defined cases: null, empty or blank text has n_shingles 0, its own id as component and is kept. Rows with a null
     id link with nothing: component_id null, kept. Rows that share an id are one node. Repeated rows and ties give
@@ -233,9 +325,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     edges = cut(confirm(pairs, source, shingle_words, percent))
     labels = components(edges)
     marked = members.select("key", "id", "n").join(labels, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("label"))
-    more = cut(_cross_pairs(marked, classes, percent, 1).join(pairs, ["a", "b"], "left_anti"))
+    more = cut(_open_links(marked, classes, percent, 1))
     if not more.isEmpty():
-        labels = components(edges.union(confirm(more, source, shingle_words, percent)))
+        labels = components(edges.union(confirm_groups(more, labels, source, shingle_words, percent)))
     by_class = classes.select("h1", "h2", "n", "id").join(labels, "id", "left").select("h1", "h2", "n", F.coalesce("component", "id").alias("component"))
     out = sig.select("id", "n", "h1", "h2").join(by_class, ["h1", "h2", "n"], "left")
     comp = F.when(F.col("id").isNull(), None).when(F.col("n") == 0, F.col("id")).otherwise(F.col("component"))
