@@ -80,16 +80,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 _OP5 = r"""
 WITH item AS (
-  SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+'), w -> w <> '') AS w FROM benchmark WHERE item_id IS NOT NULL),
+  SELECT item_id, [x for x in regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+') if x <> ''] AS w FROM benchmark WHERE item_id IS NOT NULL),
 doc AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+'), w -> w <> '') AS w FROM documents WHERE doc_id IS NOT NULL),
+  SELECT doc_id, [x for x in regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+') if x <> ''] AS w FROM documents WHERE doc_id IS NOT NULL),
 item_sh AS (
   SELECT DISTINCT item_id, s FROM (
-    SELECT item_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i+4], ' ')) ELSE [array_to_string(w, ' ')] END) AS s
+    SELECT item_id, unnest(CASE WHEN len(w) >= 5 THEN [array_to_string(w[i:i+4], ' ') for i in range(1, len(w) - 3)] ELSE [array_to_string(w, ' ')] END) AS s
     FROM item WHERE len(w) > 0)),
 doc_sh AS (
   SELECT DISTINCT doc_id, s FROM (
-    SELECT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i+4], ' ')) ELSE [array_to_string(w, ' ')] END) AS s
+    SELECT doc_id, unnest(CASE WHEN len(w) >= 5 THEN [array_to_string(w[i:i+4], ' ') for i in range(1, len(w) - 3)] ELSE [array_to_string(w, ' ')] END) AS s
     FROM doc WHERE len(w) > 0)),
 n AS (SELECT item_id, CAST(count(*) AS BIGINT) AS item_shingles FROM item_sh GROUP BY item_id)
 SELECT d.doc_id, i.item_id, n.item_shingles, CAST(count(*) AS BIGINT) AS shared
