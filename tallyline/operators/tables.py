@@ -13,7 +13,7 @@ def pick_one(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
 
 def top_n(df: DataFrame, keys: list[str], order: list[Column], n: int, where: Column | None = None) -> DataFrame:
     df = df if where is None else df.where(where)
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= n)
+    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long")).where(F.col("rank") <= n)
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

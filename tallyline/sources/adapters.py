@@ -35,7 +35,7 @@ def _stint_columns(div: str) -> dict[str, str]:
 def stints(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     rows = rows.select(*[F.expr(e).alias(n) for n, e in _stint_columns("div").items()])
-    return rows.withColumn("stint_index", F.expr("row_number() over (partition by game_id order by l_linenumber, l_partkey, l_suppkey)"))
+    return rows.withColumn("stint_index", F.expr("cast(row_number() over (partition by game_id order by l_linenumber, l_partkey, l_suppkey) as bigint)"))
 
 
 def possessions(spark: SparkSession, sf_dir: str) -> DataFrame:
