@@ -78,6 +78,20 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_source_mix, op2_near_duplicates, op3_recurring_lines, op4_token_files, op5_contamination, op6_token_counts, op7_licenses, op8_warc, op9_quality, op10_secrets)}
 
 
+_OP2 = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, [x for x in regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') if x <> ''] AS w FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 4 THEN [array_to_string(w[i:i+3], ' ') for i in range(1, len(w) - 2)] WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM words),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM sh x JOIN sh y USING (s) WHERE x.doc_id <> y.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+reach AS (SELECT doc_id AS id, doc_id AS c FROM documents UNION SELECT links.b, reach.c FROM reach JOIN links ON links.a = reach.id),
+comp AS (SELECT id, min(c) AS component_id FROM reach GROUP BY id)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents d JOIN comp ON comp.id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+"""
+
 _OP5 = r"""
 WITH item AS (
   SELECT item_id, [x for x in regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+') if x <> ''] AS w FROM benchmark WHERE item_id IS NOT NULL),
@@ -110,7 +124,7 @@ FROM p LEFT JOIN m USING (html)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_contamination": _OP5, "op8_warc": _OP8}
+    return {"op2_near_duplicates": _OP2, "op5_contamination": _OP5, "op8_warc": _OP8}
 
 
 __all__ = ["oracle_sql", "queries", "tokenizer_file"]
