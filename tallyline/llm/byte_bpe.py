@@ -18,7 +18,8 @@ from . import textspans as ts
 _OTHER, _LETTER, _NUMBER, _SPACE = 0, 1, 2, 3
 #: First code point that the array cutter leaves to the library.
 _LIMIT = 0x280
-_MAX_PIECES = 1_500_000
+#: Pieces that a worker remembers (some 60 MB); it then starts afresh.
+_MAX_PIECES = 300_000
 
 
 def _classes() -> np.ndarray:
