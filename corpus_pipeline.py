@@ -6,18 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyline.llm import contamination, mixing, near_dups, quality, token_files
-from tallyline.llm.cluster import fresh_dir
+from tallyline.llm.cluster import fresh_dir, small_batches
 from tallyline.llm.queries import tokenizer_file
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the fixed rules and the isolation forest keep."""
+    small_batches(spark)
     forest = quality.fit_forest(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.keep_good(docs, forest)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the least id, of each group linked by five-word shingles at 0.8 or more."""
+    small_batches(spark)
     found = near_dups.near_duplicates(docs, shingle_words=5)
     gone = found.where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
@@ -25,16 +27,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
+    small_batches(spark)
     return contamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
+    small_batches(spark)
     return mixing.take_mix(docs)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of every text, written as token files; one row per text, read back from them."""
+    small_batches(spark)
     path = fresh_dir(spark, "tokens")
     manifest = token_files.write_token_files(docs, path, tokenizer_file())
     return token_files.read_token_digests(manifest, path)

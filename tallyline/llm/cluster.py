@@ -30,6 +30,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Texts of one Arrow batch. Spark's 10,000 make batches of tens of MB, of which a Python worker holds several copies.
+BATCH_TEXTS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let Python workers get texts in batches of BATCH_TEXTS rows at most; smaller settings stay."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_TEXTS:
+        spark.conf.set(name, str(BATCH_TEXTS))
+
+
 def running_sums(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
     """Add for each name the sum of its expression over all rows before this one, in the given order.
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import contamination, length_histogram, licenses, line_templates, mixing, near_dups, quality, secrets, token_files, warc
-from .cluster import fresh_dir
+from .cluster import fresh_dir, small_batches
 
 
 def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
@@ -18,6 +18,7 @@ def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

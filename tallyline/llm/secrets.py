@@ -224,7 +224,11 @@ def train_secret_field(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     hit = F.lower("text").rlike("(password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]") | F.col("text").rlike("AKIA[A-Z0-9]{16}|[0-9a-f]{24}")
     # the fit alone is on texts of at most 20,000 characters, which bounds what reaches the driver
     rows = rows.where(F.length("text") <= 20_000)
-    texts = [r.text for part in (rows.where(hit), rows.where(~hit)) for r in part.orderBy("h", "text").limit(fit_docs).collect()]
+    texts = []
+    for part in (rows.where(hit), rows.where(~hit)):
+        # the hashes are ranked alone, so that only the chosen texts travel
+        last = part.select("h").orderBy("h").limit(fit_docs).agg(F.max("h")).first()[0]
+        texts += sorted(r.text for r in part.where(F.col("h") <= F.lit(last)).limit(fit_docs).collect()) if last is not None else []
     runs = [r for r in training_runs(texts) if len(r[0])]
     if not any((r[3] != _OUTSIDE).any() for r in runs):
         return None
