@@ -3,9 +3,6 @@
 from __future__ import annotations
 
 import datetime
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
@@ -13,29 +10,8 @@ from .. import schemas
 from ..functions import scalars as S
 from ..operators import decay, lineups, sequences, tables
 from ..sources import adapters as A
-from . import audits, ridge, search
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def r6(*names: str):
-    return {n: F.round(F.col(n).cast("double"), 6) for n in names}
-
-
-def rsql(*names: str) -> str:
-    return ", ".join(f"round(CAST({n} AS DOUBLE), 6) AS {n}" for n in names)
-
+from . import audits, game_queries, ridge, search  # noqa: F401
+from .registry import QUERIES, SQL, query, r6, rsql
 
 # --- lineups ---------------------------------------------------------------------------------------------------
 
