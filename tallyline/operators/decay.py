@@ -45,3 +45,35 @@ def weighted_line(df: DataFrame, x: str, y: str, w: str) -> DataFrame:
     s = df.agg(F.sum(ww).alias("s"), F.sum(ww * F.col(x)).alias("sx"), F.sum(ww * F.col(y)).alias("sy"), F.sum(ww * F.col(x) * F.col(x)).alias("sxx"), F.sum(ww * F.col(x) * F.col(y)).alias("sxy"))
     slope = (F.col("s") * F.col("sxy") - F.col("sx") * F.col("sy")) / (F.col("s") * F.col("sxx") - F.col("sx") * F.col("sx"))
     return s.select(slope.alias("slope"), ((F.col("sy") - slope * F.col("sx")) / F.col("s")).alias("intercept"))
+
+
+def log_gamma(x: Column) -> Column:
+    """Natural logarithm of the gamma function for x > 0: eight steps of its recurrence, then Stirling's series (within 1e-11)."""
+    z = x + 8
+    series = (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z * z * z) + 1 / (1260 * F.pow(z, F.lit(5))) - 1 / (1680 * F.pow(z, F.lit(7)))
+    low = x
+    for i in range(1, 8):
+        low = low * (x + i)
+    return series - F.log(low)
+
+
+def concentration_likelihood(df: DataFrame, attempts: str, makes: str, mean: Column, kappas: list[float], weight: Column | None = None) -> DataFrame:
+    """Beta-binomial log-likelihood (without the constant binomial terms) of each concentration kappa: one row per kappa, summed
+    in Spark over all rows; `mean` is the row's expected rate, `weight` how often the row counts."""
+    rows = df.select((F.lit(1) if weight is None else weight).alias("n"), F.col(attempts).cast("double").alias("a"), F.col(makes).cast("double").alias("m"), mean.alias("mu"), F.explode(F.array(*[F.lit(float(k)) for k in kappas])).alias("kappa"))
+    alpha, beta = F.col("mu") * F.col("kappa"), (1 - F.col("mu")) * F.col("kappa")
+    ll = log_gamma(alpha + F.col("m")) + log_gamma(beta + F.col("a") - F.col("m")) - log_gamma(F.col("kappa") + F.col("a")) - log_gamma(alpha) - log_gamma(beta) + log_gamma(F.col("kappa"))
+    return rows.groupBy("kappa").agg(F.sum(F.col("n") * ll).alias("log_likelihood"))
+
+
+def concentration_fit(df: DataFrame, attempts: str, makes: str, mean: Column, low: float = 5.0, high: float = 2000.0, points: int = 24, rounds: int = 3) -> float:
+    """The kappa of largest likelihood within [low, high], by a grid on its logarithm that narrows to the best point's neighbours."""
+    counts = df.groupBy(F.col(attempts).alias("_a"), F.col(makes).alias("_m"), mean.alias("_mu")).agg(F.count("*").alias("_n"))
+    bounds = math.log(low), math.log(high)
+    for _ in range(rounds):
+        step = (bounds[1] - bounds[0]) / (points - 1)
+        grid = [math.exp(bounds[0] + i * step) for i in range(points)]
+        best = concentration_likelihood(counts, "_a", "_m", F.col("_mu"), grid, F.col("_n")).orderBy(F.col("log_likelihood").desc(), "kappa").first()
+        at = math.log(best["kappa"])
+        bounds = max(at - step, math.log(low)), min(at + step, math.log(high))
+    return best["kappa"]

@@ -83,3 +83,16 @@ def design_rows(sides: DataFrame, role: str = "margin") -> DataFrame:
     poss = F.greatest(F.col("seconds") / 24.0, F.lit(0.1))
     y = (F.col("pf") - F.col("pa")) / poss * 100
     return sides.select("game_id", "stint_index", "team_id", F.explode("lineup").alias("player_id"), F.lit(1.0).alias("sign"), y.alias("y"), F.sqrt(poss).alias("w"), F.lit(role).alias("role"))
+
+
+def offence_defence_rows(stints: DataFrame, least_seconds: float = 10.0) -> DataFrame:
+    """Long design of an offence and defence regression: two rows per stint of `least_seconds` or more, one for each team with
+    the ball; features 'O:id' of its lineup with +1 and 'D:id' of the other's with -1; y is its points per 100 possessions."""
+    poss = F.greatest(F.col("seconds") / 24.0, F.lit(0.1))
+
+    def side(own: str, other: str) -> DataFrame:
+        mark = lambda role, sign, c: F.transform(c, lambda x: F.struct(F.concat(F.lit(role), x.cast("string")).alias("f"), F.lit(sign).alias("s")))
+        both = F.concat(mark("O:", 1.0, f"{own}_lineup"), mark("D:", -1.0, f"{other}_lineup"))
+        return stints.where(F.col("seconds") >= least_seconds).select("game_id", "stint_index", F.col(f"{own}_id").alias("team_id"), F.explode(both).alias("e"), (F.col(f"{own}_pts") / poss * 100).alias("y"), F.sqrt(poss).alias("w"))
+
+    return side("home", "away").unionByName(side("away", "home")).select("game_id", "stint_index", "team_id", F.col("e.f").alias("feature"), F.col("e.s").alias("sign"), "y", "w")

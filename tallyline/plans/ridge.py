@@ -2,35 +2,101 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import lineups
+
 #: Features up to which the Gram matrix is solved on the driver (5,000 squared is 200 MB).
 MAX_FEATURES = 5000
 
 
+@dataclass
+class NormalEquations:
+    """Feature ids (as text) in order, Gram matrix, products with y, column sums, row count and sum of y, all over scaled rows."""
+
+    features: np.ndarray
+    gram: np.ndarray
+    xy: np.ndarray
+    sx: np.ndarray
+    n: int
+    ty: float
+
+    def solve(self, alpha: np.ndarray | float) -> np.ndarray:
+        """Coefficients for a penalty (one, or one per feature) with a free intercept."""
+        a = self.gram - np.outer(self.sx, self.sx) / self.n + np.diag(np.broadcast_to(alpha, len(self.sx)))
+        return np.linalg.solve(a, self.xy - self.sx * self.ty / self.n)
+
+
+def normal_equations(rows: DataFrame, row_key: list[str], feature: str) -> NormalEquations:
+    """Sums over long rows (row_key, feature, sign, y, w), made in Spark from pairs within a row (ten slots at most); only
+    feature-by-feature sums, whose number is checked against MAX_FEATURES, reach the driver."""
+    scaled = rows.select(F.struct(*row_key).alias("r"), F.col(feature).cast("string").alias("f"), (F.col("sign") * F.col("w")).alias("x"), (F.col("y") * F.col("w")).alias("t"))
+    if scaled.agg(F.countDistinct("f")).first()[0] > MAX_FEATURES:
+        raise ValueError("more features than the driver's solve allows")
+    per = scaled.groupBy("r").agg(F.collect_list(F.struct("f", "x")).alias("fx"), F.first("t").alias("t"))
+    # feature null: the row itself, which gives the count and the sums of x and t in the same pass
+    whole = F.array(F.struct(F.lit(None).cast("string").alias("f"), F.lit(1.0).alias("x")))
+    pairs = per.select(F.explode(F.concat("fx", whole)).alias("a"), F.concat("fx", whole).alias("all"), "t").select("a", F.explode("all").alias("b"), "t")
+    sums = pairs.groupBy(F.col("a.f").alias("i"), F.col("b.f").alias("j")).agg(F.sum(F.col("a.x") * F.col("b.x")).alias("g"), F.sum(F.col("a.x") * F.col("t")).alias("xt")).toPandas()
+    single = sums[sums["j"].isna() & sums["i"].notna()].sort_values("i")
+    total = sums[sums["i"].isna() & sums["j"].isna()]
+    at = {f: k for k, f in enumerate(single["i"])}
+    inner = sums[sums["i"].notna() & sums["j"].notna()]
+    gram = np.zeros((len(at), len(at)))
+    gram[inner["i"].map(at), inner["j"].map(at)] = inner["g"]
+    n, ty = (int(total["g"].iloc[0]), float(total["xt"].iloc[0])) if len(total) else (1, 0.0)
+    return NormalEquations(single["i"].to_numpy(), gram, single["xt"].to_numpy(float), single["g"].to_numpy(float), n, ty)
+
+
 def ridge_fit(rows: DataFrame, row_key: list[str], feature: str, alpha: float = 2500.0) -> DataFrame:
     """Coefficients (feature, coefficient) of min |w (y - b) - w X c|^2 + alpha |c|^2 with an unweighted intercept b after
-    scaling, on long rows (row_key, feature, sign, y, w). The Gram matrix is summed in Spark from pairs within a row
-    (ten slots at most); only feature-by-feature sums, checked against MAX_FEATURES, reach the driver.
-    """
-    spark = rows.sparkSession
-    scaled = rows.select(F.xxhash64(*row_key).alias("r"), F.col(feature).alias("f"), (F.col("sign") * F.col("w")).alias("x"), (F.col("y") * F.col("w")).alias("t"))
-    per = scaled.groupBy("r").agg(F.collect_list(F.struct("f", "x")).alias("fx"), F.first("t").alias("t"))
-    n, ty = per.agg(F.count("*"), F.sum("t")).first()
-    pairs = per.select(F.explode("fx").alias("a"), "fx", "t").select("a", F.explode("fx").alias("b"))
-    gram = pairs.groupBy(F.col("a.f").alias("i"), F.col("b.f").alias("j")).agg(F.sum(F.col("a.x") * F.col("b.x")).alias("g"))
-    sums = scaled.groupBy("f").agg(F.sum(F.col("x") * F.col("t")).alias("xy"), F.sum("x").alias("sx")).orderBy("f")
-    if sums.count() > MAX_FEATURES:
-        raise ValueError("more features than the driver's solve allows")
-    s = sums.toPandas()
-    at = {f: k for k, f in enumerate(s["f"])}
-    g = gram.toPandas()
-    a = np.zeros((len(s), len(s)))
-    a[g["i"].map(at), g["j"].map(at)] = g["g"]
-    sx = s["sx"].to_numpy()
-    a = a - np.outer(sx, sx) / n + alpha * np.eye(len(s))
-    coef = np.linalg.solve(a, s["xy"].to_numpy() - sx * ty / n)
-    return spark.createDataFrame(pd.DataFrame({feature: s["f"], "coefficient": coef}))
+    scaling, on long rows (row_key, feature, sign, y, w)."""
+    eq = normal_equations(rows, row_key, feature)
+    frame = pd.DataFrame({"f": eq.features, "coefficient": eq.solve(alpha)})
+    return rows.sparkSession.createDataFrame(frame, "f string, coefficient double").select(F.col("f").cast(rows.schema[feature].dataType).alias(feature), "coefficient")
+
+
+_STINT_SIDE = ["game_id", "stint_index", "team_id"]
+
+
+def offence_defence_ratings(eq: NormalEquations, alpha_offence: float, alpha_defence: float) -> pd.DataFrame:
+    """Ratings (player_id, offence, defence, total) from features 'O:id' and 'D:id', with a penalty per block and each block
+    centred on its mean; players seen on one side only get 0 on the other."""
+    role = np.array([f[0] for f in eq.features])
+    coef = eq.solve(np.where(role == "O", alpha_offence, alpha_defence))
+    long = pd.DataFrame({"role": role, "player_id": [int(f[2:]) for f in eq.features], "c": coef})
+    long["c"] -= long.groupby("role")["c"].transform("mean")
+    wide = long.pivot(index="player_id", columns="role", values="c").reindex(columns=["O", "D"]).fillna(0.0).reset_index()
+    return wide.rename(columns={"O": "offence", "D": "defence"}).assign(total=wide["O"] + wide["D"])[["player_id", "offence", "defence", "total"]]
+
+
+def offence_defence_fit(rows: DataFrame, alpha_offence: float, alpha_defence: float) -> DataFrame:
+    """The ratings of rows from `offence_defence_rows`."""
+    ratings = offence_defence_ratings(normal_equations(rows, _STINT_SIDE, "feature"), alpha_offence, alpha_defence)
+    return rows.sparkSession.createDataFrame(ratings, "player_id long, offence double, defence double, total double")
+
+
+def plus_minus_table(stints: DataFrame, alpha_offence: float, alpha_defence: float, least_minutes: float = 200.0) -> DataFrame:
+    """Raw and adjusted ratings with minutes and the primary team, for players of `least_minutes` or more."""
+    sides = lineups.by_side(stints)
+    adjusted = stints.withColumns({"home_pts": F.col("home_pts_adj"), "away_pts": F.col("away_pts_adj")})
+    raw = offence_defence_fit(lineups.offence_defence_rows(stints), alpha_offence, alpha_defence)
+    adj = offence_defence_fit(lineups.offence_defence_rows(adjusted), alpha_offence, alpha_defence).select("player_id", *[F.col(c).alias(f"{c}_adj") for c in ("offence", "defence", "total")])
+    minutes = lineups.time_on_court(sides).select("player_id", (F.col("seconds") / 60.0).alias("minutes"))
+    return raw.join(adj, "player_id").join(minutes.where(F.col("minutes") >= least_minutes), "player_id").join(lineups.primary_team(sides), "player_id")
+
+
+def plus_minus_windows(stints: DataFrame, windows: dict[str, tuple], alphas: list[float]) -> DataFrame:
+    """Ratings of each window of seasons (first, last; None is open) and each penalty: rows window, alpha, player_id, ratings."""
+    parts = []
+    for name, (first, last) in windows.items():
+        chosen = stints.where((F.col("season") >= first) if first is not None else F.lit(True)).where((F.col("season") <= last) if last is not None else F.lit(True))
+        eq = normal_equations(lineups.offence_defence_rows(chosen), _STINT_SIDE, "feature")  # one pass serves all penalties
+        parts += [offence_defence_ratings(eq, alpha, alpha).assign(window=name, alpha=alpha) for alpha in alphas]
+    columns = ["window", "alpha", "player_id", "offence", "defence", "total"]
+    return stints.sparkSession.createDataFrame(pd.concat(parts)[columns], "window string, alpha double, player_id long, offence double, defence double, total double")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -39,3 +41,33 @@ def replace_per_batch(path: str, partition: str):
         batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
 
     return write
+
+
+def possession_stream(events: DataFrame, ends: tuple[str, ...]) -> DataFrame:
+    """Possessions of games as they happen: rows (game_id, action_number, team_id, kind, points) become one row per ending event
+    (game_id, poss_index, ended_by, team_id of the ending event, points of all events since the last end). The state of a game is
+    its count and open points, so it stays small however long the feed is; rows must arrive in order of action_number per game."""
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        index, points = state.get if state.exists else (0, 0)
+        rows = pd.concat(list(frames)).sort_values("action_number")
+        out = []
+        for kind, team, scored in zip(rows["kind"], rows["team_id"], rows["points"], strict=True):
+            points += int(scored)
+            if kind in ends:
+                index += 1
+                out.append((key[0], index, kind, team, points))
+                points = 0
+        state.update((index, points))
+        yield pd.DataFrame(out, columns=["game_id", "poss_index", "ended_by", "team_id", "points"])
+
+    return events.groupBy("game_id").applyInPandasWithState(step, "game_id long, poss_index long, ended_by string, team_id long, points long", "index long, points long", "append", GroupStateTimeout.NoTimeout)
+
+
+def drain(stream: DataFrame) -> DataFrame:
+    """Run a stream over all that its source holds now, into Parquet in the shared checkpoint folder, and read it back."""
+    spark = stream.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")  # unset in tests alone
+    path = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows")
