@@ -20,8 +20,9 @@ from .token_files import open_store
 
 #: Bytes of an archive that one reading task scans.
 SPLIT_BYTES = 8 << 20
-#: Longest record header that counts as one.
+#: Bytes that a reading task takes at first beyond its split for the last header; it reads on where that is too short.
 HEADER_BYTES = 1 << 16
+_BLANK = b"\r\n\r\n"
 _MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
 _LENGTH = re.compile(rb"\r\ncontent-length:[ \t]*(\d+)[ \t]*(?=\r\n)", re.IGNORECASE)
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -96,12 +97,20 @@ def _candidates(path: str):
                 end = min(start + SPLIT_BYTES, size)
                 with store.open_input_file(f"{folder}/{file}") as f:
                     raw = f.read_at(min(end + HEADER_BYTES, size) - start, start)
+                    magic = [m for m in _MAGIC.finditer(raw) if m.start() < end - start]
+                    while magic and start + len(raw) < size and raw.find(_BLANK, magic[-1].end() - 2) < 0:
+                        raw += f.read_at(min(len(raw), size - start - len(raw)), start + len(raw))
                 offs, nexts = [], []
-                for m in _MAGIC.finditer(raw):
-                    if m.start() >= end - start:
-                        break
-                    stop = raw.find(b"\r\n\r\n", m.end() - 2, m.start() + HEADER_BYTES)
-                    length = _LENGTH.search(raw, m.end() - 2, stop + 2) if stop >= 0 else None
+                stop, length = -1, None
+                for m in magic:
+                    low = m.end() - 2
+                    if stop < low:  # otherwise the blank line found before is the next one for this candidate, too
+                        stop = raw.find(_BLANK, low)
+                        if stop < 0:
+                            break
+                        length = _LENGTH.search(raw, low, stop + 2)
+                    elif length and length.start() < low:
+                        length = _LENGTH.search(raw, low, stop + 2)
                     if length:
                         offs.append(start + m.start())
                         nexts.append(start + stop + 4 + int(length[1]) + 4)
@@ -117,18 +126,27 @@ def _candidates(path: str):
     return run
 
 
+def _ends_at_size(files: DataFrame, nodes: DataFrame, reached: DataFrame) -> None:
+    """Raise ValueError if the chain of a file does not end at the file's size."""
+    whole = reached.select("file", "at").join(nodes.where("leave = bytes").select("file", "at"), ["file", "at"]).select("file")
+    broken = [r.file for r in files.where("bytes > 0").select("file").join(whole, "file", "left_anti").limit(5).collect()]
+    if broken:
+        raise ValueError(f"record chain does not end at the size of the file: {', '.join(broken)}")
+
+
 def record_chain(files: DataFrame, path: str) -> DataFrame:
     """The true entry offset of each split: (file, bytes, split, entry). `files` has file and bytes.
 
     A task per split links its candidates to their successors; over splits, pointers are doubled from offset 0 on, so
     a file of n splits takes log2(n) rounds. Offsets that no chain from the start of the file reaches are magic inside
-    payloads, or lie behind damage, and are left out.
+    payloads and are left out. A file whose chain does not end at its size is damaged and raises ValueError.
     """
     splits = files.where("bytes > 0").select("file", "bytes", F.explode(F.sequence(F.lit(0), F.col("bytes") - 1, F.lit(SPLIT_BYTES))).alias("start"))
     parts = max(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     nodes = cut(splits.repartition(parts, "file", "start").mapInArrow(_candidates(path), "file string, bytes long, split long, at long, next long, leave long"))
     entries = nodes.where("at = 0").select("file", "bytes", "at", "leave")
     if nodes.where("split > 0").isEmpty():
+        _ends_at_size(files, nodes, entries)
         return entries.select("file", "bytes", F.lit(0).cast("long").alias("split"), F.col("at").alias("entry"))
     # one jump: from an offset to where its chain enters a later split
     jumps = cut(nodes.select("file", "at", "leave"))
@@ -142,6 +160,7 @@ def record_chain(files: DataFrame, path: str) -> DataFrame:
         ahead = jumps.select("file", F.col("at").alias("leave"), F.col("leave").alias("far"))
         # reached offsets are kept, so doubling loses none; pointers beyond the last record stay where they are
         jumps = cut(jumps.join(ahead, ["file", "leave"], "left").select("file", "at", F.coalesce("far", "leave").alias("leave")))
+    _ends_at_size(files, nodes, reached)
     one = F.floor(F.col("at") / SPLIT_BYTES) * SPLIT_BYTES
     return reached.select("file", "bytes", one.cast("long").alias("split"), F.col("at").alias("entry"))
 
@@ -155,10 +174,13 @@ def _records(path: str):
                 with store.open_input_file(f"{folder}/{file}") as f:
                     base, raw = at, b""
                     while at < end:
-                        if at + HEADER_BYTES > base + len(raw) and base + len(raw) < size:
-                            base, raw = at, f.read_at(min(max(1 << 20, HEADER_BYTES), size - at), at)
-                        head = at - base
-                        stop = raw.find(b"\r\n\r\n", head, head + HEADER_BYTES)
+                        head, piece = at - base, 1 << 20
+                        stop = raw.find(_BLANK, head)
+                        while stop < 0:
+                            if piece > 1 << 20 and at + len(raw) >= size:
+                                raise ValueError(f"no end of the record header at {at} in {file}")
+                            base, head, raw = at, 0, f.read_at(min(piece, size - at), at)
+                            stop, piece = raw.find(_BLANK), 2 * piece
                         fields = dict(x.split(": ", 1) for x in raw[head:stop].decode().split("\r\n")[1:])
                         n = int(fields["Content-Length"])
                         if stop + 4 + n > len(raw):
@@ -195,8 +217,9 @@ def read_warc(files: DataFrame, path: str) -> DataFrame:
     """All records that the chain of boundaries reaches: file, offset, record_type, page_id, url, payload_bytes,
     payload_digest (SHA-1, lower-case hex; recomputed for responses), refers_to, payload (null for revisits).
 
-    A split is read by one task in pieces; memory holds one record and a piece. Bytes that look like a record inside a
-    payload, and anything after a broken boundary, are left out. An empty archive gives no rows.
+    A split is read by one task in pieces; memory holds one record and a piece, and headers may have any length. Bytes
+    that look like a record inside a payload are left out; a broken boundary raises ValueError. An empty archive gives
+    no rows.
     """
     shared_dir(files.sparkSession)
     chain = record_chain(files, path)

@@ -230,6 +230,28 @@ def test_warc(spark, split, monkeypatch):
     assert all((r.payload is None) == (r.record_type == "revisit") for r in out)
 
 
+@pytest.mark.parametrize("split", [8 << 20, 3000])
+@pytest.mark.parametrize("long_at", [0, 2])
+def test_warc_long_url(spark, split, long_at, monkeypatch):
+    monkeypatch.setattr(warc, "SPLIT_BYTES", split)
+    rows = [(i, "data:," + "é" * 34_000 if i == long_at else f"http://h/{i}", f"body {i}") for i in range(5)]
+    path = fresh_dir(spark, "warc")
+    warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), path)
+    out = warc.read_warc(warc.archive_files(spark, path), path).orderBy("page_id").collect()
+    assert [(r.page_id, r.payload.decode()) for r in out] == [(i, b) for i, _, b in rows] and len(out[long_at].url) > 200_000
+
+
+def test_warc_broken_chain_raises(spark):
+    path = fresh_dir(spark, "warc")
+    warc.write_warc(spark.createDataFrame([(i, "u", "b" * 50) for i in range(3)], "page_id long, url string, html string").coalesce(1), path)
+    files = warc.archive_files(spark, path)
+    name = files.where("bytes > 0").first().file
+    with open(f"{path.removeprefix('file://')}/{name}", "ab") as f:
+        f.write(b"left over")
+    with pytest.raises(ValueError, match="does not end"):
+        warc.read_warc(warc.archive_files(spark, path), path)
+
+
 def test_quality(spark, docs, none):
     import pyarrow as pa
 
