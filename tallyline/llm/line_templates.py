@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +16,7 @@ from .cluster import cut
 
 #: Leading tokens of a leaf.
 DEPTH = 3
-#: Distinct lines that one leaf holds at most; fuller leaves are parted by further leading tokens.
+#: Distinct lines of a leaf that one task merges; fuller leaves are dealt over tasks, and then their templates are merged.
 LEAF_LINES = 1000
 #: Share of equal tokens from which a line joins a template.
 SIMILARITY = 0.6
@@ -72,26 +73,65 @@ def _emit_lines(with_text: bool):
     return run
 
 
-def _merge(g: pd.DataFrame) -> pd.DataFrame:
-    """Templates of one leaf: lines in order of recurrence join the template with most equal tokens, whose other tokens
-    become fields."""
-    g = g.sort_values(["docs", "masked"], ascending=[False, True], kind="stable").reset_index(drop=True)
-    words = [np.array(t.split(" "), object) for t in g["masked"]]
-    templates: list[np.ndarray] = []
-    at = np.zeros(len(g), np.int64)
-    for i, w in enumerate(words):
-        best, score = -1, SIMILARITY
-        if templates:
-            equal = ((np.stack(templates) == w) & (w != "<*>")).mean(1)
-            fixed = np.maximum((w != "<*>").mean(), 1e-9)
-            best = int(equal.argmax()) if equal.max() / fixed >= score else -1
+def _join(patterns: list[str], both: bool = False) -> tuple[np.ndarray, list[str]]:
+    """The template number of each pattern, and the templates. Patterns have equal numbers of words; in the given order
+    each joins the template with most equal words, whose other words become fields.
+
+    Words count as shares of the pattern's own fixed words, with `both` of the larger of its and the template's number:
+    a template of few fixed words then draws in no other. A template that a pattern can join holds one of the
+    pattern's rarest words, so only those are compared, with the same outcome as all.
+    """
+    code = {"<*>": 0}
+    x = np.array([[code.setdefault(w, len(code)) for w in t.split(" ")] for t in patterns], np.int32)
+    rarity = np.empty_like(x)
+    for j in range(x.shape[1]):
+        _, back, n = np.unique(x[:, j], return_inverse=True, return_counts=True)
+        rarity[:, j] = n[back]
+    made, n_made = np.empty_like(x), 0
+    holders: dict[tuple[int, int], list[int]] = {}
+    at = np.zeros(len(x), np.int64)
+    for i, w in enumerate(x):
+        fixed = np.flatnonzero(w)
+        need = max(math.ceil(SIMILARITY * len(fixed) - 1e-9), 1)
+        probe = fixed[np.argsort(rarity[i, fixed], kind="stable")][: len(fixed) - need + 1]
+        near = np.array(sorted(set().union(*(holders.get((j, w[j]), ()) for j in probe.tolist()))), np.int64)
+        best = -1
+        if len(near):
+            of = np.maximum((made[near] != 0).sum(1), len(fixed)) if both else len(fixed)
+            score = ((made[near] == w) & (w != 0)).sum(1) / of
+            best = int(near[score.argmax()]) if score.max() >= SIMILARITY - 1e-9 else -1
         if best < 0:
-            templates.append(w.copy())
-            best = len(templates) - 1
+            best, made[n_made], n_made = n_made, w, n_made + 1
+            for j in fixed.tolist():
+                holders.setdefault((j, w[j]), []).append(best)
         else:
-            templates[best] = np.where(templates[best] == w, w, "<*>")
+            made[best] = np.where(made[best] == w, w, 0)
         at[i] = best
-    return pd.DataFrame({"leaf": g["leaf"], "line": g["line"], "template": at, "pattern": [" ".join(templates[k]) for k in at]})
+    names = list(code)
+    return at, [" ".join(names[c] for c in t) for t in made[:n_made].tolist()]
+
+
+def _in_order(g: pd.DataFrame) -> pd.DataFrame:
+    return g.sort_values(["docs", "masked", "line"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
+
+
+def _merge(both: bool):
+    """Templates of one leaf, lines in order of recurrence."""
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = _in_order(g)
+        at, templates = _join(g["masked"].tolist(), both)
+        return pd.DataFrame({"leaf": g["leaf"], "line": g["line"], "template": at, "pattern": [templates[k] for k in at]})
+
+    return run
+
+
+def _fold(g: pd.DataFrame) -> pd.DataFrame:
+    """Templates of one part of a leaf; `first` is the line that began the template of each line."""
+    g = _in_order(g)
+    at, templates = _join(g["masked"].tolist())
+    begun = np.unique(at, return_index=True)[1]
+    return pd.DataFrame({"leaf": g["leaf"], "line": g["line"], "docs": g["docs"], "first": g["line"].to_numpy()[begun[at]], "masked": [templates[k] for k in at]})
 
 
 def _masked(text: str = "text"):
@@ -107,30 +147,25 @@ def line_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """The recurring lines: (line hash, template number within its leaf, leaf, pattern, n_docs of the template).
 
     One pass counts documents per leaf of the tree; only lines of leaves that reach `min_docs` go on, as distinct lines
-    with counts, so a line that all documents share is one row per task. A leaf with more than LEAF_LINES distinct lines
-    is parted by more leading tokens, until each part is small: no task holds an unbounded leaf.
+    with counts, so a line that all documents share is one row per task. The lines of a leaf with more than LEAF_LINES
+    distinct ones are dealt over tasks, each of which finds the templates of its part; then one task merges the few
+    templates of the leaf. A leaf is never split by its words, so a template recurs however many variants it has.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     leaves = rows.mapInArrow(_emit_lines(False), "leaf long").groupBy("leaf").agg(F.count("*").alias("c"))
     leaves = cut(leaves.where(F.col("c") >= min_docs).select("leaf"))
     lines = rows.mapInArrow(_emit_lines(True), "id long, leaf long, line long, text string").join(_small(leaves), "leaf")
     seen = cut(lines.groupBy("leaf", "line", "id").agg(F.first("text").alias("text")).groupBy("leaf", "line").agg(F.count("*").alias("docs"), F.min("text").alias("text")).select("leaf", "line", "docs", _masked().alias("masked")))
-    depth, parts = DEPTH, []
-    todo = seen
-    while True:
-        full = todo.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") > LEAF_LINES).select("leaf")
-        full = cut(full)
-        if full.isEmpty():
-            parts.append(todo)
-            break
-        depth *= 2
-        parts.append(todo.join(full, "leaf", "left_anti"))
-        deeper = F.xxhash64("leaf", F.slice(F.split("masked", " "), 1, depth))
-        todo = cut(todo.join(full, "leaf", "left_semi").withColumn("leaf", deeper))
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.union(p)
-    merged = cut(every.groupBy("leaf").applyInPandas(_merge, "leaf long, line long, template long, pattern string"))
+    full = cut(seen.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") > LEAF_LINES))
+    found = "leaf long, line long, template long, pattern string"
+    merged = seen.join(_small(full), "leaf", "left_anti").groupBy("leaf").applyInPandas(_merge(False), found)
+    if not full.isEmpty():
+        dealt = seen.join(_small(full), "leaf").withColumn("part", F.pmod(F.xxhash64("line"), F.ceil(F.col("n") / LEAF_LINES)))
+        folded = cut(dealt.groupBy("leaf", "part").applyInPandas(_fold, "leaf long, line long, docs long, first long, masked string"))
+        firsts = folded.groupBy("leaf", F.col("first").alias("line")).agg(F.sum("docs").alias("docs"), F.min("masked").alias("masked"))
+        firsts = cut(firsts.groupBy("leaf").applyInPandas(_merge(True), found).withColumnRenamed("line", "first"))
+        merged = merged.unionByName(folded.select("leaf", "line", "first").join(_small(firsts), ["leaf", "first"]).drop("first"))
+    merged = cut(merged)
     docs_of = lines.select("line", "id").distinct().join(merged, "line").select("leaf", "template", "id").distinct()
     counts = docs_of.groupBy("leaf", "template").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") >= min_docs)
     return merged.join(counts, ["leaf", "template"])

@@ -322,6 +322,33 @@ def test_crowded_leaf_is_parted(spark, monkeypatch):
     assert all(r.n_dropped == 1 and r.clean_text.endswith("ends so\n") for r in got)
 
 
+@pytest.mark.parametrize("names", [900, 2000])
+def test_template_recurs_with_any_number_of_variants(spark, names):
+    word = lambda i: "".join("abcdefghij"[int(c)] for c in str(i))
+    rows = [(i, f"the same three {word(i)} ends so\nthe same three {word(i)}z {word(i * 7)}x {word(i * 11)}y") for i in range(names)]
+    got = line_templates.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string"), min_docs=10).collect()
+    assert {(r.n_dropped, r.clean_text) for r in got} == {(1, f"the same three {word(i)}z {word(i * 7)}x {word(i * 11)}y") for i in range(names)}
+
+
+def test_template_join_is_the_plain_one():
+    draw = random.Random(6)
+    for _ in range(60):
+        n = draw.randint(1, 9)
+        lines = list({" ".join(draw.choice(["a", "b", "c", "d", "<*>"]) for _ in range(n)) for _ in range(40)})
+        templates, want = [], []
+        for w in (x.split(" ") for x in lines):
+            fixed = sum(x != "<*>" for x in w)
+            equal = [sum(x == y != "<*>" for x, y in zip(t, w, strict=True)) for t in templates]
+            best = equal.index(max(equal)) if equal and fixed and 5 * max(equal) >= 3 * fixed else -1
+            if best < 0:
+                templates.append(w)
+                best = len(templates) - 1
+            templates[best] = [x if x == y else "<*>" for x, y in zip(templates[best], w, strict=True)]
+            want.append(best)
+        at, got = line_templates._join(lines)
+        assert at.tolist() == want and got == [" ".join(t) for t in templates]
+
+
 def test_licenses(spark, docs, none):
     mit = licenses.TEMPLATES[13][1]
     rows = [(1, "# released under the  MIT license!\nfoo bar"), (2, "intro words\n\n" + mit.replace(". ", ".\n") + "\n\nmore"), (3, "nothing here"), (4, None), (5, ""), (6, mit[: len(mit) // 3])]
