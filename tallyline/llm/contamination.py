@@ -11,6 +11,8 @@ from .cluster import cut
 BROADCAST_ROWS = 500_000
 #: Bins of the sketch per shingle of the largest document in a size partition.
 BINS_PER_SHINGLE = 8
+#: Items of fewer shingles are looked up among all shingles of a document instead of its sketch.
+SHORT_ITEM = 8
 
 
 def _shingled(df: DataFrame, k: int) -> DataFrame:
@@ -45,7 +47,9 @@ def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
     Documents are partitioned by set size. Each partition has its own MinHash sketch, with enough bins for its largest
     member that a short item's shingles still stand out in a long text; items are sketched once per partition. A pair
     that agrees in one bin is a candidate and is verified on full shingle sets. A shared shingle is hidden by another of
-    the same bin with probability 0.06 at most, so an item of n shingles is missed with probability 0.06^(0.8 n).
+    the same bin with probability 0.06 at most, so an item of n shingles would be missed with probability 0.06^(0.8 n).
+    Items of fewer than SHORT_ITEM shingles are therefore found without the sketch: of n shingles of which m must be
+    held, a document that matches holds one of any n - m + 1, and these are joined with all shingles of the documents.
 
     Defined cases: texts without words have no shingles and match nothing; a text of fewer words than a shingle is one
     shingle and matches texts of the same words. Repeated rows of one id count as one text per row, the best row
@@ -56,12 +60,19 @@ def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
     wanted = cut(_shingled(wanted, shingle_words).select("_item", F.array_sort(F.array_distinct("sh")).alias("_sorted")))
     shifts = wanted.sparkSession.range(0, 64).select(F.col("id").cast("int").alias("shift"))
     # 64 partitions at most: a size that the word length bounds
-    index = wanted.join(F.broadcast(shifts.where((F.col("shift") >= 24) & (F.col("shift") <= 60))), F.lit(True))
-    index = cut(index.select("shift", F.explode_outer(_sketch(F.col("shift"))).alias("h"), "_item").where("h is not null").select(F.xxhash64("shift", "h").alias("key"), "_item"))
+    n = F.size("_sorted")
+    short = wanted.where((n > 0) & (n < SHORT_ITEM))
+    index = wanted.where(n >= SHORT_ITEM).join(F.broadcast(shifts.where((F.col("shift") >= 24) & (F.col("shift") <= 60))), F.lit(True))
+    index = index.select("shift", F.explode_outer(_sketch(F.col("shift"))).alias("h"), "_item").where("h is not null").select(F.xxhash64("shift", "h").alias("key"), "_item")
+    need = F.ceil(n * F.lit(percent) / 100).cast("int")
+    exact = short.select(F.explode(F.slice("_sorted", 1, n - need + 1)).alias("h"), "_item").select(F.xxhash64("h").alias("key"), "_item")
+    index = cut(index.union(exact))
     # No filter may refer to the arrays: the optimiser would push it below them and compute them again per element.
     # So explode_outer, which implies none, and a join key that cannot be null.
     sized = _shingled(texts, shingle_words).select("_id", F.array_sort("sh").alias("_sorted"), _shift(F.size("sh")).alias("shift"))
     mins = sized.select("_id", "shift", F.explode_outer(_sketch(F.col("shift"))).alias("h")).select("_id", F.xxhash64("shift", "h").alias("key"))
+    if not short.isEmpty():
+        mins = mins.union(sized.select("_id", F.explode_outer("_sorted").alias("h")).select("_id", F.xxhash64("h").alias("key")))
     candidates = cut(mins.join(_small(index), "key").select("_id", "_item").distinct())
     again = texts.join(_small(candidates.select("_id").distinct()), "_id", "left_semi")
     again = _shingled(again, shingle_words).join(_small(candidates), "_id").join(_small(wanted), "_item")

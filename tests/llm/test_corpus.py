@@ -124,6 +124,20 @@ def test_contamination(spark, docs, none):
     assert contamination.find_contamination(docs, bench.limit(0)).count() == 0
 
 
+def test_contamination_of_short_items(spark):
+    draw = random.Random(8)
+    words = lambda k: [f"w{draw.randrange(10**6)}" for _ in range(k)]
+    items = [(k, words(k)) for k in range(5, 13)]
+    rows = []
+    for i in range(320):
+        texts = [" ".join([*words(500), *w]) for _, w in items]
+        rows.append((i, " ".join(texts)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")
+    got = {tuple(r) for r in contamination.find_contamination(docs, bench).collect()}
+    assert got == {(i, k, k - 4, k - 4) for i, _ in rows for k, _ in items}
+
+
 def test_source_mix(docs, none):
     plan = mixing.mix_sources(docs).collect()
     sizes, size = {}, {}
