@@ -2,13 +2,15 @@
 
 The library's pre-tokenizer cuts a text into pieces that are encoded on their own. Pieces repeat, so each worker
 finds the cuts with array operations, has the library encode each distinct piece once, and looks the rest up by a
-64-bit hash. Texts that hold anything but ASCII and two-byte characters, or a special token, go to the library whole.
+64-bit hash; what is found is then held against the piece byte by byte. Texts that hold anything but ASCII and two-byte
+characters, a special token or a very long piece go to the library whole.
 """
 
 from __future__ import annotations
 
 import os
 import unicodedata
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +20,12 @@ from . import textspans as ts
 _OTHER, _LETTER, _NUMBER, _SPACE = 0, 1, 2, 3
 #: First code point that the array cutter leaves to the library.
 _LIMIT = 0x280
-#: Pieces that a worker remembers (some 60 MB); it then starts afresh.
-_MAX_PIECES = 300_000
+#: Pieces that a worker remembers (some 50 MB); it then keeps those it has met in several chunks.
+_MAX_PIECES = 1_000_000
+#: Bytes of a piece that is remembered.
+_LONG_PIECE = 256
+#: New pieces that go to the library as one text, where the cuts between them are certain.
+_JOINED = 500
 
 
 def _classes() -> np.ndarray:
@@ -90,19 +96,95 @@ class ByteBpe:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.specials = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self._reset()
-
-    def _reset(self) -> None:
-        self.slot: dict[int, int] = {}
-        self.sizes, self.firsts, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
-
-    def _learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
-        coded = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        sizes = np.array([len(c) for c in coded], np.int64)
-        first = np.cumsum(sizes) - sizes + len(self.flat)
-        self.slot.update(zip(hashes.tolist(), range(len(self.sizes), len(self.sizes) + len(pieces)), strict=True))
-        self.sizes, self.firsts = np.concatenate([self.sizes, sizes]), np.concatenate([self.firsts, first])
-        self.flat = np.concatenate([self.flat, np.array([i for c in coded for i in c], np.uint32)])
+        vocabulary = self.tokenizer.get_vocab()
+        self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)  # a byte-level token has a character per byte
+        self.bytes_of[list(vocabulary.values())] = [len(t) for t in vocabulary]
+        self.limit = _MAX_PIECES
+        self._keep(None)
+
+    def _keep(self, kept: np.ndarray | None) -> None:
+        """Forget all pieces but those numbered in `kept`."""
+        if kept is None:
+            self.keys, self.order = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+            self.sizes, self.spans, self.met = (np.zeros(0, np.int32) for _ in range(3))
+            self.flat, self.raw = np.zeros(0, np.uint32), np.zeros(0, np.uint8)
+        else:
+            number = np.full(len(self.sizes), -1, np.int32)
+            number[kept] = np.arange(len(kept))
+            self.flat = self.flat[np.repeat(np.isin(np.arange(len(self.sizes)), kept), self.sizes)]
+            self.raw = self.raw[np.repeat(np.isin(np.arange(len(self.spans)), kept), self.spans)]
+            self.sizes, self.spans, self.met = self.sizes[kept], self.spans[kept], self.met[kept] * 0
+            there = number[self.order] >= 0
+            self.keys, self.order = self.keys[there], number[self.order[there]]
+        self._index()
+
+    def _index(self) -> None:
+        self.firsts = np.cumsum(self.sizes, dtype=np.int64) - self.sizes
+        self.begins = np.cumsum(self.spans, dtype=np.int64) - self.spans
+        self.eight = ts.octets(self.raw)
+
+    def _coded(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _join_coded(self, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids and sizes of pieces that each begin with a blank and go on with something else: laid end to end they are
+        cut apart again, so the library gets many as one text. None if its tokens do not end where the pieces end."""
+        bits = [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        coded = self._coded([b"".join(bits[i : i + _JOINED]).decode() for i in range(0, len(bits), _JOINED)])
+        ids = np.fromiter(chain.from_iterable(coded), np.uint32)
+        reach = np.cumsum(self.bytes_of[ids])
+        want = np.cumsum(ends - starts)
+        at = np.searchsorted(reach, want)
+        if at[-1] != len(reach) - 1 or (reach[at] != want).any():
+            return None
+        return ids, np.diff(at, prepend=-1)
+
+    def _learn(self, keys: np.ndarray, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        raw, n = buf.tobytes(), ends - starts
+        after = buf[np.minimum(starts + 1, len(buf) - 1)]
+        blank = (buf[starts] == 32) & (n > 1) & ~ts.SPACE[after]
+        joined = self._join_coded(raw, starts[blank], ends[blank]) if blank.any() else None
+        order = np.concatenate([np.flatnonzero(blank), np.flatnonzero(~blank)]) if joined else np.arange(len(keys))
+        rest = order[int(blank.sum()) if joined else 0 :]
+        coded = self._coded([raw[a:b].decode() for a, b in zip(starts[rest].tolist(), ends[rest].tolist(), strict=True)])
+        flat, sizes = [np.fromiter(chain.from_iterable(coded), np.uint32)], [np.fromiter(map(len, coded), np.int32, len(coded))]
+        if joined:
+            flat, sizes = [joined[0], *flat], [joined[1].astype(np.int32), *sizes]
+        old = len(self.sizes)
+        self.flat, self.sizes = np.concatenate([self.flat, *flat]), np.concatenate([self.sizes, *sizes])
+        self.spans = np.concatenate([self.spans, n[order].astype(np.int32)])
+        self.met = np.concatenate([self.met, np.zeros(len(order), np.int32)])
+        self.raw = np.concatenate([self.raw, *[np.frombuffer(b"".join(raw[a:b] for a, b in zip(starts[order].tolist(), ends[order].tolist(), strict=True)), np.uint8)]])
+        number = np.empty(len(order), np.int32)
+        number[order] = np.arange(old, old + len(order))
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.order = np.insert(self.keys, at, keys), np.insert(self.order, at, number)
+        self._index()
+
+    def _slots(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The number of each piece, and which pieces differ from the remembered bytes of their hash."""
+        keys, first, inverse = np.unique(ts.span_hashes(buf, starts, ends), return_index=True, return_inverse=True)
+        at = np.searchsorted(self.keys, keys)
+        new = self.keys[np.minimum(at, len(self.keys) - 1)] != keys if len(self.keys) else np.ones(len(keys), bool)
+        if len(self.keys) + new.sum() > self.limit:
+            kept = np.flatnonzero(self.met > 1)
+            self._keep(kept if 2 * len(kept) < self.limit else None)
+            at = np.searchsorted(self.keys, keys)
+            new = self.keys[np.minimum(at, len(self.keys) - 1)] != keys if len(self.keys) else np.ones(len(keys), bool)
+        if new.any():
+            self._learn(keys[new], buf, starts[first[new]], ends[first[new]])
+            at = np.searchsorted(self.keys, keys)
+        found = self.order[at]
+        self.met[found] += 1
+        slots, n = found[inverse], ends - starts
+        wrong = self.spans[slots] != n
+        own, left, done = ts.octets(buf), np.flatnonzero(~wrong & (n > 8)), 0
+        while len(left):  # up to eight bytes the hash is one to one for a length
+            mask = ts.MASKS[np.minimum(n[left] - done, 8)]
+            wrong[left] |= ((own[starts[left] + done] ^ self.eight[self.begins[slots[left]] + done]) & mask) != 0
+            done += 8
+            left = left[n[left] > done]
+        return slots, wrong
 
     def _plain(self, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
         """Documents that piece_starts() can cut."""
@@ -123,31 +205,24 @@ class ByteBpe:
     def encode(self, texts: pa.Array, counts_only: bool = False):
         """Yield (first row, end row, ids, id offsets) per chunk of rows; ids is None with counts_only."""
         for lo, hi, buf, offs in ts.text_chunks(texts):
-            plain = self._plain(buf, offs)
-            whole = {}
-            if not plain.all():
-                rows = np.flatnonzero(~plain)
-                raw = [buf[offs[r] : offs[r + 1]].tobytes().decode() for r in rows]
-                coded = self.tokenizer.encode_batch_fast(raw, add_special_tokens=False)
-                whole = {int(r): np.array(e.ids, np.uint32) for r, e in zip(rows, coded, strict=True)}
-                keep = np.repeat(plain, np.diff(offs))
-                buf = buf[keep]
-                offs = np.concatenate([[0], np.cumsum(np.where(plain, np.diff(offs), 0))])
-            starts = np.flatnonzero(piece_starts(buf, offs)) if len(buf) else np.zeros(0, np.int64)
-            ends = np.append(starts[1:], len(buf)) if len(starts) else starts
-            h = ts.span_hashes(buf, starts, ends)
-            keys, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-            if len(self.slot) + len(keys) > _MAX_PIECES:
-                self._reset()
-            new = [i for i, k in enumerate(keys.tolist()) if k not in self.slot]
-            if new:
-                at = first[new]
-                raw = buf.tobytes()
-                self._learn(keys[new], [raw[s:e].decode() for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
-            slots = np.array([self.slot[k] for k in keys.tolist()], np.int64)
-            slots = slots[inverse] if len(slots) else slots
+            text, text_offs, plain = buf, offs, self._plain(buf, offs)
+            while True:
+                if not plain.all():
+                    buf = text[np.repeat(plain, np.diff(text_offs))]
+                    offs = np.concatenate([[0], np.cumsum(np.where(plain, np.diff(text_offs), 0))])
+                starts = np.flatnonzero(piece_starts(buf, offs)) if len(buf) else np.zeros(0, np.int64)
+                ends = np.append(starts[1:], len(buf)) if len(starts) else starts
+                slots, wrong = np.zeros(0, np.int32), ends - starts > _LONG_PIECE
+                if len(starts) and not wrong.any():
+                    slots, wrong = self._slots(buf, starts, ends)
+                if not wrong.any():
+                    break
+                plain[np.searchsorted(offs, starts[wrong], "right") - 1] = False
+            rows = np.flatnonzero(~plain)
+            raw = [text[text_offs[r] : text_offs[r + 1]].tobytes().decode() for r in rows]
+            whole = {int(r): np.array(c, np.uint32) for r, c in zip(rows, self._coded(raw) if raw else [], strict=True)}
             sizes = self.sizes[slots]
-            ends_of = np.concatenate([[0], np.cumsum(sizes)])
+            ends_of = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
             id_offs = ends_of[np.searchsorted(starts, offs)]
             if counts_only:
                 n = np.diff(id_offs)

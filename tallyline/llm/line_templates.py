@@ -45,13 +45,8 @@ def _lines(buf: np.ndarray, offs: np.ndarray, depth: int = DEPTH):
     full = first[:-1] < first[1:]
     begin, end = bound[:-1][full], bound[1:][full]
     a, b = first[:-1][full], first[1:][full]
-    p, q = ts._powers(len(h) + 1)
-    sums = np.zeros(len(h) + 1, np.uint64)
-    np.cumsum(h * p[: len(h)], out=sums[1:])
-    n = (b - a).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    line = ts.mix64((sums[b] - sums[a]) * q[a] + n)
-    top = np.minimum(a + depth, b)
-    leaf = ts.mix64((sums[top] - sums[a]) * q[a] + n)
+    line = ts.run_hashes(h, a, b)
+    leaf = ts.mix64(ts.run_hashes(h, a, np.minimum(a + depth, b)) + (b - a).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
     doc = np.searchsorted(offs, begin, "right") - 1
     return doc, begin, end, leaf.view(np.int64), line.view(np.int64)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -60,18 +61,15 @@ def _sign(shingle_words: int, bands: int, rows: int):
                 sets = ts.shingle_sets(buf, offs, shingle_words)
                 n = np.array([len(s) for s in sets], np.int64)
                 keys, coords = np.zeros((len(sets), bands), np.int64), np.zeros((len(sets), bands * rows), np.uint8)
-                digest = np.zeros((2, len(sets)), np.int64)
                 if full := [s for s in sets if len(s)]:
                     flat = np.concatenate(full)
                     cuts = np.concatenate([[0], np.cumsum(n[n > 0])])
                     sig = circulant_minhash(flat, cuts, bands * rows)
                     keys[n > 0], coords[n > 0] = _band_keys(sig, rows), sig.T.astype(np.uint8)
-                    for i, salt in enumerate((0x2545F4914F6CDD1D, 0x6C62272E07BB0142)):
-                        sums = np.add.reduceat(ts.mix64(flat ^ np.uint64(salt)), cuts[:-1])
-                        digest[i, n > 0] = ts.mix64(sums).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * bands), keys.ravel())
+                digest = pa.array([hashlib.blake2b(s.data, digest_size=16).digest() for s in sets], pa.binary())
                 low = pa.array([row.tobytes() for row in coords], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n), pa.array(digest[0]), pa.array(digest[1]), lists, low], ["id", "n", "h1", "h2", "bands", "sig"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n), digest, lists, low], ["id", "n", "digest", "bands", "sig"])
 
     return run
 
@@ -316,8 +314,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     equal results per row; an empty table gives an empty result; other columns are not looked at.
     """
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sig = cut(source.mapInArrow(_sign(shingle_words, bands, rows), "id long, n long, h1 long, h2 long, bands array<long>, sig binary"))
-    classes = cut(sig.where("n > 0 and id is not null").groupBy("h1", "h2", "n").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
+    sig = cut(source.mapInArrow(_sign(shingle_words, bands, rows), "id long, n long, digest binary, bands array<long>, sig binary"))
+    classes = cut(sig.where("n > 0 and id is not null").groupBy("digest", "n").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
     buckets = classes.select("id", "n", F.explode("bands").alias("key"))
     shared = buckets.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("id", "n")).alias("rep")).where("c > 1").select("key", "rep")
     members = cut(buckets.join(shared, "key"))
@@ -328,8 +326,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = cut(_open_links(marked, classes, percent, 1))
     if not more.isEmpty():
         labels = components(edges.union(confirm_groups(more, labels, source, shingle_words, percent)))
-    by_class = classes.select("h1", "h2", "n", "id").join(labels, "id", "left").select("h1", "h2", "n", F.coalesce("component", "id").alias("component"))
-    out = sig.select("id", "n", "h1", "h2").join(by_class, ["h1", "h2", "n"], "left")
+    by_class = classes.select("digest", "n", "id").join(labels, "id", "left").select("digest", "n", F.coalesce("component", "id").alias("component"))
+    out = sig.select("id", "n", "digest").join(by_class, ["digest", "n"], "left")
     comp = F.when(F.col("id").isNull(), None).when(F.col("n") == 0, F.col("id")).otherwise(F.col("component"))
     out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), comp.alias("component_id"))
     return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))

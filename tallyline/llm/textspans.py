@@ -6,6 +6,7 @@ Everything here works on one Arrow batch inside a task. Words are maximal runs o
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,21 +16,13 @@ import pyarrow.compute as pc
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 _U = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_TABLE = np.random.default_rng(20240601).integers(1, 2**63, 256, dtype=np.int64).astype(_U)
-_LOWER_TABLE = _TABLE.copy()
-_LOWER_TABLE[65:91] = _TABLE[97:123]
-_POWERS: dict[str, np.ndarray] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS.get("p", ())) < n:
-        size = max(n, 1 << 20)
-        for name, base in (("p", _BASE), ("q", pow(_BASE, -1, 1 << 64))):
-            steps = np.full(size, base, _U)
-            steps[0] = 1
-            _POWERS[name] = np.multiply.accumulate(steps)
-    return _POWERS["p"][:n], _POWERS["q"]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: Spans of more bytes are hashed one by one with BLAKE2b.
+_LONG = 64
+#: Mask of the lowest 0 to 8 bytes.
+MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], _U)
+_WEIGHT = _U(0x9FB21C651E98DF25)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -79,13 +72,43 @@ def words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return runs(~SPACE[buf], offs)
 
 
+def octets(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on as one little-endian integer; beyond the end they count as 0."""
+    padded = np.zeros(len(buf) + 8, np.uint8)
+    padded[: len(buf)] = buf
+    return np.ndarray((len(buf) + 1,), "<u8", padded, strides=(1,))
+
+
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    """A 64-bit hash of each byte span; equal spans have equal hashes on every machine. lower: A-Z count as a-z."""
-    p, q = _powers(len(buf) + 1)
-    sums = np.zeros(len(buf) + 1, _U)
-    np.cumsum((_LOWER_TABLE if lower else _TABLE)[buf] * p[: len(buf)], out=sums[1:])
-    h = (sums[ends] - sums[starts]) * q[starts]
-    return mix64(h + (ends - starts).astype(_U) * _U(0xD6E8FEB86659FD93))
+    """A 64-bit hash of each byte span; equal spans have equal hashes on every machine. lower: A-Z count as a-z.
+
+    Each step mixes eight bytes non-linearly, so spans of up to eight bytes and one length never collide, and no regular
+    pattern makes longer ones collide.
+    """
+    buf = _LOWER[buf] if lower else buf
+    eight, n = octets(buf), ends - starts
+    h = mix64((eight[starts] & MASKS[np.minimum(n, 8)]) ^ (n.astype(_U) * _U(0xD6E8FEB86659FD93)))
+    left = np.flatnonzero((n > 8) & (n <= _LONG))
+    done = 8
+    while len(left):
+        part = eight[starts[left] + done] & MASKS[np.minimum(n[left] - done, 8)]
+        h[left] = mix64(h[left] * _WEIGHT + part)
+        done += 8
+        left = left[n[left] > done]
+    for i in np.flatnonzero(n > _LONG).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(buf[starts[i] : ends[i]].data, digest_size=8).digest(), "little")
+    return h
+
+
+def run_hashes(h: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each run first..end of word hashes. Words are mixed with their place in the run before they are summed,
+    so runs of one word each, or of words in a regular pattern, do not cancel out. Runs are disjoint and ascending."""
+    n = end - first
+    at = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
+    place = (at - np.repeat(first, n) + 1).astype(_U)
+    sums = np.concatenate([np.zeros(1, _U), np.cumsum(mix64(h[at] + place * _U(0xD1342543DE82EF95)))])
+    cuts = np.concatenate([[0], np.cumsum(n)])
+    return mix64(sums[cuts[1:]] - sums[cuts[:-1]] + n.astype(_U) * _U(0xD6E8FEB86659FD93))
 
 
 def windows(h: np.ndarray, word_offs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -95,7 +118,7 @@ def windows(h: np.ndarray, word_offs: np.ndarray, k: int) -> tuple[np.ndarray, n
         return np.zeros(0, _U), np.zeros(0, np.int64)
     acc = h[: n - k + 1].copy()
     for j in range(1, k):
-        acc = acc * _U(0x9FB21C651E98DF25) + h[j : n - k + 1 + j]
+        acc = mix64(acc * _WEIGHT + h[j : n - k + 1 + j])
     end = np.repeat(word_offs[1:], np.diff(word_offs))[: n - k + 1]
     at = np.flatnonzero(np.arange(n - k + 1) + k <= end)
     return mix64(acc[at] + _U(k)), at
@@ -113,7 +136,7 @@ def shingle_sets(buf: np.ndarray, offs: np.ndarray, k: int, lower: bool = True)
         if n >= k:
             out.append(np.unique(sh[cuts[d] : cuts[d + 1]]))
         elif n:
-            out.append(windows(h[wo[d] : wo[d + 1]], np.array([0, n]), int(n))[0])
+            out.append(run_hashes(h, wo[d : d + 1], wo[d + 1 : d + 2]))
         else:
             out.append(np.zeros(0, _U))
     return out

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import io
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -28,7 +27,8 @@ def open_store(uri: str) -> tuple[fs.FileSystem, str]:
 
 
 class _SequenceWriter:
-    """Packs ids into sequences of one length; the mask is false where the last sequence is padded."""
+    """Packs ids into sequences of one length, and these into batches of BATCH_SEQUENCES; only a file's last batch may hold
+    fewer. The mask is false where the last sequence is padded."""
 
     def __init__(self, sink, seq_len: int, dtype: np.dtype):
         self.seq_len, self.dtype = seq_len, dtype
@@ -37,10 +37,13 @@ class _SequenceWriter:
         self.held, self.size = [], 0
 
     def add(self, ids: np.ndarray) -> None:
+        if len(ids) and int(ids.max()) > np.iinfo(self.dtype).max:
+            raise OverflowError(f"id {int(ids.max())} does not fit into {self.dtype}")
         self.held.append(ids.astype(self.dtype))
         self.size += len(ids)
-        if self.size >= BATCH_SEQUENCES * self.seq_len:
-            self._flush(self.size // self.seq_len * self.seq_len)
+        full = BATCH_SEQUENCES * self.seq_len
+        if self.size >= full:
+            self._flush(self.size // full * full)
 
     def _flush(self, n: int, pad: int = 0) -> None:
         flat = np.concatenate([*self.held, np.zeros(pad, self.dtype)])
@@ -89,8 +92,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, id_col: str =
     Range partitions keep that order over the files: each task writes tokens-<part>.arrow, an Arrow stream of batches
     with columns ids and mask, both fixed-size lists of seq_len, and index-<part>.arrow with (id, n_tokens) of
     each text. Equal-length sequences lie at fixed offsets in a batch, so a memory map gives any of them without a
-    copy; documents run on over sequences, and only a file's last sequence is padded (mask false). dtype must
-    hold the vocabulary. Returns the materialised manifest: part, n_docs, n_tokens.
+    copy (sequence_at); documents run on over sequences, and only a file's last sequence is padded (mask false). An id
+    beyond dtype raises OverflowError. Returns the materialised manifest: part, n_docs, n_tokens.
 
     Defined cases: null text counts as empty and yields the end id alone; null ids come first; rows with equal ids stay
     together, ordered by a hash of their text; an empty table writes no text. Extra columns are ignored.
@@ -98,7 +101,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, id_col: str =
     store, folder = open_store(path)
     store.create_dir(folder, recursive=True)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.repartitionByRange("id").sortWithinPartitions(F.col("id").asc_nulls_first(), F.xxhash64("text"))
+    # the hash also parts texts of one id, or of none, over tasks
+    order = [F.col("id").asc_nulls_first(), F.xxhash64("text")]
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     return cut(rows.mapInArrow(_write(path, tokenizer, seq_len, dtype), "part int, n_docs long, n_tokens long"))
 
 
@@ -134,7 +139,8 @@ def read_token_digests(manifest: DataFrame, path: str, id_col: str = "doc_id") -
     """One row per document, from the files: id, start (ids of all documents before it), n_tokens, ids_crc32 (over
     its ids as little-endian unsigned 32-bit integers)."""
     ordered = running_sums(manifest, [F.col("part")], {"base": F.col("n_tokens")})
-    files = manifest.select("part").repartitionByRange("part")
+    # a task per file; without a number of partitions, adaptive execution would make one task of these few rows
+    files = manifest.select("part").repartitionByRange(max(manifest.count(), 1), "part")
     rows = files.mapInArrow(_read(path), "part int, id long, start long, n_tokens long, ids_crc32 long")
     # one row per file
     out = rows.join(F.broadcast(ordered.select("part", "base")), "part")
@@ -158,11 +164,32 @@ def read_sequences(spark: SparkSession, manifest: DataFrame, path: str) -> DataF
 
 
 def sequence_at(raw: bytes | memoryview, position: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and mask of one sequence of a token file's bytes (such as a memory map); the ids are a view of them."""
-    for batch in pa.ipc.open_stream(pa.py_buffer(raw) if not isinstance(raw, io.IOBase) else raw):
-        if position < len(batch):
-            ids, mask = batch.column(0), batch.column(1)
-            size = ids.type.list_size
-            return ids.flatten().to_numpy(zero_copy_only=True)[position * size : (position + 1) * size], mask[position].values.to_numpy(zero_copy_only=False)
-        position -= len(batch)
-    raise IndexError("no such sequence")
+    """Ids and mask of one sequence of a token file's bytes (such as a memory map); the ids are a view of them.
+
+    All batches before the last are of one size, so the sequence's batch is found by its offset; no other is read.
+    """
+    source = pa.BufferReader(pa.py_buffer(raw))
+    schema = pa.ipc.read_schema(source)
+    first = source.tell()
+    if position < 0 or not (size := _batch_bytes(source)):
+        raise IndexError("no such sequence")
+    at = first + position // BATCH_SEQUENCES * size
+    source.seek(min(at, source.size()))
+    if not _batch_bytes(source):
+        raise IndexError("no such sequence")
+    source.seek(at)
+    batch, row = pa.ipc.read_record_batch(pa.ipc.read_message(source), schema), position % BATCH_SEQUENCES
+    if row >= len(batch):
+        raise IndexError("no such sequence")
+    ids, mask = batch.column(0)[row].values, batch.column(1)[row].values
+    return ids.to_numpy(zero_copy_only=True), mask.to_numpy(zero_copy_only=False)
+
+
+def _batch_bytes(source: pa.BufferReader) -> int:
+    """Bytes of the message at the reader's position, 0 at the end of the stream."""
+    begin = source.tell()
+    try:
+        pa.ipc.read_message(source)
+    except (EOFError, pa.ArrowInvalid):
+        return 0
+    return source.tell() - begin
