@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textspans as ts
-from .cluster import cut
+from .cluster import cut, hot_join
 
 _U32 = np.uint32
 #: Rows up to which a table of pairs is broadcast (about 40 MB); beyond it the texts are shuffled instead.
@@ -67,7 +67,8 @@ def _sign(shingle_words: int, bands: int, rows: int):
                     sig = circulant_minhash(flat, cuts, bands * rows)
                     keys[n > 0], coords[n > 0] = _band_keys(sig, rows), sig.T.astype(np.uint8)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * bands), keys.ravel())
-                digest = pa.array([hashlib.blake2b(s.data, digest_size=16).digest() for s in sets], pa.binary())
+                own = batch.column(0).slice(lo, hi - lo).to_pylist()  # empty sets have no digest in common
+                digest = pa.array([hashlib.blake2b(s.data, digest_size=16).digest() if len(s) else str(i).encode() for i, s in zip(own, sets, strict=True)], pa.binary())
                 low = pa.array([row.tobytes() for row in coords], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n), digest, lists, low], ["id", "n", "digest", "bands", "sig"])
 
@@ -206,26 +207,30 @@ def _alike(percent: int):
     return run
 
 
-def _open_links(members: DataFrame, classes: DataFrame, percent: int, level: int, max_level: int = 3) -> DataFrame:
+def _open_links(members: DataFrame, classes: DataFrame, percent: int, split: bool = True) -> DataFrame:
     """Edges (u, v) that span the pairs of open buckets, those with several labels, whose signatures agree in at least AGREE.
 
     A pair of similarity 0.8 falls below AGREE with probability 1e-8. Pairs are looked at within the task that holds the
-    bucket, and only a forest that spans the alike ones leaves it. A bucket of more than BUCKET members, such as of texts that share one common
-    passage, is split by its members' other bands until it is small: links of 0.8 share 13 of 32 bands on average, and
-    miss a third common one with probability 5e-6.
+    bucket, and only a forest that spans the alike ones leaves it. A bucket of more than BUCKET members, such as of texts
+    that share one common passage, is split once by its members' other bands: links of 0.8 share 13 of 32 bands on average,
+    and lack a second common one with probability 1e-6. What is still larger is dealt into blocks, and a task holds two.
     """
-    sizes = members.groupBy("key").agg(F.count("*").alias("m"), F.min("label").alias("low"), F.max("label").alias("high"))
-    opened = cut(members.join(sizes.where("low <> high").select("key", "m"), "key"))
-    listed = opened if level >= max_level else opened.where(F.col("m") <= BUCKET)
+    sizes = cut(members.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key", "n"))
+    opened = cut(hot_join(members, sizes.withColumnRenamed("n", "m"), sizes, "key", "id"))
     parts = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    wide = opened.where(F.col("m") > BUCKET)
+    listed = opened.where(F.col("m") <= BUCKET).select("key", "id", "n", "label")
+    if not split and not wide.isEmpty():
+        blocks = F.ceil(F.col("m") * 2 / BUCKET).cast("int")
+        dealt = wide.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        listed = listed.union(dealt.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("key"), "id", "n", "label"))
     rows = listed.join(classes.select("id", "n", "sig"), ["id", "n"]).select("key", "id", "n", "label", "sig")
     pairs = rows.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_alike(percent), "u long, v long").distinct()
-    wide = opened.where(F.col("m") > BUCKET)
-    if level >= max_level or wide.isEmpty():
+    if not split or wide.isEmpty():
         return pairs
     deeper = wide.join(classes.select("id", "n", F.explode("bands").alias("other")), ["id", "n"]).where("key <> other")
     deeper = deeper.select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "id", "n", "label").distinct()
-    return pairs.union(_open_links(deeper, classes, percent, level + 1, max_level)).distinct()
+    return pairs.union(_open_links(deeper, classes, percent, split=False)).distinct()
 
 
 def _verify_block(shingle_words: int, percent: int):
@@ -304,7 +309,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     it has fewer. Documents are linked if 100 * intersection >= percent * union, on full sets; component_id is the
     least id that links reach. With 32 bands of 4 coordinates a link at exactly 0.8 is missed with probability 5e-8.
 
-    Equal sets form one class before any pair is looked at. In each bucket every class is first held against the
+    Equal sets, by a 128-bit BLAKE2b digest of all shingle hashes, form one class before any pair is looked at. In each bucket every class is first held against the
     bucket's least id; what is then still apart in a bucket is compared by signature inside the bucket's task, and
     the groups of alike texts are verified block by block. Pairs already joined are left out, and no list of pairs leaves
     a task, so groups of thousands of copies cost one comparison per member and bucket representative.
@@ -315,19 +320,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     sig = cut(source.mapInArrow(_sign(shingle_words, bands, rows), "id long, n long, digest binary, bands array<long>, sig binary"))
-    classes = cut(sig.where("n > 0 and id is not null").groupBy("digest", "n").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
+    classes = cut(sig.where("n > 0 and id is not null").groupBy("digest", "n").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("sig").alias("sig"), F.count("*").alias("copies")))
     buckets = classes.select("id", "n", F.explode("bands").alias("key"))
-    shared = buckets.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("id", "n")).alias("rep")).where("c > 1").select("key", "rep")
-    members = cut(buckets.join(shared, "key"))
+    shared = cut(buckets.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("id", "n")).alias("rep")).where("c > 1"))
+    members = cut(hot_join(buckets, shared.select("key", "rep"), shared.select("key", F.col("c").alias("n")), "key", "id"))
     pairs = cut(members.where((F.col("id") != F.col("rep.id")) & _ratio("n", "rep.n", percent)).select(F.col("rep.id").alias("a"), F.col("id").alias("b")).distinct())
     edges = cut(confirm(pairs, source, shingle_words, percent))
     labels = components(edges)
     marked = members.select("key", "id", "n").join(labels, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("label"))
-    more = cut(_open_links(marked, classes, percent, 1))
+    more = cut(_open_links(marked, classes, percent))
     if not more.isEmpty():
         labels = components(edges.union(confirm_groups(more, labels, source, shingle_words, percent)))
-    by_class = classes.select("digest", "n", "id").join(labels, "id", "left").select("digest", "n", F.coalesce("component", "id").alias("component"))
-    out = sig.select("id", "n", "digest").join(by_class, ["digest", "n"], "left")
+    by_class = classes.select("digest", "id").join(labels, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
+    out = hot_join(sig.select("id", "n", "digest"), by_class, classes.select("digest", F.col("copies").alias("n")), "digest", "id", "left")
     comp = F.when(F.col("id").isNull(), None).when(F.col("n") == 0, F.col("id")).otherwise(F.col("component"))
     out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), comp.alias("component_id"))
     return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
