@@ -6,6 +6,8 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -13,9 +15,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textspans as ts
+from .cluster import cut
 
 #: Documents with a pattern match, and as many without, that the field is fitted on, at most.
 FIT_DOCS = 3000
+#: Characters of a document that the field is fitted on, at most; with FIT_DOCS it bounds what comes to the driver. The scan
+#: itself has no bound.
+FIT_CHARS = 20_000
 #: Words on either side of a suspicious word that are tagged with it.
 REACH = 2
 KINDS = ("assign", "access", "hex", "field")
@@ -44,6 +50,7 @@ def _byte_class(chars: bytes) -> np.ndarray:
 _DIGITS, _LOWERS, _UPPERS = _byte_class(b"0123456789"), _byte_class(bytes(range(97, 123))), _byte_class(bytes(range(65, 91)))
 _HEXES, _JOINS, _ASSIGNS = _byte_class(b"0123456789abcdef"), _byte_class(b"-_+/="), _byte_class(b":=")
 _OWN = 22  # features of one word
+_KEY_FEATURES = (1, 3)  # those that look at key names
 
 
 def _word_features(buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -214,25 +221,45 @@ def training_runs(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.nda
     return out
 
 
-def train_secret_field(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_docs: int = FIT_DOCS) -> SecretField | None:
-    """Fit the field on at most `fit_docs` documents with a pattern match and as many without, by a hash of id and text.
+def train_secret_field(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_docs: int = FIT_DOCS, fit_chars: int = FIT_CHARS) -> SecretField | None:
+    """Fit the field on at most `fit_docs` documents with a pattern match and as many without, of at most `fit_chars`
+    characters each: those of the lowest hashes of id and text.
 
     The patterns label the words (distant supervision); the field sees shapes and neighbours only, so it carries over to
-    secrets of other names and lengths. None if no document holds a match.
+    secrets of other names and lengths. Patterns are tried on some 20 * fit_docs documents of the lowest hashes, and on
+    twice as many as long as either kind is short of `fit_docs` and documents are left. None if no document holds a match.
     """
-    rows = docs.select(F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string")).alias("h")).where("text is not null")
+    rows = docs.select(F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string")).alias("h"))
+    rows = rows.where(F.length("text") <= fit_chars)
     hit = F.lower("text").rlike("(password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]") | F.col("text").rlike("AKIA[A-Z0-9]{16}|[0-9a-f]{24}")
-    # the fit alone is on texts of at most 20,000 characters, which bounds what reaches the driver
-    rows = rows.where(F.length("text") <= 20_000)
-    texts = []
-    for part in (rows.where(hit), rows.where(~hit)):
+    share = min(1.0, 20 * fit_docs / max(docs.count(), 1))
+    while True:
+        below = F.col("h") <= F.lit(int((share - 0.5) * 2**64 - 1) if share < 1 else 2**63 - 1)
+        tried = cut(rows.where(below).select("h", hit.alias("hit")).distinct())
         # the hashes are ranked alone, so that only the chosen texts travel
-        last = part.select("h").orderBy("h").limit(fit_docs).agg(F.max("h")).first()[0]
-        texts += sorted(r.text for r in part.where(F.col("h") <= F.lit(last)).limit(fit_docs).collect()) if last is not None else []
+        last = {k: tried.where(F.col("hit") == k).orderBy("h").limit(fit_docs).agg(F.count("*"), F.max("h")).first() for k in (True, False)}
+        if share >= 1 or all(n == fit_docs for n, _ in last.values()):
+            break
+        share = min(1.0, 2 * share)
+    chosen = [(F.col("hit") == k) & (F.col("h") <= F.lit(h)) for k, (n, h) in last.items() if n]
+    if not chosen:
+        return None
+    near = rows.where(F.col("h") <= F.lit(max(h for n, h in last.values() if n))).withColumn("hit", hit)
+    found = near.where(reduce(or_, chosen)).dropDuplicates(["h"]).select("hit", "text").collect()
+    texts = [t for _, t in sorted((not hit, text) for hit, text in found)]
     runs = [r for r in training_runs(texts) if len(r[0])]
     if not any((r[3] != _OUTSIDE).any() for r in runs):
         return None
-    return fit_field(runs)
+    return fit_field(runs + [nameless(r) for r in runs])
+
+
+def nameless(run: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    """The run without the features of key names, so that the field also learns secrets by their own shape."""
+    first, end, x, tags = run
+    x = x.copy()
+    for block in range(4):
+        x[:, [block * _OWN + i for i in _KEY_FEATURES]] = 0
+    return first, end, x, tags
 
 
 def scan_texts(texts: list[str | None], field: SecretField | None) -> list[list[tuple[int, int, int]]]:
