@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import cut
+from .cluster import cut, fresh_names
 
 #: Rows up to which a table of items or candidates is broadcast (some 20 MB); beyond it the join shuffles.
 BROADCAST_ROWS = 500_000
@@ -83,5 +83,6 @@ def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents without those in which find_contamination() finds an item; rows with a null id stay."""
-    hit = cut(find_contamination(docs, items, id_col, text_col, **options).select(F.col(id_col).alias("_hit")).distinct())
-    return docs.join(_small(hit), docs[id_col] == F.col("_hit"), "left_anti")
+    (hit,) = fresh_names(docs, "hit")
+    found = cut(find_contamination(docs, items, id_col, text_col, **options).select(F.col(id_col).alias(hit)).distinct())
+    return docs.join(_small(found), docs[id_col] == F.col(hit), "left_anti")

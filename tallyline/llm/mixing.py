@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from . import textspans as ts
-from .cluster import cut, running_sums
+from .cluster import cut, fresh_names, running_sums
 
 #: Units of one flight task; larger strata are flown in blocks first, their few open units again, and so on.
 BLOCK_UNITS = 4096
-#: Units of a stratum, evenly spaced by size, that stay out of its last flight; the landing tries every subset of these
-#: and of the two at most that the flight leaves open.
-LANDING_UNITS = 12
+#: Units of a block, evenly spaced by size, that stay out of its flight. The landing needs them: a unit is settled well only
+#: beside one of about its size, so it must be able to go from long to short by small steps.
+RESERVE = 64
 _EPS = 1e-9
 
 
@@ -44,6 +44,17 @@ def water_levels(sources: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap
     return out.select("source", "source_size", "rank", F.least("top", F.coalesce(F.col("x.level") * F.col("w"), "top")).alias("target"))
 
 
+def _step(x: np.ndarray, u: np.ndarray, draw: np.random.Generator) -> np.ndarray:
+    """Move along u or against it until a unit is settled; the odds of both ways keep each expectation."""
+    u = u / np.abs(u).max()
+    with np.errstate(divide="ignore", invalid="ignore"):
+        up = np.where(u > 0, (1 - x) / u, np.where(u < 0, -x / u, np.inf)).min()
+        down = np.where(u > 0, x / u, np.where(u < 0, (x - 1) / u, np.inf)).min()
+    x = x + up * u if draw.random() * (up + down) < down else x - down * u
+    x[x < _EPS], x[x > 1 - _EPS] = 0.0, 1.0
+    return x
+
+
 def _flight(pi: np.ndarray, mass: np.ndarray, count: np.ndarray, draw: np.random.Generator) -> np.ndarray:
     """Fast cube flight: move three units at a time along the null space of (mass, count) until one is settled.
 
@@ -59,42 +70,39 @@ def _flight(pi: np.ndarray, mass: np.ndarray, count: np.ndarray, draw: np.random
         if not u.any():  # all rows are proportional
             u = np.array([count[b] or mass[b] or 1.0, -(count[a] or mass[a] or 1.0), 0.0])
         x = pi[held]
-        u = u / np.abs(u).max()
-        with np.errstate(divide="ignore", invalid="ignore"):
-            up = np.where(u > 0, (1 - x) / u, np.where(u < 0, -x / u, np.inf)).min()
-            down = np.where(u > 0, x / u, np.where(u < 0, (x - 1) / u, np.inf)).min()
-        x = x + up * u if draw.random() * (up + down) < down else x - down * u
-        x[x < _EPS], x[x > 1 - _EPS] = 0.0, 1.0
+        x = _step(x, u, draw)
         pi[held] = x
         open_ = [i for i, v in zip(held, x, strict=True) if 0 < v < 1]
         held = open_ + [i for _, i in zip(range(3 - len(open_)), rest, strict=False)]
     return pi
 
 
-def _landing(pi: np.ndarray, mass: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """Settle the few open units: the subset with the nearest mass, to a thousandth of it all, then the nearest count."""
-    open_ = np.flatnonzero((pi > 0) & (pi < 1))
-    if not len(open_):
-        return pi
-    sets = (np.arange(1 << len(open_))[:, None] >> np.arange(len(open_))) & 1
-    off = np.abs(sets @ mass[open_] - pi[open_] @ mass[open_])
-    off_count = np.abs(sets @ count[open_] - pi[open_] @ count[open_])
-    pi = pi.copy()
-    pi[open_] = sets[np.lexsort((np.arange(len(off)), off_count, np.round(off / max(mass @ pi, 1.0), 3)))[0]]
+def _landing(pi: np.ndarray, mass: np.ndarray, draw: np.random.Generator) -> np.ndarray:
+    """Settle the units that a flight leaves open, given from long to short, by dropping constraints: two at a time are
+    moved so that their mass stays, and the last one, mostly among the shortest, is drawn. Each pi keeps its expectation."""
+    pi, a = pi.copy(), -1
+    for b in np.flatnonzero((pi > 0) & (pi < 1)).tolist():
+        if a >= 0:
+            u = np.array([mass[b], -mass[a]]) if mass[a] or mass[b] else np.array([1.0, -1.0])
+            pi[[a, b]] = _step(pi[[a, b]], u, draw)
+        a = next((i for i in (a, b) if i >= 0 and 0 < pi[i] < 1), -1)
+    if a >= 0:
+        pi[a] = float(draw.random() < pi[a])
     return pi
 
 
-def _fly(seed: int, last: bool):
+def _fly(seed: int):
     def run(g: pd.DataFrame) -> pd.DataFrame:
+        # from long to short, so that what stays open is short
         g = g.sort_values(["mass", "doc_id", "size"], ascending=[False, True, True], kind="stable", na_position="last").reset_index(drop=True)
         name = "" if pd.isna(g["source"].iloc[0]) else str(g["source"].iloc[0])
         draw = np.random.default_rng([seed, len(g), int(g["block"].iloc[0]), *name.encode()])
         mass, count = g["mass"].to_numpy(float), g["mult"].to_numpy(float)
-        pi, flown = g["pi"].to_numpy(float).copy(), np.ones(len(g), bool)
-        if last:
-            flown[np.unique(np.linspace(0, len(g) - 1, LANDING_UNITS).round().astype(int))] = False
+        pi, last = g["pi"].to_numpy(float).copy(), g["blocks"].iloc[0] == 1
+        flown = np.ones(len(g), bool)
+        flown[np.unique(np.linspace(0, len(g) - 1, min(RESERVE, (len(g) + 1) // 2)).round().astype(int))] = False
         pi[flown] = _flight(pi[flown], mass[flown], count[flown], draw)
-        return g.assign(pi=_landing(pi, mass, count) if last else pi)
+        return g.assign(pi=_landing(pi, mass, draw) if last else pi)
 
     return run
 
@@ -104,8 +112,10 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
 
     A source is to be read target / source_size times. Each of its documents is taken the whole part of that, and one
     more time for a balanced sample whose inclusion probability is the fraction: the cube method keeps the sample's
-    words and documents at their expected totals until a small landing problem of
-    LANDING_UNITS + 2 documents at most is left for a source. Draws depend on (seed, source, block) alone: reruns agree, wherever rows lie.
+    words and documents at their expected totals until RESERVE + 2 documents at most are left for a source. These are landed
+    by dropping the constraints, documents first, so every document keeps its probability, and a source's words are off
+    its target by less than the last document, mostly one of the shortest. A source is landed when it fits one block,
+    whatever the size of the others. Draws depend on (seed, source, block) alone: reruns agree, wherever rows lie.
 
     Defined cases: null and empty texts have size 0; a null source is a source of its own, last in order; rows that agree
     in id, source and size are one unit and share one decision (`mult` says how many rows it stands for); an empty
@@ -121,13 +131,16 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
     known = known.withColumns({"base": F.floor("rate").cast("long"), "pi": F.col("rate") - F.floor("rate"), "mass": (F.col("size") * F.col("mult")).cast("double")})
     state = known.select("doc_id", "source", "size", "mult", "source_size", "target", "base", "pi", "mass")
     done, todo, level = state.where("pi <= 0"), state.where("pi > 0"), 0
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     while True:
         strata = todo.groupBy("source").agg(F.ceil(F.count("*") / BLOCK_UNITS).cast("int").alias("blocks")).withColumnRenamed("source", "_s")
         top = strata.agg(F.max("blocks")).first()[0]
         if top is None:
             break
         dealt = todo.join(strata, F.col("source").eqNullSafe(F.col("_s"))).drop("_s").withColumn("block", F.pmod(F.xxhash64("doc_id", "size", F.lit(level)), "blocks").cast("int"))
-        flown = cut(dealt.drop("blocks").groupBy("source", "block").applyInPandas(_fly(seed + level, top == 1), dealt.drop("blocks").schema).drop("block"))
+        # with a number of partitions, adaptive execution leaves the blocks spread over tasks
+        flights = dealt.repartition(parts, "source", "block").groupBy("source", "block")
+        flown = cut(flights.applyInPandas(_fly(seed + level), dealt.schema).drop("block", "blocks"))
         done, todo, level = done.union(flown.where("pi <= 0 or pi >= 1")), flown.where("pi > 0 and pi < 1"), level + 1
         if top == 1:
             break
@@ -136,9 +149,10 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
 
 def take_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
     """The documents of the mix with their own columns, each row as often as mix_sources() takes it."""
+    id_, source, size, copies, own, copy = fresh_names(docs, "id", "source", "size", "copies", "own", "copy")
     plan = mix_sources(docs, id_col, source_col, text_col, **options).where("copies > 0")
-    plan = plan.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), F.col("size").alias("_size"), F.col("copies").alias("_copies"))
-    sized = docs.withColumn("_n", count_words(F.col(text_col).cast("string")))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & F.col(source_col).cast("string").eqNullSafe(F.col("_source")) & (F.col("_n") == F.col("_size"))
-    taken = sized.join(plan, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-    return taken.select(*[taken[c] for c in docs.columns])
+    plan = plan.select(F.col(id_col).alias(id_), F.col(source_col).alias(source), F.col("size").alias(size), F.col("copies").cast("int").alias(copies))
+    sized = docs.withColumn(own, count_words(F.col(text_col).cast("string")))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(id_)) & F.col(source_col).cast("string").eqNullSafe(F.col(source)) & (F.col(own) == F.col(size))
+    taken = sized.join(plan, same).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies))))
+    return taken.select(docs.columns)
