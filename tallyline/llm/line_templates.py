@@ -22,13 +22,15 @@ LEAF_LINES = 1000
 SIMILARITY = 0.6
 #: Documents in which a template recurs.
 MIN_DOCS = 10
+#: Words of a line from which so many documents suffice, for the line itself.
+LONG_LINES = ((50, 2), (8, 3))
 BROADCAST_ROWS = 500_000
 _DIGIT = np.isin(np.arange(256), np.arange(48, 58))
 _FIELD = np.uint64(0x51ED270B9F3A7C15)
 
 
 def _lines(buf: np.ndarray, offs: np.ndarray, depth: int = DEPTH):
-    """Every line with a word: (document, byte start, byte end, leaf hash, line hash, distinct key of both).
+    """Every line with a word: (document, byte start, byte end, leaf hash, line hash, number of words).
 
     Words that hold a digit are variable fields and count as one symbol. The leaf is the number of words and the first
     `depth` of them; the line hash covers all words.
@@ -48,24 +50,28 @@ def _lines(buf: np.ndarray, offs: np.ndarray, depth: int = DEPTH):
     line = ts.run_hashes(h, a, b)
     leaf = ts.mix64(ts.run_hashes(h, a, np.minimum(a + depth, b)) + (b - a).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
     doc = np.searchsorted(offs, begin, "right") - 1
-    return doc, begin, end, leaf.view(np.int64), line.view(np.int64)
-
-
-def _emit_lines(with_text: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0)
-            for lo, _, buf, offs in ts.text_chunks(batch.column(1)):
-                doc, begin, end, leaf, line = _lines(buf, offs)
-                if not with_text:  # once per document and leaf
-                    _, keep = np.unique(np.stack([doc, leaf], 1), axis=0, return_index=True) if len(doc) else (0, np.zeros(0, int))
-                    yield pa.RecordBatch.from_arrays([pa.array(leaf[keep])], ["leaf"])
-                    continue
-                raw = buf.tobytes()
-                texts = pa.array([raw[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)], pa.binary()).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc + lo)), pa.array(leaf), pa.array(line), texts], ["id", "leaf", "line", "text"])
+    return doc, begin, end, leaf.view(np.int64), line.view(np.int64), b - a
+
+
+def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each distinct line of each row, by its hashes."""
+    for batch in batches:
+        for lo, _, buf, offs in ts.text_chunks(batch.column(2)):
+            doc, _, _, leaf, line, words = _lines(buf, offs)
+            _, keep = np.unique(np.stack([doc, line], 1), axis=0, return_index=True) if len(doc) else (0, np.zeros(0, int))
+            at = pa.array(doc[keep] + lo)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(leaf[keep]), pa.array(line[keep]), pa.array(words[keep].astype(np.int32))], ["id", "h", "leaf", "line", "words"])
 
-    return run
+
+def _emit_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines with their texts, each once per chunk of rows."""
+    for batch in batches:
+        for _, _, buf, offs in ts.text_chunks(batch.column(0)):
+            _, begin, end, leaf, line, _ = _lines(buf, offs)
+            line, keep = np.unique(line, return_index=True)
+            raw = buf.tobytes()
+            texts = pa.array([raw[a:b] for a, b in zip(begin[keep].tolist(), end[keep].tolist(), strict=True)], pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(leaf[keep]), pa.array(line), texts], ["leaf", "line", "text"])
 
 
 def _join(patterns: list[str], both: bool = False) -> tuple[np.ndarray, list[str]]:
@@ -138,19 +144,34 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("h"), F.col(text_col).cast("string").alias("text"))
+
+
+def _parsed(rows: DataFrame) -> DataFrame:
+    """One row per text and distinct line: id, h (hash of the text), leaf, line, words; lines are read once for all counts."""
+    return cut(rows.mapInArrow(_emit, "id long, h long, leaf long, line long, words int"))
+
+
 def line_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
-    """The recurring lines: (line hash, template number within its leaf, leaf, pattern, n_docs of the template).
+    """The lines of recurring templates: (line hash, template number within its leaf, leaf, pattern, n_docs of the template).
 
-    One pass counts documents per leaf of the tree; only lines of leaves that reach `min_docs` go on, as distinct lines
+    Only lines of leaves of the tree that reach `min_docs` documents go on, as distinct lines
     with counts, so a line that all documents share is one row per task. The lines of a leaf with more than LEAF_LINES
-    distinct ones are dealt over tasks, each of which finds the templates of its part; then one task merges the few
+    distinct ones are dealt over tasks, each of which finds the templates of its part; then one task merges the
     templates of the leaf. A leaf is never split by its words, so a template recurs however many variants it has.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    leaves = rows.mapInArrow(_emit_lines(False), "leaf long").groupBy("leaf").agg(F.count("*").alias("c"))
-    leaves = cut(leaves.where(F.col("c") >= min_docs).select("leaf"))
-    lines = rows.mapInArrow(_emit_lines(True), "id long, leaf long, line long, text string").join(_small(leaves), "leaf")
-    seen = cut(lines.groupBy("leaf", "line", "id").agg(F.first("text").alias("text")).groupBy("leaf", "line").agg(F.count("*").alias("docs"), F.min("text").alias("text")).select("leaf", "line", "docs", _masked().alias("masked")))
+    rows = _rows(docs, id_col, text_col)
+    return _templates(rows, _parsed(rows), min_docs)
+
+
+def _templates(rows: DataFrame, parsed: DataFrame, min_docs: int) -> DataFrame:
+    of = parsed.select("leaf", "line", "id").distinct()
+    leaves = cut(parsed.groupBy("leaf").agg(F.count("*").alias("c")).where(F.col("c") >= min_docs).select("leaf"))
+    docs_of_line = of.join(_small(leaves), "leaf", "left_semi").groupBy("leaf", "line").agg(F.count("*").alias("docs"))
+    texts = rows.select("text").mapInArrow(_emit_texts, "leaf long, line long, text string").join(_small(leaves), "leaf")
+    texts = texts.groupBy("leaf", "line").agg(F.min("text").alias("text")).select("leaf", "line", _masked().alias("masked"))
+    seen = cut(docs_of_line.join(texts, ["leaf", "line"]))
     full = cut(seen.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") > LEAF_LINES))
     found = "leaf long, line long, template long, pattern string"
     merged = seen.join(_small(full), "leaf", "left_anti").groupBy("leaf").applyInPandas(_merge(False), found)
@@ -161,16 +182,27 @@ def line_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         firsts = cut(firsts.groupBy("leaf").applyInPandas(_merge(True), found).withColumnRenamed("line", "first"))
         merged = merged.unionByName(folded.select("leaf", "line", "first").join(_small(firsts), ["leaf", "first"]).drop("first"))
     merged = cut(merged)
-    docs_of = lines.select("line", "id").distinct().join(merged, "line").select("leaf", "template", "id").distinct()
+    docs_of = of.select("line", "id").join(merged, "line").select("leaf", "template", "id").distinct()
     counts = docs_of.groupBy("leaf", "template").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") >= min_docs)
     return merged.join(counts, ["leaf", "template"])
 
 
+def long_lines(parsed: DataFrame) -> DataFrame:
+    """Lines of many words that recur as they are, up to words with digits, in a few documents: line, and the least id of
+    their documents."""
+    enough = F.lit(None).cast("long")
+    for words, least in sorted(LONG_LINES):
+        enough = F.when(F.col("words") >= words, F.lit(least)).otherwise(enough)
+    lines = parsed.where(F.col("words") >= min(w for w, _ in LONG_LINES)).select("line", "words", "id").distinct()
+    lines = lines.groupBy("line", "words").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    return lines.where(F.col("n") >= enough).select("line", "first")
+
+
 def _drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts, gone = batch.column(1), batch.column(2)
+        texts, gone = batch.column(2), batch.column(3)
         for lo, hi, buf, offs in ts.text_chunks(texts):
-            doc, begin, end, _, line = _lines(buf, offs)
+            doc, begin, end, _, line, _ = _lines(buf, offs)
             raw, cuts = buf.tobytes(), np.searchsorted(doc, np.arange(hi - lo + 1))
             clean, n_lines, n_dropped = [], [], []
             for d in range(hi - lo):
@@ -183,21 +215,27 @@ def _drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     out.append(raw[pos:a])
                     pos = b
                 clean.append((b"".join(out) + raw[pos : offs[d + 1]]).decode() if texts[lo + d].is_valid else None)
-            keep = [c.slice(lo, hi - lo) for i, c in enumerate(batch.columns) if i not in (1, 2)]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(clean, pa.string())], ["id", "n_lines", "n_dropped", "clean_text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(clean, pa.string())], ["id", "n_lines", "n_dropped", "clean_text"])
 
 
 def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
-    """Per document: id, n_lines (with a word), n_dropped, clean_text (without the lines whose template recurs in at
-    least `min_docs` documents; other bytes stay as they are).
+    """Per document: id, n_lines (with a word), n_dropped, clean_text (other bytes stay as they are).
+
+    Lines whose template recurs in at least `min_docs` documents are dropped everywhere. A long line recurs as itself in
+    fewer documents (LONG_LINES: from 50 words on in two, from 8 words on in three); as it may be prose, the document with
+    the least id keeps it.
 
     Defined cases: null text stays null with 0 lines; blank lines are kept and not counted; rows that share an id are one
     document in counts, null ids together one, and each row is cleaned on its own; a line repeated within one
     document counts one document; an empty table gives an empty result; other columns are not looked at.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    recurring = cut(line_templates(docs, id_col, text_col, min_docs).select("line").distinct())
-    occurs = rows.mapInArrow(_emit_lines(True), "id long, leaf long, line long, text string").select("id", "line").join(_small(recurring), "line")
-    gone = cut(occurs.groupBy("id").agg(F.collect_set("line").alias("gone")).withColumnRenamed("id", "_id"))
-    out = rows.join(gone, F.col("id").eqNullSafe(F.col("_id")), "left").select("id", "text", "gone")
+    rows = _rows(docs, id_col, text_col)
+    parsed = _parsed(rows)
+    recurring = _templates(rows, parsed, min_docs).select("line").distinct().withColumn("first", F.lit(None).cast("long"))
+    recurring = cut(recurring.union(long_lines(parsed)).groupBy("line").agg((F.count("*") > F.count("first")).alias("everywhere"), F.min("first").alias("first")))
+    # the least id keeps a long line; with null ids alone, no one does
+    occurs = parsed.select("id", "h", "line").join(_small(recurring), "line").where("everywhere or not (id <=> first) or first is null")
+    # by id and text: the lists of a text hold its own lines at most, however many rows share an id or have none
+    gone = cut(occurs.groupBy("id", "h").agg(F.collect_set("line").alias("gone")).withColumnsRenamed({"id": "_id", "h": "_h"}))
+    out = rows.join(gone, F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left").select("id", "h", "text", "gone")
     return out.mapInArrow(_drop, "id long, n_lines long, n_dropped long, clean_text string").withColumnRenamed("id", id_col)

@@ -1,6 +1,7 @@
 """Corpus operators against brute force, on tables with nulls, empty and long texts, ties, repeats and extra columns."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -17,6 +18,8 @@ from tallyline.llm.queries import tokenizer_file
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, key string, label int"
+#: Extra columns by names that operators use inside.
+CLASHES = ("id", "hit", "_hit", "_id", "_n", "_copies", "_copy", "_gone", "size", "own", "h", "sh", "gone", "kept", "block", "target")
 
 
 def corpus(seed=3, n=60):
@@ -176,6 +179,40 @@ def test_flight_keeps_totals():
     assert out @ mass == pytest.approx(pi @ mass) and out.sum() == pytest.approx(150)
 
 
+def test_mix_in_blocks_keeps_totals_and_reruns_agree(spark, monkeypatch):
+    """Sources of many blocks, of one, of few documents; each is landed on its own."""
+    draw = random.Random(9)
+    rows = [(i, " w" * draw.randint(1, 300), "big") for i in range(3000)] + [(10_000 + i, " w" * draw.randint(1, 300), "mid") for i in range(120)] + [(20_000 + i, " w" * (i + 1), "small") for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    monkeypatch.setattr(mixing, "BLOCK_UNITS", 200)
+    plan = mixing.mix_sources(docs).collect()
+    assert len(plan) == len(rows)
+    for s in ("big", "mid", "small"):
+        own = [r for r in plan if r.source == s]
+        off = abs(sum(r.copies * r["size"] for r in own) - own[0].target)
+        assert off <= {"big": 40, "mid": 60, "small": 4}[s], (s, off)
+        assert abs(sum(r.copies for r in own) - len(own) * own[0].target / own[0].source_size) <= 4
+    assert sorted(map(str, plan)) == sorted(map(str, mixing.mix_sources(docs.repartition(5)).collect()))
+
+
+def test_flight_and_landing_keep_probabilities():
+    import pandas as pd
+
+    g = pd.DataFrame({"doc_id": range(12), "source": "s", "block": 0, "blocks": 1, "size": range(1, 13), "mass": np.arange(1.0, 13), "mult": 1, "pi": np.linspace(0.1, 0.9, 12)})
+    runs = [mixing._fly(seed)(g).sort_values("doc_id")["pi"].to_numpy() for seed in range(3000)]
+    assert np.isin(runs, (0, 1)).all()
+    assert np.abs(np.mean(runs, 0) - g["pi"]).max() < 0.04  # over four standard deviations
+
+
+def test_extra_columns_of_any_name_are_kept(spark):
+    rows = [(i, f"text {i} " * 60 if i % 2 else "the benchmark item of eight words stands here " * 8, "ab"[i % 2]) for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({c: F.lit(c) for c in CLASHES})
+    bench = spark.createDataFrame([(1, "the benchmark item of eight words stands here")], "item_id long, text string")
+    for out in (mixing.take_mix(docs), contamination.decontaminate(docs, bench), quality.keep_good(docs, None), corpus_pipeline.near_duplicates(spark, docs, "")):
+        assert out.columns == docs.columns and all(r[c] == c for r in out.collect() for c in CLASHES)
+    assert contamination.decontaminate(docs, bench).count() == 4
+
+
 def test_byte_bpe_is_the_library():
     import pyarrow as pa
 
@@ -381,6 +418,56 @@ def test_secrets(spark, docs, none):
     assert secrets.redact("a password=abcdef b", secrets.pattern_spans("a password=abcdef b")) == "a [secret] b"
 
 
+def test_viterbi_and_likelihood_by_enumeration():
+    draw = np.random.default_rng(3)
+    n_feat, sizes = 5, [1, 2, 3, 4, 4]
+    end = np.cumsum(sizes)
+    first, x = end - sizes, draw.normal(size=(end[-1], n_feat))
+    field = secrets.SecretField(draw.normal(size=(3, n_feat)), draw.normal(size=(3, 3)))
+    score = lambda tags, e, m: e[range(len(tags)), list(tags)].sum() + sum(m[a, b] for a, b in zip((2, *tags), (*tags, 2), strict=True))
+    got = secrets.viterbi(field, first, end, x)
+    for a, b in zip(first, end, strict=True):
+        e = x[a:b] @ field.emit.T
+        best = max(itertools.product(range(3), repeat=b - a), key=lambda t: score(t, e, field.move))
+        assert tuple(got[a:b]) == best
+    # the fit is at a maximum of the enumerated likelihood: steps along any weight do not raise it
+    tags = np.array([2, 0, 1, 2, 0, 2, 0, 1, 1, 2, 2, 2, 0, 2][: end[-1]])
+    fitted = secrets.fit_field([(first, end, x, tags)], steps=3000, ridge=0.5)
+
+    def loss(emit, move):
+        out = 0.25 / 10 * ((emit**2).sum() + (move[move > -40] ** 2).sum() + (move[2, 1] + 50) ** 2)
+        for a, b in zip(first, end, strict=True):
+            e = x[a:b] @ emit.T
+            out += (np.logaddexp.reduce([score(t, e, move) for t in itertools.product(range(3), repeat=b - a)]) - score(tags[a:b], e, move)) / len(sizes)
+        return out
+
+    low = loss(fitted.emit, fitted.move)
+    for _ in range(40):
+        assert loss(fitted.emit + 0.05 * draw.normal(size=fitted.emit.shape), fitted.move + 0.05 * draw.normal(size=(3, 3))) > low
+
+
+def test_secrets_beyond_the_patterns(spark):
+    """Recall and precision of the field's own spans: secrets of names and shapes that no pattern matches."""
+    draw = random.Random(12)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    rand = lambda k, of=letters: "".join(draw.choice(of) for _ in range(k))
+    prose = lambda k: " ".join("".join(draw.choice(letters[:26]) for _ in range(draw.randint(2, 9))) for _ in range(k))
+    plain = [lambda: " on 2024-05-06 at 12:45 ", lambda: f" about {draw.randint(1, 10**6)} items ", lambda: " https://example.org/a/b?page=2 ", lambda: " Chapter 12, SECTION 4 "]
+    hidden = [lambda: f"password={rand(16)}", lambda: f"token: {rand(24)}", lambda: f'secret = "{rand(20)}"', lambda: f"AKIA{rand(16, letters[26:])}", lambda: rand(40, "0123456789abcdef")]
+    rows = [(i, prose(40) + draw.choice(plain)() + prose(20) + (" " + draw.choice(hidden)() + " " if i % 3 == 0 else " ") + prose(30)) for i in range(900)]
+    field = secrets.train_secret_field(spark.createDataFrame(rows, "doc_id long, text string"))
+    missed = [lambda: f"pwd={rand(18)}", lambda: f"credential: {rand(24)}", lambda: rand(24), lambda: f"authorization={rand(32)}", lambda: f"private_key = {rand(28)}"]
+    caught = added = right = 0
+    for _ in range(400):
+        before, secret, after = prose(25) + draw.choice(plain)(), draw.choice(missed)(), " " + draw.choice(plain)() + prose(25)
+        assert not secrets.pattern_spans(before + secret + after)
+        spans = secrets.scan_texts([before + secret + after], field)[0]
+        hit = [a < len(before) + len(secret) and len(before) < b for a, b, _ in spans]
+        caught, added, right = caught + any(hit), added + len(hit), right + sum(hit)
+    print("recall", caught / 400, "precision", right / max(added, 1))
+    assert caught / 400 >= 0.8 and right / added >= 0.9
+
+
 def test_line_templates(spark, none):
     rows = [(i, f"own line of {'abcdefghijklm'[i]}{i} only\nServed from host {i} at port 80\n\nRead more here\ntail {'x' * i}", "e") for i in range(12)] + [(50, None, "e"), (51, "", "e"), (52, "\n \n", "e"), (None, "Read more here", "e"), (3, "Read more here", "e")]
     df = spark.createDataFrame(rows, "doc_id long, text string, leaf string")
@@ -402,6 +489,68 @@ def test_crowded_leaf_keeps_its_templates(spark, monkeypatch):
         assert {(r.n_dropped, r.clean_text) for r in got} == {(2, "")}
 
 
+def plain_line_dedup(rows, min_docs):
+    """drop_recurring_lines() without Spark: every line against every template of its leaf."""
+    mask = lambda w: "<*>" if re.search("[0-9]", w) else w
+    lines = {}
+    for i, t in rows:
+        for x in (t or "").split("\n"):
+            if w := WORD.findall(x):
+                lines.setdefault(tuple(map(mask, w)), set()).add(i)
+    leaves, gone = {}, {}
+    for w, ids in lines.items():
+        leaves.setdefault((len(w), w[:3]), []).append((-len(ids), " ".join(w), w))
+    for leaf in leaves.values():
+        templates, members = [], []
+        for _, _, w in sorted(leaf):
+            equal = [sum(x == y != "<*>" for x, y in zip(t, w, strict=True)) for t in templates]
+            fixed = sum(x != "<*>" for x in w)
+            k = equal.index(max(equal)) if equal and fixed and 5 * max(equal) >= 3 * fixed else len(templates)
+            if k == len(templates):
+                templates.append(w)
+                members.append([])
+            templates[k] = tuple(x if x == y else "<*>" for x, y in zip(templates[k], w, strict=True))
+            members[k].append(w)
+        for group in members:
+            if len(set().union(*(lines[w] for w in group))) >= min_docs:
+                gone.update(dict.fromkeys(group, (True, None)))
+    for w, ids in lines.items():
+        if w not in gone and len(w) >= 8 and len(ids) >= (2 if len(w) >= 50 else 3):
+            gone[w] = (False, min((i for i in ids if i is not None), default=None))
+    out = []
+    for i, t in rows:
+        kept, n, dropped = [], 0, 0
+        parts = re.findall(r"[^\n]*\n|[^\n]+$", t or "")
+        for x in parts:
+            w = tuple(map(mask, WORD.findall(x)))
+            n += bool(w)
+            hit = w in gone and (gone[w][0] or gone[w][1] is None or gone[w][1] != i)
+            dropped += hit
+            kept += [] if hit else [x]
+        out.append((i, n, dropped, None if t is None else "".join(kept)))
+    return out
+
+
+def test_line_dedup_is_the_plain_one(spark):
+    draw = random.Random(17)
+    vocab = [f"w{'abcdefghij'[k % 10]}{'xyz'[k % 3]}" for k in range(30)]
+    prose = lambda k: " ".join(draw.choice(vocab) for _ in range(k))
+    shared = [prose(k) for k in (3, 7, 9, 12, 60, 80)]
+    rows = []
+    for i in range(80):
+        lines = [prose(draw.choice([1, 4, 9])) for _ in range(draw.randint(0, 4))] + draw.sample(shared, draw.randint(0, 1))
+        w = "the server is on host and port for you".split()
+        w[draw.choice([3, 4, 5, 6])] = draw.choice(vocab)
+        lines += [" ".join(w)] if i % 3 == 0 else [f"page {i} of {i * 3}"] if i % 3 == 1 else []
+        draw.shuffle(lines)
+        rows.append((i if i % 13 else None, "\n".join(lines) + draw.choice(["", "\n", "\n\n"])))
+    rows += [(200, None), (201, ""), (202, " \n\t\n"), rows[3], (rows[4][0], rows[5][1])]
+    got = line_templates.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    want = plain_line_dedup(rows, line_templates.MIN_DOCS)
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    assert sum(r[2] for r in want) > 60
+
+
 @pytest.mark.parametrize("names", [900, 2000])
 def test_template_recurs_with_any_number_of_variants(spark, names):
     word = lambda i: "".join("abcdefghij"[int(c)] for c in str(i))
