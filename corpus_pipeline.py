@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyline.llm import contamination, mixing, near_dups, quality, token_files
-from tallyline.llm.cluster import fresh_dir, small_batches
+from tallyline.llm.cluster import fresh_dir, fresh_names, small_batches
 from tallyline.llm.queries import tokenizer_file
 
 
@@ -20,9 +20,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the least id, of each group linked by five-word shingles at 0.8 or more."""
     small_batches(spark)
+    (gone,) = fresh_names(docs, "gone")
     found = near_dups.near_duplicates(docs, shingle_words=5)
-    gone = found.where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    dropped = found.where("not kept").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(dropped, docs["doc_id"] == F.col(gone), "left_anti")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
