@@ -15,13 +15,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .cluster import cut, shared_dir
+from .cluster import cut, hot_join, shared_dir
 from .token_files import open_store
 
 #: Bytes of an archive that one reading task scans.
 SPLIT_BYTES = 8 << 20
 #: Bytes that a reading task takes at first beyond its split for the last header; it reads on where that is too short.
 HEADER_BYTES = 1 << 16
+#: Groups of equal payloads up to which their table is broadcast (some 20 MB at about 100 bytes a row).
+BROADCAST_ROWS = 200_000
 _BLANK = b"\r\n\r\n"
 _MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
 _LENGTH = re.compile(rb"\r\ncontent-length:[ \t]*(\d+)[ \t]*(?=\r\n)", re.IGNORECASE)
@@ -79,9 +81,15 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(body_col).cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha1(F.col("html").cast("binary")))
     groups = rows.where(F.octet_length("html") >= revisit_bytes).where("page_id is not null").groupBy("digest", F.octet_length("html").alias("size")).agg(F.max("page_id").alias("main"), F.count("*").alias("c"))
-    groups = cut(groups.where("c > 1").select("digest", "size", "main"))
-    few = groups.limit(200_001).count() <= 200_000
-    rows = rows.withColumn("size", F.octet_length("html")).join(F.broadcast(groups) if few else groups, ["digest", "size"], "left")
+    groups = cut(groups.where("c > 1").select("digest", "size", "main", F.col("c").alias("n")))
+    rows = rows.withColumn("size", F.octet_length("html"))
+    if groups.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        rows = rows.join(F.broadcast(groups.drop("n")), ["digest", "size"], "left")
+    else:
+        large = F.col("size") >= revisit_bytes  # small payloads, such as empty ones, stay out of the shuffle
+        met = hot_join(rows.where(large), groups.select("digest", "main", F.col("size").alias("own_size")), groups.select("digest", "n"), "digest", "page_id", "left")
+        met = met.withColumn("main", F.when(F.col("own_size") == F.col("size"), F.col("main"))).drop("own_size")
+        rows = met.unionByName(rows.where(~large).withColumn("main", F.lit(None).cast("long")))
     rows = rows.select("page_id", "url", "html", "digest", F.when(F.col("page_id") != F.col("main"), F.col("main")).alias("refers"))
     return cut(rows.mapInArrow(_write(path), "file string, bytes long, n_records long"))
 
@@ -165,6 +173,43 @@ def record_chain(files: DataFrame, path: str) -> DataFrame:
     return reached.select("file", "bytes", one.cast("long").alias("split"), F.col("at").alias("entry"))
 
 
+def _fields(header: bytes) -> dict[str, str]:
+    """The named fields of a record header, by lower-case name; a line that begins with a blank goes on with the one
+    before, the first of equal names counts, and bytes that are not UTF-8 are replaced."""
+    out: dict[str, str] = {}
+    name = None
+    for line in header.decode(errors="replace").split("\r\n")[1:]:
+        if line[:1] in (" ", "\t") and name:
+            out[name] += " " + line.strip()
+        elif ":" in line:
+            name, value = line.split(":", 1)
+            name = name.strip().lower()
+            out.setdefault(name, value.strip())
+    return out
+
+
+def _http_head(block: bytes) -> bytes:
+    """The HTTP header of a block with its blank line; empty where there is none."""
+    stop = block.find(_BLANK)
+    return block[: stop + 4] if block.startswith(b"HTTP/") and stop >= 0 else b""
+
+
+def _number(text: str | None) -> int | None:
+    return int(text) if text and text.lstrip("-").isdigit() else None
+
+
+def _hex_digest(text: str | None) -> str | None:
+    """The SHA-1 of a digest field in lower-case hex, which the field may hold in base 32 or 16; null for others."""
+    kind, _, value = (text or "").partition(":")
+    if kind.strip().lower() != "sha1":
+        return None
+    value = value.strip()
+    try:
+        return (base64.b32decode(value.upper()) if len(value) == 32 else bytes.fromhex(value)).hex()
+    except ValueError:
+        return None
+
+
 def _records(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, folder = open_store(path)
@@ -181,20 +226,19 @@ def _records(path: str):
                                 raise ValueError(f"no end of the record header at {at} in {file}")
                             base, head, raw = at, 0, f.read_at(min(piece, size - at), at)
                             stop, piece = raw.find(_BLANK), 2 * piece
-                        fields = dict(x.split(": ", 1) for x in raw[head:stop].decode().split("\r\n")[1:])
-                        n = int(fields["Content-Length"])
+                        fields = _fields(raw[head:stop])
+                        n = int(fields["content-length"])
                         if stop + 4 + n > len(raw):
                             base, raw = at, f.read_at(stop - head + 4 + n, at)
                             head, stop = 0, stop - head
                         block = raw[stop + 4 : stop + 4 + n]
-                        kind = fields["WARC-Type"]
+                        kind = fields.get("warc-type")
+                        body = block[len(_http_head(block)) :] if fields.get("content-type", "").startswith("application/http") else block
+                        length, digest = len(body), hashlib.sha1(body).hexdigest()
                         if kind == "revisit":
-                            body, length, digest = None, int(fields["X-Payload-Length"]), base64.b32decode(fields["WARC-Payload-Digest"].split(":")[1]).hex()
-                        else:
-                            body = block[block.find(b"\r\n\r\n") + 4 :]
-                            length, digest = len(body), hashlib.sha1(body).hexdigest()
-                        page, refers = fields.get("X-Page-Id"), fields.get("X-Refers-To-Page")
-                        rows.append((file, at, kind, page and int(page), fields.get("WARC-Target-URI"), length, digest, refers and int(refers), body))
+                            body, length, digest = None, _number(fields.get("x-payload-length")), _hex_digest(fields.get("warc-payload-digest"))
+                        page, refers = _number(fields.get("x-page-id")), _number(fields.get("x-refers-to-page"))
+                        rows.append((file, at, kind, page, fields.get("warc-target-uri"), length, digest, refers, body))
                         at += stop - head + 4 + n + 4
                         if len(rows) >= 200 or at >= end:
                             yield pa.RecordBatch.from_pylist([dict(zip(_SCHEMA.names, r, strict=True)) for r in rows], schema=_SCHEMA)
@@ -215,7 +259,11 @@ def archive_files(spark: SparkSession, path: str) -> DataFrame:
 
 def read_warc(files: DataFrame, path: str) -> DataFrame:
     """All records that the chain of boundaries reaches: file, offset, record_type, page_id, url, payload_bytes,
-    payload_digest (SHA-1, lower-case hex; recomputed for responses), refers_to, payload (null for revisits).
+    payload_digest (SHA-1, lower-case hex; recomputed but for revisits), refers_to, payload (null for revisits).
+
+    Archives of other writers may hold any record types and fields: names are read in any case of letters, what only this
+    module writes (page ids, payload lengths of revisits) is null where it is absent, and a record that is not HTTP has
+    its whole block as payload.
 
     A split is read by one task in pieces; memory holds one record and a piece, and headers may have any length. Bytes
     that look like a record inside a payload are left out; a broken boundary raises ValueError. An empty archive gives

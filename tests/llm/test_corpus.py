@@ -1,7 +1,9 @@
 """Corpus operators against brute force, on tables with nulls, empty and long texts, ties, repeats and extra columns."""
 
+import base64
 import hashlib
 import itertools
+import os
 import random
 import re
 import zlib
@@ -578,22 +580,102 @@ def test_template_join_is_the_plain_one():
         assert at.tolist() == want and got == [" ".join(t) for t in templates]
 
 
+def plain_licenses(text, templates):
+    """scan_licenses() of one text, with every run of words tried: {license: (units, best Dice, start, end)}."""
+    word = re.compile(r"[a-z0-9\x80-\U0010ffff]+")
+    cased = re.sub("[A-Z]", lambda m: m[0].lower(), text)
+    w = [(m.group(), len(cased[: m.start()].encode()), len(cased[: m.end()].encode())) for m in word.finditer(cased)]
+    grams = [(a[0], b[0]) for a, b in zip(w, w[1:], strict=False)]
+    out = {}
+    for name, template in templates:
+        t = [(a, b) for a, b in zip(word.findall(template.lower()), word.findall(template.lower())[1:], strict=False)]
+        own, longest = set(t), max(int(len(t) * 1.5), 1)
+        units, todo = {(0, len(grams))}, [(0, len(grams))]
+        while todo:
+            a, b = todo.pop()
+            if 3 * sum(g in own for g in grams[a:b]) < 2 * len(own):
+                continue
+            best = max(((sum(10 * (g in own) - 4 for g in grams[i:j]), -j, i) for i in range(a, b) for j in range(i + 1, min(i + longest, b) + 1)))
+            i, j = best[2], -best[1]
+            units.add((i, j))
+            todo += [(a, i), (j, b)]
+        for i, j in units:
+            u = set(grams[i:j])
+            if u and 10 * len(u & own) >= 4 * (len(u) + len(own)):
+                out.setdefault(name, []).append((-2 * len(u & own) / (len(u) + len(own)), w[i][1], w[j][2]))
+    return {n: (len({x[1:] for x in v}), round(-min(v)[0], 6), *min(v)[1:]) for n, v in out.items()}
+
+
 def test_licenses(spark, docs, none):
-    mit = licenses.TEMPLATES[13][1]
-    rows = [(1, "# released under the  MIT license!\nfoo bar"), (2, "intro words\n\n" + mit.replace(". ", ".\n") + "\n\nmore"), (3, "nothing here"), (4, None), (5, ""), (6, mit[: len(mit) // 3])]
-    got = {(r.doc_id, r.license): r.best_dice for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert set(got) == {(1, "MIT"), (2, "MIT")}
-
-    def grams(t):
-        w = re.findall(r"[a-z0-9\x80-\U0010ffff]+", t.lower())
-        return set(zip(w, w[1:], strict=False))
-
-    for doc, unit in ((1, rows[0][1].split("\n")[0]), (2, mit)):
-        best = max(2 * len(grams(unit) & grams(t)) / (len(grams(unit)) + len(grams(t))) for n, t in licenses.TEMPLATES if n == "MIT")
-        assert got[doc, "MIT"] == pytest.approx(best, abs=1e-6)
+    draw = random.Random(2)
+    vocab = "the of software license permission to and in is licensed under by notice copy é".split()
+    prose = lambda k: " ".join(draw.choice(vocab) for _ in range(k))
+    short = tuple(t for t in licenses.NOTICES if len(t[1]) < 260)
+    rows = [(i, "\n".join([prose(draw.randint(0, 9)), "".join(draw.choice(["# ", "", " * "]) + draw.choice(short)[1] for _ in range(draw.randint(0, 2))), prose(4)])) for i in range(40)]
+    rows += [(100, None), (101, ""), (102, "one"), (103, "Released under the MIT License. Released under the MIT License."), (None, "Released under the MIT license"), (104, prose(5) + " Licensed under CC BY 4.0. See " + prose(9))]
+    got = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), templates=short).collect()
+    want = [(i, n, *v) for i, t in rows for n, v in plain_licenses(t or "", short).items()]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want)) and len(want) > 20
     assert licenses.scan_licenses(none).count() == 0 and licenses.scan_licenses(docs).count() == 0
 
 
+def test_whole_licenses(spark):
+    """Full texts are found between other paragraphs, with any line ends and behind comment marks."""
+    texts = {n: t for n, t in licenses.NOTICES if len(t) > 700} | dict(licenses.full_texts())
+    rows = []
+    for i, (_, t) in enumerate(texts.items()):
+        lines = [x for part in t.split("\n") for x in re.findall(r".{1,70}(?: |$)|^$", part)]
+        rows.append((3 * i, "Some project of ours.\n\n" + t + "\n\nMore about it follows here.\n"))
+        rows.append((3 * i + 1, "Intro\r\n \r\n" + "\r\n".join(lines) + "\r\n\r\nend"))
+        rows.append((3 * i + 2, "/*\n" + "\n".join(" * " + x for x in lines) + "\n */\nint main() { return 0; }\n" * 3))
+    got = {}
+    for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect():
+        got.setdefault(r.doc_id, {})[r.license] = r.best_dice
+    for i, name in enumerate(texts):
+        for k in range(3):
+            assert got[3 * i + k][name] > 0.97, (name, k)
+
+
+def test_best_run_is_the_plain_one():
+    draw = random.Random(4)
+    for _ in range(300):
+        hits = np.array([draw.random() < 0.5 for _ in range(draw.randint(1, 25))], np.int64)
+        longest = draw.randint(1, 30)
+        want = max((sum(10 * x - 4 for x in hits[i:j]), -j, i) for i in range(len(hits)) for j in range(i + 1, min(i + longest, len(hits)) + 1))
+        assert licenses.best_run(hits, 10, 4, longest) == (want[2], -want[1])
+
+
+def test_warc_of_another_writer(spark):
+    body = b"<p>hi</p>"
+    http = b"HTTP/1.0 200 OK\r\nserver: x\r\n\r\n" + body
+    heads = [
+        (b"warc-type:response\r\nWARC-Target-URI:  http://a/ \r\nContent-Type: application/http;msgtype=response\r\ncontent-LENGTH:%d" % len(http), http),
+        (b"WARC-Type: warcinfo\r\nX-Folded: a\r\n b: c\r\nNo colon here\r\nContent-Length: 4", b"a: b"),
+        (b"WARC-Type: revisit\r\nWARC-Payload-Digest: sha1:" + base64.b32encode(hashlib.sha1(body).digest()) + b"\r\nContent-Type: application/http\r\nContent-Length: 0", b""),
+        (b"WARC-Type: resource\r\nWARC-Payload-Digest: md5:\xff\r\nContent-Length: 9", body),
+    ]
+    path = fresh_dir(spark, "warc")
+    os.makedirs(path.removeprefix("file://"))
+    with open(path.removeprefix("file://") + "/other.warc", "wb") as f:
+        f.write(b"".join(b"WARC/1.0\r\n" + h + b"\r\n\r\n" + x + b"\r\n\r\n" for h, x in heads))
+    out = warc.read_warc(warc.archive_files(spark, path), path).orderBy("offset").collect()
+    sha = hashlib.sha1(body).hexdigest()
+    assert [(r.record_type, r.url, r.payload_bytes, r.payload_digest, r.page_id) for r in out] == [("response", "http://a/", 9, sha, None), ("warcinfo", None, 4, hashlib.sha1(b"a: b").hexdigest(), None), ("revisit", None, None, sha, None), ("resource", None, 9, sha, None)]
+
+
+def test_warc_with_many_groups(spark, monkeypatch):
+    """Groups of equal payloads beyond the broadcast, one of them hot."""
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", 1)
+    rows = [(i, "u", ("a" if i % 3 else f"b{i // 9}") * 1200) for i in range(900)]
+    path = fresh_dir(spark, "warc")
+    warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), path)
+    main = {}
+    for i, _, t in rows:
+        main[t] = max(main.get(t, -1), i)
+    got = {r.page_id: (r.record_type, r.refers_to) for r in warc.read_warc(warc.archive_files(spark, path), path).collect()}
+    assert got == {i: ("response", None) if main[t] == i else ("revisit", main[t]) for i, _, t in rows}
+
+
 def test_pipeline(spark, tmp_path):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
