@@ -122,7 +122,10 @@ def keyword_class(text: Column, rules: list[tuple[str, str]], default: str) -> C
 
 
 # Keywords of jump-shot types in order of precedence.
-SHOT_TYPES = [("step back", "stepback"), ("stepback", "stepback"), ("pullup", "pullup"), ("pull-up", "pullup"), ("running", "running"), ("fadeaway", "fadeaway"), ("turnaround", "turnaround")]
+SHOT_TYPES = [
+    ("step back", "stepback"), ("stepback", "stepback"), ("pullup", "pullup"), ("pull-up", "pullup"), ("pull up", "pullup"), ("running", "running"), ("driving", "running"),
+    ("fadeaway", "fadeaway"), ("fade away", "fadeaway"), ("turnaround", "turnaround"), ("turn around", "turnaround"),
+]
 
 
 def shot_type(text: Column, default: str = "catch_shoot") -> Column:
@@ -152,7 +155,7 @@ def height_inches(text: Column) -> Column:
 
 def tidy(text: Column) -> Column:
     """Without trailing '*' or '(n)', white space and non-breaking blanks collapsed."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(text, "[\\s ]+", " "), r"\s*\(\d+\)\s*$", ""), r"\*+$", ""))
+    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(text, "[\\s ]+", " "), r"\s*\(\d+\)\s*$", ""), r"\*+\s*$", ""))
 
 
 def number_or(c: Column, default: float | None = 0.0) -> Column:
@@ -233,3 +236,118 @@ def sliding_prior(attempts: Column, mix: Column | float = 1.0) -> tuple[Column,
 
 def shrunk_rate(makes: Column, attempts: Column, mu: Column, kappa: Column) -> Column:
     return (makes + kappa * mu) / (attempts + kappa)
+
+
+# --- events ------------------------------------------------------------------------------------------------------
+
+# Names of the numeric event types.
+EVENT_NAMES = {1: "Made Shot", 2: "Missed Shot", 3: "Free Throw", 4: "Rebound", 5: "Turnover", 6: "Foul", 8: "Substitution", 9: "Timeout", 10: "Jump Ball", 11: "Ejection", 12: "Period", 13: "Period"}
+
+# Expected three-point rates by area and shot type, and the league's rate they are taken relative to.
+LEAGUE_THREE = 0.365
+THREE_RATES = {
+    "corner": {"catch_shoot": 0.41, "pullup": 0.37, "stepback": 0.36, "running": 0.34, "fadeaway": 0.33, "turnaround": 0.33},
+    "above_break": {"catch_shoot": 0.38, "pullup": 0.34, "stepback": 0.33, "running": 0.32, "fadeaway": 0.31, "turnaround": 0.31},
+}
+
+
+def lookup(code: Column, names: dict, default) -> Column:
+    """The value of a small fixed table, `default` for other codes and null."""
+    table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    return F.coalesce(F.try_element_at(table, code), F.lit(default))
+
+
+def event_name(code: Column) -> Column:
+    return lookup(code.cast("int"), EVENT_NAMES, "")
+
+
+def first_text(*texts: Column) -> Column:
+    """The first text, trimmed, that is neither null, blank nor 'nan'; '' if there is none."""
+    filled = lambda c: F.when((F.trim(c) != "") & (F.lower(F.trim(c)) != "nan"), F.trim(c))
+    return F.coalesce(*[filled(c) for c in texts], F.lit(""))
+
+
+def is_three(text: Column, value: Column | None = None) -> Column:
+    """Worth three: the value says so, or the text."""
+    said = F.coalesce(F.upper(text).rlike("3-?PT"), F.lit(False))
+    return said if value is None else said | F.coalesce(value == 3, F.lit(False))
+
+
+def is_assisted(text: Column, second_player: Column | None = None) -> Column:
+    said = F.coalesce(F.upper(text).contains("AST)") | F.lower(text).contains("assist by"), F.lit(False))
+    return said if second_player is None else said | F.coalesce(second_player > 0, F.lit(False))
+
+
+def event_action(name: Column, text: Column) -> Column:
+    """Field goals as '2pt' or '3pt' by their text, free throws and jump balls in one word; other names stay."""
+    shot = F.when(F.coalesce(F.lower(text).rlike("3(-| )?pt"), F.lit(False)), "3pt").otherwise("2pt")
+    return F.when(name.isin("Made Shot", "Missed Shot"), shot).when(name == "Free Throw", "freethrow").when(name == "Jump Ball", "jumpball").otherwise(name)
+
+
+def shot_result(result: Column, name: Column) -> Column:
+    """A result that is given, else that of the event's name."""
+    return F.coalesce(F.when(result != "", result), F.when(name == "Made Shot", "Made").when(name == "Missed Shot", "Missed"))
+
+
+def is_free_throw(action: Column, sub_type: Column, text: Column) -> Column:
+    """By action, sub-type or text, without regard to case, blanks and marks."""
+    a, s, t = (F.coalesce(name_key(c), F.lit("")) for c in (action, sub_type, text))
+    return (a == "freethrow") | s.startswith("freethrow") | t.contains("freethrow")
+
+
+def free_throw_points(text: Column) -> Column:
+    return F.when(F.lower(F.coalesce(text, F.lit(""))).startswith("miss"), 0).otherwise(1)
+
+
+def rebound_side(text: Column, team: Column | None = None, shot_team: Column | None = None) -> Column:
+    """'offensive' or 'defensive' as the text says, else by whether the team took the last shot, else null."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    said = F.when(low.contains("offensive"), "offensive").when(low.contains("defensive"), "defensive")
+    return said if team is None else F.coalesce(said, F.when(team == shot_team, "offensive").when(team != shot_team, "defensive"))
+
+
+def period_end(period: Column) -> Column:
+    """Game seconds at which a period ends."""
+    return F.when(period <= 4, period * 720).otherwise(2880 + (period - 4) * 300)
+
+
+def clock_at(elapsed: Column, at_end: bool = False) -> Column:
+    """Remaining time of the period as 'PTmmMss.ssS'; at_end: a boundary is the end of the earlier period."""
+    left = period_end(period_at(elapsed, at_end)) - elapsed.cast("double")
+    return F.format_string("PT%02dM%05.2fS", F.floor(left / 60).cast("int"), left - F.floor(left / 60) * 60)
+
+
+def shot_factor(area: Column, kind: Column, catch_rate: Column | float) -> Column:
+    """Difficulty of a three relative to the league: by area and type; for type 'unknown' the season's mix of catch-and-shoot
+    and pull-up, for other types 1."""
+    flat = {f"{a}/{k}": r / LEAGUE_THREE for a, kinds in THREE_RATES.items() for k, r in kinds.items()}
+    at = lambda k: lookup(F.concat(area, F.lit("/"), k), flat, 1.0)
+    share = F.lit(catch_rate) if isinstance(catch_rate, float) else catch_rate
+    return F.when(kind == "unknown", share * at(F.lit("catch_shoot")) + (1 - share) * at(F.lit("pullup"))).otherwise(at(kind))
+
+
+def name_aliases(name: Column) -> Column:
+    """Keys by which a feed may name a player: the whole name, the last name with and without the first initial, and of
+    'Last Jr.' the last name with its suffix; an array without repeats."""
+    parts = F.filter(F.transform(F.split(F.regexp_replace(F.coalesce(name, F.lit("")), r"\.", " "), " +"), name_key), lambda p: p != "")
+    n = F.size(parts)
+    last = F.element_at(parts, -1)
+    suffixed = (n >= 2) & last.isin("jr", "sr", "ii", "iii", "iv")
+    more = F.when(n == 0, F.array().cast("array<string>")).when(suffixed, F.array(F.concat(F.try_element_at(parts, F.lit(-2)), last))).otherwise(F.array(last, F.concat(F.left(F.get(parts, F.lit(0)), F.lit(1)), last)))
+    return F.array_distinct(F.filter(F.concat(F.array(name_key(F.coalesce(name, F.lit("")))), more), lambda a: a != ""))
+
+
+def approximate_date(game_id: Column) -> Column:
+    """A date for a play-off game from its number: rounds follow each other from mid April to June.
+
+    Ids are '49' + last digit of the year from 1990 + number, or '4' + two digits of the year (from 96 on of the last century) + two
+    of the kind + number; other ids give null.
+    """
+    old = game_id.startswith("49")
+    short = F.substring(game_id, 2, 2).try_cast("int")
+    year = F.when(old, 1990 + F.substring(game_id, 3, 1).try_cast("int")).otherwise(F.when(short >= 96, 1900 + short).otherwise(2000 + short))
+    number = F.when(old, F.substring(game_id, 4, 20).try_cast("int")).otherwise(F.when(F.length(game_id) > 5, F.substring(game_id, 6, 20).try_cast("int")).otherwise(1))
+    into = lambda low, step: F.floor((number - low) / step)
+    month = F.when(number <= 48, 4).when(number <= 84, 5).otherwise(6)
+    day = F.when(number <= 48, F.least(15 + into(0, 4), F.lit(30))).when(number <= 72, F.least(1 + into(48, 2), F.lit(31))).when(number <= 84, F.least(20 + into(72, 2), F.lit(31))).otherwise(F.least(1 + into(84, 2), F.lit(30)))
+    return F.when(game_id.startswith("4"), F.make_date(year, month, day.cast("int")))

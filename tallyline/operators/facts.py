@@ -133,3 +133,39 @@ def unreversed(df: DataFrame, key: list[str], order: list[Column], value: str) -
     w = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     down = F.first(value, ignorenulls=True).over(w) > F.last(value, ignorenulls=True).over(w)
     return df.withColumn(value, F.when(down, F.max(value).over(w) - F.col(value)).otherwise(F.col(value)))
+
+
+def game_meta(rows: DataFrame) -> DataFrame:
+    """Per game with both sides, from player rows (game_id, date, team, matchup, pts): the last date, home and away team by the
+    matchup text, and their points."""
+    home, away = S.matchup_sides(F.col("matchup"))
+    sided = rows.withColumns({"_home": home, "_away": away})
+    points = lambda side: F.sum(F.when(F.col("team") == F.col(side), F.col("pts"))).alias(f"{side[1:]}_pts")
+    out = sided.groupBy("game_id").agg(F.max("date").alias("date"), F.max("_home").alias("home"), F.max("_away").alias("away"), points("_home"), points("_away"))
+    return out.where("home_pts is not null and away_pts is not null")
+
+
+def game_meta_of_stints(stints: DataFrame) -> DataFrame:
+    """Per game the date, both teams and the final score, which is the largest score at the end of a stint."""
+    top = {"date": "date", "home_id": "home_id", "away_id": "away_id", "home_pts": "end_home_score", "away_pts": "end_away_score"}
+    return stints.groupBy("game_id").agg(*[F.max(c).alias(n) for n, c in top.items()])
+
+
+def with_team_names(games: DataFrame, teams: DataFrame) -> DataFrame:
+    """Add home_abbr and away_abbr from the dimension (team_id, abbr), some thirty rows, used twice; Spark broadcasts it by its size."""
+    for side in ("home", "away"):
+        games = games.join(teams.select(F.col("team_id").alias(f"{side}_id"), F.col("abbr").alias(f"{side}_abbr")), f"{side}_id")
+    return games
+
+
+def with_season_figures(rows: DataFrame, figures: DataFrame, keys: dict[str, str], season_type: str) -> DataFrame:
+    """Left join of a season's figures (season, keys, season_type) to game rows; other kinds of season are dropped before the join."""
+    chosen = figures.where(F.col("season_type") == season_type).drop("season_type").withColumnsRenamed({v: k for k, v in keys.items()})
+    return rows.join(chosen, ["season", *keys], "left")
+
+
+def playoff_facts(stints: DataFrame, boxes: list[DataFrame], possessions: DataFrame, teams: DataFrame, people: DataFrame) -> DataFrame:
+    """player_game_facts() of a play-off season: games and scores come from the stints, box rows from the sources in order, and both
+    teams' names from the dimension."""
+    out = player_game_facts(boxes, game_meta_of_stints(stints), possessions, people)
+    return with_team_names(out, teams)

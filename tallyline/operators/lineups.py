@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,23 +17,35 @@ def combinations(arr: Column, k: int) -> Column:
 
 
 def by_side(stints: DataFrame) -> DataFrame:
-    """Two rows per stint, one per team: team_id, lineup, points for and against, raw and adjusted."""
+    """Two rows per stint, one per team: team_id, lineup, points for and against, raw and adjusted. One pass over the stints."""
 
-    def side(own: str, other: str) -> DataFrame:
-        return stints.select("game_id", "stint_index", "date", "seconds", F.col(f"{own}_id").alias("team_id"), F.col(f"{other}_id").alias("opponent_id"), F.sort_array(f"{own}_lineup").alias("lineup"), F.col(f"{own}_pts").alias("pf"), F.col(f"{other}_pts").alias("pa"), F.col(f"{own}_pts_adj").alias("pf_adj"), F.col(f"{other}_pts_adj").alias("pa_adj"))
+    def side(own: str, other: str) -> Column:
+        named = {"team_id": f"{own}_id", "opponent_id": f"{other}_id", "pf": f"{own}_pts", "pa": f"{other}_pts", "pf_adj": f"{own}_pts_adj", "pa_adj": f"{other}_pts_adj"}
+        return F.struct(*[F.col(c).alias(n) for n, c in named.items()], F.sort_array(f"{own}_lineup").alias("lineup"))
 
-    return side("home", "away").unionByName(side("away", "home"))
+    return stints.select("game_id", "stint_index", "date", "seconds", F.explode(F.array(side("home", "away"), side("away", "home"))).alias("s")).select("game_id", "stint_index", "date", "seconds", "s.*")
 
 
 def group_ratings(sides: DataFrame, size: int) -> DataFrame:
     """Per team and group of `size` players: games, stints, seconds, minutes, estimated possessions (seconds / 24) and net
-    ratings per 100, raw, adjusted and their difference."""
-    groups = F.array("lineup") if size == 5 else combinations(F.col("lineup"), size)
-    rows = sides.select("team_id", "game_id", "seconds", (F.col("pf") - F.col("pa")).alias("net"), (F.col("pf_adj") - F.col("pa_adj")).alias("net_adj"), F.explode(groups).alias("players"))
-    out = rows.groupBy("team_id", F.array_join("players", "-").alias("group_id")).agg(F.countDistinct("game_id").alias("games"), F.count("*").alias("stints"), F.sum("seconds").alias("seconds"), F.sum("net").alias("net"), F.sum("net_adj").alias("net_adj"))
+    ratings per 100, raw, adjusted and their difference.
+
+    Stints of one lineup in one game are summed first; groups are then picked from the lineup by fixed places and summed by
+    game before the games are counted, so nothing distinct is gathered. Lineups of other sizes than five are allowed.
+    """
+    net = {"net": F.col("pf") - F.col("pa"), "net_adj": F.col("pf_adj") - F.col("pa_adj")}
+    # rounded sums do not hang on the order of rows
+    sums = lambda: [F.sum("stints").alias("stints"), *[F.round(F.sum(c), 6).alias(c) for c in ("seconds", "net", "net_adj")]]
+    rows = sides.select("team_id", "game_id", "lineup", "seconds", *[e.alias(n) for n, e in net.items()])
+    rows = rows.groupBy("team_id", "game_id", "lineup").agg(F.count("*").alias("stints"), *[F.sum(c).alias(c) for c in ("seconds", "net", "net_adj")])
+    if size < 5:
+        picks = F.array(*[F.array(*[F.get("lineup", F.lit(i)) for i in at]) for at in itertools.combinations(range(5), size)])
+        groups = F.when(F.size("lineup") == 5, picks).otherwise(combinations(F.col("lineup"), size))
+        rows = rows.withColumn("lineup", F.explode(groups)).groupBy("team_id", "lineup", "game_id").agg(*sums())
+    out = rows.groupBy("team_id", "lineup").agg(F.count("*").alias("games"), *sums())
     poss = F.col("seconds") / 24.0
     per = lambda c: F.when(poss > 0, F.col(c) * 100.0 / poss)
-    return out.select("team_id", "group_id", "games", "stints", "seconds", (F.col("seconds") / 60.0).alias("minutes"), poss.alias("poss_est"), per("net").alias("net_rating"), per("net_adj").alias("net_rating_adj"), (per("net_adj") - per("net")).alias("net_rating_delta"))
+    return out.select("team_id", F.array_join("lineup", "-").alias("group_id"), "games", "stints", "seconds", (F.col("seconds") / 60.0).alias("minutes"), poss.alias("poss_est"), per("net").alias("net_rating"), per("net_adj").alias("net_rating_adj"), (per("net_adj") - per("net")).alias("net_rating_delta"))
 
 
 def on_off(sides: DataFrame) -> DataFrame:
@@ -78,21 +92,48 @@ def per_48(season: DataFrame) -> DataFrame:
     return season.withColumns({"on_per_48": on, "off_per_48": off}).withColumn("on_off_per_48", F.col("on_per_48") - F.col("off_per_48"))
 
 
-def design_rows(sides: DataFrame, role: str = "margin") -> DataFrame:
-    """Long design matrix of a lineup regression: row id, feature, sign, y (per 100 possessions), w (root possessions)."""
-    poss = F.greatest(F.col("seconds") / 24.0, F.lit(0.1))
-    y = (F.col("pf") - F.col("pa")) / poss * 100
-    return sides.select("game_id", "stint_index", "team_id", F.explode("lineup").alias("player_id"), F.lit(1.0).alias("sign"), y.alias("y"), F.sqrt(poss).alias("w"), F.lit(role).alias("role"))
+def _features(lineup: str, sign: float, code: int = 0, scale: int = 1) -> Column:
+    """A lineup's part of a design row: feature numbers id * scale + code, each with the sign."""
+    return F.transform(lineup, lambda x: F.struct((x.cast("long") * scale + code).alias("f"), F.lit(sign).alias("s")))
+
+
+def margin_design(stints: DataFrame, adjusted: bool = False) -> DataFrame:
+    """One design row per stint (game_id, stint_index, fx, y, w): +1 for home players, -1 for away players, y the home margin per
+    100 possessions, w the root of the possessions (seconds / 24, .1 at least)."""
+    poss, end = F.greatest(F.col("seconds") / 24.0, F.lit(0.1)), "_adj" if adjusted else ""
+    y = (F.col(f"home_pts{end}") - F.col(f"away_pts{end}")) / poss * 100
+    return stints.select("game_id", "stint_index", F.concat(_features("home_lineup", 1.0), _features("away_lineup", -1.0)).alias("fx"), y.cast("double").alias("y"), F.sqrt(poss).alias("w"))
+
+
+def design_rows(stints: DataFrame) -> DataFrame:
+    """margin_design() in long form: game_id, stint_index, player_id, sign, y, w."""
+    return margin_design(stints).select("game_id", "stint_index", F.explode("fx").alias("e"), "y", "w").select("game_id", "stint_index", F.col("e.f").alias("player_id"), F.col("e.s").alias("sign"), "y", "w")
+
+
+#: Feature numbers of offence and defence designs: twice the player's id, and one more for defence.
+OFFENCE, DEFENCE = 0, 1
+
+
+def offence_defence_design(stints: DataFrame, least_seconds: float = 10.0, adjusted: bool = False) -> DataFrame:
+    """Two design rows per stint of `least_seconds` or more (game_id, stint_index, team_id, fx, y, w), one for each team with the
+    ball: its lineup's offence with +1, the other's defence with -1; y is its points per 100 possessions."""
+    poss, end = F.greatest(F.col("seconds") / 24.0, F.lit(0.1)), "_adj" if adjusted else ""
+
+    def side(own: str, other: str) -> Column:
+        both = F.concat(_features(f"{own}_lineup", 1.0, OFFENCE, 2), _features(f"{other}_lineup", -1.0, DEFENCE, 2))
+        return F.struct(F.col(f"{own}_id").alias("team_id"), both.alias("fx"), (F.col(f"{own}_pts{end}") / poss * 100).cast("double").alias("y"))
+
+    rows = stints.where(F.col("seconds") >= least_seconds).withColumn("_s", F.explode(F.array(side("home", "away"), side("away", "home"))))
+    return rows.select(*[c for c in stints.columns if c in ("season", "window")], "game_id", "stint_index", "_s.team_id", "_s.fx", "_s.y", F.sqrt(poss).alias("w"))
 
 
-def offence_defence_rows(stints: DataFrame, least_seconds: float = 10.0) -> DataFrame:
-    """Long design of an offence and defence regression: two rows per stint of `least_seconds` or more, one for each team with
-    the ball; features 'O:id' of its lineup with +1 and 'D:id' of the other's with -1; y is its points per 100 possessions."""
-    poss = F.greatest(F.col("seconds") / 24.0, F.lit(0.1))
+def possession_design(possessions: DataFrame, points: str = "points") -> DataFrame:
+    """One design row per possession (game_id, poss_index, fx, y, w) of weight 1: y is its points times 100."""
+    both = F.concat(_features("off_lineup", 1.0, OFFENCE, 2), _features("def_lineup", -1.0, DEFENCE, 2))
+    return possessions.select(*[c for c in possessions.columns if c in ("season", "window")], "game_id", "poss_index", both.alias("fx"), (F.col(points).cast("double") * 100).alias("y"), F.lit(1.0).alias("w"))
 
-    def side(own: str, other: str) -> DataFrame:
-        mark = lambda role, sign, c: F.transform(c, lambda x: F.struct(F.concat(F.lit(role), x.cast("string")).alias("f"), F.lit(sign).alias("s")))
-        both = F.concat(mark("O:", 1.0, f"{own}_lineup"), mark("D:", -1.0, f"{other}_lineup"))
-        return stints.where(F.col("seconds") >= least_seconds).select("game_id", "stint_index", F.col(f"{own}_id").alias("team_id"), F.explode(both).alias("e"), (F.col(f"{own}_pts") / poss * 100).alias("y"), F.sqrt(poss).alias("w"))
 
-    return side("home", "away").unionByName(side("away", "home")).select("game_id", "stint_index", "team_id", F.col("e.f").alias("feature"), F.col("e.s").alias("sign"), "y", "w")
+def long_design(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """An offence and defence design in long form: keys, feature ('O:id' or 'D:id'), sign, y, w."""
+    name = F.concat(F.when(F.col("e.f") % 2 == 0, "O:").otherwise("D:"), F.floor(F.col("e.f") / 2).cast("string"))
+    return rows.select(*keys, F.explode("fx").alias("e"), "y", "w").select(*keys, name.alias("feature"), F.col("e.s").alias("sign"), "y", "w")

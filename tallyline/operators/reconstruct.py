@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import scalars as S
 from .sequences import on_court_intervals, sessions
 
 _PLAYER = ["game_id", "team_id", "player_id"]
@@ -81,21 +82,39 @@ def shot_expectation(prior: Column, model: Column) -> Column:
 def possessions(events: DataFrame, sides: DataFrame, ends: tuple[str, ...] = ENDS) -> DataFrame:
     """Possessions (game_id, poss_index, offense_team, off_lineup, def_lineup, points, ended_by).
 
-    An event of kind in `ends` closes the possession; the offence is its team, after a defensive rebound the other one.
-    Points are the offence's in the session. Sessions that end outside stints (incomplete lineups) give no row, and the
-    index runs over the rows there are.
+    An event of kind in `ends` closes the possession, a free throw only as the last of its sequence (column last_throw; without
+    the column every one is). The offence is its team, after a defensive rebound the other one. The end of a period
+    closes what is open: the offence is then who last got an offensive rebound or a jump ball in it, else who had the ball
+    after the last close of the period, else who first shot. Points are the offence's in the possession. Those that end
+    outside stints (incomplete lineups) give no row, and the index runs over the rows there are.
     """
-    rows = sessions(events, ["game_id"], [F.col("action_number")], F.col("kind").isin(*ends))
+    last_throw = F.coalesce("last_throw", F.lit(False)) if "last_throw" in events.columns else F.lit(True)
+    closes = F.col("kind").isin(*ends) & ((F.col("kind") != "free_throw") | last_throw)
     other = F.when(F.col("team_id") == F.col("home_id"), F.col("away_id")).otherwise(F.col("home_id"))
+    rows = sessions(events.withColumn("_closes", closes), ["game_id", "period"], [F.col("action_number")], F.col("_closes"))
+    held = F.collect_list(F.struct("team_id", "points"))
     offence = F.when(F.col("kind") == "defensive_rebound", other).otherwise(F.col("team_id"))
-    last = F.max_by(F.struct(offence.alias("team"), "kind", "elapsed"), "action_number")
-    closed = rows.groupBy("game_id", "session").agg(last.alias("last"), F.collect_list(F.struct("team_id", "points")).alias("p")).where(F.col("last.kind").isin(*ends))
-    mine = F.aggregate(F.filter("p", lambda x: x["team_id"] == F.col("last.team")), F.lit(0).cast("long"), lambda a, x: a + x["points"])
-    closed = closed.select("game_id", "session", F.col("last.team").alias("offense_team"), F.col("last.kind").alias("ended_by"), F.col("last.elapsed").alias("_at"), mine.alias("points"))
+    after = F.when(F.col("kind") == "defensive_rebound", F.col("team_id")).otherwise(other)
+    latest = lambda ok, what: F.max_by(what, F.when(ok, F.col("action_number")))
+    ball, shot = F.col("kind").isin("offensive_rebound", "jump_ball"), F.col("kind").isin("made", "missed", "free_throw")
+    grouped = rows.groupBy("game_id", "period", "session").agg(
+        held.alias("_p"), F.max("action_number").alias("_n"), F.bool_or("_closes").alias("_closed"), latest(F.col("_closes"), F.struct(offence.alias("team"), after.alias("next"), "kind", "elapsed")).alias("_last"),
+        latest(ball, F.col("team_id")).alias("_ball"), F.min_by("team_id", F.when(shot, F.col("action_number"))).alias("_shot"),
+    )
+    w = Window.partitionBy("game_id", "period").orderBy("session")
+    grouped = grouped.withColumns({"_had": F.lag("_last.next").over(w), "_final": F.lead("session").over(w).isNull()})
+    # a period that ends on a close leaves an empty possession to the side that has the ball then
+    natural = F.struct(F.col("_last.team").alias("team"), F.col("_last.kind").alias("kind"), F.col("_last.elapsed").cast("long").alias("at"), F.col("session").alias("order"), F.col("_p").alias("p"))
+    empty = F.array().cast(rows.select(held).schema[0].dataType)
+    trailing = F.struct(F.when(F.col("_closed"), F.col("_last.next")).otherwise(F.coalesce("_ball", "_had", "_shot")).alias("team"), F.lit("period").alias("kind"), S.period_end(F.col("period")).cast("long").alias("at"), (F.col("session") + F.when(F.col("_closed"), 1).otherwise(0)).alias("order"), F.when(F.col("_closed"), empty).otherwise(F.col("_p")).alias("p"))
+    each = F.filter(F.array(F.when(F.col("_closed"), natural), F.when(F.col("_final"), trailing)), lambda x: x.isNotNull() & x["team"].isNotNull())
+    closed = grouped.select("game_id", "period", F.explode(each).alias("e")).select("game_id", "period", "e.*")
+    mine = F.aggregate(F.filter("p", lambda x: x["team_id"] == F.col("team")), F.lit(0).cast("long"), lambda a, x: a + x["points"])
+    closed = closed.select("game_id", "period", F.col("order").alias("session"), F.col("team").alias("offense_team"), F.col("kind").alias("ended_by"), F.col("at").alias("_at"), mine.alias("points"))
     at = closed.join(sides, "game_id").where((F.col("_at") > F.col("start")) & (F.col("_at") <= F.col("end")))
     own = F.col("team_id") == F.col("offense_team")
-    out = at.groupBy("game_id", "session", "offense_team", "ended_by", "points").agg(F.max(F.when(own, F.col("lineup"))).alias("off_lineup"), F.max(F.when(~own, F.col("lineup"))).alias("def_lineup"))
-    index = F.row_number().over(Window.partitionBy("game_id").orderBy("session")).cast("long")
+    out = at.groupBy("game_id", "period", "session", "offense_team", "ended_by", "points").agg(F.max(F.when(own, F.col("lineup"))).alias("off_lineup"), F.max(F.when(~own, F.col("lineup"))).alias("def_lineup"))
+    index = F.row_number().over(Window.partitionBy("game_id").orderBy("period", "session")).cast("long")
     return out.where("off_lineup is not null and def_lineup is not null").withColumn("poss_index", index).drop("session")
 
 

@@ -52,9 +52,25 @@ def interval_sums(intervals: DataFrame, points: DataFrame, key: list[str], at: s
 
 
 def first_after(df: DataFrame, events: DataFrame, key: list[str], at: str, event_at: str, value: str) -> DataFrame:
-    """Forward as-of: the first later event of the same key."""
-    later = df.join(events, key).where(F.col(event_at) > F.col(at)).groupBy(*key, at).agg(F.min(F.struct(event_at, value)).alias("_f"))
-    return df.join(later, [*key, at], "left").withColumns({event_at: F.col(f"_f.{event_at}"), value: F.col(f"_f.{value}")}).drop("_f")
+    """Forward as-of: the first later event of the same key, null if none follows. Rows and events go into one stream in order of
+    time, in which a window looks ahead; no pairs are made."""
+    mine = df.withColumns({"_at": F.col(at), "_event": F.lit(None).cast(f"struct<e:{events.schema[event_at].dataType.simpleString()},v:{events.schema[value].dataType.simpleString()}>"), "_kind": F.lit(1)})
+    theirs = events.select(*key, F.col(event_at).alias("_at"), F.struct(F.col(event_at).alias("e"), F.col(value).alias("v")).alias("_event"), F.lit(0).alias("_kind"))
+    both = mine.unionByName(theirs, allowMissingColumns=True)
+    # events come before rows of their time, so that only later ones follow; of events at one time the least value counts
+    w = Window.partitionBy(*key).orderBy("_at", "_kind", "_event").rowsBetween(1, Window.unboundedFollowing)
+    out = both.withColumn("_f", F.first("_event", ignorenulls=True).over(w)).where("_kind = 1")
+    return out.select(*df.columns, F.col("_f.e").alias(event_at), F.col("_f.v").alias(value))
+
+
+def first_proof(asked: DataFrame, events: DataFrame, key: list[str], at: str, member: str) -> DataFrame:
+    """For each asked row (key, at, candidate member): the candidate whose next event of the key comes first, if one alone is
+    first; else null. Rows key, at, member."""
+    later = first_after(asked.select(*key, at, member), events.select(*key, member, F.col(at).alias("_seen"), F.col(at).alias("_same")), [*key, member], at, "_seen", "_same")
+    first = later.groupBy(*key, at).agg(F.min("_seen").alias("_seen"), F.collect_list(F.struct(F.col("_seen").alias("s"), F.col(member).alias("m"))).alias("_all"))
+    # an asked row has a handful of candidates
+    winners = F.filter("_all", lambda x: x["s"] == F.col("_seen"))
+    return first.select(*key, at, F.when(F.size(winners) == 1, F.get(winners, F.lit(0))["m"]).alias(member))
 
 
 def on_court_intervals(moves: DataFrame, key: list[str], at: str, sign: str, end_of: str) -> DataFrame:

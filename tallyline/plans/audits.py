@@ -48,3 +48,41 @@ def sample_per_bucket(df: DataFrame, bucket: str, key: str, n: int, seed: int) -
 def dedupe_report(df: DataFrame, keys: list[str]) -> DataFrame:
     out = df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.sum("n").alias("total"), F.count("*").alias("kept"))
     return out.withColumn("removed", F.col("total") - F.col("kept"))
+
+
+def population(df: DataFrame, means: list[str], listed: str, name: str) -> DataFrame:
+    """One row: how many rows, the means of columns without nulls, and the distinct values of a column in order (of few values)."""
+    values = F.array_join(F.sort_array(F.collect_set(F.col(listed).cast("string"))), ",")
+    return df.agg(F.count("*").alias("rows"), *[F.avg(c).alias(f"{c}_mean") for c in means], values.alias(name))
+
+
+def extremes(df: DataFrame, value: str, low: float, high: float) -> DataFrame:
+    """Rows outside [low, high] and how far outside they are."""
+    c = F.col(value)
+    return df.where((c < low) | (c > high)).withColumn("distance", F.when(c > high, c - high).otherwise(low - c))
+
+
+def missing(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows that lack one of the columns (null, or a blank text), with a flag per column."""
+    empty = {f"{c}_missing": F.col(c).isNull() | F.coalesce(F.trim(F.col(c).cast("string")) == "", F.lit(False)) for c in columns}
+    out = df.withColumns(empty)
+    return out.where(reduce(lambda a, b: a | b, [F.col(n) for n in empty]))
+
+
+def worklist(df: DataFrame, key: str, is_missing: Column, weight: str, n: int) -> DataFrame:
+    """The n keys with most missing rows, then most weight in them: key, missing, rows, weight."""
+    out = df.groupBy(key).agg(F.count_if(is_missing).alias("missing"), F.count("*").alias("rows"), F.sum(F.when(is_missing, F.col(weight)).otherwise(0)).alias("weight"))
+    return out.where("missing > 0").orderBy(F.col("missing").desc(), F.col("weight").desc(), key).limit(n)
+
+
+def progress(before: DataFrame, after: DataFrame, key: str, was_missing: Column, is_missing: Column) -> DataFrame:
+    """Per key the missing rows before and after a repair, and whether they became fewer."""
+    a = before.groupBy(key).agg(F.count_if(was_missing).alias("before"))
+    b = after.groupBy(key).agg(F.count_if(is_missing).alias("after"))
+    return a.join(b, key, "left").withColumn("after", F.coalesce("after", F.lit(0))).withColumn("better", F.col("after") < F.col("before"))
+
+
+def incomplete(rows: DataFrame, dimension: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Keys of `rows` that no row of the dimension describes in full."""
+    full = dimension.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])).select(key).distinct()
+    return rows.select(key).distinct().join(full, key, "left_anti")

@@ -10,14 +10,14 @@ from .. import schemas
 from ..functions import scalars as S
 from ..operators import decay, lineups, sequences, tables
 from ..sources import adapters as A
-from . import audits, fact_queries, game_queries, ridge, search, stream_queries  # noqa: F401
+from . import audits, fact_queries, feed_queries, game_queries, rating_queries, ridge, search, stream_queries  # noqa: F401
 from .registry import QUERIES, SQL, query, r6, rsql
 
 # --- lineups ---------------------------------------------------------------------------------------------------
 
 _GROUP_SQL = """SELECT team_id, group_id, CAST(count(DISTINCT game_id) AS BIGINT) AS games, count(*) AS stints, {seconds}, round(sum(seconds)/60.0, 6) AS minutes, round(sum(seconds)/24.0, 6) AS poss_est,
-  round(sum(pf-pa)*100.0/(sum(seconds)/24.0), 6) AS net_rating, round(sum(pf_adj-pa_adj)*100.0/(sum(seconds)/24.0), 6) AS net_rating_adj,
-  round(sum(pf_adj-pa_adj)*100.0/(sum(seconds)/24.0) - sum(pf-pa)*100.0/(sum(seconds)/24.0), 6) AS net_rating_delta FROM g GROUP BY team_id, group_id""".format(seconds="round(sum(seconds), 6) AS seconds")
+  round(sum(pf-pa)*100.0/(sum(seconds)/24.0), 6) AS net_rating, round(round(sum(pf_adj-pa_adj), 6)*100.0/(sum(seconds)/24.0), 6) AS net_rating_adj,
+  round(round(sum(pf_adj-pa_adj), 6)*100.0/(sum(seconds)/24.0) - sum(pf-pa)*100.0/(sum(seconds)/24.0), 6) AS net_rating_delta FROM g GROUP BY team_id, group_id""".format(seconds="round(sum(seconds), 6) AS seconds")
 _RATED = ("seconds", "minutes", "poss_est", "net_rating", "net_rating_adj", "net_rating_delta")
 
 
@@ -66,15 +66,15 @@ def presence_possessions(spark, d):
     return lineups.presence_counts(A.possessions(spark, d))
 
 
-@query(f"WITH {A.SIDES_SQL} SELECT game_id, stint_index, team_id, unnest(lineup) AS player_id, CAST(1 AS DOUBLE) AS sign, round((pf-pa)/greatest(seconds/24.0, 0.1)*100, 6) AS y, round(sqrt(greatest(seconds/24.0, 0.1)), 6) AS w FROM sides")
+@query(f"""WITH {A.STINTS_SQL}, e AS (SELECT *, unnest(list_concat([(x, 1.0) for x in home_lineup], [(x, -1.0) for x in away_lineup])) AS e FROM stints)
+  SELECT game_id, stint_index, e[1] AS player_id, CAST(e[2] AS DOUBLE) AS sign, round((home_pts-away_pts)/greatest(seconds/24.0, 0.1)*100, 6) AS y, round(sqrt(greatest(seconds/24.0, 0.1)), 6) AS w FROM e""")
 def design_rows(spark, d):
-    return lineups.design_rows(lineups.by_side(A.stints(spark, d))).drop("role").withColumns(r6("y", "w"))
+    return lineups.design_rows(A.stints(spark, d)).withColumns(r6("y", "w"))
 
 
 @query()
 def lineup_ridge(spark, d):
-    rows = lineups.design_rows(lineups.by_side(A.stints(spark, d)))
-    return ridge.ridge_fit(rows, ["game_id", "stint_index", "team_id"], "player_id")
+    return ridge.ridge_fit(lineups.margin_design(A.stints(spark, d)))
 
 
 _GAMES_ONOFF = _ONOFF_SQL.format(cols="on_seconds/60.0 AS minutes_on, on_pf-on_pa AS on_diff, tf-on_pf-ta+on_pa AS off_diff")
@@ -133,11 +133,13 @@ def posterior(spark, d):
     return decay.posterior_table(s, "player_id", "season", "a", "m", 0.36, 200.0).select("player_id", *[c.alias(n) for n, c in r6("attempts", "makes", "mean").items()])
 
 
-@query(f"""WITH {A.PLAYER_GAMES_SQL} SELECT round((s*sxy - sx*sy)/(s*sxx - sx*sx), 6) AS slope, round((sy - (s*sxy - sx*sy)/(s*sxx - sx*sx)*sx)/s, 6) AS intercept FROM (
-  SELECT sum(w) AS s, sum(w*x) AS sx, sum(w*y) AS sy, sum(w*x*x) AS sxx, sum(w*x*y) AS sxy FROM (SELECT CAST(fgm AS DOUBLE)/fga AS x, CAST(pts AS DOUBLE) AS y, minutes*minutes AS w FROM player_games))""")
+@query(f"""WITH {A.PLAYER_GAMES_SQL} , rows_of AS (SELECT CAST(fgm AS DOUBLE)/fga AS x, CAST(pts AS DOUBLE) AS y, minutes*minutes AS w, minutes AS v FROM player_games),
+  line AS (SELECT (s*sxy - sx*sy)/(s*sxx - sx*sx) AS a, (sy - (s*sxy - sx*sy)/(s*sxx - sx*sx)*sx)/s AS b FROM (SELECT sum(w) AS s, sum(w*x) AS sx, sum(w*y) AS sy, sum(w*x*x) AS sxx, sum(w*x*y) AS sxy FROM rows_of)),
+  mean AS (SELECT sum(v*y)/sum(v) AS m FROM rows_of)
+  SELECT round(max(a), 6) AS slope, round(max(b), 6) AS intercept, round(1 - sum(v*(y - a*x - b)*(y - a*x - b))/sum(v*(y - m)*(y - m)), 6) AS r2 FROM rows_of, line, mean""")
 def weighted_line(spark, d):
     rows = A.player_games(spark, d).select((F.col("fgm") / F.col("fga")).alias("x"), F.col("pts").cast("double").alias("y"), F.col("minutes").alias("w"))
-    return decay.weighted_line(rows, "x", "y", "w").withColumns(r6("slope", "intercept"))
+    return decay.weighted_line(rows, "x", "y", "w").withColumns(r6("slope", "intercept", "r2"))
 
 
 # --- sequences -------------------------------------------------------------------------------------------------
@@ -249,11 +251,12 @@ def coverage(spark, d):
     return tables.coverage_gate(A.table(spark, d, "orders"), li, ["o_orderkey"])
 
 
-@query("SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 AND c_custkey > 0 THEN c_custkey - 7 ELSE c_custkey END AS canonical FROM customer")
+@query("SELECT c_custkey, CASE WHEN c_custkey % 40 = 39 THEN c_custkey ELSE c_custkey - c_custkey % 40 END AS canonical FROM customer")
 def canonical_ids(spark, d):
+    """Chains of up to 38 links, with repeated rows; two ids of every forty stay as they are."""
     c = A.table(spark, d, "customer").select("c_custkey", F.col("c_custkey").alias("canonical"))
-    remap = c.where("c_custkey % 7 = 0 and c_custkey > 0").select(F.col("c_custkey").alias("old_id"), (F.col("c_custkey") - 7).alias("new_id"))
-    return tables.follow_remap(c, "canonical", remap, hops=1)
+    remap = c.where("c_custkey % 40 between 1 and 38").select(F.col("c_custkey").alias("old_id"), (F.col("c_custkey") - 1).alias("new_id"))
+    return tables.follow_remap(c, "canonical", remap.unionByName(remap.where("old_id % 3 = 0")))
 
 
 @query("""SELECT CAST(count(*) AS BIGINT) AS n, round(avg(x), 6) AS mean_abs, round(max(x), 6) AS max_abs, round(avg(CASE WHEN x = 0 THEN 1.0 ELSE 0 END), 6) AS exact_rate, round(avg(CASE WHEN x <= 100000 THEN 1.0 ELSE 0 END), 6) AS near_rate
@@ -270,10 +273,10 @@ def conform_schema(spark, d):
     return schemas.conform(A.table(spark, d, "supplier").select(F.col("s_suppkey").alias("game_id"), F.col("s_name").alias("name")), schema)
 
 
-@query("SELECT CAST(o_orderkey AS BIGINT) AS id FROM orders WHERE o_orderkey < 100")
+@query("SELECT CAST(o_orderkey AS BIGINT) AS id FROM orders")
 def optional_source(spark, d):
     schema = StructType([StructField("id", LongType())])
-    return schemas.empty(spark, schema).unionByName(A.table(spark, d, "orders").where("o_orderkey < 100").select(F.col("o_orderkey").alias("id")))
+    return schemas.empty(spark, schema).unionByName(A.table(spark, d, "orders").select(F.col("o_orderkey").alias("id")))
 
 
 # --- scalars ---------------------------------------------------------------------------------------------------

@@ -48,6 +48,22 @@ def player_game_facts(spark, d):
     return _facts(spark, d).select("game_id", "player_id", c("source").cast("long").alias("source"), "team_id", "opponent_id", "season", "win_loss", "possessions", c("age").cast("long").alias("age"), "career_year", "pts", "reb", F.round("fg_pct", 6).alias("fg_pct"), "double_double", "triple_double")
 
 
+@query(f"""WITH {_GAMES_SQL}, {A.PLAYER_GAMES_SQL}, n AS (SELECT n_nationkey AS team_id, n_name AS abbr FROM nation), b AS (SELECT p.game_id, p.player_id, CASE WHEN p.player_id % 2 = 0 THEN home_id ELSE away_id END AS team_id, CASE WHEN p.game_id % 2 = 0 THEN coalesce(CASE WHEN reb >= 3 THEN reb END, reb) ELSE reb END AS reb, pts, minutes FROM player_games p JOIN games USING (game_id))
+  SELECT game_id, player_id, b.team_id, pts, reb, h.abbr AS home_abbr, a.abbr AS away_abbr, CASE WHEN home_pts = away_pts THEN NULL WHEN (b.team_id = home_id) = (home_pts > away_pts) THEN 'W' ELSE 'L' END AS win_loss FROM b JOIN games USING (game_id) JOIN n h ON h.team_id = home_id JOIN n a ON a.team_id = away_id WHERE player_id > 0 AND minutes > 0""")
+def playoff_facts(spark, d):
+    """The facts of games whose scores are known from their stints only, from two box sources."""
+    s = A.stints(spark, d)
+    w = "over (partition by game_id order by stint_index)"
+    scored = s.withColumns({"end_home_score": F.expr(f"sum(home_pts) {w}").cast("long"), "end_away_score": F.expr(f"sum(away_pts) {w}").cast("long")})
+    games = _games(spark, d).select("game_id", "home_id", "away_id")
+    box = A.player_games(spark, d).drop("date", "team_id").join(games, "game_id").withColumn("team_id", F.when(F.col("player_id") % 2 == 0, F.col("home_id")).otherwise(F.col("away_id"))).drop("home_id", "away_id")
+    counted = A.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("game_id"), (F.col("l_suppkey") % 50).alias("player_id")).agg(F.count("*").alias("possessions"))
+    people = A.table(spark, d, "customer").select(F.col("c_custkey").alias("player_id"), F.expr("date'1970-01-01'").alias("birth"), F.lit(1990).alias("from_year"))
+    teams = A.table(spark, d, "nation").select(F.col("n_nationkey").alias("team_id"), F.col("n_name").alias("abbr"))
+    out = X.playoff_facts(scored, [box.where("game_id % 2 = 0").withColumn("reb", F.when(F.col("reb") >= 3, F.col("reb"))), box], counted, teams, people)
+    return out.select("game_id", "player_id", "team_id", "pts", "reb", "home_abbr", "away_abbr", "win_loss")
+
+
 @query(f"""WITH {A.STINTS_SQL} SELECT game_id, stint_index, CAST(CASE WHEN game_id % 2 = 0 THEN 1 ELSE 2 END AS BIGINT) AS source, {_LABEL} AS season, array_to_string(list_sort(home_lineup), '-') AS home_group, array_to_string(list_sort(away_lineup), '-') AS away_group,
   CAST(home_pts - away_pts AS BIGINT) AS margin, round(home_pts_adj - away_pts_adj, 6) AS margin_adj FROM stints""")
 def lineup_stint_facts(spark, d):
@@ -178,7 +194,18 @@ def concentration_fit(spark, d):
   f AS (SELECT *, unnest(list_concat([('O:' || x::VARCHAR, 1.0) for x in ol], [('D:' || x::VARCHAR, -1.0) for x in dl])) AS e FROM o)
   SELECT game_id, stint_index, team_id, e[1] AS feature, CAST(e[2] AS DOUBLE) AS sign, round(pf / greatest(seconds/24.0, 0.1) * 100, 6) AS y, round(sqrt(greatest(seconds/24.0, 0.1)), 6) AS w FROM f""")
 def offence_defence_design(spark, d):
-    return lineups.offence_defence_rows(A.stints(spark, d)).withColumns(r6("y", "w"))
+    return lineups.long_design(lineups.offence_defence_design(A.stints(spark, d)), ["game_id", "stint_index", "team_id"]).withColumns(r6("y", "w"))
+
+
+@query(f"""WITH {A.POSS_SQL}, f AS (SELECT *, unnest(list_concat([('O:' || x::VARCHAR, 1.0) for x in off_lineup], [('D:' || x::VARCHAR, -1.0) for x in def_lineup])) AS e FROM possessions)
+  SELECT game_id, poss_index, e[1] AS feature, CAST(e[2] AS DOUBLE) AS sign, CAST(points * 100 AS DOUBLE) AS y, CAST(1 AS DOUBLE) AS w FROM f""")
+def possession_design(spark, d):
+    return lineups.long_design(lineups.possession_design(A.possessions(spark, d)), ["game_id", "poss_index"])
+
+
+@query()
+def possession_plus_minus(spark, d):
+    return ridge.offence_defence_fit(lineups.possession_design(A.possessions(spark, d)), 2500.0, 2500.0)
 
 
 @query()
@@ -188,5 +215,7 @@ def regularized_plus_minus(spark, d):
 
 @query()
 def plus_minus_windows(spark, d):
-    s = A.stints(spark, d).withColumn("season", F.year("date"))
-    return ridge.plus_minus_windows(s, {"last3": (1996, 1998), "all": (None, None)}, [500.0, 2500.0])
+    """Windows of seasons; possessions are there for the later years only, so the gate picks stints for the earlier ones."""
+    s, p = (f(spark, d).withColumn("season", F.year("date")) for f in (A.stints, A.possessions))
+    windows = {"early": (None, 1994), "last3": (1996, 1998), "all": (None, None)}
+    return ridge.plus_minus_windows(s, windows, [500.0, 2500.0], p.where("season >= 1995"))

@@ -6,97 +6,164 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import lineups
 
-#: Features up to which the Gram matrix is solved on the driver (5,000 squared is 200 MB).
+#: Features up to which the Gram matrix is solved on the driver (5,000 squared is 200 MB); with more, its entries stay in
+#: Spark and the driver holds a few vectors only.
 MAX_FEATURES = 5000
+_ONE, _Y = -2, -1  # numbers of the constant and of y among the features
 
 
 @dataclass
 class NormalEquations:
-    """Feature ids (as text) in order, Gram matrix, products with y, column sums, row count and sum of y, all over scaled rows."""
+    """Feature numbers in order, column sums, products with y, row count and sum of y, all over scaled rows, and the Gram matrix
+    (or, where it is too large, its upper triangle as a table i, j, g)."""
 
     features: np.ndarray
-    gram: np.ndarray
-    xy: np.ndarray
     sx: np.ndarray
-    n: int
+    xy: np.ndarray
+    n: float
     ty: float
+    gram: np.ndarray | None
+    table: DataFrame | None = None
 
     def solve(self, alpha: np.ndarray | float) -> np.ndarray:
         """Coefficients for a penalty (one, or one per feature) with a free intercept."""
-        a = self.gram - np.outer(self.sx, self.sx) / self.n + np.diag(np.broadcast_to(alpha, len(self.sx)))
-        return np.linalg.solve(a, self.xy - self.sx * self.ty / self.n)
-
-
-def normal_equations(rows: DataFrame, row_key: list[str], feature: str) -> NormalEquations:
-    """Sums over long rows (row_key, feature, sign, y, w), made in Spark from pairs within a row (ten slots at most); only
-    feature-by-feature sums, whose number is checked against MAX_FEATURES, reach the driver."""
-    scaled = rows.select(F.struct(*row_key).alias("r"), F.col(feature).cast("string").alias("f"), (F.col("sign") * F.col("w")).alias("x"), (F.col("y") * F.col("w")).alias("t"))
-    if scaled.agg(F.countDistinct("f")).first()[0] > MAX_FEATURES:
-        raise ValueError("more features than the driver's solve allows")
-    per = scaled.groupBy("r").agg(F.collect_list(F.struct("f", "x")).alias("fx"), F.first("t").alias("t"))
-    # feature null: the row itself, which gives the count and the sums of x and t in the same pass
-    whole = F.array(F.struct(F.lit(None).cast("string").alias("f"), F.lit(1.0).alias("x")))
-    pairs = per.select(F.explode(F.concat("fx", whole)).alias("a"), F.concat("fx", whole).alias("all"), "t").select("a", F.explode("all").alias("b"), "t")
-    sums = pairs.groupBy(F.col("a.f").alias("i"), F.col("b.f").alias("j")).agg(F.sum(F.col("a.x") * F.col("b.x")).alias("g"), F.sum(F.col("a.x") * F.col("t")).alias("xt")).toPandas()
-    single = sums[sums["j"].isna() & sums["i"].notna()].sort_values("i")
-    total = sums[sums["i"].isna() & sums["j"].isna()]
-    at = {f: k for k, f in enumerate(single["i"])}
-    inner = sums[sums["i"].notna() & sums["j"].notna()]
-    gram = np.zeros((len(at), len(at)))
-    gram[inner["i"].map(at), inner["j"].map(at)] = inner["g"]
-    n, ty = (int(total["g"].iloc[0]), float(total["xt"].iloc[0])) if len(total) else (1, 0.0)
-    return NormalEquations(single["i"].to_numpy(), gram, single["xt"].to_numpy(float), single["g"].to_numpy(float), n, ty)
-
-
-def ridge_fit(rows: DataFrame, row_key: list[str], feature: str, alpha: float = 2500.0) -> DataFrame:
-    """Coefficients (feature, coefficient) of min |w (y - b) - w X c|^2 + alpha |c|^2 with an unweighted intercept b after
-    scaling, on long rows (row_key, feature, sign, y, w)."""
-    eq = normal_equations(rows, row_key, feature)
-    frame = pd.DataFrame({"f": eq.features, "coefficient": eq.solve(alpha)})
-    return rows.sparkSession.createDataFrame(frame, "f string, coefficient double").select(F.col("f").cast(rows.schema[feature].dataType).alias(feature), "coefficient")
-
-
-_STINT_SIDE = ["game_id", "stint_index", "team_id"]
+        alpha = np.broadcast_to(alpha, len(self.sx)).astype(float)
+        right = self.xy - self.sx * self.ty / self.n
+        if self.gram is not None:
+            return np.linalg.solve(self.gram - np.outer(self.sx, self.sx) / self.n + np.diag(alpha), right)
+        return self._conjugate_gradient(alpha, right)
+
+    def _times(self, p: np.ndarray) -> np.ndarray:
+        """Gram matrix times p, summed in Spark; p and the result have one number per feature."""
+        vector = self.table.sparkSession.createDataFrame(pd.DataFrame({"f": self.features, "p": p}), "f long, p double")
+        both = F.explode(F.when(F.col("i") == F.col("j"), F.array(F.struct("i", "j"))).otherwise(F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))))
+        rows = self.table.select(both.alias("e"), "g").select("e.i", F.col("e.j").alias("f"), "g").join(vector, "f")
+        sums = rows.groupBy("i").agg(F.sum(F.col("g") * F.col("p")).alias("v")).toArrow()
+        out = np.zeros(len(p))
+        out[np.searchsorted(self.features, sums.column("i").to_numpy())] = sums.column("v").to_numpy()
+        return out
+
+    def _conjugate_gradient(self, alpha: np.ndarray, right: np.ndarray, tolerance: float = 1e-10) -> np.ndarray:
+        x, r = np.zeros_like(right), right.copy()
+        p, rr = r.copy(), r @ r
+        stop = tolerance**2 * rr
+        for _ in range(10 * len(right)):
+            if rr <= stop:
+                break
+            a = self._times(p) - self.sx * (self.sx @ p) / self.n + alpha * p
+            step = rr / (p @ a)
+            x, r = x + step * p, r - step * a
+            rr, before = r @ r, rr
+            p = r + rr / before * p
+        return x
+
+
+def gram_table(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """The upper triangle (by..., i, j, g) of the Gram matrix of design rows (fx, y, w) with a constant and y as further columns.
+
+    Products are made within a row (some dozen features) and summed in one shuffle with partial sums; features are numbers, and
+    negative ones and nulls are no players.
+    """
+    scaled = F.transform(F.filter("fx", lambda e: e["f"] >= 0), lambda e: F.struct(e["f"].alias("f"), (e["s"] * F.col("w")).alias("x")))
+    more = F.array(F.struct(F.lit(_ONE).cast("long").alias("f"), F.lit(1.0).alias("x")), F.struct(F.lit(_Y).cast("long").alias("f"), (F.col("y") * F.col("w")).alias("x")))
+    own = rows.select(*by, F.array_sort(F.concat(more, scaled)).alias("v"))
+    ahead = own.select(*by, "v", F.posexplode("v").alias("at", "a"))
+    pairs = ahead.select(*by, "a", F.explode(F.slice("v", F.col("at") + 1, F.size("v") - F.col("at"))).alias("b"))
+    return pairs.groupBy(*by, F.col("a.f").alias("i"), F.col("b.f").alias("j")).agg(F.sum(F.col("a.x") * F.col("b.x")).alias("g"))
+
+
+def equations_of(table: DataFrame) -> NormalEquations:
+    """The equations of a gram_table(). What comes to the driver is one number per feature, and the matrix up to MAX_FEATURES."""
+    edge = table.where(F.col("i") < 0).toPandas()
+    of = lambda i: edge[(edge["i"] == i) & (edge["j"] >= 0)].sort_values("j")
+    one, y = of(_ONE), of(_Y)
+    corner = lambda i, j: float(edge.loc[(edge["i"] == i) & (edge["j"] == j), "g"].sum())
+    features = one["j"].to_numpy(np.int64)
+    inner = table.where(F.col("i") >= 0)
+    gram = None
+    if len(features) <= MAX_FEATURES:
+        entries = inner.toArrow()
+        i, j = (np.searchsorted(features, entries.column(c).to_numpy()) for c in ("i", "j"))
+        gram = np.zeros((len(features), len(features)))
+        np.add.at(gram, (i, j), entries.column("g").to_numpy())
+        gram = np.triu(gram) + np.triu(gram, 1).T
+    return NormalEquations(features, one["g"].to_numpy(float), y["g"].to_numpy(float), corner(_ONE, _ONE) or 1.0, corner(_ONE, _Y), gram, None if gram is not None else inner)
+
+
+def normal_equations(rows: DataFrame) -> NormalEquations:
+    """The equations of design rows (fx, y, w). A table of products that is solved in Spark stays persisted."""
+    table = gram_table(rows).persist()
+    eq = equations_of(table)
+    if eq.table is None:
+        table.unpersist()
+    return eq
+
+
+def ridge_fit(rows: DataFrame, alpha: float = 2500.0, name: str = "player_id") -> DataFrame:
+    """Coefficients (player_id, coefficient) of min |w (y - b) - w X c|^2 + alpha |c|^2 with an unweighted intercept b after
+    scaling, on design rows (fx, y, w)."""
+    eq = normal_equations(rows)
+    frame = pd.DataFrame({name: eq.features, "coefficient": eq.solve(alpha)})
+    return rows.sparkSession.createDataFrame(frame, f"{name} long, coefficient double")
 
 
 def offence_defence_ratings(eq: NormalEquations, alpha_offence: float, alpha_defence: float) -> pd.DataFrame:
-    """Ratings (player_id, offence, defence, total) from features 'O:id' and 'D:id', with a penalty per block and each block
-    centred on its mean; players seen on one side only get 0 on the other."""
-    role = np.array([f[0] for f in eq.features])
-    coef = eq.solve(np.where(role == "O", alpha_offence, alpha_defence))
-    long = pd.DataFrame({"role": role, "player_id": [int(f[2:]) for f in eq.features], "c": coef})
+    """Ratings (player_id, offence, defence, total) with a penalty per block and each block centred on its mean; players seen on
+    one side only get 0 on the other."""
+    coef = eq.solve(np.where(eq.features % 2 == 0, alpha_offence, alpha_defence))
+    long = pd.DataFrame({"role": np.where(eq.features % 2 == 0, "O", "D"), "player_id": eq.features // 2, "c": coef})
     long["c"] -= long.groupby("role")["c"].transform("mean")
     wide = long.pivot(index="player_id", columns="role", values="c").reindex(columns=["O", "D"]).fillna(0.0).reset_index()
     return wide.rename(columns={"O": "offence", "D": "defence"}).assign(total=wide["O"] + wide["D"])[["player_id", "offence", "defence", "total"]]
 
 
 def offence_defence_fit(rows: DataFrame, alpha_offence: float, alpha_defence: float) -> DataFrame:
-    """The ratings of rows from `offence_defence_rows`."""
-    ratings = offence_defence_ratings(normal_equations(rows, _STINT_SIDE, "feature"), alpha_offence, alpha_defence)
+    """The ratings of rows from offence_defence_design() or possession_design()."""
+    ratings = offence_defence_ratings(normal_equations(rows), alpha_offence, alpha_defence)
     return rows.sparkSession.createDataFrame(ratings, "player_id long, offence double, defence double, total double")
 
 
 def plus_minus_table(stints: DataFrame, alpha_offence: float, alpha_defence: float, least_minutes: float = 200.0) -> DataFrame:
     """Raw and adjusted ratings with minutes and the primary team, for players of `least_minutes` or more."""
     sides = lineups.by_side(stints)
-    adjusted = stints.withColumns({"home_pts": F.col("home_pts_adj"), "away_pts": F.col("away_pts_adj")})
-    raw = offence_defence_fit(lineups.offence_defence_rows(stints), alpha_offence, alpha_defence)
-    adj = offence_defence_fit(lineups.offence_defence_rows(adjusted), alpha_offence, alpha_defence).select("player_id", *[F.col(c).alias(f"{c}_adj") for c in ("offence", "defence", "total")])
+    raw = offence_defence_fit(lineups.offence_defence_design(stints), alpha_offence, alpha_defence)
+    adj = offence_defence_fit(lineups.offence_defence_design(stints, adjusted=True), alpha_offence, alpha_defence).select("player_id", *[F.col(c).alias(f"{c}_adj") for c in ("offence", "defence", "total")])
     minutes = lineups.time_on_court(sides).select("player_id", (F.col("seconds") / 60.0).alias("minutes"))
     return raw.join(adj, "player_id").join(minutes.where(F.col("minutes") >= least_minutes), "player_id").join(lineups.primary_team(sides), "player_id")
 
 
-def plus_minus_windows(stints: DataFrame, windows: dict[str, tuple], alphas: list[float]) -> DataFrame:
-    """Ratings of each window of seasons (first, last; None is open) and each penalty: rows window, alpha, player_id, ratings."""
+def window_of(season: Column, windows: dict[str, tuple]) -> Column:
+    """The names of the windows (first, last; None is open) that a season belongs to."""
+    inside = lambda first, last: (season >= first if first is not None else F.lit(True)) & (season <= last if last is not None else F.lit(True))
+    return F.filter(F.array(*[F.when(inside(*w), n) for n, w in windows.items()]), lambda n: n.isNotNull())
+
+
+def plus_minus_windows(stints: DataFrame, windows: dict[str, tuple], alphas: list[float], possessions: DataFrame | None = None, least_coverage: float = 0.98) -> DataFrame:
+    """Ratings of each window of seasons and each penalty: rows window, source, alpha, player_id, ratings.
+
+    One pass makes the sums of all windows. With `possessions` (and a season), a window is fitted on these where they cover
+    at least `least_coverage` of its games with stints, else on stints.
+    """
+    inside = lambda df: df.withColumn("window", F.explode(window_of(F.col("season"), windows)))
+    tables = {"stints": gram_table(lineups.offence_defence_design(inside(stints)), ("window",)).persist()}
+    source = dict.fromkeys(windows, "stints")
+    if possessions is not None:
+        games = inside(stints).select("window", "game_id").distinct()
+        have = possessions.select("game_id").distinct().withColumn("_there", F.lit(True))
+        for name, wanted, there in games.join(have, "game_id", "left").groupBy("window").agg(F.count("*"), F.count("_there")).collect():  # a row per window
+            source[name] = "possessions" if there >= least_coverage * wanted else "stints"
+        tables["possessions"] = gram_table(lineups.possession_design(inside(possessions)), ("window",)).persist()
     parts = []
-    for name, (first, last) in windows.items():
-        chosen = stints.where((F.col("season") >= first) if first is not None else F.lit(True)).where((F.col("season") <= last) if last is not None else F.lit(True))
-        eq = normal_equations(lineups.offence_defence_rows(chosen), _STINT_SIDE, "feature")  # one pass serves all penalties
-        parts += [offence_defence_ratings(eq, alpha, alpha).assign(window=name, alpha=alpha) for alpha in alphas]
-    columns = ["window", "alpha", "player_id", "offence", "defence", "total"]
-    return stints.sparkSession.createDataFrame(pd.concat(parts)[columns], "window string, alpha double, player_id long, offence double, defence double, total double")
+    for name in windows:
+        eq = equations_of(tables[source[name]].where(F.col("window") == name).drop("window"))
+        parts += [offence_defence_ratings(eq, alpha, alpha).assign(window=name, source=source[name], alpha=alpha) for alpha in alphas if len(eq.features)]
+    for table in tables.values():
+        table.unpersist()
+    columns = ["window", "source", "alpha", "player_id", "offence", "defence", "total"]
+    out = pd.concat(parts)[columns] if parts else pd.DataFrame(columns=columns)
+    return stints.sparkSession.createDataFrame(out, "window string, source string, alpha double, player_id long, offence double, defence double, total double")

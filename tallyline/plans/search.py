@@ -77,3 +77,20 @@ def prorated(facts: DataFrame, season_values: DataFrame, per_game: list[str], se
     rows = picked.join(season_values, ["player_id", "season"], "left")
     cols = [F.sum(F.col(c) * F.col("picked")).alias(c) for c in per_game] + [F.sum(F.when(F.col("season_games") > 0, F.col(c) * F.col("picked") / F.col("season_games"))).alias(c) for c in season_totals]
     return rows.groupBy("player_id").agg(F.sum("picked").alias("games"), *cols)
+
+
+def in_seasons(facts: DataFrame, first: int | None = None, last: int | None = None) -> DataFrame:
+    """Rows of the seasons first to last; None is an open end, and an end before the start leaves nothing."""
+    return facts.where(S.in_range(F.col("season"), first, last))
+
+
+def split_bounds(slots: list[tuple[str, float | None, float | None]]) -> dict[str, tuple]:
+    """Bounds of a SearchSpec from slots (figure, least, most); a slot without bounds asks for nothing, and two slots on one figure
+    both hold."""
+    out: dict[str, tuple] = {}
+    for name, low, high in slots:
+        if low is None and high is None:
+            continue
+        a, b = out.get(name, (None, None))
+        out[name] = (low if a is None else a if low is None else max(a, low), high if b is None else b if high is None else min(b, high))
+    return out

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..lineage import fresh_dir
+from ..sources.pbp import PBP_SQL, play_by_play
 from ..streaming import incremental
 from .registry import query
 
@@ -11,8 +13,35 @@ from .registry import query
 @query("""WITH s AS (SELECT user_id AS player_id, event_id, CASE WHEN event_type IN ('purchase', 'signup') THEN 1 ELSE 0 END AS made, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events)
   SELECT x.player_id, x.event_id, round(coalesce(sum(power(2.0, -(x.n - 1 - y.n)/1000.0)), 0), 6) AS a_before, round(coalesce(sum(y.made * power(2.0, -(x.n - 1 - y.n)/1000.0)), 0), 6) AS m_before FROM s x LEFT JOIN s y ON x.player_id = y.player_id AND y.n < x.n GROUP BY ALL""")
 def decayed_state_stream(spark, d):
-    schema = spark.read.parquet(f"{d}/events.parquet").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    events = incremental.table_stream(spark, d, "events")
     shots = events.select(F.col("user_id").alias("player_id"), "event_id", F.col("event_type").isin("purchase", "signup").cast("int").alias("made"))
     out = incremental.drain(incremental.decay_stream(shots))
     return out.select("player_id", "event_id", F.round("a_before", 6).alias("a_before"), F.round("m_before", 6).alias("m_before"))
+
+
+@query("SELECT DISTINCT user_id AS game_id FROM events")
+def games_taken_once(spark, d):
+    """Each game of a stream once, however often its rows come within the watermark."""
+    events = incremental.table_stream(spark, d, "events").select(F.col("user_id").alias("game_id"), F.col("ts").cast("timestamp").alias("ts"))
+    return incremental.drain(incremental.once_per_game(events, delay="400 days")).select("game_id")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN o_totalprice ELSE 2 * o_totalprice END AS price, o_orderstatus FROM orders")
+def replaced_partitions(spark, d):
+    """A first stream writes all orders; a second one brings one status anew, whose partition it replaces."""
+    path = fresh_dir(spark, "replaced")
+    orders = incremental.table_stream(spark, d, "orders", 1_000_000).select("o_orderkey", F.col("o_totalprice").alias("price"), "o_orderstatus")
+    incremental.replayed(orders.withColumn("price", 2 * F.col("price")), path, "o_orderstatus")
+    incremental.replayed(orders.where("o_orderstatus = 'F'"), path, "o_orderstatus")
+    return spark.read.parquet(path).select("o_orderkey", "price", F.col("o_orderstatus").cast("string").alias("o_orderstatus"))
+
+
+@query(f"""WITH {PBP_SQL}, s AS (SELECT *, coalesce(sum(CASE WHEN kind IN ('made', 'turnover') THEN 1 ELSE 0 END) OVER (PARTITION BY game_id ORDER BY action_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1 AS i FROM pbp)
+  SELECT game_id, CAST(i AS BIGINT) AS poss_index, arg_max(kind, action_number) AS ended_by, arg_max(team_id, action_number) AS team_id, CAST(sum(points) AS BIGINT) AS points FROM s GROUP BY 1, 2 HAVING arg_max(kind, action_number) IN ('made', 'turnover')""")
+def streamed_possessions(spark, d):
+    """The feed is laid down in the shared folder and read as a stream of games."""
+    path = fresh_dir(spark, "feed")
+    play_by_play(spark, d).select("game_id", "action_number", "team_id", "kind", "points").write.parquet(path)
+    schema = spark.read.parquet(path).schema
+    events = spark.readStream.schema(schema).parquet(path)
+    return incremental.drain(incremental.possession_stream(events, ("made", "turnover")))

@@ -42,7 +42,7 @@ def possessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = stints(spark, sf_dir)
     home = F.col("l_linenumber") % 2 == 0
     pick = lambda a, b: F.when(home, F.col(a)).otherwise(F.col(b))
-    return s.select("game_id", F.col("stint_index").alias("poss_index"), pick("home_id", "away_id").alias("offense_team"), pick("home_lineup", "away_lineup").alias("off_lineup"), pick("away_lineup", "home_lineup").alias("def_lineup"), (F.col("l_linenumber") % 4).alias("points"), "ended_by", "date")
+    return s.select("game_id", F.col("stint_index").alias("poss_index"), pick("home_id", "away_id").alias("offense_team"), pick("away_id", "home_id").alias("defense_team"), pick("home_lineup", "away_lineup").alias("off_lineup"), pick("away_lineup", "home_lineup").alias("def_lineup"), (F.col("l_linenumber") % 4).alias("points"), "ended_by", "date")
 
 
 def shots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +63,7 @@ SIDES_SQL = STINTS_SQL + """, sides AS (
   SELECT game_id, stint_index, date, seconds, home_id AS team_id, list_sort(home_lineup) AS lineup, home_pts AS pf, away_pts AS pa, home_pts_adj AS pf_adj, away_pts_adj AS pa_adj FROM stints
   UNION ALL SELECT game_id, stint_index, date, seconds, away_id, list_sort(away_lineup), away_pts, home_pts, away_pts_adj, home_pts_adj FROM stints)"""
 POSS_SQL = STINTS_SQL + """, possessions AS (
-  SELECT game_id, stint_index AS poss_index, CASE WHEN l_linenumber % 2 = 0 THEN home_id ELSE away_id END AS offense_team, CASE WHEN l_linenumber % 2 = 0 THEN home_lineup ELSE away_lineup END AS off_lineup,
+  SELECT game_id, stint_index AS poss_index, CASE WHEN l_linenumber % 2 = 0 THEN home_id ELSE away_id END AS offense_team, CASE WHEN l_linenumber % 2 = 0 THEN away_id ELSE home_id END AS defense_team, CASE WHEN l_linenumber % 2 = 0 THEN home_lineup ELSE away_lineup END AS off_lineup,
   CASE WHEN l_linenumber % 2 = 0 THEN away_lineup ELSE home_lineup END AS def_lineup, l_linenumber % 4 AS points, ended_by, date FROM stints)"""
 SHOTS_SQL = """shots AS (
   SELECT event_id, ts, CAST(ts AS DATE) AS game_id, user_id AS player_id, CAST(event_type IN ('purchase', 'signup') AS INTEGER) AS made, event_type AS type,

@@ -21,6 +21,7 @@ def _steps(div: str) -> list[dict[str, str]]:
         {
             "game_id": game, "home_id": home, "away_id": away, "elapsed": "CAST((l_partkey * 37 + l_suppkey * 11 + l_linenumber * 101) % 2879 + 1 AS BIGINT)", "kind": kind,
             "team_id": f"CASE WHEN l_suppkey % 2 = 0 THEN {home} ELSE {away} END", "slot": f"(l_suppkey {div} 2) % 5", "points": f"CAST({points} AS BIGINT)", "three": f"{code} <= 2 AND l_linenumber % 2 = 1",
+            "description": f"CASE WHEN {code} = 5 THEN 'Free Throw ' || CAST(l_linenumber % 2 + 1 AS STRING) || ' of ' || CAST((l_linenumber + l_suppkey) % 2 + 1 AS STRING) END",
             "l_orderkey": "l_orderkey", "l_partkey": "l_partkey", "l_suppkey": "l_suppkey", "l_linenumber": "l_linenumber",
         },
         {"action_number": "CAST(row_number() OVER (PARTITION BY game_id ORDER BY elapsed, l_orderkey, l_partkey, l_suppkey, l_linenumber) AS BIGINT)"},
@@ -31,12 +32,12 @@ def _steps(div: str) -> list[dict[str, str]]:
 
 def play_by_play(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Columns game_id, home_id, away_id, period, elapsed, action_number, kind, team_id, player_id (of a 'sub' the one who
-    leaves), in_id, points, three."""
+    leaves), in_id, points, three, description (of free throws)."""
     first, *more = _steps("div")
     out = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr(*[f"{e} AS {n}" for n, e in first.items()])
     for step in more:
         out = out.selectExpr("*", *[f"{e} AS {n}" for n, e in step.items()])
-    return out.select("game_id", "home_id", "away_id", "period", "elapsed", "action_number", "kind", "team_id", "player_id", "in_id", "points", "three")
+    return out.select("game_id", "home_id", "away_id", "period", "elapsed", "action_number", "kind", "team_id", "player_id", "in_id", "points", "three", "description")
 
 
 def _sql() -> str:

@@ -2,31 +2,47 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..lineage import fresh_dir
 
-def decay_stream(shots: DataFrame, half_life: float = 1000.0) -> DataFrame:
+
+def decay_stream(shots: DataFrame, half_life: float = 1000.0, forget_after_ms: int | None = None) -> DataFrame:
     """Rows (player_id, event_id, made) in order of event_id become (player_id, event_id, a_before, m_before); the state
-    of a player is its decayed attempts and makes, kept between micro-batches."""
+    of a player is its decayed attempts and makes, two numbers, kept between micro-batches.
+
+    Batches must come in order of events; rows of one batch are put in order here. A batch's rows of one player are held
+    together, so the source should bound its batches (maxFilesPerTrigger). With `forget_after_ms`, a player without shots
+    for so long loses its state, which decays to nothing anyway.
+    """
     gamma = 2.0 ** (-1.0 / half_life)
+    piece = max(int(500 * half_life), 1)  # longer runs would overflow the powers
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         a, m = state.get if state.exists else (0.0, 0.0)
         rows = pd.concat(list(frames)).sort_values("event_id")
-        out = []
-        for event, made in zip(rows["event_id"], rows["made"], strict=True):
-            out.append((key[0], event, a, m))
-            a, m = gamma * (a) + 1.0, gamma * (m) + float(made)
+        event, made = rows["event_id"].to_numpy(), rows["made"].to_numpy(float)
+        for low in range(0, len(rows), piece):
+            hits = made[low : low + piece]
+            left = gamma ** np.arange(len(hits) + 1)
+            attempts = a * left + (1 - left) / (1 - gamma)
+            makes = left * (m + np.concatenate([[0.0], np.cumsum(hits / left[1:])]))
+            yield pd.DataFrame({"player_id": key[0], "event_id": event[low : low + piece], "a_before": attempts[:-1], "m_before": makes[:-1]})
+            a, m = float(attempts[-1]), float(makes[-1])
         state.update((a, m))
-        yield pd.DataFrame(out, columns=["player_id", "event_id", "a_before", "m_before"])
+        if forget_after_ms:
+            state.setTimeoutDuration(forget_after_ms)
 
-    return shots.groupBy("player_id").applyInPandasWithState(step, "player_id long, event_id long, a_before double, m_before double", "a double, m double", "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if forget_after_ms else GroupStateTimeout.NoTimeout
+    return shots.groupBy("player_id").applyInPandasWithState(step, "player_id long, event_id long, a_before double, m_before double", "a double, m double", "append", timeout)
 
 
 def once_per_game(stream: DataFrame, key: str = "game_id", at: str = "ts", delay: str = "7 days") -> DataFrame:
@@ -43,31 +59,59 @@ def replace_per_batch(path: str, partition: str):
     return write
 
 
-def possession_stream(events: DataFrame, ends: tuple[str, ...]) -> DataFrame:
+def possession_stream(events: DataFrame, ends: tuple[str, ...], over: str = "game_end", silent_ms: int | None = None) -> DataFrame:
     """Possessions of games as they happen: rows (game_id, action_number, team_id, kind, points) become one row per ending event
-    (game_id, poss_index, ended_by, team_id of the ending event, points of all events since the last end). The state of a game is
-    its count and open points, so it stays small however long the feed is; rows must arrive in order of action_number per game."""
+    (game_id, poss_index, ended_by, team_id of the ending event, points of all events since the last end).
+
+    The state of a game is its count and open points. It goes when an event of kind `over` comes or, if `silent_ms` is given,
+    nothing has come for so long; points that are open then make a last possession, ended by 'end_of_game'. Batches must come
+    in order of action_number per game. A stream that ends with its source (availableNow) must not wait for silence.
+    """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        index, points = state.get if state.exists else (0, 0)
-        rows = pd.concat(list(frames)).sort_values("action_number")
-        out = []
+        index, points, opened = state.get if state.exists else (0, 0, False)
+        out, finished = [], state.hasTimedOut
+        rows = pd.DataFrame(columns=["kind", "team_id", "points"]) if finished else pd.concat(list(frames)).sort_values("action_number")
         for kind, team, scored in zip(rows["kind"], rows["team_id"], rows["points"], strict=True):
-            points += int(scored)
+            finished |= kind == over
+            points, opened = points + int(scored), opened or kind != over
             if kind in ends:
                 index += 1
                 out.append((key[0], index, kind, team, points))
-                points = 0
-        state.update((index, points))
-        yield pd.DataFrame(out, columns=["game_id", "poss_index", "ended_by", "team_id", "points"])
+                points, opened = 0, False
+        if finished:
+            if opened:
+                out.append((key[0], index + 1, "end_of_game", None, points))
+            if state.exists or state.hasTimedOut:
+                state.remove()
+        else:
+            state.update((index, points, opened))
+            if silent_ms:
+                state.setTimeoutDuration(silent_ms)
+        if out:
+            yield pd.DataFrame(out, columns=["game_id", "poss_index", "ended_by", "team_id", "points"]).astype({"team_id": "Int64"})
+
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if silent_ms else GroupStateTimeout.NoTimeout
+    return events.groupBy("game_id").applyInPandasWithState(step, "game_id long, poss_index long, ended_by string, team_id long, points long", "index long, points long, opened boolean", "append", timeout)
+
+
+def table_stream(spark: SparkSession, sf_dir: str, name: str, files_per_batch: int = 8) -> DataFrame:
+    """A table's Parquet files as a stream, some files a batch."""
+    one = f"{sf_dir}/{name}.parquet"
+    schema = spark.read.parquet(one).schema
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
 
-    return events.groupBy("game_id").applyInPandasWithState(step, "game_id long, poss_index long, ended_by string, team_id long, points long", "index long, points long", "append", GroupStateTimeout.NoTimeout)
+def replayed(stream: DataFrame, path: str, partition: str) -> None:
+    """Run a stream to the end of what there is, replacing the partitions of `path` that its batches hold."""
+    log = fresh_dir(stream.sparkSession, "replayed-log")
+    stream.writeStream.foreachBatch(replace_per_batch(path, partition)).option("checkpointLocation", log).trigger(availableNow=True).start().awaitTermination()
 
 
 def drain(stream: DataFrame) -> DataFrame:
-    """Run a stream over all that its source holds now, into Parquet in the shared checkpoint folder, and read it back."""
+    """Run a stream over all that its source holds now, into Parquet in the shared folder, and read it back."""
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")  # unset in tests alone
-    path = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    path = fresh_dir(spark, "stream")
     stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")

@@ -106,11 +106,13 @@ def test_concentration(spark):
     assert kappa == pytest.approx(grid[np.argmax([ll(k) for k in grid])], rel=0.01)
 
 
-def test_offence_defence_ridge_is_the_normal_equations(spark):
+@pytest.mark.parametrize("on_driver", [5000, 3])
+def test_offence_defence_ridge_is_the_normal_equations(spark, on_driver, monkeypatch):
+    monkeypatch.setattr(ridge, "MAX_FEATURES", on_driver)  # beyond it: conjugate gradients on the table of products
     rng = np.random.default_rng(5)
     rows = [(g, 1, 1, 2, [int(x) for x in rng.choice(8, 5, False)], [int(x) for x in rng.choice(8, 5, False) + 8], float(rng.integers(20, 200)), int(rng.integers(0, 5)), int(rng.integers(0, 5))) for g in range(60)]
     stints = spark.createDataFrame(rows, "game_id long, stint_index long, home_id long, away_id long, home_lineup array<long>, away_lineup array<long>, seconds double, home_pts long, away_pts long")
-    got = {r.player_id: r for r in ridge.offence_defence_fit(lineups.offence_defence_rows(stints), 50.0, 80.0).collect()}
+    got = {r.player_id: r for r in ridge.offence_defence_fit(lineups.offence_defence_design(stints), 50.0, 80.0).collect()}
     x, y = [], []
     for _, _, _, _, h, a, sec, hp, ap in rows:
         for own, other, p in ((h, a, hp), (a, h, ap)):
