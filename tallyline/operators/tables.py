@@ -62,8 +62,8 @@ def flag_exists(df: DataFrame, flags: dict[str, DataFrame], keys: list[str]) ->
 def closed_remap(remap: DataFrame) -> DataFrame:
     """A remap table (old_id, new_id) followed to its ends: each old id with the id that its chain leads to.
 
-    Pointers are doubled until nothing moves, so a chain of n links takes log2(n) rounds. Ids on a cycle go to the one before
-    the chain would come back to its start: (a to b, b to c, c to a) sends a back to a. Repeated old ids count
+    Pointers are doubled until nothing moves, so a chain of n links takes log2(n) rounds. Where a chain comes
+    back to an id, that id is its end: (a to b, b to c, c to a) leaves a as it is. Repeated old ids count
     once, with the least new id. The table is small against what it is applied to, and never leaves Spark.
     """
     step = remap.where("old_id is not null and new_id is not null and old_id <> new_id").groupBy("old_id").agg(F.min("new_id").alias("new_id"))
@@ -82,7 +82,7 @@ def closed_remap(remap: DataFrame) -> DataFrame:
 
 
 def _cycle_ends(step: DataFrame, on: DataFrame) -> DataFrame:
-    """Ends of chains that run into a cycle, walked link by link: the id before the first one that comes again."""
+    """Ends of chains that run into a cycle, walked link by link: the first id that comes again."""
     walk = step.join(on, "old_id", "left_semi").select("old_id", F.array("old_id").alias("seen"), "new_id")
     out = None
     while True:

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tallyline.functions import scalars as S
 from tallyline.operators import decay, facts, lineups, reconstruct
 from tallyline.plans import ridge
 from tallyline.sources import boxes
@@ -36,7 +37,21 @@ def test_stints_by_hand(spark):
     assert got[(300, 720, 1)] == ([11, 12, 13, 14, 15], 0, 3)
     assert got[(900, 1440, 1)][0] == [10, 11, 12, 13, 14]
     poss = reconstruct.possessions(events, sides).orderBy("poss_index").collect()
-    assert [(p.poss_index, p.offense_team, p.ended_by, p.points) for p in poss] == [(1, 1, "made", 2), (2, 1, "free_throw", 1), (3, 2, "made", 3), (4, 1, "defensive_rebound", 0), (5, 2, "turnover", 0)]
+    assert [(p.poss_index, p.offense_team, p.ended_by, p.points) for p in poss] == [(1, 1, "made", 2), (2, 1, "free_throw", 1), (3, 2, "made", 3), (4, 1, "period", 0), (5, 1, "defensive_rebound", 0), (6, 2, "turnover", 0), (7, 1, "period", 0)]
+
+
+def test_free_throws_close_a_possession_with_the_last_one(spark):
+    _, starters, ends = game(spark)
+    feed = [(10, "jump_ball", 2, 0, None), (20, "missed", 1, 0, None), (21, "offensive_rebound", 1, 0, None), (30, "free_throw", 1, 1, "Free Throw 1 of 2"), (31, "free_throw", 1, 1, "Free Throw 2 of 2"), (700, "free_throw", 2, 1, "MISS Free Throw 1 of 3")]
+    rows = [(1, 1, 2, 1, t, i, k, team, team * 10, None, p, text) for i, (t, k, team, p, text) in enumerate(feed)]
+    events = spark.createDataFrame(rows, EVENTS + ", description string")
+    sides = reconstruct.stint_sides(reconstruct.rotations(starters, events.where("kind = 'sub'"), ends), ends)
+    marked = events.withColumn("last_throw", S.last_of_sequence(F.col("description")))
+    got = [(r.offense_team, r.ended_by, r.points) for r in reconstruct.possessions(marked, sides).orderBy("poss_index").collect()]
+    assert got == [(1, "free_throw", 2), (2, "period", 1)]
+    # before any close, a period goes to who last got the ball, not to who shot
+    opening = reconstruct.possessions(marked.where("action_number <= 1"), sides).collect()
+    assert [(r.offense_team, r.ended_by) for r in opening] == [(2, "period")]
 
 
 def test_incomplete_lineups_give_no_stint_and_no_possession(spark):
@@ -128,6 +143,32 @@ def test_offence_defence_ridge_is_the_normal_equations(spark, on_driver, monkeyp
         assert (got[p].offence, got[p].defence, got[p].total) == (pytest.approx(o[p]), pytest.approx(d[p]), pytest.approx(o[p] + d[p]))
 
 
+def test_windows_take_possessions_where_they_cover_the_games(spark):
+    rng = np.random.default_rng(2)
+    pick = lambda base: [int(x) for x in rng.choice(7, 5, False) + base]
+    lines = [(g, 0, 1, 2, pick(0), pick(10), 60.0, int(rng.integers(0, 5)), int(rng.integers(0, 5)), 2000 + g % 2) for g in range(40)]
+    stints = spark.createDataFrame(lines, "game_id long, stint_index long, home_id long, away_id long, home_lineup array<long>, away_lineup array<long>, seconds double, home_pts long, away_pts long, season int")
+    poss = spark.createDataFrame([(x[0], i, x[4], x[5], int(rng.integers(0, 3)), x[9]) for x in lines if x[9] == 2001 for i in range(3)], "game_id long, poss_index long, off_lineup array<long>, def_lineup array<long>, points long, season int")
+    out = ridge.plus_minus_windows(stints, {"late": (2001, None), "all": (None, None), "none": (2010, 2000)}, [100.0], poss)
+    assert {(r.window, r.source) for r in out.collect()} == {("late", "possessions"), ("all", "stints")}
+    alone = {r.player_id: r.total for r in ridge.offence_defence_fit(lineups.possession_design(poss), 100.0, 100.0).collect()}
+    assert {r.player_id: pytest.approx(r.total) for r in out.where("window = 'late'").collect()} == alone
+
+
+def test_margin_ridge_sees_both_sides(spark):
+    rng = np.random.default_rng(7)
+    rows = [(g, 0, [int(x) for x in rng.choice(8, 5, False)], [int(x) for x in rng.choice(8, 5, False) + 8], float(rng.integers(20, 200)), int(rng.integers(0, 9)), int(rng.integers(0, 9))) for g in range(80)]
+    stints = spark.createDataFrame(rows, "game_id long, stint_index long, home_lineup array<long>, away_lineup array<long>, seconds double, home_pts long, away_pts long")
+    got = {r.player_id: r.coefficient for r in ridge.ridge_fit(lineups.margin_design(stints), 40.0).collect()}
+    x, y = np.zeros((80, 16)), np.zeros(80)
+    for i, (_, _, h, a, sec, hp, ap) in enumerate(rows):
+        w = math.sqrt(sec / 24)
+        x[i, h], x[i, a], y[i] = w, -w, (hp - ap) / (sec / 24) * 100 * w
+    xc = x - x.mean(0)
+    want = np.linalg.solve(xc.T @ xc + 40.0 * np.eye(16), xc.T @ (y - y.mean()))
+    assert [got[i] for i in range(16)] == pytest.approx(want)
+
+
 def batches(spark, df, parts):
     """A stream over `parts` files of a table, one per micro-batch."""
     path = tempfile.mkdtemp(prefix="spark-", dir="/tmp")

@@ -40,6 +40,64 @@ def test_decay_is_the_recursion(spark):
         a, m = f * a + r.a, f * m + r.m
 
 
+def test_decay_of_long_series(spark):
+    """Millions of attempts: more than powers of two can span."""
+    rows = spark.range(4000).select(F.lit(1).alias("p"), F.col("id").alias("g"), F.lit(500).alias("a"), (F.col("id") % 400).alias("m"))
+    got = decay.decayed_before(rows, "p", ["g"], "a", "m", 1000.0).orderBy("g").collect()
+    a = m = 0.0
+    for r in got:
+        assert (r.a_before, r.m_before) == (pytest.approx(a), pytest.approx(m))
+        f = 2 ** (-r.a / 1000.0)
+        a, m = f * a + r.a, f * m + r.m
+
+
+def test_shot_priors_are_the_recursion(spark):
+    rows = [(1, i, i * 5 % 3 % 2, i * 7 % 4 % 2) for i in range(120)]
+    out = decay.shot_priors(spark.createDataFrame(rows, "player_id long, n long, made long, assisted long"), F.lit(0.33), order=["n"], skill_half_life=12.0, penalty_half_life=8.0, anchor=5.0, penalty_weight=6.0)
+    sm, sa, um, ua = 0.33 * 10, 10.0, -0.06 * 6, 6.0
+    for r in out.orderBy("n").collect():
+        theta, delta = sm / sa, um / ua
+        want = max(0.1, min(0.6, theta if r.assisted else theta + delta))
+        assert (r.theta, r.delta, r.expected) == (pytest.approx(theta), pytest.approx(delta), pytest.approx(want))
+        if r.assisted:
+            f = 0.5 ** (1 / 12)
+            sm, sa = sm * f + r.made, sa * f + 1
+        else:
+            f = 0.5 ** (1 / 8)
+            um, ua = um * f + r.made - theta, ua * f + 1
+
+
+def test_remap_chains_are_followed_to_their_ends(spark):
+    links = [(i, i + 1) for i in range(1, 30)] + [(40, 41), (41, 42), (42, 40), (50, 41), (3, 4), (60, 60), (70, None)]
+    got = {r.old_id: r.new_id for r in tables.closed_remap(spark.createDataFrame(links, "old_id long, new_id long")).collect()}
+
+    def plain(i, to):
+        seen = set()
+        while i in to and i not in seen:
+            seen.add(i)
+            i = to[i]
+        return i
+
+    to = {a: b for a, b in links if b is not None and a != b}
+    assert {k: v for k, v in got.items() if k not in (40, 41, 42, 50)} == {i: plain(i, to) for i in to if i not in (40, 41, 42, 50)}
+    ids = spark.createDataFrame([(1,), (40,), (50,), (99,), (None,)], "x long")
+    assert {r.x for r in tables.follow_remap(ids, "x", spark.createDataFrame(links, "old_id long, new_id long")).collect()} == {30, 99, None, plain(40, to), plain(50, to)}
+    assert tables.follow_remap(ids, "x", spark.createDataFrame([], "old_id long, new_id long")).count() == 5
+
+
+def test_first_after_looks_ahead_of_its_own_key(spark):
+    df = spark.createDataFrame([(1, 5, "a"), (1, 9, "b"), (2, 1, "c")], "k long, t long, name string")
+    events = spark.createDataFrame([(1, 5, 10), (1, 7, 12), (1, 7, 11), (2, 1, 13)], "k long, et long, v long")
+    got = {r.name: (r.et, r.v) for r in sequences.first_after(df, events, ["k"], "t", "et", "v").collect()}
+    assert got == {"a": (7, 11), "b": (None, None), "c": (None, None)}
+
+
+def test_names_texts_and_times(spark):
+    text = lambda x: F.lit(x)
+    got = one(spark, plain=F.sort_array(S.name_aliases(text("A.C. Green"))), junior=F.sort_array(S.name_aliases(text("Jo Smith Jr."))), none=S.name_aliases(F.lit(None).cast("string")), star=S.tidy(text("Ann  Lee* ")), number=S.tidy(text("Ann Lee (3)")), at=S.clock_at(F.lit(725)), end=S.clock_at(F.lit(720), True), first=S.first_text(F.lit(None).cast("string"), text(" nan "), text(" x ")), unknown=S.event_name(F.lit(7)))
+    assert got == {"plain": ["acgreen", "agreen", "green"], "junior": ["josmithjr", "smithjr"], "none": [], "star": "Ann Lee", "number": "Ann Lee", "at": "PT11M55.00S", "end": "PT00M00.00S", "first": "x", "unknown": ""}
+
+
 def test_boundary_belongs_to_the_interval_that_ends_there(spark):
     iv = spark.createDataFrame([("g", 0.0, 10.0), ("g", 10.0, 20.0), ("h", 0.0, 5.0)], "k string, s double, e double")
     pts = spark.createDataFrame([("g", 10.0, 2.0), ("g", 10.5, 3.0), ("g", 0.0, 7.0)], "k string, t double, v double")
