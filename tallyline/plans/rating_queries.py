@@ -101,9 +101,9 @@ def _seasons(spark, d):
     return out.withColumn("ftm", F.col("ftm") / 4)
 
 
-@query(f"WITH {_SEASONS} SELECT player_id, round(sum(ftm) / sum(fta), 6) AS rate, round((0.34 + sum(ftm) / sum(fta) * 0.5 - 0.02) / 2, 6) AS skill FROM sea WHERE player_id > 0 GROUP BY 1 HAVING sum(fta) > 0")
+@query(f"WITH {_SEASONS} SELECT player_id, round(sum(ftm) / sum(fta), 6) AS rate, round((0.34 + sum(ftm) / sum(fta) * 0.5 - 0.02) / 2, 9) AS skill FROM sea WHERE player_id > 0 GROUP BY 1 HAVING sum(fta) > 0")
 def career_free_throws(spark, d):
-    return decay.career_rates(_seasons(spark, d), "player_id", "fta", "ftm").withColumns({"rate": F.round("rate", 6), "skill": F.round(decay.starting_skill(F.col("rate")), 6)})
+    return decay.career_rates(_seasons(spark, d), "player_id", "fta", "ftm").withColumns({"rate": F.round("rate", 6), "skill": F.round(decay.starting_skill(F.col("rate")), 9)})
 
 
 @query(f"""WITH {_SEASONS}, r AS (SELECT *, CASE WHEN fta > 0 THEN ftm / fta END AS rate FROM sea), w AS (SELECT *, CASE WHEN rate IS NOT NULL THEN exp(-ln(2)/3.0*(max(season) FILTER (rate IS NOT NULL) OVER (PARTITION BY player_id) - season)) * fta END AS w FROM r)
