@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, length_histogram, licenses, line_templates, mixing, near_dups, quality, secrets, token_files, warc
+from . import clustering, contamination, filter_audit, length_histogram, licenses, line_templates, mixing, near_dups, quality, secrets, token_files, vector_search, warc
 from .cluster import fresh_dir, small_batches
+from .vectors import grid_vectors
 
 
 def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
@@ -75,8 +76,23 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base_spans"), 256).alias("base_sha256"), "spans")
 
 
+def op11_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = grid_vectors(_table(spark, sf_dir, "embeddings"), 256)
+    return vector_search.exact_top_k(vectors, F.col("vec_id") % 50 == 0, 5)
+
+
+def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = grid_vectors(_table(spark, sf_dir, "embeddings"), 64, dims=64)
+    out = clustering.with_inertia(*clustering.cluster_vectors(vectors, 16, 3, 1))
+    return out.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.interaction_report(*filter_audit.failure_cells(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_source_mix, op2_near_duplicates, op3_recurring_lines, op4_token_files, op5_contamination, op6_token_counts, op7_licenses, op8_warc, op9_quality, op10_secrets)}
+    return {f.__name__: f for f in (op1_source_mix, op2_near_duplicates, op3_recurring_lines, op4_token_files, op5_contamination, op6_token_counts, op7_licenses, op8_warc, op9_quality, op10_secrets, op11_vector_search, op12_clusters, op13_filter_audit)}
 
 
 _OP2 = r"""
@@ -124,8 +140,70 @@ FROM p LEFT JOIN m USING (html)
 """
 
 
+_OP11 = r"""
+WITH v AS (
+  SELECT DISTINCT vec_id, [floor(256 * CAST(x AS DOUBLE)) for x in embedding] AS g FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+pairs AS (
+  SELECT q.vec_id AS query_id, q.g AS query, c.vec_id, CAST(list_inner_product(q.g, c.g) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id OR q.g <> c.g WHERE q.vec_id % 50 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id, query ORDER BY score DESC, vec_id) AS n FROM pairs)
+SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM ranked WHERE n <= 5
+"""
+
+
+def _op12(rounds: int = 3) -> str:
+    """k-means by full scans, a pair of steps per round."""
+    nearest = """a{r} AS MATERIALIZED (
+  SELECT rid, vec_id, g, min(CAST(list_inner_product(g, g) - 2 * list_inner_product(g, cg) + list_inner_product(cg, cg) AS BIGINT) * 16 + c) AS m
+  FROM v, c{r} GROUP BY rid, vec_id, g)"""
+    moved = """c{s} AS MATERIALIZED (
+  SELECT c, coalesce(mg, cg) AS cg FROM c{r} LEFT JOIN (
+    SELECT c, list(f ORDER BY i) AS mg FROM (SELECT m % 16 AS c, i, floor(sum(g[i]) / count(*)) AS f FROM a{r}, range(1, 65) t(i) GROUP BY 1, 2) GROUP BY c) USING (c))"""
+    steps = ",\n".join(nearest.format(r=r) + ("" if r == rounds else ",\n" + moved.format(r=r, s=r + 1)) for r in range(rounds + 1))
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, [floor(64 * CAST(x AS DOUBLE)) for x in embedding] AS g FROM embeddings
+  WHERE len(embedding) = 64 AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id) NULLS LAST, g) - 1 AS c, g AS cg FROM v QUALIFY c < 16),
+{steps},
+done AS (SELECT vec_id, m % 16 AS c, m // 16 AS d FROM a{rounds})
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string([CAST(x AS BIGINT) for x in cg], ',')) AS centroid_sha256
+FROM done JOIN c{rounds} USING (c)
+"""
+
+
+_OP13 = r"""
+WITH words AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, [x for x in regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+') if x <> ''] AS w FROM documents),
+masks AS (
+  SELECT doc_id, part, CASE WHEN len(w) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * (length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > 3 * length(t) THEN 4 ELSE 0 END
+    + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END AS mask
+  FROM words),
+known AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+cells AS (SELECT part, mask, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM masks LEFT JOIN known USING (doc_id) GROUP BY 1, 2),
+f(l, b) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+orders AS (
+  SELECT p.l || q.l || r.l || s.l || t.l AS filter_order, [p.b, q.b, r.b, s.b, t.b] AS bits FROM f p, f q, f r, f s, f t
+  WHERE (p.b | q.b | r.b | s.b | t.b) = 31),
+steps AS (SELECT filter_order, CAST(step AS INTEGER) AS step, bits[step] AS bit, CAST(coalesce(list_sum(bits[1:step - 1]), 0) AS INTEGER) AS early FROM orders, range(1, 6) x(step)),
+counts AS (
+  SELECT part, filter_order, step, bit,
+    sum(CASE WHEN mask & (early | bit) = 0 THEN n ELSE 0 END) AS kept, sum(CASE WHEN mask & early = 0 AND mask & bit <> 0 THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN mask & early <> 0 AND mask & bit <> 0 THEN n ELSE 0 END) AS redundant, sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN mask & early = 0 AND mask & bit <> 0 THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN mask & early = 0 AND mask & bit <> 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM cells, steps GROUP BY 1, 2, 3, 4)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
+FROM counts
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_near_duplicates": _OP2, "op5_contamination": _OP5, "op8_warc": _OP8}
+    return {"op2_near_duplicates": _OP2, "op5_contamination": _OP5, "op8_warc": _OP8, "op11_vector_search": _OP11, "op12_clusters": _op12(), "op13_filter_audit": _OP13}
 
 
 __all__ = ["oracle_sql", "queries", "tokenizer_file"]
