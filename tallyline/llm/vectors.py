@@ -22,7 +22,8 @@ def grid_vectors(df: DataFrame, scale: int, id_col: str = "vec_id", vec_col: str
     if dims is not None:
         usable &= F.size("_x") == dims
     cell = lambda x: F.when(F.abs(x * scale) < LIMIT - 1, F.floor(x * scale).cast("int")).otherwise(F.raise_error(F.lit("vector component out of range")).cast("int"))
-    return rows.where(usable).select("vec_id", F.transform("_x", cell).alias("vector"))
+    # the condition is part of the expression, since filters may be evaluated in any order
+    return rows.select("vec_id", F.when(usable, F.transform("_x", cell)).alias("vector")).where("vector is not null")
 
 
 def matrix(vectors: pa.Array, dims: int) -> np.ndarray:
