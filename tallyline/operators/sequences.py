@@ -14,11 +14,12 @@ def islands(df: DataFrame, key: list[str], order: list[Column], value: str) -> D
 
 
 def fill_both(df: DataFrame, key: list[str], order: list[Column], value: str) -> DataFrame:
-    """Forward fill, then back fill."""
+    """Forward fill, then back fill. The latter is a forward fill in reverse order: a frame that ends at the last row and starts at
+    each one would be read anew for every row."""
     w = Window.partitionBy(*key).orderBy(*order)
-    forward = F.last(value, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    back = F.first(value, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    return df.withColumn(value, F.coalesce(forward, back))
+    rows = df.withColumns({"_n": F.row_number().over(w), "_forward": F.last(value, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))})
+    back = F.last(value, ignorenulls=True).over(Window.partitionBy(*key).orderBy(F.desc("_n")).rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn(value, F.coalesce("_forward", back)).drop("_n", "_forward")
 
 
 def deltas(df: DataFrame, key: list[str], order: list[Column], value: str, name: str) -> DataFrame:
@@ -58,8 +59,9 @@ def first_after(df: DataFrame, events: DataFrame, key: list[str], at: str, event
     theirs = events.select(*key, F.col(event_at).alias("_at"), F.struct(F.col(event_at).alias("e"), F.col(value).alias("v")).alias("_event"), F.lit(0).alias("_kind"))
     both = mine.unionByName(theirs, allowMissingColumns=True)
     # events come before rows of their time, so that only later ones follow; of events at one time the least value counts
-    w = Window.partitionBy(*key).orderBy("_at", "_kind", "_event").rowsBetween(1, Window.unboundedFollowing)
-    out = both.withColumn("_f", F.first("_event", ignorenulls=True).over(w)).where("_kind = 1")
+    # the order is reversed, so that the frame grows row by row
+    w = Window.partitionBy(*key).orderBy(F.desc("_at"), F.desc("_kind"), F.desc("_event")).rowsBetween(Window.unboundedPreceding, -1)
+    out = both.withColumn("_f", F.last("_event", ignorenulls=True).over(w)).where("_kind = 1")
     return out.select(*df.columns, F.col("_f.e").alias(event_at), F.col("_f.v").alias(value))
 
 
