@@ -2,24 +2,22 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textspans as ts
-from .cluster import cut
+from .cluster import cut, hot_join
 
 #: Leading tokens of a leaf.
 DEPTH = 3
-#: Distinct lines of a leaf that one task merges; fuller leaves are dealt over tasks, and then their templates are merged.
-LEAF_LINES = 1000
-#: Share of equal tokens from which a line joins a template.
+#: Share of a line's words without digits that its template must keep.
 SIMILARITY = 0.6
+#: Rarest and most common words of a line by which it finds templates.
+ANCHORS = 2
 #: Documents in which a template recurs.
 MIN_DOCS = 10
 #: Words of a line from which so many documents suffice, for the line itself.
@@ -74,73 +72,13 @@ def _emit_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(leaf[keep]), pa.array(line), texts], ["leaf", "line", "text"])
 
 
-def _join(patterns: list[str], both: bool = False) -> tuple[np.ndarray, list[str]]:
-    """The template number of each pattern, and the templates. Patterns have equal numbers of words; in the given order
-    each joins the template with most equal words, whose other words become fields.
-
-    Words count as shares of the pattern's own fixed words, with `both` of the larger of its and the template's number:
-    a template of few fixed words then draws in no other. A template that a pattern can join holds one of the
-    pattern's rarest words, so only those are compared, with the same outcome as all.
-    """
-    code = {"<*>": 0}
-    x = np.array([[code.setdefault(w, len(code)) for w in t.split(" ")] for t in patterns], np.int32)
-    rarity = np.empty_like(x)
-    for j in range(x.shape[1]):
-        _, back, n = np.unique(x[:, j], return_inverse=True, return_counts=True)
-        rarity[:, j] = n[back]
-    made, n_made = np.empty_like(x), 0
-    holders: dict[tuple[int, int], list[int]] = {}
-    at = np.zeros(len(x), np.int64)
-    for i, w in enumerate(x):
-        fixed = np.flatnonzero(w)
-        need = max(math.ceil(SIMILARITY * len(fixed) - 1e-9), 1)
-        probe = fixed[np.argsort(rarity[i, fixed], kind="stable")][: len(fixed) - need + 1]
-        near = np.array(sorted(set().union(*(holders.get((j, w[j]), ()) for j in probe.tolist()))), np.int64)
-        best = -1
-        if len(near):
-            of = np.maximum((made[near] != 0).sum(1), len(fixed)) if both else len(fixed)
-            score = ((made[near] == w) & (w != 0)).sum(1) / of
-            best = int(near[score.argmax()]) if score.max() >= SIMILARITY - 1e-9 else -1
-        if best < 0:
-            best, made[n_made], n_made = n_made, w, n_made + 1
-            for j in fixed.tolist():
-                holders.setdefault((j, w[j]), []).append(best)
-        else:
-            made[best] = np.where(made[best] == w, w, 0)
-        at[i] = best
-    names = list(code)
-    return at, [" ".join(names[c] for c in t) for t in made[:n_made].tolist()]
-
-
-def _in_order(g: pd.DataFrame) -> pd.DataFrame:
-    return g.sort_values(["docs", "masked", "line"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
-
-
-def _merge(both: bool):
-    """Templates of one leaf, lines in order of recurrence."""
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = _in_order(g)
-        at, templates = _join(g["masked"].tolist(), both)
-        return pd.DataFrame({"leaf": g["leaf"], "line": g["line"], "template": at, "pattern": [templates[k] for k in at]})
-
-    return run
-
-
-def _fold(g: pd.DataFrame) -> pd.DataFrame:
-    """Templates of one part of a leaf; `first` is the line that began the template of each line."""
-    g = _in_order(g)
-    at, templates = _join(g["masked"].tolist())
-    begun = np.unique(at, return_index=True)[1]
-    return pd.DataFrame({"leaf": g["leaf"], "line": g["line"], "docs": g["docs"], "first": g["line"].to_numpy()[begun[at]], "masked": [templates[k] for k in at]})
-
-
 def _masked(text: str = "text"):
     words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
     return F.array_join(F.transform(words, lambda w: F.when(w.rlike("[0-9]"), F.lit("<*>")).otherwise(w)), " ")
 
 
 def _small(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if it has BROADCAST_ROWS rows at most; its rows are a few numbers each."""
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
@@ -154,12 +92,18 @@ def _parsed(rows: DataFrame) -> DataFrame:
 
 
 def line_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
-    """The lines of recurring templates: (line hash, template number within its leaf, leaf, pattern, n_docs of the template).
-
-    Only lines of leaves of the tree that reach `min_docs` documents go on, as distinct lines
-    with counts, so a line that all documents share is one row per task. The lines of a leaf with more than LEAF_LINES
-    distinct ones are dealt over tasks, each of which finds the templates of its part; then one task merges the
-    templates of the leaf. A leaf is never split by its words, so a template recurs however many variants it has.
+    """The lines of recurring templates: line (hash), template (number), pattern, n_docs (of the template).
+
+    A leaf of the tree has lines of one number of words and the same leading DEPTH words. In a leaf, a word is common at its
+    place if the lines that hold it there have `min_docs` documents together. A line is tried with the templates of its
+    anchors: the leaf as a whole, and its ANCHORS rarest and its ANCHORS most common of these words, ties by place. The template of an anchor has
+    at each place the common word that most documents of the anchor's lines have there, ties to the greater word; other
+    places are fields. A line belongs to it if at least SIMILARITY of the line's words without digits are those of the
+    template. A template recurs if its lines have `min_docs` documents, and a line that has as many is one by itself.
+
+    So what a line's templates are depends neither on the order of lines nor on how full a leaf is. Counts meet per word and
+    place, never per leaf, and lines of a hot word, anchor or template are dealt over tasks; a line that all documents
+    share is one row per task.
     """
     rows = _rows(docs, id_col, text_col)
     return _templates(rows, _parsed(rows), min_docs)
@@ -168,23 +112,43 @@ def line_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def _templates(rows: DataFrame, parsed: DataFrame, min_docs: int) -> DataFrame:
     of = parsed.select("leaf", "line", "id").distinct()
     leaves = cut(parsed.groupBy("leaf").agg(F.count("*").alias("c")).where(F.col("c") >= min_docs).select("leaf"))
-    docs_of_line = of.join(_small(leaves), "leaf", "left_semi").groupBy("leaf", "line").agg(F.count("*").alias("docs"))
+    inside = of.join(_small(leaves), "leaf", "left_semi")
+    docs_of_line = inside.groupBy("leaf", "line").agg(F.count("*").alias("docs"))
     texts = rows.select("text").mapInArrow(_emit_texts, "leaf long, line long, text string").join(_small(leaves), "leaf")
     texts = texts.groupBy("leaf", "line").agg(F.min("text").alias("text")).select("leaf", "line", _masked().alias("masked"))
     seen = cut(docs_of_line.join(texts, ["leaf", "line"]))
-    full = cut(seen.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") > LEAF_LINES))
-    found = "leaf long, line long, template long, pattern string"
-    merged = seen.join(_small(full), "leaf", "left_anti").groupBy("leaf").applyInPandas(_merge(False), found)
-    if not full.isEmpty():
-        dealt = seen.join(_small(full), "leaf").withColumn("part", F.pmod(F.xxhash64("line"), F.ceil(F.col("n") / LEAF_LINES)))
-        folded = cut(dealt.groupBy("leaf", "part").applyInPandas(_fold, "leaf long, line long, docs long, first long, masked string"))
-        firsts = folded.groupBy("leaf", F.col("first").alias("line")).agg(F.sum("docs").alias("docs"), F.min("masked").alias("masked"))
-        firsts = cut(firsts.groupBy("leaf").applyInPandas(_merge(True), found).withColumnRenamed("line", "first"))
-        merged = merged.unionByName(folded.select("leaf", "line", "first").join(_small(firsts), ["leaf", "first"]).drop("first"))
-    merged = cut(merged)
-    docs_of = of.select("line", "id").join(merged, "line").select("leaf", "template", "id").distinct()
-    counts = docs_of.groupBy("leaf", "template").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") >= min_docs)
-    return merged.join(counts, ["leaf", "template"])
+    # common words of the leaves, and the lines that could have enough of them
+    words = seen.select("line", "docs", "leaf", F.posexplode(F.split("masked", " "))).where(f"pos >= {DEPTH} and col <> '<*>'").select("line", "docs", "pos", F.col("col").alias("word"), F.struct("leaf", "pos", "col").alias("key"))
+    common = cut(words.groupBy("key").agg(F.sum("docs").alias("f"), F.count("*").alias("n")).where(F.col("f") >= min_docs))
+    placed = hot_join(words.select("line", "pos", "word", "key"), common.select("key", "f"), common.select("key", "n"), "key", "line")
+    held = placed.groupBy("line").agg(F.sort_array(F.collect_list(F.struct("f", "pos", "word"))).alias("common"))  # a line's words
+    real = lambda ws: F.size(F.filter(ws, lambda w: w != "<*>"))
+    lined = seen.join(held, "line", "left").withColumn("common", F.coalesce("common", F.array().cast(held.schema["common"].dataType)))
+    lined = lined.withColumns({"own": real(F.split("masked", " ")), "lead": real(F.slice(F.split("masked", " "), 1, DEPTH))}).where(F.col("lead") + F.size("common") >= SIMILARITY * F.col("own") - 1e-9)
+    ends = F.array_distinct(F.concat(F.slice("common", 1, ANCHORS), F.slice("common", F.greatest(F.size("common") - ANCHORS + 1, F.lit(1)), ANCHORS)))
+    anchors = F.concat(F.array(F.struct(F.lit(-1).alias("pos"), F.lit("").alias("word"))), F.transform(ends, lambda c: F.struct(c["pos"].alias("pos"), c["word"].alias("word"))))
+    tried = cut(lined.select("line", "docs", "masked", "own", "lead", "common", F.explode(F.transform(anchors, lambda a: F.struct("leaf", a.alias("at")))).alias("key")))
+    # the template of each anchor
+    votes = tried.select("key", "docs", F.explode("common").alias("c")).groupBy("key", F.col("c.pos").alias("pos"), F.col("c.word").alias("word")).agg(F.sum("docs").alias("n"))
+    modes = votes.groupBy("key", "pos").agg(F.max_by("word", F.struct("n", "word")).alias("word"))
+    modes = modes.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("pos", "word"))).alias("mode"))  # a line's places
+    lines_of = cut(tried.groupBy("key").agg(F.count("*").alias("n")))
+    both = hot_join(tried, modes, lines_of, "key", "line", "left").withColumn("mode", F.coalesce("mode", F.create_map().cast("map<int,string>")))
+    equal = F.size(F.filter("common", lambda c: F.coalesce(F.try_element_at(F.col("mode"), c["pos"]) == c["word"], F.lit(False))))
+    pattern = F.array_join(F.transform(F.split("masked", " "), lambda w, i: F.when(i < DEPTH, w).otherwise(F.coalesce(F.try_element_at(F.col("mode"), i), F.lit("<*>")))), " ")
+    members = cut(both.where(F.col("lead") + equal >= SIMILARITY * F.col("own") - 1e-9).select("line", "docs", "key", pattern.alias("pattern")))
+    stats = members.groupBy("key").agg(F.sum("docs").alias("most"), F.count("*").alias("lines"), F.min("pattern").alias("pattern")).where(F.col("most") >= min_docs)
+    stats = cut(stats.withColumn("template", F.monotonically_increasing_id()))
+    # the documents of a template of one line are known; those of others are counted
+    joined = cut(hot_join(members.select("line", "key"), stats.select("key", "template", "lines"), stats.select("key", F.col("lines").alias("n")), "key", "line"))
+    several = joined.where("lines > 1").groupBy("line").agg(F.collect_list("template").alias("templates"))  # at most a line's anchors
+    pairs = hot_join(inside.select("line", "id"), several, seen.select("line", F.col("docs").alias("n")), "line", "id")
+    counted = pairs.select(F.explode("templates").alias("template"), "id").distinct().groupBy("template").agg(F.count("*").alias("n_docs"))
+    counts = stats.where("lines = 1").select("template", F.col("most").alias("n_docs")).unionByName(counted).where(F.col("n_docs") >= min_docs)
+    kept = stats.join(counts, "template").select("template", "pattern", "n_docs")
+    found = hot_join(joined.select("line", "template"), cut(kept), stats.select("template", F.col("lines").alias("n")), "template", "line")
+    alone = seen.where(F.col("docs") >= min_docs).select("line", F.lit(-1).cast("long").alias("template"), F.col("masked").alias("pattern"), F.col("docs").alias("n_docs"))
+    return found.select("line", "template", "pattern", "n_docs").unionByName(alone)
 
 
 def long_lines(parsed: DataFrame) -> DataFrame:
@@ -234,7 +198,10 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     recurring = _templates(rows, parsed, min_docs).select("line").distinct().withColumn("first", F.lit(None).cast("long"))
     recurring = cut(recurring.union(long_lines(parsed)).groupBy("line").agg((F.count("*") > F.count("first")).alias("everywhere"), F.min("first").alias("first")))
     # the least id keeps a long line; with null ids alone, no one does
-    occurs = parsed.select("id", "h", "line").join(_small(recurring), "line").where("everywhere or not (id <=> first) or first is null")
+    lines = parsed.select("id", "h", "line")
+    few = recurring.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    met = lines.join(F.broadcast(recurring), "line") if few else hot_join(lines, recurring, cut(lines.groupBy("line").agg(F.count("*").alias("n"))), "line", "h")
+    occurs = met.where("everywhere or not (id <=> first) or first is null")
     # by id and text: the lists of a text hold its own lines at most, however many rows share an id or have none
     gone = cut(occurs.groupBy("id", "h").agg(F.collect_set("line").alias("gone")).withColumnsRenamed({"id": "_id", "h": "_h"}))
     out = rows.join(gone, F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left").select("id", "h", "text", "gone")

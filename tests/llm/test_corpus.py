@@ -481,18 +481,40 @@ def test_line_templates(spark, none):
     assert line_templates.drop_recurring_lines(none).count() == 0
 
 
-def test_crowded_leaf_keeps_its_templates(spark, monkeypatch):
-    """A leaf over LEAF_LINES is dealt over tasks; its templates are the same."""
-    rows = [(i, f"the same three {w} ends so\nthe same three stay as they are") for i, w in enumerate("abcdefghijkl")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    for leaf_lines in (1000, 5):
-        monkeypatch.setattr(line_templates, "LEAF_LINES", leaf_lines)
-        got = line_templates.drop_recurring_lines(docs, min_docs=10).collect()
-        assert {(r.n_dropped, r.clean_text) for r in got} == {(2, "")}
+@pytest.mark.parametrize("n", [999, 1001, 5000])
+def test_full_leaf_is_the_plain_one(spark, n):
+    """Lines of one leaf, 4 of 15 words varied, of one document each: what goes does not depend on how full the leaf is."""
+    draw = random.Random(n)
+    base, vocab = [f"word{'abcdefghijklmno'[k]}" for k in range(15)], [f"v{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10]}" for k in range(100)]
+    rows = []
+    for i in range(n):
+        w = list(base)
+        for j in draw.sample(range(3, 15), 4):
+            w[j] = draw.choice(vocab)
+        rows.append((i, " ".join(w)))
+    got = line_templates.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = plain_line_dedup(rows, line_templates.MIN_DOCS)
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert sum(r[2] for r in want) > 0.5 * n
+
+
+def test_prose_of_one_leaf_stays(spark):
+    """Lines with the same leading words and length, and nothing else in common, are no template."""
+    draw = random.Random(8)
+    rows = [(i, "it was the " + " ".join("".join(draw.choice("abcdefgh") for _ in range(5)) for _ in range(6))) for i in range(300)]
+    got = line_templates.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.n_dropped for r in got} == {0}
+
+
+def test_fields_of_few_values(spark):
+    """Each value of two fields is common, their combinations are not: the template with both as fields recurs."""
+    rows = [(10 * i + j, f"the job in {'abcdefghij'[i]} ended on {'klmnopqrst'[j]} with no error") for i in range(10) for j in range(10)]
+    got = line_templates.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.n_dropped for r in got} == {1}
 
 
 def plain_line_dedup(rows, min_docs):
-    """drop_recurring_lines() without Spark: every line against every template of its leaf."""
+    """drop_recurring_lines() without Spark: every template of every line."""
     mask = lambda w: "<*>" if re.search("[0-9]", w) else w
     lines = {}
     for i, t in rows:
@@ -500,20 +522,28 @@ def plain_line_dedup(rows, min_docs):
             if w := WORD.findall(x):
                 lines.setdefault(tuple(map(mask, w)), set()).add(i)
     leaves, gone = {}, {}
-    for w, ids in lines.items():
-        leaves.setdefault((len(w), w[:3]), []).append((-len(ids), " ".join(w), w))
+    for w in lines:
+        leaves.setdefault((len(w), w[:3]), []).append(w)
     for leaf in leaves.values():
-        templates, members = [], []
-        for _, _, w in sorted(leaf):
-            equal = [sum(x == y != "<*>" for x, y in zip(t, w, strict=True)) for t in templates]
-            fixed = sum(x != "<*>" for x in w)
-            k = equal.index(max(equal)) if equal and fixed and 5 * max(equal) >= 3 * fixed else len(templates)
-            if k == len(templates):
-                templates.append(w)
-                members.append([])
-            templates[k] = tuple(x if x == y else "<*>" for x, y in zip(templates[k], w, strict=True))
-            members[k].append(w)
-        for group in members:
+        common, of = {}, {}
+        for w in leaf:
+            for at in enumerate(w):
+                common[at] = common.get(at, 0) + len(lines[w])
+        held = {w: sorted((common[j, x], j, x) for j, x in enumerate(w) if j >= 3 and x != "<*>" and common[j, x] >= min_docs) for w in leaf}
+        own, lead = (lambda w: sum(x != "<*>" for x in w)), (lambda w: sum(x != "<*>" for x in w[:3]))
+        for w in leaf:
+            if 5 * (lead(w) + len(held[w])) >= 3 * own(w):
+                for a in {None, *held[w][:2], *held[w][-2:]}:
+                    of.setdefault(a, set()).add(w)
+        for a, group in of.items():
+            votes = {}
+            for w in group:
+                for _, j, x in held[w]:
+                    votes.setdefault(j, {})[x] = votes.get(j, {}).get(x, 0) + len(lines[w])
+            mode = {j: max(v, key=lambda x: (v[x], x)) for j, v in votes.items()}
+            of[a] = {w for w in group if 5 * (lead(w) + sum(mode[j] == x for _, j, x in held[w])) >= 3 * own(w)}
+        gone.update({w: (True, None) for w in leaf if len(lines[w]) >= min_docs})
+        for group in of.values():
             if len(set().union(*(lines[w] for w in group))) >= min_docs:
                 gone.update(dict.fromkeys(group, (True, None)))
     for w, ids in lines.items():
@@ -561,25 +591,6 @@ def test_template_recurs_with_any_number_of_variants(spark, names):
     assert {(r.n_dropped, r.clean_text) for r in got} == {(1, f"the same three {word(i)}z {word(i * 7)}x {word(i * 11)}y") for i in range(names)}
 
 
-def test_template_join_is_the_plain_one():
-    draw = random.Random(6)
-    for _ in range(60):
-        n = draw.randint(1, 9)
-        lines = list({" ".join(draw.choice(["a", "b", "c", "d", "<*>"]) for _ in range(n)) for _ in range(40)})
-        templates, want = [], []
-        for w in (x.split(" ") for x in lines):
-            fixed = sum(x != "<*>" for x in w)
-            equal = [sum(x == y != "<*>" for x, y in zip(t, w, strict=True)) for t in templates]
-            best = equal.index(max(equal)) if equal and fixed and 5 * max(equal) >= 3 * fixed else -1
-            if best < 0:
-                templates.append(w)
-                best = len(templates) - 1
-            templates[best] = [x if x == y else "<*>" for x, y in zip(templates[best], w, strict=True)]
-            want.append(best)
-        at, got = line_templates._join(lines)
-        assert at.tolist() == want and got == [" ".join(t) for t in templates]
-
-
 def plain_licenses(text, templates):
     """scan_licenses() of one text, with every run of words tried: {license: (units, best Dice, start, end)}."""
     word = re.compile(r"[a-z0-9\x80-\U0010ffff]+")
