@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textspans as ts
@@ -92,21 +92,21 @@ def _parsed(rows: DataFrame) -> DataFrame:
 
 
 def line_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
-    """The lines of recurring templates: line (hash), template (number; -1 for a line that recurs by itself), pattern, occurrences
-    (pairs of a line of the template and a document).
+    """The lines of recurring templates: line (hash), pattern, occurrences (pairs of a line of the template and a document).
 
     A leaf of the tree has lines of one number of words and the same leading DEPTH words. In a leaf, a word is common at its
-    place if the lines that hold it there have `min_docs` documents together. A line is tried with the templates of its
-    anchors: the leaf as a whole, and its ANCHORS rarest and its ANCHORS most common of these words, ties by place. The template of an anchor has
-    at each place the common word that most documents of the anchor's lines have there, ties to the greater word; other
-    places are fields. A line belongs to it if at least SIMILARITY of the line's words without digits are those of the
-    template. A template recurs if its lines have `min_docs` documents, and a line that has as many is one by itself.
+    place if the lines that hold it there have `min_docs` documents together. The template of a group of lines has at each
+    place the common word that most documents of the group's lines have there, ties to the greater word; other places are
+    fields. A line belongs to it if at least SIMILARITY of the line's words without digits are those of the template,
+    which recurs if its lines have `min_docs` documents. The first group is the leaf as a whole; lines that do not
+    belong to its template, or all if it does not recur, are tried with the groups of their anchors: the lines left that
+    share one of their ANCHORS rarest or ANCHORS most common words at its place, ties by place. A line with `min_docs` documents recurs by
+    itself.
 
     So what a line's templates are depends neither on the order of lines nor on how full a leaf is. Counts meet per word and
     place, never per leaf, and lines of a hot word, anchor or template are dealt over tasks; a line that all documents
-    share is one row per task. Lines that differ in rare words only are one shape, which is tried once. A template with
-    occurrences for `min_docs` documents, however many lines of the leaf one document holds, recurs for certain;
-    documents are counted for the few others.
+    share is one row per task. A template with occurrences for `min_docs` documents, however many lines of the leaf one
+    document holds, recurs for certain; documents are counted for the few others.
     """
     rows = _rows(docs, id_col, text_col)
     return _templates(rows, _parsed(rows), min_docs)
@@ -128,36 +128,39 @@ def _templates(rows: DataFrame, parsed: DataFrame, min_docs: int) -> DataFrame:
     real = lambda ws: F.size(F.filter(ws, lambda w: w != "<*>"))
     lined = seen.join(held, "line", "left").withColumn("common", F.coalesce("common", F.array().cast(held.schema["common"].dataType)))
     lined = lined.withColumns({"own": real(F.split("masked", " ")), "lead": real(F.slice(F.split("masked", " "), 1, DEPTH))}).where(F.col("lead") + F.size("common") >= SIMILARITY * F.col("own") - 1e-9)
-    lined = cut(lined.select("line", "docs", "masked", F.struct("leaf", "own", "lead", "common").alias("key")))
-    shapes = cut(lined.groupBy("key").agg(F.sum("docs").alias("docs"), F.count("*").alias("n"), F.min("masked").alias("masked")).withColumn("shape", F.monotonically_increasing_id()))
-    of_shape = cut(hot_join(lined.select("line", "key"), shapes.select("key", "shape"), shapes.select("key", "n"), "key", "line").select("line", "shape"))
-    ends = F.array_distinct(F.concat(F.slice("common", 1, ANCHORS), F.slice("common", F.greatest(F.size("common") - ANCHORS + 1, F.lit(1)), ANCHORS)))
-    anchors = F.concat(F.array(F.struct(F.lit(-1).alias("pos"), F.lit("").alias("word"))), F.transform(ends, lambda c: F.struct(c["pos"].alias("pos"), c["word"].alias("word"))))
-    tried = cut(shapes.select("shape", "docs", "n", "masked", "key.*").select("shape", "docs", "n", "masked", "own", "lead", "common", F.explode(F.transform(anchors, lambda a: F.struct("leaf", a.alias("at")))).alias("key")))
-    # the template of each anchor
+    lined = cut(lined.select("line", "docs", "masked", "leaf", "own", "lead", "common"))
+    together = cut(inside.groupBy("leaf", "id").agg(F.count("*").alias("c")).groupBy("leaf").agg(F.max("c").alias("together")))
+    at = lambda pos, word: F.struct(pos.alias("pos"), word.alias("word"))
+    whole = F.array(at(F.lit(-1), F.lit("")))
+    ends = F.concat(F.slice("common", 1, ANCHORS), F.slice("common", F.greatest(F.size("common") - ANCHORS + 1, F.lit(1)), ANCHORS))
+    first = cut(_members(lined, whole, inside, seen, together, min_docs))
+    rest = lined.join(first.select("line"), "line", "left_anti")
+    second = _members(rest, F.array_distinct(F.transform(ends, lambda c: at(c["pos"], c["word"]))), inside, seen, together, min_docs)
+    alone = seen.where(F.col("docs") >= min_docs).select("line", F.col("masked").alias("pattern"), F.col("docs").alias("occurrences"))
+    return first.unionByName(second).unionByName(alone)
+
+
+def _members(lined: DataFrame, anchors: Column, inside: DataFrame, seen: DataFrame, together: DataFrame, min_docs: int) -> DataFrame:
+    """Lines that belong to recurring templates of their anchors: line, pattern, occurrences."""
+    tried = cut(lined.withColumn("key", F.explode(F.transform(anchors, lambda a: F.struct("leaf", a.alias("at"))))))
     votes = tried.select("key", "docs", F.explode("common").alias("c")).groupBy("key", F.col("c.pos").alias("pos"), F.col("c.word").alias("word")).agg(F.sum("docs").alias("n"))
     modes = votes.groupBy("key", "pos").agg(F.max_by("word", F.struct("n", "word")).alias("word"))
     modes = modes.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("pos", "word"))).alias("mode"))  # a line's places
-    both = hot_join(tried, modes, cut(tried.groupBy("key").agg(F.count("*").alias("n"))), "key", "shape", "left").withColumn("mode", F.coalesce("mode", F.create_map().cast("map<int,string>")))
+    both = hot_join(tried, modes, cut(tried.groupBy("key").agg(F.count("*").alias("n"))), "key", "line", "left").withColumn("mode", F.coalesce("mode", F.create_map().cast("map<int,string>")))
     equal = F.size(F.filter("common", lambda c: F.coalesce(F.try_element_at(F.col("mode"), c["pos"]) == c["word"], F.lit(False))))
     pattern = F.array_join(F.transform(F.split("masked", " "), lambda w, i: F.when(i < DEPTH, w).otherwise(F.coalesce(F.try_element_at(F.col("mode"), i), F.lit("<*>")))), " ")
-    members = cut(both.where(F.col("lead") + equal >= SIMILARITY * F.col("own") - 1e-9).select("shape", "docs", "n", "key", pattern.alias("pattern")))
-    stats = members.groupBy("key").agg(F.sum("docs").alias("most"), F.sum("n").alias("lines"), F.count("*").alias("n"), F.min("pattern").alias("pattern")).where(F.col("most") >= min_docs)
-    together = inside.groupBy("leaf", "id").agg(F.count("*").alias("c")).groupBy("leaf").agg(F.max("c").alias("together"))
+    members = cut(both.where(F.col("lead") + equal >= SIMILARITY * F.col("own") - 1e-9).select("line", "docs", "key", pattern.alias("pattern")))
+    stats = members.groupBy("key").agg(F.sum("docs").alias("most"), F.count("*").alias("n"), F.min("pattern").alias("pattern")).where(F.col("most") >= min_docs)
     stats = stats.withColumn("leaf", F.col("key.leaf")).join(together, "leaf")
-    stats = cut(stats.withColumn("sure", (F.col("lines") == 1) | (F.col("most") >= min_docs * F.col("together"))).withColumn("template", F.monotonically_increasing_id()))
-    joined = cut(hot_join(members.select("shape", "key"), stats.select("key", "template", "sure"), stats.select("key", "n"), "key", "shape"))
+    stats = cut(stats.withColumn("sure", (F.col("n") == 1) | (F.col("most") >= min_docs * F.col("together"))).withColumn("template", F.monotonically_increasing_id()))
+    joined = cut(hot_join(members.select("line", "key"), stats.select("key", "template", "sure"), stats.select("key", "n"), "key", "line"))
     # documents of the others, which have few: under min_docs for each line that a document holds
-    unsure = joined.where("not sure").groupBy("shape").agg(F.collect_list("template").alias("templates"))  # at most its anchors
-    lines = cut(hot_join(of_shape, unsure, shapes.select("shape", "n"), "shape", "line").select("line", "templates"))
-    pairs = hot_join(inside.select("line", "id"), lines, seen.select("line", F.col("docs").alias("n")), "line", "id")
+    unsure = joined.where("not sure").groupBy("line").agg(F.collect_list("template").alias("templates"))  # at most its anchors
+    pairs = hot_join(inside.select("line", "id"), unsure, seen.select("line", F.col("docs").alias("n")), "line", "id")
     counted = pairs.select(F.explode("templates").alias("template"), "id").distinct().groupBy("template").agg(F.count("*").alias("c")).where(F.col("c") >= min_docs)
     good = stats.join(counted, "template", "left").where("sure or c is not null").select("template", "pattern", F.col("most").alias("occurrences"))
-    of_template = cut(hot_join(joined.select("shape", "template"), cut(good), stats.select("template", "n"), "template", "shape"))
-    best = of_template.groupBy("shape").agg(F.max(F.struct("occurrences", "template", "pattern")).alias("b"))
-    found = hot_join(of_shape, best, shapes.select("shape", "n"), "shape", "line").select("line", "b.template", "b.pattern", "b.occurrences")
-    alone = seen.where(F.col("docs") >= min_docs).select("line", F.lit(-1).cast("long").alias("template"), F.col("masked").alias("pattern"), F.col("docs").alias("occurrences"))
-    return found.unionByName(alone)
+    found = hot_join(joined.select("line", "template"), cut(good), stats.select("template", "n"), "template", "line")
+    return found.groupBy("line").agg(F.max(F.struct("occurrences", "pattern")).alias("b")).select("line", "b.pattern", "b.occurrences")
 
 
 def long_lines(parsed: DataFrame) -> DataFrame:

@@ -531,21 +531,26 @@ def plain_line_dedup(rows, min_docs):
                 common[at] = common.get(at, 0) + len(lines[w])
         held = {w: sorted((common[j, x], j, x) for j, x in enumerate(w) if j >= 3 and x != "<*>" and common[j, x] >= min_docs) for w in leaf}
         own, lead = (lambda w: sum(x != "<*>" for x in w)), (lambda w: sum(x != "<*>" for x in w[:3]))
-        for w in leaf:
-            if 5 * (lead(w) + len(held[w])) >= 3 * own(w):
-                for a in {None, *held[w][:2], *held[w][-2:]}:
+
+        def settle(groups):
+            for group in groups.values():
+                votes = {}
+                for w in group:
+                    for _, j, x in held[w]:
+                        votes.setdefault(j, {})[x] = votes.get(j, {}).get(x, 0) + len(lines[w])
+                mode = {j: max(v, key=lambda x: (v[x], x)) for j, v in votes.items()}
+                inside = {w for w in group if 5 * (lead(w) + sum(mode[j] == x for _, j, x in held[w])) >= 3 * own(w)}
+                if len(set().union(*(lines[w] for w in inside))) >= min_docs:
+                    gone.update(dict.fromkeys(inside, (True, None)))
+
+        able = [w for w in leaf if 5 * (lead(w) + len(held[w])) >= 3 * own(w)]
+        settle({None: able})
+        for w in able:
+            if w not in gone:
+                for a in {*held[w][:2], *held[w][-2:]}:
                     of.setdefault(a, set()).add(w)
-        for a, group in of.items():
-            votes = {}
-            for w in group:
-                for _, j, x in held[w]:
-                    votes.setdefault(j, {})[x] = votes.get(j, {}).get(x, 0) + len(lines[w])
-            mode = {j: max(v, key=lambda x: (v[x], x)) for j, v in votes.items()}
-            of[a] = {w for w in group if 5 * (lead(w) + sum(mode[j] == x for _, j, x in held[w])) >= 3 * own(w)}
+        settle(of)
         gone.update({w: (True, None) for w in leaf if len(lines[w]) >= min_docs})
-        for group in of.values():
-            if len(set().union(*(lines[w] for w in group))) >= min_docs:
-                gone.update(dict.fromkeys(group, (True, None)))
     for w, ids in lines.items():
         if w not in gone and len(w) >= 8 and len(ids) >= (2 if len(w) >= 50 else 3):
             gone[w] = (False, min((i for i in ids if i is not None), default=None))
