@@ -53,7 +53,7 @@ STAGES = [
     ("source_mix", source_mix),
     ("token_output", token_output),
 ]
-#: The forest, the balanced sample and the tokenizer are beyond SQL; tests hold every stage against plain versions.
+#: The forest, the balanced sample and the tokenizer are beyond SQL; tests hold the operators of the stages against plain versions, where README says so.
 ORACLE_SQL = None
 
 

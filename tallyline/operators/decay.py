@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.beta import beta_quantiles
 
 #: Half-lives in a block of running attempts. Weights run from 2^-500 to 1 in a block, and rows two blocks back weigh less than 2^-500.
 _BLOCK = 500.0
@@ -115,8 +116,8 @@ def recency_weight(season: Column, reference: Column, half_life: float) -> Colum
     return F.exp(F.lit(-math.log(2) / half_life) * (reference - season))
 
 
-def posterior_table(df: DataFrame, player: str, season: str, attempts: str, makes: str, mu: float, kappa: float, half_life: float = 2.0, z: float = 1.6448536269514722, split: str | None = None, least: float = 0.0) -> DataFrame:
-    """Recency-weighted attempts and makes, the Beta posterior's mean and its normal 90 % interval; with `split`, one row per
+def posterior_table(df: DataFrame, player: str, season: str, attempts: str, makes: str, mu: float, kappa: float, half_life: float = 2.0, z: float = 1.6448536269514722, split: str | None = None, least: float = 0.0, exact: bool = False) -> DataFrame:
+    """Recency-weighted attempts and makes, the Beta posterior's mean and its 90 % interval, normal or with `exact` by Beta quantiles; with `split`, one row per
     player and kind of shot of at least `least` weighted attempts, and one of kind 'overall' (the player's sum)."""
     ref = F.max(season).over(Window.partitionBy(player))
     rows = df.withColumn("_w", recency_weight(F.col(season), ref, half_life))
@@ -128,6 +129,8 @@ def posterior_table(df: DataFrame, player: str, season: str, attempts: str, make
         out = rows.groupBy(player).agg(F.sum(F.col("_w") * F.col(attempts)).alias("attempts"), F.sum(F.col("_w") * F.col(makes)).alias("makes"))
     a, b = F.lit(mu * kappa) + F.col("makes"), F.lit((1 - mu) * kappa) + F.col("attempts") - F.col("makes")
     sd = F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))
+    if exact:
+        return out.withColumns({"mean": a / (a + b), "low": beta_quantiles(0.05, a, b), "high": beta_quantiles(0.95, a, b)})
     return out.withColumns({"mean": a / (a + b), "low": a / (a + b) - z * sd, "high": a / (a + b) + z * sd})
 
 

@@ -8,6 +8,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Rules of a player-game fact row: what is missing, what cannot be, and how far two sources may differ. Limits are fixed values.
+FACT_RULES = {
+    "missing_on_possessions": "on_possessions IS NULL", "missing_box_stats": "pts IS NULL", "missing_team_meta": "team_abbr IS NULL OR opp_team_abbr IS NULL", "blank_player_name": "player_name IS NULL OR trim(player_name) = ''",
+    "bad_fgm_fga": "fgm > fga", "bad_fg3m_fg3a": "fg3m > fg3a", "bad_ftm_fta": "ftm > fta", "bad_points_formula": "pts <> 2 * (fgm - fg3m) + 3 * fg3m + ftm", "bad_rebound_formula": "reb <> oreb + dreb",
+    "pm_vs_reconstructed_mismatch": "abs(plus_minus_actual - on_diff_reconstructed) > 0.5", "extreme_pace": "minutes >= 5 AND (on_possessions / minutes * 48.0 < 75 OR on_possessions / minutes * 48.0 > 125)",
+}
+
+
+def fact_rules() -> dict[str, Column]:
+    return {n: F.expr(e) for n, e in FACT_RULES.items()}
+
+
 def rule_counts(df: DataFrame, rules: dict[str, Column], by: list[Column]) -> DataFrame:
     return df.groupBy(*by).agg(F.count("*").alias("rows"), *[F.count_if(c).alias(n) for n, c in rules.items()])
 

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..lineage import cut
-from ..operators import openings
+from ..lineage import cut, fresh_dir
+from ..operators import decay, openings
 from ..operators.substitutions import expand_substitutions, known_players
 from ..operators.tracking import track_lineups
+from ..sources import adapters as A, sinks
 from ..sources.messy import MESSY_SQL, messy_events
 from ..sources.pbp import GAME_SECONDS, play_by_play
+from . import audits
 from .game_queries import _ROTATIONS, _rotations as clean_rotations
 from .registry import query
 
@@ -264,3 +266,53 @@ def segment_fallback(spark, d):
     primary = clean_rotations(events).where("(player_id + start) % 7 <> 0")
     out = openings.sides_with_fallback(primary, moves, ends)
     return out.select("game_id", "start", "end", "team_id", F.array_join("lineup", "-").alias("group_id"), "source")
+
+
+#: Facts with the faults that audits look for, derived from order lines.
+_FAULTY = {
+    "season": "l_orderkey % 5", "game_id": "l_orderkey", "player_id": "l_partkey", "line": "l_linenumber", "on_possessions": "CASE WHEN l_partkey % 11 <> 0 THEN CAST(l_quantity * 2 + l_suppkey % 9 AS DOUBLE) END", "minutes": "CAST(l_quantity AS DOUBLE)", "fgm": "l_partkey % 12", "fga": "l_suppkey % 25 + 4",
+    "fg3m": "l_partkey % 4", "fg3a": "l_suppkey % 9 + 1", "ftm": "CASE WHEN l_suppkey % 17 <> 0 THEN l_partkey % 6 END", "fta": "l_suppkey % 8 + 2", "pts": "CASE WHEN l_partkey % 13 = 0 THEN NULL WHEN l_partkey % 19 = 0 THEN 7 ELSE 2 * (l_partkey % 12) + l_partkey % 4 + l_partkey % 6 END",
+    "reb": "l_linenumber + l_suppkey % 3", "oreb": "l_linenumber", "dreb": "CASE WHEN l_suppkey % 7 = 0 THEN 1 ELSE l_suppkey % 3 END", "plus_minus_actual": "CAST(l_suppkey % 30 AS DOUBLE)", "on_diff_reconstructed": "CASE WHEN l_partkey % 23 <> 0 THEN l_suppkey % 30 + (l_partkey % 3) * 0.4 END",
+    "team_abbr": "CASE WHEN l_suppkey % 29 <> 0 THEN 'AAA' END", "opp_team_abbr": "CASE WHEN l_suppkey % 31 <> 0 THEN 'BBB' END", "player_name": "CASE l_partkey % 37 WHEN 0 THEN ' ' WHEN 1 THEN NULL ELSE 'P' END",
+}
+_FAULTY_SQL = f"faulty AS (SELECT {', '.join(f'{e} AS {n}' for n, e in _FAULTY.items())} FROM lineitem)"
+
+
+def _faulty(spark, d):
+    return A.table(spark, d, "lineitem").selectExpr(*[f"{e} AS {n}" for n, e in _FAULTY.items()])
+
+
+@query(f"WITH {_FAULTY_SQL} SELECT CAST(season AS BIGINT) AS season, count(*) AS rows, {', '.join(f'count(*) FILTER ({e}) AS {n}' for n, e in audits.FACT_RULES.items())} FROM faulty GROUP BY 1")
+def fact_audit(spark, d):
+    """All rules of player-game facts, counted by season."""
+    return audits.rule_counts(_faulty(spark, d), audits.fact_rules(), [F.col("season").cast("long").alias("season")])
+
+
+@query(f"WITH {_FAULTY_SQL} SELECT game_id, player_id, line, {', '.join(f'coalesce({e}, false) AS {n}' for n, e in audits.FACT_RULES.items())} FROM faulty WHERE {' OR '.join(f'coalesce({e}, false)' for e in audits.FACT_RULES.values())}")
+def fact_violations(spark, d):
+    """Rows of player-game facts that break a rule, with a flag per rule."""
+    return audits.violations(_faulty(spark, d), audits.fact_rules(), ["game_id", "player_id", "line"])
+
+
+@query("""WITH o AS (SELECT o_orderkey, o_custkey, year(o_orderdate) AS season, o_totalprice AS price FROM orders)
+  SELECT season, count(*) AS rows, CAST(sum(CASE WHEN season = 1995 THEN 2 ELSE 1 END * CASE WHEN season = 1996 AND o_orderkey % 2 = 0 THEN 0 ELSE CAST(round(price * 100) AS BIGINT) END) AS BIGINT) AS cents, true AS refused FROM o WHERE season IN (1995, 1996) GROUP BY 1""")
+def guarded_seasons(spark, d):
+    """A table by season is written, one season replaced, another put in by key, a write that loses rows refused; two seasons are read."""
+    path = fresh_dir(spark, "seasons")
+    orders = A.table(spark, d, "orders").select("o_orderkey", F.year("o_orderdate").alias("season"), F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"))
+    sinks.replace_partitions(orders, path, "season")
+    sinks.replace_partitions(orders.where("season = 1995").withColumn("cents", 2 * F.col("cents")), path, "season")
+    sinks.upsert_partitions(orders.where("season = 1996 and o_orderkey % 2 = 0").withColumn("cents", F.lit(0).cast("long")), path, "season", ["season", "o_orderkey"], [F.col("cents")])
+    refused = False
+    try:
+        sinks.replace_partitions(orders.where("season = 1995 and o_orderkey % 4 = 0"), path, "season")
+    except sinks.RefusedWrite:
+        refused = True
+    return sinks.read_partitions(spark, path, "season", [1995, 1996]).groupBy(F.col("season").cast("long").alias("season")).agg(F.count("*").alias("rows"), F.sum("cents").alias("cents"), F.lit(refused).alias("refused"))
+
+
+@query()
+def posterior_intervals(spark, d):
+    """Exact 90 % intervals of shooters' posteriors; tested against numeric integrals."""
+    s = A.shots(spark, d).groupBy("player_id", F.dayofmonth("game_id").alias("season")).agg(F.count("*").alias("a"), F.sum("made").alias("m"))
+    return decay.posterior_table(s, "player_id", "season", "a", "m", 0.36, 200.0, exact=True)

@@ -60,6 +60,8 @@ class NormalEquations:
             x, r = x + step * p, r - step * a
             rr, before = r @ r, rr
             p = r + rr / before * p
+        if rr > stop:
+            raise ArithmeticError(f"ridge fit did not converge in {10 * len(right)} steps: residual {np.sqrt(rr):.3g}")
         return x
 
 
