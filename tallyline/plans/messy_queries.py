@@ -316,3 +316,9 @@ def posterior_intervals(spark, d):
     """Exact 90 % intervals of shooters' posteriors; tested against numeric integrals."""
     s = A.shots(spark, d).groupBy("player_id", F.dayofmonth("game_id").alias("season")).agg(F.count("*").alias("a"), F.sum("made").alias("m"))
     return decay.posterior_table(s, "player_id", "season", "a", "m", 0.36, 200.0, exact=True)
+
+
+@query()
+def carried_openings(spark, d):
+    """Openings of periods by evidence that includes the lineup rebuilt to the end of the period before; tested against a plain fold."""
+    return openings.carried_openings(cut(play_by_play(spark, d).drop("points", "three", "description")))

@@ -1,5 +1,7 @@
 """Messy feeds: substitution texts, batches of one clock, known lineups, starters that nobody names, two sources of lineups."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -134,3 +136,65 @@ def test_fallback_by_segment(spark):
     assert [(r.start, r.end, r.lineup, r.source) for r in out] == [
         (0, 300, [10, 11, 12, 13, 14], "primary"), (300, 720, [11, 12, 13, 14, 16], "fallback"), (720, 800, [11, 12, 13, 14, 15], "primary"), (800, 900, [11, 12, 13, 14, 15], "primary"), (1000, 1440, [11, 12, 13, 14, 15], "primary"),
     ]
+
+
+CARRY = "game_id long, period long, elapsed long, action_number long, kind string, team_id long, player_id long, in_id long"
+
+
+def plain_carry(rows):
+    """carried_openings() of one team as one loop over its rows (period, elapsed, kind, player, in)."""
+    floor, out = set(), []
+    for period in sorted({r[0] for r in rows}):
+        mine, last = [(n, *r) for n, r in enumerate(rows) if r[0] == period], [(n, *r) for n, r in enumerate(rows) if r[0] == period - 1]
+        cut = min((n for n, *r in mine if r[2] == "sub"), default=None)
+        seen, first, acted = [], {}, {}
+        for n, _, _, kind, p, q in mine:
+            for who, side in ((p, "out"), (q, "in")):
+                if who is None or kind in ("technical", "ejection"):
+                    continue
+                seen += [] if who in seen else [who]
+                if kind == "sub":
+                    first.setdefault(who, side)
+                else:
+                    acted.setdefault(who, n)
+        left = lambda r: period_end(r[1]) - r[2]
+        subs, acts = [r for r in last if r[3] == "sub"], [r for r in last if r[3] not in ("sub", "technical", "ejection")]
+        scores = []
+        for i, p in enumerate(seen + sorted(floor - set(seen))):
+            early = p in acted and (cut is None or acted[p] < cut)
+            quiet = p in floor and not early and p not in first
+            n = 1000 * (first.get(p) == "out") + 500 * early + 100 * (p in floor and first.get(p) != "in") + 225 * (p not in first and p in acted and (cut is None or acted[p] <= cut + 20))
+            n += 175 * (first.get(p) != "in" and any(r[4] == p and left(r) <= 6 for r in subs)) - 175 * (not early and any(r[5] == p and left(r) <= 6 for r in subs)) - 120 * (quiet and any(r[5] == p for r in subs))
+            mine_last = [r for r in acts if r[4] == p]
+            n += 140 * (quiet and bool(mine_last) and left(mine_last[-1]) <= 30) + (50 if first.get(p) != "in" else -1000)
+            scores.append((n, -i, p))
+        best = sorted(scores, reverse=True)[:5]
+        out += [(period, p, n) for n, _, p in best]
+        floor = {p for _, _, p in best}
+        for r in mine:
+            if r[3] == "sub":
+                floor = (floor - {r[4]}) | ({r[5]} if r[5] else set())
+    return sorted(out)
+
+
+def period_end(p):
+    return p * 720 if p <= 4 else 2880 + (p - 4) * 300
+
+
+def test_carried_openings(spark):
+    draw = random.Random(11)
+    every, want = [], []
+    for game in range(12):
+        rows = []
+        for period in range(1, 7):
+            times = sorted(draw.sample(range(1, 720 if period <= 4 else 300), draw.choice([0, 4, 9])) + [period_end(period) - period_end(period - 1) - draw.choice([2, 20, 40])] * (game % 3 > 0))
+            for t in times:
+                kind = draw.choice(["sub", "made", "made", "missed", "technical"])
+                rows.append((period, period_end(period - 1) + t, kind, draw.randint(1, 9) if draw.random() < 0.95 else None, draw.randint(1, 9) if kind == "sub" else None))
+        if game == 0:
+            rows = [r for r in rows if r[0] != 3]  # a period without events is no period
+        every += [(game, r[0], r[1], n, r[2], 1, r[3], r[4]) for n, r in enumerate(rows)]
+        want += [(game, *w) for w in plain_carry(rows)]
+    got = openings.carried_openings(spark.createDataFrame(every, CARRY).repartition(3)).collect()
+    assert sorted((r.game_id, r.period, r.player_id, r.points) for r in got) == sorted(want)
+    assert openings.carried_openings(spark.createDataFrame([], CARRY)).count() == 0
