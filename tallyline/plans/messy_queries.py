@@ -11,7 +11,7 @@ from ..operators.substitutions import expand_substitutions, known_players
 from ..operators.tracking import track_lineups
 from ..sources import adapters as A, sinks
 from ..sources.messy import MESSY_SQL, messy_events
-from ..sources.pbp import GAME_SECONDS, play_by_play
+from ..sources.pbp import GAME_SECONDS, PBP_SQL, play_by_play
 from . import audits
 from .game_queries import _ROTATIONS, _rotations as clean_rotations
 from .registry import query
@@ -318,7 +318,25 @@ def posterior_intervals(spark, d):
     return decay.posterior_table(s, "player_id", "season", "a", "m", 0.36, 200.0, exact=True)
 
 
-@query()
+_CARRY = f"""WITH RECURSIVE {PBP_SQL}, rc AS (SELECT game_id, team_id, period, action_number AS n, kind, player_id AS p, in_id AS q, period * 720 - elapsed AS lft, min(action_number) FILTER (kind = 'sub') OVER (PARTITION BY game_id, team_id, period) AS cut FROM pbp),
+  sn AS (SELECT game_id, team_id, period, p AS player_id, 0 AS side, n, kind, lft, cut FROM rc UNION ALL SELECT game_id, team_id, period, q, 1, n, kind, lft, cut FROM rc WHERE kind = 'sub'),
+  own AS (SELECT game_id, team_id, period, player_id, min((n, side)) AS place, arg_min(CASE side WHEN 0 THEN 'out' ELSE 'in' END, (n, side)) FILTER (kind = 'sub') AS first, min(n) FILTER (kind <> 'sub') AS acted, any_value(cut) AS cut FROM sn GROUP BY 1, 2, 3, 4),
+  bf AS (SELECT game_id, team_id, period + 1 AS period, player_id, bool_or(kind = 'sub' AND side = 1) AS came_in, bool_or(kind = 'sub' AND side = 1 AND lft <= 6) AS late_in, bool_or(kind = 'sub' AND side = 0 AND lft <= 6) AS late_out, coalesce(arg_max(lft, n) FILTER (kind <> 'sub') <= 30, false) AS closing FROM sn GROUP BY 1, 2, 3, 4),
+  fl AS (SELECT *, coalesce(acted < coalesce(cut, 1000000), false) AS early, coalesce(acted <= coalesce(cut + 20, 1000000), false) AS acts, row_number() OVER (PARTITION BY game_id, team_id, period ORDER BY place NULLS LAST) AS rn FROM own FULL JOIN bf USING (game_id, team_id, period, player_id)),
+  ev AS (SELECT game_id, team_id, period, list({{'p': player_id, 'seen': place IS NOT NULL, 'st': CASE first WHEN 'out' THEN 1050 WHEN 'in' THEN -1000 ELSE 50 END + CASE WHEN early THEN 500 ELSE 0 END + CASE WHEN first IS NULL AND acts THEN 225 ELSE 0 END + CASE WHEN late_out AND first IS DISTINCT FROM 'in' THEN 175 ELSE 0 END - CASE WHEN late_in AND NOT early THEN 175 ELSE 0 END,
+    'cp': CASE WHEN first IS DISTINCT FROM 'in' THEN 100 ELSE 0 END + CASE WHEN first IS NULL AND NOT early THEN CASE WHEN came_in THEN -120 ELSE 0 END + CASE WHEN closing THEN 140 ELSE 0 END ELSE 0 END}} ORDER BY rn) AS l FROM fl GROUP BY 1, 2, 3),
+  mv AS (SELECT game_id, team_id, period, list({{'f': CAST([] AS BIGINT[]), 'o': p, 'i': q}} ORDER BY n) AS m FROM rc WHERE kind = 'sub' GROUP BY 1, 2, 3),
+  fr AS MATERIALIZED (SELECT t.game_id, t.team_id, g.period, row_number() OVER (PARTITION BY t.game_id, t.team_id ORDER BY g.period) AS num, coalesce(ev.l, []) AS l, coalesce(mv.m, []) AS m FROM (SELECT DISTINCT game_id, team_id FROM pbp) t JOIN (SELECT DISTINCT game_id, period FROM pbp) g ON g.game_id = t.game_id
+    LEFT JOIN ev ON ev.game_id = t.game_id AND ev.team_id = t.team_id AND ev.period = g.period LEFT JOIN mv ON mv.game_id = t.game_id AND mv.team_id = t.team_id AND mv.period = g.period),
+  fold AS (SELECT DISTINCT game_id, team_id, CAST(0 AS BIGINT) AS period, CAST(0 AS BIGINT) AS num, CAST([] AS BIGINT[]) AS held, [x for x in [{{'n': CAST(0 AS BIGINT), 'i': CAST(0 AS BIGINT), 'p': CAST(0 AS BIGINT)}}] if false] AS top FROM fr UNION ALL
+    SELECT game_id, team_id, period, num, list_reduce(m, lambda acc, mm: {{'f': CASE WHEN mm.i IS NULL OR list_contains([xx for xx in acc.f if xx <> mm.o], mm.i) THEN [xx for xx in acc.f if xx <> mm.o] ELSE list_append([xx for xx in acc.f if xx <> mm.o], mm.i) END, 'o': CAST(NULL AS BIGINT), 'i': CAST(NULL AS BIGINT)}}, {{'f': [zz.p for zz in top], 'o': CAST(NULL AS BIGINT), 'i': CAST(NULL AS BIGINT)}}).f, top FROM (
+    SELECT *, list_reverse_sort([{{'n': CAST(cand[jj].st + CASE WHEN list_contains(held, cand[jj].p) THEN cand[jj].cp ELSE 0 END AS BIGINT), 'i': CAST(-jj AS BIGINT), 'p': CAST(cand[jj].p AS BIGINT)}} for jj in range(1, len(cand) + 1)])[1:5] AS top FROM (
+    SELECT *, list_concat([yy for yy in l if yy.seen], [coalesce([yy for yy in l if yy.p = hh][1], {{'p': hh, 'seen': false, 'st': 50, 'cp': 100}}) for hh in list_sort([hh for hh in held if NOT list_contains([yy.p for yy in l if yy.seen], hh)])]) AS cand FROM (
+    SELECT fr.game_id, fr.team_id, fr.period, fr.num, fr.l, fr.m, fold.held FROM fold JOIN fr ON fr.game_id = fold.game_id AND fr.team_id = fold.team_id AND fr.num = fold.num + 1))))
+  SELECT game_id, team_id, period, z.p AS player_id, z.n AS points FROM (SELECT game_id, team_id, period, unnest(top) AS z FROM fold)"""
+
+
+@query(_CARRY)
 def carried_openings(spark, d):
-    """Openings of periods by evidence that includes the lineup rebuilt to the end of the period before; tested against a plain fold."""
+    """Openings of periods by evidence that includes the lineup rebuilt to the end of the period before."""
     return openings.carried_openings(cut(play_by_play(spark, d).drop("points", "three", "description")))

@@ -173,7 +173,7 @@ def plain_carry(rows):
         floor = {p for _, _, p in best}
         for r in mine:
             if r[3] == "sub":
-                floor = (floor - {r[4]}) | ({r[5]} if r[5] else set())
+                floor = (floor - {r[4]}) | ({r[5]} - {None})
     return sorted(out)
 
 
