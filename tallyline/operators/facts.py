@@ -80,13 +80,26 @@ def period_leaderboard(seasons: DataFrame, periods: DataFrame, least_games: int
     return out.withColumns(per).withColumn("on_off_per_48", F.col("on_per_48") - F.col("off_per_48"))
 
 
-def eligibility(facts: DataFrame, need: int, season_games: int, low: float = 15.0, full: float = 20.0, near_cap: int = 2) -> DataFrame:
+def eligibility(facts: DataFrame, need: int, season_games: int, low: float = 15.0, full: float = 20.0, near_cap: int = 2, bonus: DataFrame | None = None, remaining: DataFrame | None = None) -> DataFrame:
     """Games that count for awards: those of `full` minutes or more, and at most `near_cap` of `low` to `full` minutes; and
-    whether the player has reached `need`, still can, or cannot in a season of `season_games`."""
+    whether the player has reached `need`, still can, or cannot in a season of `season_games`.
+
+    `bonus` (player_id, games) counts besides, for games that no box holds. `remaining` (player_id, games) says what is left to
+    play; players with none or 0 there get the mean of those above 0, in place of the season's games less those played.
+    """
     near = F.count_if((F.col("minutes") >= low) & (F.col("minutes") < full))
     out = facts.groupBy("player_id").agg(F.count("*").alias("games"), (F.count_if(F.col("minutes") >= full) + F.least(near, F.lit(near_cap))).alias("counted"))
+    if bonus is not None:
+        more = bonus.groupBy("player_id").agg(F.sum("games").alias("_more"))
+        out = out.join(more, "player_id", "left").withColumn("counted", F.col("counted") + F.coalesce("_more", F.lit(0))).drop("_more")
     left = F.greatest(F.lit(season_games) - F.col("games"), F.lit(0))
-    return out.withColumn("status", F.when(F.col("counted") >= need, "CLINCHED").when(F.col("counted") + left < need, "ELIMINATED").otherwise("BUBBLE"))
+    if remaining is not None:
+        mean = remaining.where("games > 0").agg(F.avg("games").alias("_mean"))
+        own = remaining.groupBy("player_id").agg(F.max("games").alias("_left"))
+        out = out.join(own, "player_id", "left").join(F.broadcast(mean))  # a single row
+        left = F.when(F.col("_left") > 0, F.col("_left")).otherwise(F.coalesce("_mean", F.lit(0.0)))
+    out = out.withColumn("status", F.when(F.col("counted") >= need, "CLINCHED").when(F.col("counted") + left < need, "ELIMINATED").otherwise("BUBBLE"))
+    return out.drop("_left", "_mean")
 
 
 def win_ledger(facts: DataFrame) -> DataFrame:

@@ -73,6 +73,16 @@ def adjusted_points(points: Column, three: Column, made: Column, expected: Colum
     return points + F.when(three, (expected - made.cast("double")) * (3 - haircut)).otherwise(0.0)
 
 
+def plain_expectation(attempts: Column, makes: Column, default: float = 0.36, least: float = 10.0) -> Column:
+    """The older feeds' expectation of a three: the shooter's own rate from `least` attempts on, else `default`."""
+    return F.when(attempts >= least, makes / attempts).otherwise(default)
+
+
+def plain_adjustment(made: Column, expected: Column) -> Column:
+    """What luck gave in the older feeds, without a haircut: 3 - 3 * expected for a make, -3 * expected for a miss."""
+    return F.when(made, 3.0).otherwise(0.0) - 3 * expected
+
+
 def shot_expectation(prior: Column, model: Column) -> Column:
     """A shot's own prior within [.10, .60], else the model's value within [.15, .55]."""
     within = lambda c, low, high: F.greatest(F.least(c, F.lit(high)), F.lit(low))

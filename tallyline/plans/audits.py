@@ -41,6 +41,11 @@ def duplicate_keys(df: DataFrame, keys: list[str], source: str) -> DataFrame:
     return out.select(*keys, "n", F.array_join("s", ",").alias("sources"))
 
 
+def missing_by_game(df: DataFrame, column: str, by: list[str]) -> DataFrame:
+    """Games with rows that lack `column`: how many, and their minutes."""
+    return df.where(F.col(column).isNull()).groupBy(*by).agg(F.count("*").alias("missing_rows"), F.sum("minutes").alias("minutes_total"))
+
+
 def gaps_by_game(df: DataFrame, gap: Column, least: float) -> DataFrame:
     return df.withColumn("_g", F.abs(gap)).where(F.col("_g") > least).groupBy("game_id").agg(F.count("*").alias("rows"), F.sum("_g").alias("sum_abs"), F.max("_g").alias("max_abs"))
 
