@@ -38,6 +38,10 @@ class NormalEquations:
             return np.linalg.solve(self.gram - np.outer(self.sx, self.sx) / self.n + np.diag(alpha), right)
         return self._conjugate_gradient(alpha, right)
 
+    def intercept(self, coef: np.ndarray) -> float:
+        """The free intercept that goes with coefficients."""
+        return float((self.ty - self.sx @ coef) / self.n)
+
     def _times(self, p: np.ndarray) -> np.ndarray:
         """Gram matrix times p, summed in Spark; p and the result have one number per feature."""
         vector = self.table.sparkSession.createDataFrame(pd.DataFrame({"f": self.features, "p": p}), "f long, p double")
@@ -60,7 +64,7 @@ class NormalEquations:
             x, r = x + step * p, r - step * a
             rr, before = r @ r, rr
             p = r + rr / before * p
-        if rr > stop:
+        if not rr <= stop:  # also where it is no number
             raise ArithmeticError(f"ridge fit did not converge in {10 * len(right)} steps: residual {np.sqrt(rr):.3g}")
         return x
 
@@ -114,20 +118,33 @@ def ridge_fit(rows: DataFrame, alpha: float = 2500.0, name: str = "player_id") -
     return rows.sparkSession.createDataFrame(frame, f"{name} long, coefficient double")
 
 
-def offence_defence_ratings(eq: NormalEquations, alpha_offence: float, alpha_defence: float) -> pd.DataFrame:
-    """Ratings (player_id, offence, defence, total) with a penalty per block and each block centred on its mean; players seen on
-    one side only get 0 on the other."""
+def centred_ratings(eq: NormalEquations, alpha_offence: float, alpha_defence: float) -> tuple[pd.DataFrame, float]:
+    """Ratings (player_id, offence, defence, total) with a penalty per block and each block centred on its mean, and the intercept,
+    which takes up five times the difference of the means so that fitted values stay; players seen on one side only get 0 on
+    the other."""
     coef = eq.solve(np.where(eq.features % 2 == 0, alpha_offence, alpha_defence))
     long = pd.DataFrame({"role": np.where(eq.features % 2 == 0, "O", "D"), "player_id": eq.features // 2, "c": coef})
+    means = long.groupby("role")["c"].mean()
+    intercept = eq.intercept(coef) + 5.0 * (means.get("O", 0.0) - means.get("D", 0.0))
     long["c"] -= long.groupby("role")["c"].transform("mean")
     wide = long.pivot(index="player_id", columns="role", values="c").reindex(columns=["O", "D"]).fillna(0.0).reset_index()
-    return wide.rename(columns={"O": "offence", "D": "defence"}).assign(total=wide["O"] + wide["D"])[["player_id", "offence", "defence", "total"]]
+    return wide.rename(columns={"O": "offence", "D": "defence"}).assign(total=wide["O"] + wide["D"])[["player_id", "offence", "defence", "total"]], intercept
+
+
+def offence_defence_ratings(eq: NormalEquations, alpha_offence: float, alpha_defence: float) -> pd.DataFrame:
+    """The ratings of centred_ratings() alone."""
+    return centred_ratings(eq, alpha_offence, alpha_defence)[0]
+
+
+def offence_defence_model(rows: DataFrame, alpha_offence: float, alpha_defence: float) -> tuple[DataFrame, float]:
+    """The ratings of rows from offence_defence_design() or possession_design(), and the intercept."""
+    ratings, intercept = centred_ratings(normal_equations(rows), alpha_offence, alpha_defence)
+    return rows.sparkSession.createDataFrame(ratings, "player_id long, offence double, defence double, total double"), intercept
 
 
 def offence_defence_fit(rows: DataFrame, alpha_offence: float, alpha_defence: float) -> DataFrame:
-    """The ratings of rows from offence_defence_design() or possession_design()."""
-    ratings = offence_defence_ratings(normal_equations(rows), alpha_offence, alpha_defence)
-    return rows.sparkSession.createDataFrame(ratings, "player_id long, offence double, defence double, total double")
+    """The ratings of offence_defence_model() alone."""
+    return offence_defence_model(rows, alpha_offence, alpha_defence)[0]
 
 
 def plus_minus_table(stints: DataFrame, alpha_offence: float, alpha_defence: float, least_minutes: float = 200.0) -> DataFrame:

@@ -1,5 +1,6 @@
 """Guarded writes, pruned reads, Beta quantiles, linear look-ahead, fits that do not converge."""
 
+import math
 import tempfile
 
 import numpy as np
@@ -7,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyline.functions.beta import beta_cdf, beta_quantile, beta_quantiles
-from tallyline.operators import sequences
-from tallyline.plans import audits
+from tallyline.operators import lineups, sequences
+from tallyline.plans import audits, ridge
 from tallyline.sources import sinks
 
 
@@ -95,3 +96,41 @@ def test_fact_rules(spark):
     rows = spark.createDataFrame([tuple((good | change).values()) + (k,) for k, change in bad.items()], schema)
     got = {r.k: {n for n in audits.FACT_RULES if r[n]} for r in audits.violations(rows, audits.fact_rules(), ["k"]).collect()}
     assert got == {k: {k} for k in audits.FACT_RULES}
+
+
+def test_plus_minus_table_and_intercept(spark):
+    """Raw and adjusted ratings, the intercept with its shift, minutes, primary teams and the least minutes, against NumPy."""
+    rng = np.random.default_rng(9)
+    rows = [(g, 1, 1, 2, [int(x) for x in rng.choice(8, 5, False)], [int(x) for x in rng.choice(8, 5, False) + 8], float(rng.integers(20, 200)), float(rng.integers(0, 5)), float(rng.integers(0, 5)), float(rng.random() * 5), float(rng.random() * 5)) for g in range(60)]
+    stints = spark.createDataFrame(rows, "game_id long, stint_index long, home_id long, away_id long, home_lineup array<long>, away_lineup array<long>, seconds double, home_pts double, away_pts double, home_pts_adj double, away_pts_adj double").withColumn("date", F.lit("2020-01-01").cast("date"))
+
+    def fit(home, away):
+        x, y = [], []
+        for r in rows:
+            for own, other, p in ((r[4], r[5], r[home]), (r[5], r[4], r[away])):
+                w, line = math.sqrt(r[6] / 24), np.zeros(32)
+                line[own], line[[16 + o for o in other]] = w, -w
+                x.append(line)
+                y.append(p / (r[6] / 24) * 100 * w)
+        x, y = np.array(x), np.array(y)
+        xc = x - x.mean(0)
+        coef = np.linalg.solve(xc.T @ xc + np.diag([50.0] * 16 + [80.0] * 16), xc.T @ (y - y.mean()))
+        o, d = coef[:16], coef[16:]
+        return o - o.mean(), d - d.mean(), y.mean() - x.mean(0) @ coef + 5 * (o.mean() - d.mean())
+
+    (o, d, b), (o_adj, d_adj, _) = fit(7, 8), fit(9, 10)
+    assert ridge.offence_defence_model(lineups.offence_defence_design(stints), 50.0, 80.0)[1] == pytest.approx(b)
+    minutes = {p: sum(r[6] for r in rows if p in r[4] or p in r[5]) / 60 for p in range(16)}
+    least = sorted(minutes.values())[4]
+    got = {r.player_id: r for r in ridge.plus_minus_table(stints, 50.0, 80.0, least).collect()}
+    assert set(got) == {p for p in minutes if minutes[p] >= least - 1e-9}
+    for p, r in got.items():
+        assert (r.offence, r.defence, r.total, r.offence_adj, r.defence_adj, r.total_adj) == tuple(map(pytest.approx, (o[p], d[p], o[p] + d[p], o_adj[p], d_adj[p], o_adj[p] + d_adj[p])))
+        assert r.minutes == pytest.approx(minutes[p]) and r.team_id == (1 if p < 8 else 2)
+
+
+def test_unconverged_fit_raises(monkeypatch):
+    eq = ridge.NormalEquations(np.arange(2), np.zeros(2), np.ones(2), 1.0, 0.0, None)
+    monkeypatch.setattr(ridge.NormalEquations, "_times", lambda self, p: p[::-1] * np.array([1.0, -1.0]))  # no positive matrix
+    with pytest.raises(ArithmeticError), np.errstate(all="ignore"):
+        eq.solve(0.0)
