@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..lineage import fresh_dir
+from . import folds
 
 
 def decay_stream(shots: DataFrame, half_life: float = 1000.0, forget_after_ms: int | None = None) -> DataFrame:
@@ -20,23 +20,14 @@ def decay_stream(shots: DataFrame, half_life: float = 1000.0, forget_after_ms: i
     together, so the source should bound its batches (maxFilesPerTrigger). With `forget_after_ms`, a player without shots
     for so long loses its state, which decays to nothing anyway.
     """
-    gamma = 2.0 ** (-1.0 / half_life)
-    piece = max(int(500 * half_life), 1)  # longer runs would overflow the powers
-
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         a, m = state.get if state.exists else (0.0, 0.0)
         rows = pd.concat(list(frames)).sort_values("event_id")
-        event, made = rows["event_id"].to_numpy(), rows["made"].to_numpy(float)
-        for low in range(0, len(rows), piece):
-            hits = made[low : low + piece]
-            left = gamma ** np.arange(len(hits) + 1)
-            attempts = a * left + (1 - left) / (1 - gamma)
-            makes = left * (m + np.concatenate([[0.0], np.cumsum(hits / left[1:])]))
-            yield pd.DataFrame({"player_id": key[0], "event_id": event[low : low + piece], "a_before": attempts[:-1], "m_before": makes[:-1]})
-            a, m = float(attempts[-1]), float(makes[-1])
+        before, (a, m) = folds.decayed(rows["made"].to_numpy(float), a, m, half_life)
+        yield pd.DataFrame({"player_id": key[0], "event_id": rows["event_id"].to_numpy(), "a_before": before[0], "m_before": before[1]})
         state.update((a, m))
         if forget_after_ms:
             state.setTimeoutDuration(forget_after_ms)
@@ -70,26 +61,17 @@ def possession_stream(events: DataFrame, ends: tuple[str, ...], over: str = "gam
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         index, points, opened = state.get if state.exists else (0, 0, False)
-        out, finished = [], state.hasTimedOut
-        rows = pd.DataFrame(columns=["kind", "team_id", "points"]) if finished else pd.concat(list(frames)).sort_values("action_number")
-        for kind, team, scored in zip(rows["kind"], rows["team_id"], rows["points"], strict=True):
-            finished |= kind == over
-            points, opened = points + int(scored), opened or kind != over
-            if kind in ends:
-                index += 1
-                out.append((key[0], index, kind, team, points))
-                points, opened = 0, False
-        if finished:
-            if opened:
-                out.append((key[0], index + 1, "end_of_game", None, points))
-            if state.exists or state.hasTimedOut:
-                state.remove()
-        else:
-            state.update((index, points, opened))
+        rows = None if state.hasTimedOut else pd.concat(list(frames)).sort_values("action_number")
+        found, left = folds.possessions(rows, index, points, opened, ends, over)
+        if left:
+            state.update(left)
             if silent_ms:
                 state.setTimeoutDuration(silent_ms)
-        if out:
-            yield pd.DataFrame(out, columns=["game_id", "poss_index", "ended_by", "team_id", "points"]).astype({"team_id": "Int64"})
+        elif state.exists or state.hasTimedOut:
+            state.remove()
+        if len(found):
+            found.insert(0, "game_id", key[0])
+            yield found
 
     timeout = GroupStateTimeout.ProcessingTimeTimeout if silent_ms else GroupStateTimeout.NoTimeout
     return events.groupBy("game_id").applyInPandasWithState(step, "game_id long, poss_index long, ended_by string, team_id long, points long", "index long, points long, opened boolean", "append", timeout)

@@ -11,7 +11,7 @@ from tallyline.functions import scalars as S
 from tallyline.operators import decay, facts, lineups, reconstruct
 from tallyline.plans import ridge
 from tallyline.sources import boxes
-from tallyline.streaming import incremental
+from tallyline.streaming import incremental, ordered
 
 EVENTS = "game_id long, home_id long, away_id long, period long, elapsed long, action_number long, kind string, team_id long, player_id long, in_id long, points long"
 
@@ -200,3 +200,41 @@ def test_replaced_partitions_and_games_taken_once(spark):
     assert sorted((r.v, r.season) for r in spark.read.parquet(path).collect()) == [(1, 2020), (3, 2021)]
     twice = spark.createDataFrame([(1, "2024-01-01 00:00:00"), (1, "2024-01-02 00:00:00"), (2, "2024-01-02 00:00:00")], "game_id long, t string").select("game_id", F.col("t").cast("timestamp").alias("ts"))
     assert sorted(r.game_id for r in incremental.drain(incremental.once_per_game(batches(spark, twice, ["ts < '2024-01-02'", "ts >= '2024-01-02'"]))).collect()) == [1, 2]
+
+
+def timed(rows, at):
+    return rows.withColumn("ts", F.timestamp_seconds(at + 1000))  # a row of time 0 would be late at once
+
+
+def closed(spark, rows, parts, at):
+    """A stream of files, one a batch; the last one holds a row without key at time `at`."""
+    end = rows.limit(0).unionByName(spark.range(1).select(F.timestamp_seconds(F.lit(at)).alias("ts")), allowMissingColumns=True)
+    return batches(spark, rows.unionByName(end), [*parts, f"ts = timestamp_seconds({at})"])
+
+
+def test_decay_in_order_of_shuffled_batches_is_the_window_form(spark):
+    rows = spark.createDataFrame([(i % 3, i, i * 7 % 5 % 2) for i in range(90)], "player_id long, event_id long, made int")
+    stream = closed(spark, timed(rows, F.col("event_id") * 10), ["event_id % 4 = 3 and event_id < 40", "event_id % 4 < 3 and event_id < 40", "event_id >= 60", "event_id between 40 and 59"], 100_000)
+    got = {(r.player_id, r.event_id): (r.a_before, r.m_before) for r in incremental.drain(ordered.decay_in_order(stream, 10.0, "600 seconds")).collect()}
+    want = decay.decayed_before(rows.withColumn("a", F.lit(1)), "player_id", ["event_id"], "a", "made", 10.0).collect()
+    assert len(got) == len(want) == 90
+    for r in want:
+        assert got[r.player_id, r.event_id] == (pytest.approx(r.a_before), pytest.approx(r.m_before))
+
+
+def test_possessions_in_order_of_shuffled_batches(spark):
+    """Game 1 ends with its last event; in game 2 an event is missing its team and points, and what is open ends with silence."""
+    events = game(spark)[0].select("game_id", "elapsed", "action_number", "team_id", "kind", "points")
+    more = [(1, 1100, 9, None, "game_end", 0), (2, 100, 1, 1, "made", 2), (2, 101, 2, None, "made", None), (2, 102, 3, 1, "free_throw_miss", 1)]
+    events = timed(events.union(spark.createDataFrame(more, events.schema)), F.col("elapsed"))
+    stream = closed(spark, events, ["action_number in (4, 2, 9)", "action_number in (1, 7, 5)", "action_number in (3, 6, 8)"], 100_000)
+    out = incremental.drain(ordered.possessions_in_order(stream, reconstruct.ENDS, delay="2000 seconds", silent_ms=60_000)).orderBy("game_id", "poss_index").collect()
+    one = [(1, "made", 2), (2, "free_throw", 1), (3, "made", 3), (4, "defensive_rebound", 0), (5, "turnover", 0)]
+    assert [(r.poss_index, r.ended_by, r.points) for r in out if r.game_id == 1] == one
+    assert [(r.poss_index, r.ended_by, r.team_id, r.points) for r in out if r.game_id == 2] == [(1, "made", 1, 2), (2, "made", None, 0), (3, "end_of_game", None, 1)]
+
+
+def test_late_rows_are_dropped_and_waiting_rows_stay(spark):
+    rows = timed(spark.createDataFrame([(1, e, 1) for e in range(6)], "player_id long, event_id long, made int"), F.col("event_id") * 100)
+    out = incremental.drain(ordered.decay_in_order(batches(spark, rows, ["event_id in (0, 3)", "event_id = 4", "event_id = 1", "event_id = 5"]), 10.0, "150 seconds"))
+    assert [r.event_id for r in out.orderBy("event_id").collect()] == [0, 3]  # 1 is late; 4 and 5 wait for later rows
