@@ -10,7 +10,7 @@ from .. import schemas
 from ..functions import scalars as S
 from ..operators import decay, lineups, sequences, tables
 from ..sources import adapters as A
-from . import audits, fact_queries, feed_queries, game_queries, messy_queries, rating_queries, ridge, rule_queries, search, stream_queries  # noqa: F401
+from . import audits, fact_queries, feed_queries, game_queries, messy_queries, rating_queries, ridge, rule_queries, search, span_queries, stream_queries  # noqa: F401
 from .registry import QUERIES, SQL, query, r6, rsql
 
 # --- lineups ---------------------------------------------------------------------------------------------------

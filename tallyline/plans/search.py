@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators.spans import span_table
 
 
 @dataclass
@@ -71,6 +72,24 @@ def span_search(facts: DataFrame, sums: list[str], scope: SearchSpec, having: Se
     return out
 
 
+def span_report(facts: DataFrame, scope: SearchSpec, having: SearchSpec, shown: dict[str, str] | None = None, texts: tuple[str, ...] = ("player_name", "listed_height")) -> DataFrame:
+    """The span table of the games in scope, for spans that meet `having` (bounds and formulas in its mode, for its rated columns).
+
+    `shown` gives columns another mode for display only (per_game, per_36, per_100). `having.sort` sorts by a column as it is shown:
+    texts without regard to null and '', numbers with null as 0, ties by player_id.
+    """
+    rows = facts.where(S.in_range(F.col("date"), *scope.dates)) if any(scope.dates) else facts
+    spans = span_table(rows.where(_tests(scope)))
+    kept = _rated(spans.withColumn("_span", F.struct(*spans.columns)), having).where(_tests(having)).select("_span.*")
+    shown = shown or {}
+    out = kept.withColumns({c: S.rate(F.col(c), mode, F.col("games"), F.col("minutes"), F.col("possessions")) for c, mode in shown.items()}) if shown else kept
+    if not having.sort:
+        return out
+    name, down = having.sort
+    key = F.coalesce(F.col(name), F.lit("" if name in texts else 0))
+    return out.orderBy(key.desc() if down else key, "player_id")
+
+
 def prorated(facts: DataFrame, season_values: DataFrame, per_game: list[str], season_totals: list[str]) -> DataFrame:
     """Season values once per (player, season): per-game values times the selected games, totals by the share of games."""
     picked = facts.groupBy("player_id", "season").agg(F.count("*").alias("picked"))
