@@ -148,7 +148,11 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
 
 
 def take_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
-    """The documents of the mix with their own columns, each row as often as mix_sources() takes it."""
+    """The documents of the mix with their own columns, each row as often as mix_sources() takes it.
+
+    Defined cases: as there; rows with a null id or source and rows without words are sampled like others, rows that agree
+    in id, source and size come equally often, an empty table stays empty, and columns may have any names.
+    """
     id_, source, size, copies, own, copy = fresh_names(docs, "id", "source", "size", "copies", "own", "copy")
     plan = mix_sources(docs, id_col, source_col, text_col, **options).where("copies > 0")
     plan = plan.select(F.col(id_col).alias(id_), F.col(source_col).alias(source), F.col("size").alias(size), F.col("copies").cast("int").alias(copies))

@@ -161,12 +161,16 @@ def fit_forest(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
 
     Trees grow on rows labelled good, so that what they isolate quickly differs from good text; the threshold is
     calibrated on good and bad rows. Where labels of one id disagree, the lowest counts. None if no labelled row is left.
+
+    Defined cases: null ids and labels take no part, null and empty texts fail the rules; where ids repeat, at most twice
+    `fit_rows` rows are taken, by a hash of their figures, so that equal tables give equal forests wherever rows lie.
     """
     chosen = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.min(F.col(label_col).cast("int")).alias("quality"))
     chosen = chosen.orderBy(F.xxhash64("_id"), "_id").limit(fit_rows)
     # at most fit_rows small rows
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "_id")
-    rows = rows.select("quality", "text").mapInArrow(_statistics, "quality int, failed boolean, x array<double>").where("not failed").limit(2 * fit_rows).toPandas()
+    rows = rows.select("quality", "text").mapInArrow(_statistics, "quality int, failed boolean, x array<double>").where("not failed")
+    rows = rows.orderBy(F.xxhash64("x", "quality"), "x", "quality").limit(2 * fit_rows).toPandas()  # a bound for ids that repeat
     rows = rows.assign(k=[tuple(v) for v in rows["x"]]).sort_values(["k", "quality"], kind="stable")  # whatever order they came in
     x, good = np.array(rows["k"].tolist()).reshape(-1, len(FEATURES)), rows["quality"].to_numpy() > 0
     if not len(x):
@@ -204,8 +208,11 @@ def judge_quality(docs: DataFrame, forest: IsolationForest | None, id_col: str =
 
 
 def keep_good(docs: DataFrame, forest: IsolationForest | None, text_col: str = "text") -> DataFrame:
-    """The documents that judge_quality() keeps, with their own columns, in one pass without a join."""
+    """The documents that judge_quality() keeps, with their own columns, in one pass without a join.
 
+    Defined cases: null and empty texts fail the fixed rules and go; null ids and repeated rows are judged per row; an
+    empty table stays empty; other columns pass through, whatever their names.
+    """
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -148,7 +148,8 @@ def read_token_digests(manifest: DataFrame, path: str, id_col: str = "doc_id") -
 
 
 def read_sequences(spark: SparkSession, manifest: DataFrame, path: str) -> DataFrame:
-    """The sequences themselves: part, position in the file, ids and mask as arrays."""
+    """The sequences themselves: part, position in the file, ids and mask as arrays. An empty manifest gives no
+    rows; a document without text is its end id; files hold no other columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, folder = open_store(path)
