@@ -50,8 +50,8 @@ def length_histogram(docs: DataFrame, tokenizer: str, text_col: str = "text") ->
 
 def tokens_within(histogram: DataFrame, limits: list[int]) -> DataFrame:
     """Exact (limit, tokens left, documents cut) for any context limits, from the histogram alone. An empty
-    histogram or no limits give no rows; a repeated limit gives one row that counts it as often; a limit must not be null."""
-    asked = histogram.sparkSession.createDataFrame([(int(x),) for x in limits], "context_limit long")
+    histogram or no limits give no rows; a repeated limit gives one row; a limit must not be null."""
+    asked = histogram.sparkSession.createDataFrame([(int(x),) for x in dict.fromkeys(limits)], "context_limit long")
     # the limits are the caller's list, so a bounded table
     kept = F.when(F.col("length") <= F.col("context_limit"), F.col("n_tokens")).otherwise(F.col("context_limit") * F.col("n_docs"))
     over = F.when(F.col("length") > F.col("context_limit"), F.col("n_docs")).otherwise(0)
