@@ -7,7 +7,7 @@ folded in order in one task; games are independent and are dealt by game_id.
 from __future__ import annotations
 
 from collections import defaultdict
-from itertools import groupby
+from itertools import groupby, takewhile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -73,7 +73,13 @@ def _track(values: tuple[str, ...], forced: bool):
         def close():
             nonlocal start, sums
             if now > start or any(sums.values()):
-                out.append({"game_id": game, "start": start, "end": now, "home_id": home, "away_id": away, "home_lineup": sorted(floor[home]), "away_lineup": sorted(floor[away])} | sums)
+                segment = {"game_id": game, "start": start, "end": now, "home_id": home, "away_id": away, "home_lineup": sorted(floor[home]), "away_lineup": sorted(floor[away])}
+                # lineups that come back within one clock have one segment there
+                same = [s for s in takewhile(lambda s: s["end"] == now, reversed(out)) if segment.items() <= s.items()]
+                if same:
+                    same[0].update({v: same[0][v] + n for v, n in sums.items()})
+                else:
+                    out.append(segment | sums)
             start, sums = now, dict.fromkeys(sums, 0)
 
         def change(batches):

@@ -66,6 +66,14 @@ def test_substitution_waits_for_free_throws(spark):
     assert segments(feed(spark, rows), known(spark)) == [(0, 100, [10, 11, 12, 13, 14], 2), (100, 200, [11, 12, 13, 14, 15], 5)]
 
 
+def test_one_segment_per_lineup_and_clock(spark):
+    """Texts that move nobody part the points of a clock into batches; its segments of one lineup are one."""
+    nobody = (100, "sub", 1, 15, "SUB: Nobody FOR Somebody", 0)
+    rows = [(50, "made", 1, 10, "x", 2), nobody, (100, "made", 1, 11, "x", 3), nobody, (100, "made", 1, 11, "x", 1), nobody, (200, "made", 1, 11, "x", 2)]
+    five = [10, 11, 12, 13, 14]
+    assert sorted(segments(feed(spark, rows), known(spark))) == [(0, 100, five, 2), (100, 100, five, 4), (100, 200, five, 2)]
+
+
 def test_batches():
     move = lambda side, p, text, c=(): {"side": side, "player_id": p, "candidates": list(c), "description": text}
     floor = {10, 11, 12, 13, 14}
