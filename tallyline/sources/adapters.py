@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..lineage import dealt
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -32,8 +34,14 @@ def _stint_columns(div: str) -> dict[str, str]:
     }
 
 
+def _lines_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with their orders, dealt by order."""
+    lines = table(spark, sf_dir, "lineitem")
+    return dealt(lines, "l_orderkey").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+
+
 def stints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = _lines_of_orders(spark, sf_dir)
     rows = rows.select(*[F.expr(e).alias(n) for n, e in _stint_columns("div").items()])
     return rows.withColumn("stint_index", F.expr("cast(row_number() over (partition by game_id order by l_linenumber, l_partkey, l_suppkey) as bigint)"))
 
@@ -50,7 +58,7 @@ def shots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def player_games(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = _lines_of_orders(spark, sf_dir)
     return rows.groupBy(F.col("l_orderkey").alias("game_id"), (F.col("l_suppkey") % 50).alias("player_id")).agg(
         F.max(F.to_date("o_orderdate")).alias("date"), F.max(F.col("l_suppkey") % 4).alias("team_id"), F.sum("l_quantity").alias("minutes"), F.sum(F.col("l_linenumber") * 5).cast("long").alias("pts"),
         F.sum(F.col("l_partkey") % 13).alias("reb"), F.sum(F.col("l_partkey") % 11).alias("ast"), F.sum(F.col("l_partkey") % 4).alias("stl"), F.sum(F.col("l_partkey") % 3).alias("blk"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tallyline.functions import scalars as S
 from tallyline.operators import decay, lineups, reconstruct, sequences, tables
+from tallyline.sources import adapters
 
 
 def one(spark, **cols):
@@ -127,3 +128,10 @@ def test_names_with_one_list_of_candidates_share_a_partition(spark):
     got = {r.alias: r for r in out.groupBy("alias").agg(F.countDistinct("part").alias("parts"), F.count("*").alias("rows"), F.max("player_id").alias("player_id"), F.max("candidates").alias("candidates")).collect()}
     assert [got[k].parts for k in "abc"] == [1, 1, 1] and sum(got[k].rows for k in "abc") == 400
     assert (got["a"].player_id, got["a"].candidates) == (None, ",".join(map(str, range(300)))) and (got["b"].player_id, got["b"].candidates) == (7, "7") and (got["c"].player_id, got["c"].candidates) == (None, None)
+
+
+@pytest.mark.parametrize("make", [adapters.stints, adapters.player_games])
+def test_lines_are_dealt_by_number(spark, make):
+    """60,000 lines are two tasks' work whatever the session's partitions are, and a game is in one of them."""
+    per = make(spark, "/root/testdata/sf0.01").withColumn("p", F.spark_partition_id()).groupBy("game_id").agg(F.countDistinct("p").alias("n"), F.max("p").alias("part"))
+    assert [tuple(r) for r in per.agg(F.max("n"), F.countDistinct("part")).collect()] == [(1, 2)]
