@@ -86,4 +86,4 @@ def possessions_any_order(spark, d):
     open then is a possession of its own. Games start a minute apart."""
     feed = play_by_play(spark, d).select("game_id", "action_number", "team_id", "kind", "points", F.timestamp_seconds(F.col("game_id") * 60 + F.col("elapsed")).alias("ts"))
     stream, delay = _out_of_order(feed, "ts")
-    return incremental.drain(ordered.possessions_in_order(stream, ("made", "turnover"), delay=delay, silent_ms=GAME_SECONDS * 1000))
+    return incremental.drain(ordered.possessions_of_sessions(stream, ("made", "turnover"), f"{GAME_SECONDS} seconds", delay))

@@ -89,9 +89,13 @@ class InOrder(StatefulProcessor):
             yield from (Row(**dict(zip(frame.columns, values, strict=True))) for values in zip(*columns, strict=True))
 
 
+def _state_on_disk(rows: DataFrame) -> None:
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
 def _in_order(rows: DataFrame, key: str, order: str, at: str, delay: str, values: dict[str, str], carried: str, out: str, fold: Fold, silent_ms: int | None) -> DataFrame:
     """`values` names the columns that wait, with their types; the timers need the state store on disk."""
-    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    _state_on_disk(rows)
     names = ["at_us", *values]
     kept = rows.select(key, *values, F.col(at).alias("at_ts"), F.unix_micros(at).alias("at_us")).withWatermark("at_ts", delay)
     processor = InOrder(fold, names, ", ".join(f"{n} {t}" for n, t in ({"at_us": "long"} | values).items()), carried, order, silent_ms)
@@ -127,3 +131,22 @@ def possessions_in_order(events: DataFrame, ends: tuple[str, ...], over: str = "
 
     values = {"action_number": "long", "team_id": "long", "kind": "string", "points": "long"}
     return _in_order(events, "game_id", "action_number", at, delay, values, "n long, points long, opened boolean", "game_id long, poss_index long, ended_by string, team_id long, points long", fold, silent_ms)
+
+
+def possessions_of_sessions(events: DataFrame, ends: tuple[str, ...], silence: str, delay: str = "1 hour", at: str = "ts") -> DataFrame:
+    """Possessions as possessions_in_order() gives them with `silent_ms`, of games that only silence ends; they come all at once when
+    the watermark has passed the `silence` after a game's last event. A session window holds a game's events, some hundreds,
+    and array functions count them off: no row passes through Python, so this is the form for many games."""
+    _state_on_disk(events)
+    event = F.struct(F.col(at).alias("ts"), F.col("action_number").isNull().alias("unnumbered"), "action_number", "team_id", "kind", F.coalesce("points", F.lit(0)).cast("long").alias("points"), "game_id")
+    games = events.withWatermark(at, delay).groupBy("game_id", F.session_window(at, silence)).agg(F.array_sort(F.collect_list(event)).alias("e"))
+    # a row without key must reach the watermark, so that it is dropped only behind the window and by a value the window made
+    games = games.where(F.get("e", F.lit(0))["game_id"].isNotNull())
+    closing = F.filter(F.transform("e", lambda x, i: F.when(x["kind"].isin(*ends), i)), lambda i: i.isNotNull())
+    last = F.size("e") - 1
+    games = games.select("game_id", "e", F.array_distinct(F.concat(closing, F.array(last))).alias("stops"))
+    spans = F.transform("stops", lambda stop, i: F.struct((i + 1).cast("long").alias("poss_index"), F.coalesce(F.get("stops", i - 1) + 1, F.lit(0)).alias("first"), stop.alias("stop")))
+    found = games.select("game_id", "e", F.explode(spans).alias("s")).select("game_id", "s.poss_index", F.get("e", F.col("s.stop")).alias("end"), F.slice("e", F.col("s.first") + 1, F.col("s.stop") - F.col("s.first") + 1).alias("own"))
+    closed = F.col("end.kind").isin(*ends)
+    points = F.aggregate("own", F.lit(0).cast("long"), lambda a, x: a + x["points"])
+    return found.select("game_id", "poss_index", F.when(closed, F.col("end.kind")).otherwise("end_of_game").alias("ended_by"), F.when(closed, F.col("end.team_id")).alias("team_id"), points.alias("points"))

@@ -7,10 +7,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tallyline import lineage
 from tallyline.functions import scalars as S
 from tallyline.operators import decay, facts, lineups, reconstruct
 from tallyline.plans import ridge
-from tallyline.sources import boxes
+from tallyline.sources import boxes, messy, pbp
 from tallyline.streaming import incremental, ordered
 
 EVENTS = "game_id long, home_id long, away_id long, period long, elapsed long, action_number long, kind string, team_id long, player_id long, in_id long, points long"
@@ -238,3 +239,28 @@ def test_late_rows_are_dropped_and_waiting_rows_stay(spark):
     rows = timed(spark.createDataFrame([(1, e, 1) for e in range(6)], "player_id long, event_id long, made int"), F.col("event_id") * 100)
     out = incremental.drain(ordered.decay_in_order(batches(spark, rows, ["event_id in (0, 3)", "event_id = 4", "event_id = 1", "event_id = 5"]), 10.0, "150 seconds"))
     assert [r.event_id for r in out.orderBy("event_id").collect()] == [0, 3]  # 1 is late; 4 and 5 wait for later rows
+
+
+def test_possessions_of_sessions_are_those_in_order(spark):
+    """Events in any order, a null count of points, an unclosed end, a row without key: as the rows taken one by one."""
+    rows = [(g, n, 10 + n // 3, kind, points, 1000 * g + n) for g in (1, 2, 3) for n, (kind, points) in enumerate([("missed", 0), ("made", 2), ("free_throw", None), ("sub", 0), ("turnover", 0), ("free_throw", 1)], 1)]
+    rows = rows[:-1] + [(None, 1, 10, "made", 2, 1500)]
+    path = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    for part in (rows[::-1][:9], rows[::-1][9:], [(None, None, None, None, None, 10**6)]):
+        frame = spark.createDataFrame(part, "game_id long, action_number long, team_id long, kind string, points long, s long")
+        frame.withColumn("ts", F.timestamp_seconds("s")).drop("s").coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
+    out = incremental.drain(ordered.possessions_of_sessions(stream, ("made", "turnover"), "60 seconds", delay="5000 seconds"))
+    ends = lambda g: [(g, 1, "made", 10, 2), (g, 2, "turnover", 11, 0), (g, 3, "end_of_game", None, 1)]
+    assert sorted(map(tuple, out.collect())) == [*ends(1), *ends(2), *ends(3)[:2]]
+
+
+def test_feeds_are_dealt_by_game_in_tasks_that_stay_small(spark):
+    """Joins and windows of a game stay in place behind the feed, behind what is laid down, and the feed has more tasks where it is larger."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    feed = pbp.play_by_play(spark, "/root/testdata/sf0.1")
+    assert feed.rdd.getNumPartitions() == messy.messy_events(spark, "/root/testdata/sf0.1").rdd.getNumPartitions() == 600_000 // 50_000 + 1
+    assert plan(feed.groupBy("game_id", "team_id").count()).count("Exchange") == 1
+    small = pbp.play_by_play(spark, "/root/testdata/sf0.001")
+    again = lineage.laid(small, "game_id")
+    assert again.count() == small.count() and plan(again.groupBy("game_id", "period").count()).count("Exchange") == 1
