@@ -5,8 +5,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tallyline import lineage
 from tallyline.functions import scalars as S
 from tallyline.operators import openings, substitutions, tracking
+from tallyline.sources.messy import messy_events
 
 EVENTS = "game_id long, home_id long, away_id long, period long, elapsed long, action_number long, kind string, team_id long, player_id long, player_name string, description string, points long"
 NAMES = {10: "Ann Stone", 11: "Ben Okoro", 12: "Jo Smith", 13: "Dan Reed", 14: "Eve Lund Jr.", 15: "Jack Smith", 16: "Gus Moss"}
@@ -206,3 +208,10 @@ def test_carried_openings(spark):
     got = openings.carried_openings(spark.createDataFrame(every, CARRY).repartition(3)).collect()
     assert sorted((r.game_id, r.period, r.player_id, r.points) for r in got) == sorted(want)
     assert openings.carried_openings(spark.createDataFrame([], CARRY)).count() == 0
+
+
+def test_what_is_laid_down_is_dealt_by_game_again(spark):
+    """Events, players and found names that are read from the checkpoint have their own number of tasks, which no later step merges."""
+    out = substitutions.expand_substitutions(lineage.laid(messy_events(spark, "/root/testdata/sf0.001"), "game_id"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") >= 3
