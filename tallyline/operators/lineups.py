@@ -68,6 +68,12 @@ def primary_team(sides: DataFrame) -> DataFrame:
     return per.groupBy("player_id").agg(F.max_by("team_id", F.struct("seconds", "team_id")).alias("team_id"))
 
 
+def primary_team_and_time(sides: DataFrame) -> DataFrame:
+    """primary_team() and time_on_court() from one pass."""
+    per = sides.select("team_id", "seconds", F.explode("lineup").alias("player_id")).groupBy("player_id", "team_id").agg(F.sum("seconds").alias("seconds"))
+    return per.groupBy("player_id").agg(F.max_by("team_id", F.struct("seconds", "team_id")).alias("team_id"), F.sum("seconds").alias("seconds"))
+
+
 def possession_counts(possessions: DataFrame) -> DataFrame:
     """Distinct offensive possessions per game and player."""
     rows = possessions.select("game_id", "poss_index", F.explode("off_lineup").alias("player_id")).where("player_id > 0").distinct()
@@ -133,6 +139,21 @@ def possession_design(possessions: DataFrame, points: str = "points") -> DataFra
     return possessions.select(*[c for c in possessions.columns if c in ("season", "window")], "game_id", "poss_index", both.alias("fx"), (F.col(points).cast("double") * 100).alias("y"), F.lit(1.0).alias("w"))
 
 
+def packed_stints(stints: DataFrame, least_seconds: float = 10.0, adjusted: bool = False) -> tuple[DataFrame, tuple]:
+    """The rows of offence_defence_design() two to a stint, players not yet written out: home_lineup, away_lineup, w and the ys of
+    either team; and for each of the two its offence, its defence and its ys. `adjusted` adds adjusted points as a second y."""
+    poss, ends = F.greatest(F.col("seconds") / 24.0, F.lit(0.1)), ("", "_adj") if adjusted else ("",)
+    ys = [(F.col(f"{own}_pts{end}") / poss * 100).cast("double").alias(f"{own}_y{end}") for own in ("home", "away") for end in ends]
+    rows = stints.where(F.col("seconds") >= least_seconds).select(*[c for c in stints.columns if c in ("season", "window")], "home_lineup", "away_lineup", F.sqrt(poss).alias("w"), *ys)
+    return rows, tuple((f"{own}_lineup", f"{other}_lineup", tuple(f"{own}_y{end}" for end in ends)) for own, other in (("home", "away"), ("away", "home")))
+
+
+def packed_possessions(possessions: DataFrame, points: str = "points") -> tuple[DataFrame, tuple]:
+    """The rows of possession_design(), players not yet written out, and their one side."""
+    rows = possessions.select(*[c for c in possessions.columns if c in ("season", "window")], "off_lineup", "def_lineup", F.lit(1.0).alias("w"), (F.col(points).cast("double") * 100).alias("y"))
+    return rows, (("off_lineup", "def_lineup", ("y",)),)
+
+
 def long_design(rows: DataFrame, keys: list[str]) -> DataFrame:
     """An offence and defence design in long form: keys, feature ('O:id' or 'D:id'), sign, y, w."""
     name = F.concat(F.when(F.col("e.f") % 2 == 0, "O:").otherwise("D:"), F.floor(F.col("e.f") / 2).cast("string"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +17,9 @@ from ..operators import lineups
 #: Features up to which the Gram matrix is solved on the driver (5,000 squared is 200 MB); with more, its entries stay in
 #: Spark and the driver holds a few vectors only.
 MAX_FEATURES = 5000
-_ONE, _Y = -2, -1  # numbers of the constant and of y among the features
+#: Design rows that a task multiplies at once, and products (features squared) that it sums in one array; with more it sorts them.
+CHUNK, DENSE = 50_000, 4_000_000
+_ONE, _Y = -1, -2  # numbers of the constant and of the first y among the features; further ones go down from there
 
 
 @dataclass
@@ -69,26 +74,122 @@ class NormalEquations:
         return x
 
 
-def gram_table(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """The upper triangle (by..., i, j, g) of the Gram matrix of design rows (fx, y, w) with a constant and y as further columns.
-
-    Products are made within a row (some dozen features) and summed in one shuffle with partial sums; features are numbers, and
-    negative ones and nulls are no players.
+#: A design row that is held as lineups: the columns of players with +1 and of those with -1, and of the ys.
+Side = tuple[str, str, tuple[str, ...]]
+
+
+def _written(rows: pa.Table, sides: tuple[Side, ...]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """Row, feature and sign of all features, and the ys, of design rows: of fx or, with `sides`, of lineups, whose players have the
+    numbers of offence and defence designs. Negative features and nulls are left out."""
+    number = lambda c: rows.column(c).combine_chunks().fill_null(0.0).to_numpy(zero_copy_only=False)
+    at = lambda lists: np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+    if not sides:
+        fx = rows.column("fx").combine_chunks()
+        f, s = fx.flatten().flatten()
+        f, s, row = f.fill_null(-1).to_numpy(zero_copy_only=False), s.fill_null(0.0).to_numpy(zero_copy_only=False), at(fx)
+        yield row[f >= 0], f[f >= 0], s[f >= 0], [number("y")]
+    for plus, minus, ys in sides:
+        parts = []
+        for column, code, sign in ((plus, lineups.OFFENCE, 1.0), (minus, lineups.DEFENCE, -1.0)):
+            lists = rows.column(column).combine_chunks()
+            players, row = lists.flatten().fill_null(-1).to_numpy(zero_copy_only=False), at(lists)
+            parts.append((row[players >= 0], players[players >= 0] * 2 + code, np.full(int((players >= 0).sum()), sign)))
+        row, f, s = (np.concatenate(c) for c in zip(*parts, strict=True))
+        order = np.argsort(row, kind="stable")
+        yield row[order], f[order], s[order], [number(y) for y in ys]
+
+
+def _row_groups(rows: pa.Table, sides: tuple[Side, ...]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Features and scaled values (rows by columns) of design rows with equally many features: the ys, the constant, the features.
+    A null among values counts as 0, as it would in a sum."""
+    w = rows.column("w").combine_chunks().fill_null(0.0).to_numpy(zero_copy_only=False)
+    for row, f, s, ys in _written(rows, sides):
+        more, x = np.stack([*[y * w for y in reversed(ys)], np.ones(len(w))], 1), s * w[row]
+        sizes = np.bincount(row, minlength=len(w))
+        for size in np.unique(sizes):
+            own, at = sizes == size, sizes[row] == size
+            n = int(own.sum())
+            yield np.hstack([np.tile(np.arange(_ONE - len(ys), 0), (n, 1)), f[at].reshape(n, size)]), np.hstack([more[own], x[at].reshape(n, size)])
+
+
+def _products(rows: pa.Table, sides: tuple[Side, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sums of products over design rows: i, j (i <= j) and g, each pair once; all pairs of a y or the constant, and others if not 0."""
+    groups = list(_row_groups(rows, sides))
+    features = np.unique(np.concatenate([np.unique(f) for f, _ in groups]))
+    p, own = len(features), np.zeros(len(features))
+    dense, codes, sums = (np.zeros(p * p) if p * p <= DENSE else None), [], []
+    for f, x in groups:
+        at = np.searchsorted(features, f)
+        for a in range(f.shape[1]):
+            own += np.bincount(at[:, a], x[:, a] ** 2, p)
+            code, v = (np.minimum(at[:, a, None], at[:, a + 1 :]) * p + np.maximum(at[:, a, None], at[:, a + 1 :])).ravel(), (x[:, a, None] * x[:, a + 1 :]).ravel()
+            if dense is not None:
+                dense += np.bincount(code, v, p * p)
+            else:
+                there, inverse = np.unique(code, return_inverse=True)
+                codes.append(there)
+                sums.append(np.bincount(inverse, v, len(there)))
+    if dense is None:
+        code, inverse = np.unique(np.concatenate([*codes, np.arange(p) * (p + 1)]), return_inverse=True)
+        g = np.bincount(inverse, np.concatenate([*sums, np.zeros(p)]), len(code))
+    else:
+        code = np.flatnonzero(np.triu(np.ones((p, p), bool)))
+        g = dense[code]
+    i, j = np.divmod(code, p)
+    g = np.where(i == j, 2 * g + own[i], g)  # a feature that a row holds twice meets itself twice
+    keep = (g != 0) | (features[i] < 0)
+    return features[i[keep]], features[j[keep]], g[keep]
+
+
+def _sums_of_tasks(sides: tuple[Side, ...], by: tuple[str, ...]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def sums(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held)
+        keys = rows.select(list(by)).group_by(list(by)).aggregate([]).to_pylist() if by else [{}]
+        for key in keys:
+            own = rows
+            for c, v in key.items():
+                own = own.filter(pc.is_null(own.column(c)) if v is None else pc.equal(own.column(c), v))
+            i, j, g = _products(own, sides)
+            yield pa.RecordBatch.from_arrays([*[pa.array([v] * len(i), rows.schema.field(c).type) for c, v in key.items()], pa.array(i), pa.array(j), pa.array(g)], [*by, "i", "j", "g"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+            if sum(b.num_rows for b in held) >= CHUNK:
+                yield from sums(held)
+                held = []
+        if held:
+            yield from sums(held)
+
+    return run
+
+
+def gram_table(rows: DataFrame, by: tuple[str, ...] = (), sides: tuple[Side, ...] = ()) -> DataFrame:
+    """The upper triangle (by..., i, j, g) of the Gram matrix of design rows (fx, y, w) with a constant and y as further columns; or,
+    with `sides`, of rows (lineups, ys, w) that hold a design row for each side (lineups.packed_stints(), packed_possessions()).
+
+    Products are made within a row (some dozen features) and summed by task as they arise, then in one shuffle; features are
+    numbers, and negative ones and nulls are no players.
     """
-    scaled = F.transform(F.filter("fx", lambda e: e["f"] >= 0), lambda e: F.struct(e["f"].alias("f"), (e["s"] * F.col("w")).alias("x")))
-    more = F.array(F.struct(F.lit(_ONE).cast("long").alias("f"), F.lit(1.0).alias("x")), F.struct(F.lit(_Y).cast("long").alias("f"), (F.col("y") * F.col("w")).alias("x")))
-    own = rows.select(*by, F.array_sort(F.concat(more, scaled)).alias("v"))
-    ahead = own.select(*by, "v", F.posexplode("v").alias("at", "a"))
-    pairs = ahead.select(*by, "a", F.explode(F.slice("v", F.col("at") + 1, F.size("v") - F.col("at"))).alias("b"))
-    return pairs.groupBy(*by, F.col("a.f").alias("i"), F.col("b.f").alias("j")).agg(F.sum(F.col("a.x") * F.col("b.x")).alias("g"))
-
-
-def equations_of(table: DataFrame) -> NormalEquations:
-    """The equations of a gram_table(). What comes to the driver is one number per feature, and the matrix up to MAX_FEATURES."""
+    lists = list(dict.fromkeys(c for side in sides for c in side[:2]))
+    numbers = ["w", *(y for side in sides for y in side[2])] if sides else ["w", "y"]
+    players = [F.col(c).cast("array<bigint>").alias(c) for c in lists] or [F.col("fx").cast("array<struct<f:bigint,s:double>>").alias("fx")]
+    for c in lists or ["fx"]:
+        rows = rows.where(F.col(c).isNotNull())
+    slim = rows.select(*by, *players, *[F.col(c).cast("double").alias(c) for c in numbers])
+    named = ", ".join([*[f"`{c}` {slim.schema[c].dataType.simpleString()}" for c in by], "i long, j long, g double"])
+    return slim.mapInArrow(_sums_of_tasks(sides, by), named).groupBy(*by, "i", "j").agg(F.sum("g").alias("g"))
+
+
+def equations_of(table: DataFrame, ys: int = 1) -> list[NormalEquations]:
+    """The equations of a gram_table(), one for each y. What comes to the driver is one number per feature, and the matrix up to
+    MAX_FEATURES."""
     edge = table.where(F.col("i") < 0).toPandas()
     of = lambda i: edge[(edge["i"] == i) & (edge["j"] >= 0)].sort_values("j")
-    one, y = of(_ONE), of(_Y)
     corner = lambda i, j: float(edge.loc[(edge["i"] == i) & (edge["j"] == j), "g"].sum())
+    one = of(_ONE)
     features = one["j"].to_numpy(np.int64)
     inner = table.where(F.col("i") >= 0)
     gram = None
@@ -98,22 +199,23 @@ def equations_of(table: DataFrame) -> NormalEquations:
         gram = np.zeros((len(features), len(features)))
         np.add.at(gram, (i, j), entries.column("g").to_numpy())
         gram = np.triu(gram) + np.triu(gram, 1).T
-    return NormalEquations(features, one["g"].to_numpy(float), y["g"].to_numpy(float), corner(_ONE, _ONE) or 1.0, corner(_ONE, _Y), gram, None if gram is not None else inner)
+    return [NormalEquations(features, one["g"].to_numpy(float), of(y)["g"].to_numpy(float), corner(_ONE, _ONE) or 1.0, corner(y, _ONE), gram, None if gram is not None else inner) for y in range(_Y, _Y - ys, -1)]
 
 
-def normal_equations(rows: DataFrame) -> NormalEquations:
-    """The equations of design rows (fx, y, w). A table of products that is solved in Spark stays persisted."""
-    table = gram_table(rows).persist()
-    eq = equations_of(table)
-    if eq.table is None:
+def normal_equations(rows: DataFrame, sides: tuple[Side, ...] = ()) -> list[NormalEquations]:
+    """The equations of the rows of gram_table(), one for each y, which share their products. A table of products that is solved in
+    Spark stays persisted."""
+    table = gram_table(rows, sides=sides).persist()
+    out = equations_of(table, len(sides[0][2]) if sides else 1)
+    if out[0].table is None:
         table.unpersist()
-    return eq
+    return out
 
 
 def ridge_fit(rows: DataFrame, alpha: float = 2500.0, name: str = "player_id") -> DataFrame:
     """Coefficients (player_id, coefficient) of min |w (y - b) - w X c|^2 + alpha |c|^2 with an unweighted intercept b after
     scaling, on design rows (fx, y, w)."""
-    eq = normal_equations(rows)
+    (eq,) = normal_equations(rows)
     frame = pd.DataFrame({name: eq.features, "coefficient": eq.solve(alpha)})
     return rows.sparkSession.createDataFrame(frame, f"{name} long, coefficient double")
 
@@ -138,7 +240,7 @@ def offence_defence_ratings(eq: NormalEquations, alpha_offence: float, alpha_def
 
 def offence_defence_model(rows: DataFrame, alpha_offence: float, alpha_defence: float) -> tuple[DataFrame, float]:
     """The ratings of rows from offence_defence_design() or possession_design(), and the intercept."""
-    ratings, intercept = centred_ratings(normal_equations(rows), alpha_offence, alpha_defence)
+    ratings, intercept = centred_ratings(normal_equations(rows)[0], alpha_offence, alpha_defence)
     return rows.sparkSession.createDataFrame(ratings, "player_id long, offence double, defence double, total double"), intercept
 
 
@@ -165,23 +267,28 @@ def window_of(season: Column, windows: dict[str, tuple]) -> Column:
 def plus_minus_windows(stints: DataFrame, windows: dict[str, tuple], alphas: list[float], possessions: DataFrame | None = None, least_coverage: float = 0.98) -> DataFrame:
     """Ratings of each window of seasons and each penalty: rows window, source, alpha, player_id, ratings.
 
-    One pass makes the sums of all windows. With `possessions` (and a season), a window is fitted on these where they cover
-    at least `least_coverage` of its games with stints, else on stints.
+    Each source is read once for the windows that are fitted on it: products are summed by the set of windows that a row lies in,
+    then per window. With `possessions` (and a season), a window is fitted on these where they cover at least `least_coverage`
+    of its games with stints, else on stints.
     """
-    inside = lambda df: df.withColumn("window", F.explode(window_of(F.col("season"), windows)))
-    tables = {"stints": gram_table(lineups.offence_defence_design(inside(stints)), ("window",)).persist()}
     source = dict.fromkeys(windows, "stints")
     if possessions is not None:
-        games = inside(stints).select("window", "game_id").distinct()
+        games = stints.select("season", "game_id").distinct().select(F.explode(window_of(F.col("season"), windows)).alias("window"), "game_id").distinct()
         have = possessions.select("game_id").distinct().withColumn("_there", F.lit(True))
         for name, wanted, there in games.join(have, "game_id", "left").groupBy("window").agg(F.count("*"), F.count("_there")).collect():  # a row per window
             source[name] = "possessions" if there >= least_coverage * wanted else "stints"
-        tables["possessions"] = gram_table(lineups.possession_design(inside(possessions)), ("window",)).persist()
     parts = []
-    for name in windows:
-        eq = equations_of(tables[source[name]].where(F.col("window") == name).drop("window"))
-        parts += [offence_defence_ratings(eq, alpha, alpha).assign(window=name, source=source[name], alpha=alpha) for alpha in alphas if len(eq.features)]
-    for table in tables.values():
+    for kind, rows, design in (("stints", stints, lineups.packed_stints), ("possessions", possessions, lineups.packed_possessions)):
+        own = [n for n in windows if source[n] == kind]
+        if not own:
+            continue
+        places = window_of(F.col("season"), {str(k): windows[n] for k, n in enumerate(own)})
+        packed, sides = design(rows.withColumn("window", F.concat_ws(",", places)).where("window <> ''"))
+        table = gram_table(packed, ("window",), sides)
+        table = table.withColumn("window", F.explode(F.split("window", ","))).groupBy("window", "i", "j").agg(F.sum("g").alias("g")).persist()
+        for k, name in enumerate(own):
+            (eq,) = equations_of(table.where(F.col("window") == str(k)).drop("window"))
+            parts += [offence_defence_ratings(eq, alpha, alpha).assign(window=name, source=kind, alpha=alpha) for alpha in alphas if len(eq.features)]
         table.unpersist()
     columns = ["window", "source", "alpha", "player_id", "offence", "defence", "total"]
     out = pd.concat(parts)[columns] if parts else pd.DataFrame(columns=columns)

@@ -4,6 +4,7 @@ import math
 import tempfile
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -156,6 +157,44 @@ def test_windows_take_possessions_where_they_cover_the_games(spark):
     assert {r.player_id: pytest.approx(r.total) for r in out.where("window = 'late'").collect()} == alone
 
 
+def plain_gram(rows):
+    """Features in order (-2 is y, -1 the constant) and the Gram matrix of rows (features with signs, y, w)."""
+    names = sorted({f for fx, _, _ in rows for f, _ in fx if f is not None and f >= 0} | {-2, -1})
+    x = np.zeros((len(rows), len(names)))
+    for r, (fx, y, w) in enumerate(rows):
+        x[r, 0], x[r, 1] = (y or 0.0) * w, 1.0
+        for f, s in fx:
+            if f is not None and f >= 0:
+                x[r, names.index(f)] += s * w
+    return names, x.T @ x
+
+
+def test_products_are_summed_where_the_rows_lie(spark):
+    rng = np.random.default_rng(9)
+    rows = [([(int(f), float(rng.choice([-1, 1]))) for f in rng.integers(0, 6, rng.integers(0, 5))], float(rng.integers(0, 9)), float(rng.integers(1, 4))) for _ in range(60)]  # features come twice
+    rows += [([(3, 1.0), (-4, 1.0), (None, 1.0), (3, 1.0)], None, 2.0)]
+    table = ridge.gram_table(spark.createDataFrame([*rows, (None, 1.0, 1.0)], "fx array<struct<f:long,s:double>>, y double, w double"))
+    assert "Generate" not in table._jdf.queryExecution().executedPlan().toString()  # no row for each product
+    names, want = plain_gram(rows)
+    got = {(r.i, r.j): r.g for r in table.collect()}
+    assert {k for k in got if k[0] < 0} == {(i, j) for i in (-2, -1) for j in names if i <= j}
+    assert all(got.get((i, j), 0.0) == pytest.approx(want[a, b]) for a, i in enumerate(names) for b, j in enumerate(names) if a <= b)
+
+
+def test_many_features_are_summed_without_a_square(monkeypatch):
+    rows = pa.table({"fx": pa.array([[(7, 1.0), (90_000, -1.0)], [(7, 1.0)]], pa.list_(pa.struct([("f", pa.int64()), ("s", pa.float64())]))), "y": [2.0, 3.0], "w": [1.0, 2.0]})
+    want = [c.tolist() for c in ridge._products(rows, ())]
+    monkeypatch.setattr(ridge, "DENSE", 0)
+    assert [c.tolist() for c in ridge._products(rows, ())] == want
+
+
+def test_stints_held_as_lineups_give_the_written_design(spark):
+    stints = spark.createDataFrame([(1, 0, 1, 2, [0, 1, 2], [10, 11], 60.0, 4, 2), (1, 1, 1, 2, [0, None, -3], [10, 10], 90.0, None, 3), (1, 2, 1, 2, None, [10], 90.0, 1, 3), (1, 3, 1, 2, [1], [11], 5.0, 1, 3)], "game_id long, stint_index long, home_id long, away_id long, home_lineup array<long>, away_lineup array<long>, seconds double, home_pts long, away_pts long")
+    packed, sides = lineups.packed_stints(stints)
+    of = lambda table: {(r.i, r.j): pytest.approx(r.g) for r in table.collect()}
+    assert of(ridge.gram_table(packed, (), sides)) == {k: v.expected for k, v in of(ridge.gram_table(lineups.offence_defence_design(stints))).items()}
+
+
 def test_margin_ridge_sees_both_sides(spark):
     rng = np.random.default_rng(7)
     rows = [(g, 0, [int(x) for x in rng.choice(8, 5, False)], [int(x) for x in rng.choice(8, 5, False) + 8], float(rng.integers(20, 200)), int(rng.integers(0, 9)), int(rng.integers(0, 9))) for g in range(80)]
