@@ -250,12 +250,13 @@ def offence_defence_fit(rows: DataFrame, alpha_offence: float, alpha_defence: fl
 
 
 def plus_minus_table(stints: DataFrame, alpha_offence: float, alpha_defence: float, least_minutes: float = 200.0) -> DataFrame:
-    """Raw and adjusted ratings with minutes and the primary team, for players of `least_minutes` or more."""
-    sides = lineups.by_side(stints)
-    raw = offence_defence_fit(lineups.offence_defence_design(stints), alpha_offence, alpha_defence)
-    adj = offence_defence_fit(lineups.offence_defence_design(stints, adjusted=True), alpha_offence, alpha_defence).select("player_id", *[F.col(c).alias(f"{c}_adj") for c in ("offence", "defence", "total")])
-    minutes = lineups.time_on_court(sides).select("player_id", (F.col("seconds") / 60.0).alias("minutes"))
-    return raw.join(adj, "player_id").join(minutes.where(F.col("minutes") >= least_minutes), "player_id").join(lineups.primary_team(sides), "player_id")
+    """Raw and adjusted ratings with minutes and the primary team, for players of `least_minutes` or more. Stints are read once for
+    both fits and once for time and team."""
+    fits = [offence_defence_ratings(eq, alpha_offence, alpha_defence) for eq in normal_equations(*lineups.packed_stints(stints, adjusted=True))]
+    raw, adj = (stints.sparkSession.createDataFrame(fit, "player_id long, offence double, defence double, total double") for fit in fits)
+    adj = adj.select("player_id", *[F.col(c).alias(f"{c}_adj") for c in ("offence", "defence", "total")])
+    played = lineups.primary_team_and_time(lineups.by_side(stints)).withColumn("minutes", F.col("seconds") / 60.0).where(F.col("minutes") >= least_minutes)
+    return raw.join(adj, "player_id").join(played.select("player_id", "minutes", "team_id"), "player_id")
 
 
 def window_of(season: Column, windows: dict[str, tuple]) -> Column:
