@@ -47,7 +47,7 @@ def streamed_possessions(spark, d):
     play_by_play(spark, d).select("game_id", "action_number", "team_id", "kind", "points").write.parquet(path)
     schema = spark.read.parquet(path).schema
     events = spark.readStream.schema(schema).parquet(path)
-    return incremental.drain(incremental.possession_stream(events, ("made", "turnover")))
+    return incremental.possessions_of_batches(events, ("made", "turnover"))
 
 
 def _out_of_order(rows: DataFrame, at: str, pieces: int = 4) -> tuple[DataFrame, str]:

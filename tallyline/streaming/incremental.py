@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..lineage import fresh_dir
+from ..lineage import dealt, fresh_dir
 from . import folds
 
 
@@ -77,6 +78,49 @@ def possession_stream(events: DataFrame, ends: tuple[str, ...], over: str = "gam
     return events.groupBy("game_id").applyInPandasWithState(step, "game_id long, poss_index long, ended_by string, team_id long, points long", "index long, points long, opened boolean", "append", timeout)
 
 
+_SPANS = "game_id long, poss_index long, ended_by string, team_id long, points long, closed boolean, opened boolean, finished boolean, batch int"
+
+
+def _spans(batch: DataFrame, before: DataFrame, ends: tuple[str, ...], over: str) -> DataFrame:
+    """The possessions of a batch and the open one of each game, from events and what the batch before left (rows of _SPANS)."""
+    left = before.groupBy("game_id").agg(F.max(F.col("poss_index") - F.when(F.col("closed"), 0).otherwise(1)).alias("index"), F.sum(F.when(F.col("closed"), 0).otherwise(F.col("points"))).alias("points"), F.coalesce(F.max(F.when(~F.col("closed"), F.col("opened"))), F.lit(False)).alias("opened"), F.max("finished").alias("finished"))
+    left = left.where("not finished").select("game_id", "index", "points", "opened")
+    none = lambda t: F.lit(None).cast(t)
+    kind = F.col("kind").cast("string")
+    rows = batch.select(F.col("game_id").cast("long").alias("game_id"), none("long").alias("index"), F.col("action_number").cast("long").alias("at"), F.col("team_id").cast("long").alias("team_id"), kind.alias("kind"), F.coalesce(F.col("points").cast("long"), F.lit(0)).alias("points"), F.coalesce(kind != over, F.lit(True)).alias("opened"))
+    carried = left.select("game_id", "index", none("long").alias("at"), none("long").alias("team_id"), none("string").alias("kind"), "points", "opened")
+    both = dealt(rows.unionByName(carried), "game_id")
+    game = Window.partitionBy("game_id").orderBy(F.col("index").isNull(), F.col("at").asc_nulls_last())  # what was left comes first
+    end = F.coalesce(F.col("kind").isin(*ends), F.lit(False))
+    both = both.withColumn("end", end).withColumns({"base": F.coalesce(F.first("index").over(game.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)), "n": F.coalesce(F.sum(F.col("end").cast("long")).over(game.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
+    both = both.withColumn("finished", F.max(F.coalesce(F.col("kind") == over, F.lit(False))).over(game.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    own = lambda c: F.max(F.when(F.col("end"), F.col(c)))  # noqa: E731  a possession has one end at most
+    spans = both.groupBy("game_id", (F.col("base") + F.col("n") + 1).alias("poss_index")).agg(own("kind").alias("ended_by"), own("team_id").alias("team_id"), F.sum("points").alias("points"), F.max("end").alias("closed"), F.max("opened").alias("opened"), F.max("finished").alias("finished"))
+    return spans.withColumn("ended_by", F.when(F.col("closed"), F.col("ended_by")).otherwise("end_of_game"))
+
+
+def possessions_of_batches(events: DataFrame, ends: tuple[str, ...], over: str = "game_end") -> DataFrame:
+    """Run a stream of events to the end of what there is: the rows of possession_stream() without silence, each micro-batch by windows
+    within its games instead of a call for each game, so this is the form for many games.
+
+    What a batch leaves of a game (its count, open points) lies in the shared folder and goes into the next batch with its
+    events; a batch that is run again writes the same files. A batch costs its events and the games that are not over.
+    """
+    spark, path = events.sparkSession, fresh_dir(events.sparkSession, "possessions")
+    of = lambda number: f"{path}/batch={number}"
+    schema = spark.createDataFrame([], _SPANS).schema
+    inside = [c for c in schema.names if c != "batch"]
+    spark.createDataFrame([], schema).drop("batch").write.parquet(of(-1))  # before the first batch there is nothing
+
+    def write(batch: DataFrame, number: int) -> None:
+        before = batch.sparkSession.read.schema(schema).parquet(of(number - 1)).select(*inside)
+        _spans(batch, before, ends, over).select(*inside).write.mode("overwrite").parquet(of(number))
+
+    events.writeStream.foreachBatch(write).option("checkpointLocation", fresh_dir(spark, "possessions-log")).trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.schema(schema).parquet(path).where("closed or (finished and opened)")
+    return found.select("game_id", "poss_index", "ended_by", "team_id", "points")
+
+
 def table_stream(spark: SparkSession, sf_dir: str, name: str, files_per_batch: int = 8) -> DataFrame:
     """A table's Parquet files as a stream, some files a batch."""
     one = f"{sf_dir}/{name}.parquet"

@@ -232,6 +232,26 @@ def test_possession_stream_carries_open_points_over_batches(spark):
     assert [(r.poss_index, r.ended_by, r.points) for r in out.orderBy("poss_index").collect()] == [(1, "made", 2), (2, "free_throw", 1), (3, "made", 3), (4, "defensive_rebound", 0), (5, "turnover", 0)]
 
 
+def test_possessions_of_batches_are_those_of_the_stream(spark):
+    rng = np.random.default_rng(4)
+    kinds = ["made", "turnover", "missed", "sub", None]
+    rows = [(g, n, int(rng.integers(0, 2)), kinds[rng.integers(0, 5)], [None, 0, 2][rng.integers(0, 3)]) for g in range(12) for n in range(int(rng.integers(1, 12)))]
+    rows += [(g, 20, None, "game_end", 1) for g in range(0, 12, 2)] + [(20, 1, 1, "game_end", 0), (21, 3, 1, "made", 2), (21, None, 0, "missed", 1)]
+    events = spark.createDataFrame(rows, "game_id long, action_number long, team_id long, kind string, points long")
+    parts = ["action_number <= 3", "action_number between 4 and 6", "action_number between 7 and 19 and game_id % 3 > 0", "action_number = 20 or (action_number between 7 and 19 and game_id % 3 = 0) or action_number is null"]
+    read = lambda out: sorted(map(tuple, out.collect()), key=str)
+    want = read(incremental.drain(incremental.possession_stream(batches(spark, events, parts), ("made", "turnover"))))
+    assert read(incremental.possessions_of_batches(batches(spark, events, parts), ("made", "turnover"))) == want and len(want) > 20
+    assert read(incremental.possessions_of_batches(batches(spark, events.limit(0), ["true"]), ("made",))) == []
+
+
+def test_streamed_possessions_make_no_call_for_a_game(spark, monkeypatch):
+    from tallyline.plans import stream_queries
+
+    monkeypatch.setattr(incremental, "possession_stream", None)
+    assert stream_queries.streamed_possessions(spark, "/root/testdata/sf0.001").count() > 1000
+
+
 def test_replaced_partitions_and_games_taken_once(spark):
     path = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     write = incremental.replace_per_batch(path, "season")
