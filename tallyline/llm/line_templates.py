@@ -123,8 +123,7 @@ def _templates(rows: DataFrame, parsed: DataFrame, min_docs: int) -> DataFrame:
     # common words of the leaves, and the lines that could have enough of them
     words = seen.select("line", "docs", "leaf", F.posexplode(F.split("masked", " "))).where(f"pos >= {DEPTH} and col <> '<*>'").select("line", "docs", "pos", F.col("col").alias("word"), F.struct("leaf", "pos", "col").alias("key"))
     common = cut(words.groupBy("key").agg(F.sum("docs").alias("f"), F.count("*").alias("n")).where(F.col("f") >= min_docs))
-    placed = hot_join(words.select("line", "pos", "word", "key"), common.select("key", "f"), common.select("key", "n"), "key", "line")
-    held = placed.groupBy("line").agg(F.sort_array(F.collect_list(F.struct("f", "pos", "word"))).alias("common"))  # a line's words
+    held = _common_words(seen, words, common)
     real = lambda ws: F.size(F.filter(ws, lambda w: w != "<*>"))
     lined = seen.join(held, "line", "left").withColumn("common", F.coalesce("common", F.array().cast(held.schema["common"].dataType)))
     lined = lined.withColumns({"own": real(F.split("masked", " ")), "lead": real(F.slice(F.split("masked", " "), 1, DEPTH))}).where(F.col("lead") + F.size("common") >= SIMILARITY * F.col("own") - 1e-9)
@@ -140,6 +139,27 @@ def _templates(rows: DataFrame, parsed: DataFrame, min_docs: int) -> DataFrame:
     return first.unionByName(second).unionByName(alone)
 
 
+def _common_words(seen: DataFrame, words: DataFrame, common: DataFrame) -> DataFrame:
+    """The common words of lines: line, common (f, pos, word in order); lines without any may lack.
+
+    Keys of many lines, of which there can be four a partition at most, are broadcast as a list per leaf and place and are
+    looked up within a line, so that no row is made for a word of theirs; the words of other keys are joined.
+    """
+    parts = max(int(seen.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    limit = max((common.agg(F.sum("n")).first()[0] or 0) // (4 * parts), 256)
+    hot = common.where(F.col("n") > limit)
+    entry = F.struct("f", "pos", "word")
+    if hot.isEmpty():
+        return words.join(common.select("key", "f"), "key").groupBy("line").agg(F.sort_array(F.collect_list(entry)).alias("common"))
+    cold = words.join(F.broadcast(hot.select("key")), "key", "left_anti").join(common.select("key", "f"), "key").groupBy("line").agg(F.collect_list(entry).alias("cold"))
+    places = hot.groupBy("key.leaf", "key.pos").agg(F.collect_list(F.struct("f", "key.pos", F.col("key.col").alias("word"))).alias("w"))
+    places = places.groupBy("leaf").agg(F.map_from_entries(F.collect_list(F.struct("pos", "w"))).alias("m"), F.max("pos").alias("last"))
+    places = places.select("leaf", F.transform(F.sequence(F.lit(0), "last"), lambda i: F.try_element_at(F.col("m"), i)).alias("hot"))
+    here = F.transform(F.split("masked", " "), lambda w, i: F.filter(F.get("hot", i), lambda h: h["word"] == w))
+    lines = seen.join(F.broadcast(places), "leaf").select("line", F.flatten(F.filter(here, lambda x: x.isNotNull())).alias("hot"))
+    return lines.join(cold, "line", "full").select("line", F.sort_array(F.concat(*[F.coalesce(c, F.array().cast(lines.schema["hot"].dataType)) for c in ("hot", "cold")])).alias("common"))
+
+
 def _members(lined: DataFrame, anchors: Column, inside: DataFrame, seen: DataFrame, together: DataFrame, min_docs: int) -> DataFrame:
     """Lines that belong to recurring templates of their anchors: line, pattern, occurrences."""
     tried = cut(lined.withColumn("key", F.explode(F.transform(anchors, lambda a: F.struct("leaf", a.alias("at"))))))

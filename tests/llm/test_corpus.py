@@ -706,3 +706,17 @@ def test_pipeline(spark, tmp_path):
         docs = after
     last = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
     assert last.count() == docs.count() and last.agg(F.sum("n_tokens")).first()[0] > 0
+
+
+def test_common_words_of_hot_keys_are_looked_up_within_lines(spark):
+    from pyspark.sql import functions as F
+
+    from tallyline.llm import line_templates
+
+    lines = [(7, n, 2, f"a b c hot w{n % 40} x{n} end") for n in range(400)] + [(8, 1000 + n, 3, f"a b d cold v{n % 2} <*>") for n in range(6)]
+    seen = spark.createDataFrame(lines, "leaf long, line long, docs long, masked string").cache()
+    words = seen.select("line", "docs", "leaf", F.posexplode(F.split("masked", " "))).where("pos >= 3 and col <> '<*>'").select("line", "docs", "pos", F.col("col").alias("word"), F.struct("leaf", "pos", "col").alias("key"))
+    common = words.groupBy("key").agg(F.sum("docs").alias("f"), F.count("*").alias("n")).where("f >= 9").cache()
+    assert common.where("n > 256").count() == 2  # 'hot' and 'end'
+    got = {r.line: [tuple(c) for c in r.common] for r in line_templates._common_words(seen, words, common).collect()}
+    assert got == {line: sorted([(800, 3, "hot"), (20, 4, f"w{line % 40}"), (800, 6, "end")]) for _, line, *_ in lines[:400]} | {line: sorted([(18, 3, "cold"), (9, 4, f"v{line % 2}")]) for _, line, *_ in lines[400:]}
