@@ -1,11 +1,14 @@
 """Messy feeds: substitution texts, batches of one clock, known lineups, starters that nobody names, two sources of lineups."""
 
 import random
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyline import lineage
+from tallyline.functions import names
 from tallyline.functions import scalars as S
 from tallyline.operators import openings, substitutions, tracking
 from tallyline.sources.messy import messy_events
@@ -215,3 +218,40 @@ def test_what_is_laid_down_is_dealt_by_game_again(spark):
     out = substitutions.expand_substitutions(lineage.laid(messy_events(spark, "/root/testdata/sf0.001"), "game_id"))
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.count("REPARTITION_BY_NUM") >= 3
+
+
+def test_names_are_keyed_once_per_distinct_text(spark):
+    """Two texts in a thousand rows: two calls; null stays null."""
+    marks = names.each(lambda _: uuid.uuid4().hex, T.StringType())
+    rows = spark.range(1000).select(F.when(F.col("id") % 3 > 0, F.concat(F.lit("t"), F.col("id") % 3)).alias("t")).coalesce(1)
+    assert rows.select(marks(F.col("t")).alias("m")).agg(F.countDistinct("m"), F.count_if(F.col("m").isNull())).first()[:] == (2, 334)
+
+
+@pytest.mark.parametrize(
+    ("name", "exact", "family", "own"),
+    [
+        ("Ann Stone", ["annstone", "astone"], ["stone", "stone"], ["annstone", "stone", "astone"]), ("Eve Lund Jr.", ["evelundjr", "elundjr"], ["lund", "lund"], ["evelundjr", "lundjr", "elundjr"]),
+        ("A.C. O'Neal", ["aconeal", "aoneal"], ["oneal", "oneal"], ["aconeal", "oneal", "aoneal"]), ("Moss", ["moss", "moss"], ["moss", "moss"], ["moss", "mmoss"]), ("", ["", ""], [None, None], []),
+    ],
+)
+def test_forms_of_names(name, exact, family, own):
+    assert names.forms(name) == {"exact": exact, "family": family, "own": own}
+
+
+def test_all_names_of_a_player_serve(spark):
+    """A player whom a game calls by two names: forms of the first one, aliases of both and of the texts; sub texts teach nothing."""
+    rows = [(10, "made", 1, 12, "Smith Layup", 2), (20, "sub", 1, 12, "SUB: Moss FOR Smith", 0)]
+    other = feed(spark, rows).unionByName(feed(spark, [(5, "made", 1, 12, "Jay Smythe Layup", 2)]).withColumns({"player_name": F.lit("Jay Smythe"), "action_number": F.lit(9).cast("long")}))
+    (got,) = substitutions.known_players(other).collect()
+    assert got.exact == ["josmith", "jsmith"] and set(got.own) == {"josmith", "smith", "jsmith"}
+    assert set(got.alias) == {"josmith", "smith", "jsmith", "jaysmythe", "smythe", "jsmythe", "jay"}
+
+
+def test_expansion_joins_stay_where_events_are_dealt(spark):
+    """Of what joins by game and team nothing is dealt anew or sorted, and what was laid down is read by column."""
+    events = lineage.laid(messy_events(spark, "/root/testdata/sf0.001"), "game_id", "team_id", tasks=3)
+    assert "ReadSchema: struct<game_id:bigint,team_id:bigint,points:bigint>" in events.select("game_id", "points")._jdf.queryExecution().executedPlan().toString()
+    plan = substitutions.expand_substitutions(events, tasks=3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ShuffledHashJoin [game_id") >= 4 and "SortMergeJoin" not in plan
+    joins = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "REPARTITION_BY_NUM" in line]
+    assert joins and all(", 3), REPARTITION_BY_NUM" in line for line in joins)
