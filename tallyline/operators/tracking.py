@@ -7,7 +7,7 @@ folded in order in one task; games are independent and are dealt by game_id.
 from __future__ import annotations
 
 from collections import defaultdict
-from itertools import groupby, takewhile
+from operator import add
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,10 +26,10 @@ def _named(move: dict) -> int | None:
 
 def _fit(move: dict, floor: set[int]) -> int | None:
     """The player whom a move can concern: who leaves must be on the floor, who comes in must not."""
-    able = lambda p: p > 0 and (p in floor) == (move["side"] == "out")
-    if move["player_id"] and able(move["player_id"]):
-        return move["player_id"]
-    fitting = [p for p in move["candidates"] or [] if able(p)]
+    leaves, player = move["side"] == "out", move["player_id"]
+    if player and player > 0 and (player in floor) == leaves:
+        return player
+    fitting = [p for p in move["candidates"] or () if p > 0 and (p in floor) == leaves]
     return fitting[0] if len(fitting) == 1 else None
 
 
@@ -39,6 +39,14 @@ def apply_batch(floor: set[int], moves: list[dict]) -> set[int]:
     A player who leaves and comes in stays. Moves of one text are then made in pairs, each of them if the one leaving is on
     the floor and the other is not; what is left is made singly, exits first.
     """
+    if len(moves) == 2 and moves[0]["side"] == "out" and moves[1]["side"] == "in":  # one text, as mostly: the same in short
+        p, named = _fit(moves[0], floor), _named(moves[1])
+        if p is not None and p == named:
+            return floor
+        q = _fit(moves[1], floor) if p and moves[0]["description"] == moves[1]["description"] else None
+        floor = floor - {p} if p else floor
+        q = q or _fit(moves[1], floor)
+        return floor | {q} if q else floor
     floor = set(floor)
     outs, ins = ([m for m in moves if m["side"] == s] for s in ("out", "in"))
     both = {_fit(m, floor) for m in outs} & {_named(m) for m in ins} - {None}
@@ -60,34 +68,52 @@ def apply_batch(floor: set[int], moves: list[dict]) -> set[int]:
     return floor
 
 
+#: Segments in one batch that leaves a task.
+_OUT_ROWS = 10_000
+#: Sides of a move in the fold; 0: no move.
+_SIDES = (None, "out", "in")
+
+
+def _plain(column: pa.Array) -> list:
+    """The values of a column as Python's; by way of NumPy where there are no nulls, which takes a tenth of the time."""
+    return column.to_pylist() if column.null_count or pa.types.is_nested(column.type) else column.to_numpy(zero_copy_only=False).tolist()
+
+
 def _track(values: tuple[str, ...], forced: bool):
     names = ["game_id", "start", "end", "home_id", "away_id", "home_lineup", "away_lineup", *[f"{side}_{v}" for v in values for side in ("home", "away")]]
+    schema = pa.schema([(n, pa.list_(pa.int64()) if n.endswith("lineup") else pa.float64() if i >= 7 else pa.int64()) for i, n in enumerate(names)])
 
-    def segments(rows: list[dict], periods: dict, marks: dict) -> list[dict]:
-        game, home, away = (rows[0][c] for c in ("game_id", "home_id", "away_id"))
+    def segments(game: int, home: int, away: int, at: range, columns: tuple[list, ...], counted: list[list], move, periods: dict, marks: dict) -> list[tuple]:
+        """The segments of the game whose events are the rows `at` of the columns; move(i): the move of row i."""
+        period_of, time_of, team_of, side_of, throw_of = columns
         floor = {t: set(periods.get((t, 1), [])[:FIVE]) for t in (home, away)}
         out, start, now, period = [], 0, 0, 1
-        sums = dict.fromkeys(names[7:], 0)
+        sums = [0] * (2 * len(values))  # of home and away by turns, as in names
         pending = defaultdict(list)
 
         def close():
-            nonlocal start, sums
-            if now > start or any(sums.values()):
-                segment = {"game_id": game, "start": start, "end": now, "home_id": home, "away_id": away, "home_lineup": sorted(floor[home]), "away_lineup": sorted(floor[away])}
+            nonlocal start
+            if now > start or any(sums):
+                segment = (game, start, now, home, away, sorted(floor[home]), sorted(floor[away]))
                 # lineups that come back within one clock have one segment there
-                same = [s for s in takewhile(lambda s: s["end"] == now, reversed(out)) if segment.items() <= s.items()]
-                if same:
-                    same[0].update({v: same[0][v] + n for v, n in sums.items()})
+                same = next((k for k in range(len(out) - 1, -1, -1) if out[k][2] != now or out[k][:7] == segment), -1)
+                if same >= 0 and out[same][2] == now:
+                    out[same] = (*segment, *map(add, out[same][7:], sums))
                 else:
-                    out.append(segment | sums)
-            start, sums = now, dict.fromkeys(sums, 0)
+                    out.append((*segment, *sums))
+            start, sums[:] = now, [0] * len(sums)
 
         def change(batches):
             close()
             for team, moves in batches.items():
                 floor[team] = apply_batch(floor[team], moves)
 
-        for clock, at_clock in groupby(rows, key=lambda r: (r["period"], r["elapsed"])):
+        first, stop = at.start, at.stop
+        while first < stop:
+            clock = (period_of[first], time_of[first])
+            end = first + 1
+            while end < stop and time_of[end] == clock[1] and period_of[end] == clock[0]:
+                end += 1
             if pending:
                 change(pending)
                 pending.clear()
@@ -98,46 +124,66 @@ def _track(values: tuple[str, ...], forced: bool):
                 if given:
                     close()
                     floor |= {t: set(g) for t, g in given.items()}
-            trusted = {t: set(marks.get((t, clock[1]), [])) for t in (home, away)}
-            known = all(len(g) == FIVE for g in trusted.values())
+            known = bool(marks) and all(len(marks.get((t, clock[1]), [])) == FIVE for t in (home, away))
             if known and (forced or any(len(floor[t]) != FIVE for t in floor)):
                 close()
-                floor |= trusted
-            at_clock = list(at_clock)
-            throws = [i for i, r in enumerate(at_clock) if r["kind"] == "free_throw"]
-            for is_sub, run in groupby(enumerate(at_clock), key=lambda x: x[1]["side"] is not None):
-                run = list(run)
-                if not is_sub:
-                    for _, r in run:
-                        side = {home: "home", away: "away"}.get(r["team_id"])
-                        for v in values if side else ():
-                            sums[f"{side}_{v}"] += r[v] or 0
-                    continue
-                if known:
-                    continue  # the lineups of this clock are known, whatever its texts say
-                batches = pending if throws and throws[-1] > run[0][0] else defaultdict(list)
-                for _, r in run:
-                    if r["team_id"] in floor:
-                        batches[r["team_id"]].append(r)
-                if batches is not pending:
-                    change(batches)
+                floor |= {t: set(marks[t, clock[1]]) for t in (home, away)}
+            throw = max((i for i in range(first, end) if throw_of[i]), default=-1)
+            run = None  # the batches of the run of substitutions that goes on
+            for i in range(first, end):
+                team = team_of[i]
+                if not side_of[i]:
+                    if run is not None and run is not pending:
+                        change(run)
+                    run = None
+                    if team == away or team == home:
+                        for k, value in enumerate(counted):
+                            sums[2 * k + (team == away)] += value[i] or 0
+                elif not known:  # else the lineups of this clock are known, whatever its texts say
+                    if run is None:
+                        run = pending if throw > i else defaultdict(list)
+                    if team in floor:
+                        run[team].append(move(i))
+            if run is not None and run is not pending:
+                change(run)
+            first = end
         if pending:
             change(pending)
         close()
         return out
 
-    def run(events: pa.Table, given: pa.Table) -> pa.Table:
-        rows = sorted(events.to_pylist(), key=lambda r: (r["_o0"], r["_o1"], r["_o2"], r["side"] == "in"))
-        periods, marks = {}, {}
-        for g in given.to_pylist():
-            (periods if g["mark"] == "period" else marks)[g["team_id"], g["at"]] = sorted(set(g["lineup"] or []))
-        found = segments(rows, periods, marks) if rows else []
-        return pa.Table.from_pylist(found, pa.schema([(n, pa.list_(pa.int64()) if n.endswith("lineup") else pa.float64() if i >= 7 else pa.int64()) for i, n in enumerate(names)]))
+    def batch_of(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(map(list, zip(*out)), schema)], schema=schema)
+
+    def run(batches):
+        out = []
+        for batch in batches:
+            games, homes, aways, given = (batch.column(c).to_pylist() for c in ("game_id", "home_id", "away_id", "given"))
+            events = batch.column("events")
+            ends, rows = events.value_lengths().to_pylist(), events.flatten()
+            column = lambda c: _plain(rows.field(c))  # noqa: B023, E731
+            columns = tuple(column(c) for c in ("period", "elapsed", "team_id", "side", "throw"))
+            side_of, players, texts, candidates = columns[3], column("player_id"), column("description"), rows.field("candidates")
+            several = dict(zip(candidates.is_valid().to_numpy(zero_copy_only=False).nonzero()[0].tolist(), candidates.drop_null().to_pylist()))
+            move = lambda i: {"side": _SIDES[side_of[i]], "player_id": players[i], "candidates": several.get(i), "description": texts[i]}  # noqa: B023, E731
+            counted = [column(f"value{k}") for k in range(len(values))]
+            at = 0
+            for game, home, away, known, n in zip(games, homes, aways, given, ends):
+                periods, marks = {}, {}
+                for g in known or ():
+                    (periods if g["mark"] == "period" else marks)[g["team_id"], g["at"]] = sorted(set(g["lineup"] or []))
+                out += segments(game, home, away, range(at, at + n), columns, counted, move, periods, marks)
+                at += n
+                if len(out) >= _OUT_ROWS:
+                    yield batch_of(out)
+                    out = []
+        if out:
+            yield batch_of(out)
 
     return run
 
 
-def track_lineups(events: DataFrame, given: DataFrame, values: tuple[str, ...] = ("points",), forced: bool = False) -> DataFrame:
+def track_lineups(events: DataFrame, given: DataFrame, values: tuple[str, ...] = ("points",), forced: bool = False, tasks: int | None = None) -> DataFrame:
     """Segments of games between changes of lineups: game_id, start, end, home_id, away_id, home_lineup, away_lineup, and home_ and
     away_ sums of each of `values`.
 
@@ -147,14 +193,28 @@ def track_lineups(events: DataFrame, given: DataFrame, values: tuple[str, ...] =
     mark, at, lineup) holds what is known: with mark 'period', lineups at the start of period `at` (1: the starters), set
     when the period's first event comes; with mark 'elapsed', lineups of both teams at a time, taken if either lineup is not
     five or if `forced`, while substitutions at that time are ignored. Lineups may be incomplete: see full_sides().
+
+    A game's events and what is known of it become one row, so that many games cross to Python in one batch; games are dealt into
+    `tasks` tasks (None: as Spark has it).
     """
     text, none = F.col("description"), F.lit(None).cast("long")
     place = event_order(F.col("elapsed"), F.col("kind"), text, none, F.col("action_number"))
-    rows = events.select("game_id", "home_id", "away_id", "period", "elapsed", "kind", "team_id", "player_id", "side", "candidates", "description", *values, *[c.cast("long").alias(f"_o{i}") for i, c in enumerate(place)])
+    side = F.when(F.col("side").isNull(), 0).when(F.col("side") == "out", 1).otherwise(2)
+    moves = side > 0
+    fields = {
+        "side": side, "period": F.col("period"), "elapsed": F.col("elapsed"), "team_id": F.col("team_id"), "throw": F.coalesce(F.col("kind") == "free_throw", F.lit(False)), "player_id": F.when(moves, F.coalesce("player_id", F.lit(0))).otherwise(0),
+        "description": F.when(moves, F.coalesce(text, F.lit(""))).otherwise(""), "candidates": F.when(moves & (F.size("candidates") > 0), F.col("candidates")),
+    }
+    order = [*place, F.col("side").eqNullSafe("in")]
+    event = F.struct(*[c.cast("long").alias(f"o{i}") for i, c in enumerate(order)], *[c.alias(n) for n, c in fields.items()], *[F.col(v).alias(f"value{i}") for i, v in enumerate(values)])
+    rows = events.where("elapsed is not null").select("game_id", "home_id", "away_id", event.alias("event"))
+    rows = rows.repartition(tasks, "game_id") if tasks else rows
+    # a game's events: some hundreds
+    games = rows.groupBy("game_id").agg(F.first("home_id").alias("home_id"), F.first("away_id").alias("away_id"), F.sort_array(F.collect_list("event")).alias("events"))
+    known = given.groupBy("game_id").agg(F.collect_list(F.struct("team_id", "mark", F.col("at").cast("long").alias("at"), "lineup")).alias("given"))
     sums = ", ".join(f"{side}_{v} double" for v in values for side in ("home", "away"))
     schema = f"game_id long, start long, end long, home_id long, away_id long, home_lineup array<long>, away_lineup array<long>, {sums}"
-    given = given.select(F.col("game_id").alias("_game"), "team_id", "mark", F.col("at").cast("long").alias("at"), "lineup")
-    return rows.where("elapsed is not null").groupBy("game_id").cogroup(given.groupBy("_game")).applyInArrow(_track(values, forced), schema)
+    return games.join(known, "game_id", "left").mapInArrow(_track(values, forced), schema)
 
 
 def full_sides(segments: DataFrame, values: tuple[str, ...] = ("points",)) -> DataFrame:

@@ -255,3 +255,21 @@ def test_expansion_joins_stay_where_events_are_dealt(spark):
     assert plan.count("ShuffledHashJoin [game_id") >= 4 and "SortMergeJoin" not in plan
     joins = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "REPARTITION_BY_NUM" in line]
     assert joins and all(", 3), REPARTITION_BY_NUM" in line for line in joins)
+
+
+def test_games_are_folded_many_to_a_batch(spark):
+    """Games in one batch, one without substitutions, one of whose lineups nothing is known, null points: each as if alone."""
+    one = [(50, "made", 1, 10, "x", 2), (100, "sub", 1, 10, "SUB: Jack Smith FOR Ann Stone", 0), (100, "free_throw", 1, 11, "y", 1), (150, "made", 1, 15, "Smith", None), (200, "made", 2, 20, "z", 3)]
+    games = [one, [r for r in one if r[1] != "sub"], one]
+    events = None
+    for g, rows in enumerate(games, 1):
+        part = feed(spark, rows).withColumn("game_id", F.lit(g).cast("long"))
+        events = part if events is None else events.unionByName(part)
+    given = known(spark).unionByName(known(spark).withColumn("game_id", F.lit(2).cast("long")))
+    out = tracking.track_lineups(substitutions.expand_substitutions(events), given, tasks=1)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapCoGroupsInArrow" not in plan
+    five, later = [10, 11, 12, 13, 14], [11, 12, 13, 14, 15]
+    assert sorted((r.game_id, r.start, r.end, r.home_lineup, r.home_points, r.away_points) for r in out.collect()) == [
+        (1, 0, 100, five, 3, 0), (1, 100, 200, later, 0, 3), (2, 0, 200, five, 3, 3), (3, 0, 100, [], 3, 0), (3, 100, 200, [15], 0, 3),
+    ]
