@@ -3,6 +3,7 @@
 import random
 import uuid
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -273,3 +274,15 @@ def test_games_are_folded_many_to_a_batch(spark):
     assert sorted((r.game_id, r.start, r.end, r.home_lineup, r.home_points, r.away_points) for r in out.collect()) == [
         (1, 0, 100, five, 3, 0), (1, 100, 200, later, 0, 3), (2, 0, 200, five, 3, 3), (3, 0, 100, [], 3, 0), (3, 100, 200, [15], 0, 3),
     ]
+
+
+def test_forced_marks_over_batches(spark):
+    """Forced lineups of a known time hold in each game of a batch."""
+    lists = {"period": [1, 1], "elapsed": [100, 300], "team_id": [1, 1], "side": [0, 0], "throw": [False, False], "player_id": [0, 0], "description": ["", ""], "candidates": [None, None], "value0": [2, 3]}
+    types = {"candidates": pa.list_(pa.int64()), "throw": pa.bool_(), "description": pa.string()}
+    events = pa.ListArray.from_arrays(pa.array([0, 2, 4], pa.int32()), pa.StructArray.from_arrays([pa.array(v * 2, types.get(c, pa.int64())) for c, v in lists.items()], list(lists)))
+    marks = [{"team_id": t, "mark": m, "at": at, "lineup": [10 * t + k + at // 300 for k in range(5)]} for t in (1, 2) for m, at in (("period", 1), ("elapsed", 300))]
+    batch = pa.RecordBatch.from_arrays([pa.array([7, 8]), pa.array([1, 1]), pa.array([2, 2]), pa.array([marks, marks]), events], ["game_id", "home_id", "away_id", "given", "events"])
+    for forced, want in ((True, [(0, 300, [10, 11, 12, 13, 14], 2.0), (300, 300, [11, 12, 13, 14, 15], 3.0)]), (False, [(0, 300, [10, 11, 12, 13, 14], 5.0)])):
+        got = [r for b in tracking._track(("points",), forced)(iter([batch, batch])) for r in b.to_pylist()]
+        assert [(r["game_id"], r["start"], r["end"], r["home_lineup"], r["home_points"]) for r in got] == [(g, *w) for g in (7, 8, 7, 8) for w in want]
